@@ -37,7 +37,7 @@ LIGHT_MOST = 1024
 PART = 2048  #: members of a part of a list or group
 BUCKET = 400_000  #: entries of a task, about
 BROADCAST_KEYS = 1_000_000  #: keys that are sent to every task rather than shuffled
-SKETCH = 1024
+SKETCH = 10  #: the shortest sketches have 2 ** SKETCH bits
 
 
 def least_overlap(n, percent: int):
@@ -139,23 +139,50 @@ class Forest:
         return np.array([self.root(i) for i in range(len(self.up))], np.int64)
 
 
-def near_pairs(size: np.ndarray, sketch: np.ndarray, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i < j) that sizes and sketches leave possible, with the sketches' distance, a block of rows at a time."""
-    n = len(size)
-    for a in range(0, n, block):
-        b = min(n, a + block)
-        for c in range(a, n, 4 * block):
-            d = min(n, c + 4 * block)
-            x, y = size[a:b, None], size[None, c:d]
-            apart = np.zeros((b - a, d - c), np.int32)
-            for w in range(sketch.shape[1]):
-                apart += np.bitwise_count(sketch[a:b, None, w] ^ sketch[None, c:d, w])
-            fits = (apart <= most_apart(x + y, percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (np.arange(a, b)[:, None] < np.arange(c, d)[None, :])
-            i, j = np.nonzero(fits)
-            yield i + a, j + c, apart[i, j]
-
-
-def link(size: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Logarithm of a sketch's length: as many bits as shingles or up to four times as many, so long sets are told apart as well as short ones."""
+    return SKETCH + 2 * np.maximum(0, np.ceil((np.log2(np.maximum(n, 1)) - SKETCH) / 2)).astype(np.int64)
+
+
+def sketches(digest: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set: bit i tells whether an odd number of shingles fall on i. Halves laid over each other (xor) are the sketch of half the length."""
+    at, bits = mixed(digest), sketch_bits(np.diff(off)).tolist()
+    out = []
+    for k, x, y in zip(bits, off[:-1].tolist(), off[1:].tolist(), strict=True):
+        parity = np.bincount((at[x:y] & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k).astype(np.uint8) & 1
+        out.append(np.packbits(parity).tobytes())
+    return out
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def near_pairs(size: np.ndarray, sketch: list[bytes], percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows that sizes and sketches leave possible, with the sketches' distance, a block at a time. Sets of like length are compared only."""
+    kinds = sketch_bits(size)
+    rows = {k: np.flatnonzero(kinds == k) for k in np.unique(kinds).tolist()}
+    held = {k: np.frombuffer(b"".join(sketch[i] for i in r), np.uint64).reshape(len(r), -1) for k, r in rows.items()}
+    for k, m in [(k, m) for k in rows for m in (k, k + 2) if m in rows]:  # sets beyond the next length are too unlike
+        left, right = held[k], _folded(held[m], held[k].shape[1])
+        for a in range(0, len(left), block):
+            for c in range(a if k == m else 0, len(right), 4 * block):
+                i, j = rows[k][a : a + block], rows[m][c : c + 4 * block]
+                x, y = size[i][:, None], size[j][None, :]
+                fits = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((i[:, None] < j[None, :]) if k == m else True)
+                if not fits.any():
+                    continue
+                apart = np.zeros(fits.shape, np.int32)
+                for w in range(left.shape[1]):
+                    apart += np.bitwise_count(left[a : a + block, None, w] ^ right[None, c : c + 4 * block, w])
+                p, q = np.nonzero(fits & (apart <= most_apart(x + y, percent)))
+                yield i[p], j[q], apart[p, q]
+
+
+def link(size: np.ndarray, sketch: list[bytes], sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Root of each set among its links: exact; sets most alike by sketch first, pairs in one component already left out."""
     forest = Forest(len(size))
     for i, j, apart in near_pairs(size, sketch, percent):
@@ -207,13 +234,11 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
                 first = first[np.lexsort((order[first], doc[first]))]
                 edge = np.concatenate([[0], np.cumsum(most)]).tolist()
                 raw = digest[first].tobytes()
-                sketch = np.bincount(doc * SKETCH + (mixed(digest) >> np.uint64(54)).astype(np.int64), minlength=len(n) * SKETCH).reshape(len(n), SKETCH).astype(np.uint8) & 1 if len(n) else np.zeros((0, SKETCH), np.uint8)
-                packed = np.packbits(sketch, axis=1)
                 # The set's own digest: order-free sums of two independent mixings.
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(digest + np.uint64(c)))]) for c in (11, 1234567)]
                 a, b = (s[off[1:]] - s[off[:-1]] for s in sums)
                 node = mixed(a ^ mixed(b + n.astype(np.uint64)))
-                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "n": pa.array(n), "node": pa.array(node.view(np.int64), mask=n == 0), "first": pa.array([raw[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "sketch": pa.array([x.tobytes() for x in packed], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "n": pa.array(n), "node": pa.array(node.view(np.int64), mask=n == 0), "first": pa.array([raw[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "sketch": pa.array(sketches(digest, off), pa.binary())})
 
     every = table(own.mapInArrow(sets, "key long, n long, node long, first binary, sketch binary"), "shingle-sets")
     classes = table(every.filter("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch")), "set-classes")
@@ -274,17 +299,19 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     def possible(rows: pa.Table) -> pa.Table:
         """For each list, a star over members that its sketches leave connected."""
         list_, node, n = (rows.column(c).to_numpy() for c in ("list", "node", "n"))
-        sketch = _bytes(rows.column("sketch"), np.uint64).reshape(len(list_), -1)
         order = np.lexsort((node, list_))
-        list_, node, n, sketch = list_[order], node[order], n[order], sketch[order]
+        list_, node, n, raw = list_[order], node[order], n[order], rows.column("sketch").to_pylist()
+        sketch = [raw[i] for i in order.tolist()]
         edge = np.flatnonzero(np.concatenate([[True], list_[1:] != list_[:-1], [True]])) if len(list_) else np.zeros(1, np.int64)
         size = np.diff(edge)
-        two = edge[:-1][size == 2]
+        two = edge[:-1][(size == 2) & (sketch_bits(n[edge[:-1]]) == SKETCH) & (sketch_bits(n[edge[1:] - 1]) == SKETCH)] if len(list_) else np.zeros(0, np.int64)
+        first, second = (np.frombuffer(b"".join(sketch[i] for i in (two + k).tolist()), np.uint64).reshape(len(two), -1) for k in (0, 1))
         x, y = n[two], n[two + 1]
-        apart = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1).astype(np.int64)
+        apart = np.bitwise_count(first ^ second).sum(axis=1).astype(np.int64)
         good = two[(apart <= most_apart(x + y, percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
         a, b = [node[good]], [node[good + 1]]
-        for i in np.flatnonzero(size > 2).tolist():
+        done = np.isin(edge[:-1], two)
+        for i in np.flatnonzero(~done).tolist():
             s = slice(edge[i], edge[i + 1])
             forest = Forest(size[i])
             for p, q, _ in near_pairs(n[s], sketch[s], percent):
@@ -321,8 +348,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
 
     def exact(rows: pa.Table) -> pa.Table:
         root, node, n = (rows.column(c).to_numpy() for c in ("root", "node", "n"))
-        sketch = _bytes(rows.column("sketch"), np.uint64).reshape(len(root), -1)
-        raw = rows.column("held").to_pylist()
+        sketch, raw = rows.column("sketch").to_pylist(), rows.column("held").to_pylist()
         order = np.lexsort((node, n, root))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         edge = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1], [True]])) if len(root) else np.zeros(1, np.int64)
@@ -332,7 +358,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
             got = [np.frombuffer(raw[i], np.uint64) for i in at.tolist()]
             keep = [i for i, g in enumerate(got) if len(g) == n[at[i]]]
             at, got = at[keep], [got[i] for i in keep]
-            up = link(n[at], sketch[at], got, percent)
+            up = link(n[at], [sketch[i] for i in at.tolist()], got, percent)
             some = up != np.arange(len(up))
             a.append(node[at][up[some]])
             b.append(node[at][some])
