@@ -1,10 +1,6 @@
 """All queries over the ledger's operators, and the same in SQL."""
 
-from __future__ import annotations
+from sealstone.plans import analytics, relational, streams  # noqa: F401  they register their queries
+from sealstone.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
