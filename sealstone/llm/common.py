@@ -154,7 +154,7 @@ def shingles(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray
     return out, off
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Parts of a batch whose texts hold about ``most`` bytes at most (one very long text makes a part of its own)."""
     col = batch.column(column)
     size = np.asarray(_byte_lengths(col), np.int64)

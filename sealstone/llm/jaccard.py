@@ -305,7 +305,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
         edge = np.flatnonzero(np.concatenate([[True], list_[1:] != list_[:-1], [True]])) if len(list_) else np.zeros(1, np.int64)
         size = np.diff(edge)
         two = edge[:-1][(size == 2) & (sketch_bits(n[edge[:-1]]) == SKETCH) & (sketch_bits(n[edge[1:] - 1]) == SKETCH)] if len(list_) else np.zeros(0, np.int64)
-        first, second = (np.frombuffer(b"".join(sketch[i] for i in (two + k).tolist()), np.uint64).reshape(len(two), -1) for k in (0, 1))
+        first, second = (np.frombuffer(b"".join(sketch[i] for i in (two + k).tolist()), np.uint64).reshape(len(two), (1 << SKETCH) // 64) for k in (0, 1))
         x, y = n[two], n[two + 1]
         apart = np.bitwise_count(first ^ second).sum(axis=1).astype(np.int64)
         good = two[(apart <= most_apart(x + y, percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
@@ -375,9 +375,9 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The documents with one row of each component: that of its smallest key. Rows without words stay. Of rows that repeat a key, one stays."""
-    numbered = table(docs.withColumn("jaccard_row", F.monotonically_increasing_id()), "numbered")
-    joined = join(numbered.select(F.col("jaccard_row"), F.col(text)), key="jaccard_row", text=text, percent=percent, words=words)
-    named = joined.join(numbered.select("jaccard_row", F.col(key).alias("jaccard_key")), "jaccard_row")
-    best = F.min(F.struct(F.col("jaccard_key").isNull().alias("last"), "jaccard_key", "jaccard_row")).alias("best")
-    keep = named.groupBy("component_id").agg(best).select(F.col("best.jaccard_row").alias("jaccard_row"))
-    return numbered.join(keep, "jaccard_row", "left_semi").select(*docs.columns)
+    numbered = table(docs.withColumn("sealstone_row", F.monotonically_increasing_id()), "numbered")
+    joined = join(numbered.select(F.col("sealstone_row"), F.col(text)), key="sealstone_row", text=text, percent=percent, words=words)
+    named = joined.join(numbered.select("sealstone_row", F.col(key).alias("sealstone_key")), "sealstone_row")
+    best = F.min(F.struct(F.col("sealstone_key").isNull().alias("last"), "sealstone_key", "sealstone_row")).alias("best")
+    keep = named.groupBy("component_id").agg(best).select(F.col("best.sealstone_row").alias("sealstone_row"))
+    return numbered.join(keep, "sealstone_row", "left_semi").select(*docs.columns)

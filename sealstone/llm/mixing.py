@@ -80,17 +80,16 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: a row for each time one is taken, the last cut after its last word taken; columns of ``docs``."""
-    key, text = options.get("key", "doc_id"), options.get("text", "text")
-    numbered = docs.withColumn("mix_row", F.monotonically_increasing_id())
-    numbered = table(numbered, "mix-input")
-    counts = mix(numbered, keep=("mix_row",), **options).select(F.col("mix_row").alias("mix_row_"), "size", "taken").filter("taken > 0")
-    rows = numbered.join(counts, numbered["mix_row"] == counts["mix_row_"])
-    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    text = options.get("text", "text")
+    numbered = table(docs.withColumn("sealstone_row", F.monotonically_increasing_id()), "mix-input")
+    counts = mix(numbered, keep=("sealstone_row",), **options).select(F.col("sealstone_row").alias("sealstone_of"), F.col("size").alias("sealstone_size"), F.col("taken").alias("sealstone_taken")).filter("sealstone_taken > 0")
+    rows = numbered.join(counts, F.col("sealstone_row") == F.col("sealstone_of"))
+    whole, part = F.floor(F.col("sealstone_taken") / F.col("sealstone_size")).cast("int"), (F.col("sealstone_taken") % F.col("sealstone_size")).cast("int")
     turns = F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))
-    rows = rows.withColumn("mix_turn", F.explode(turns))
+    rows = rows.withColumn("sealstone_turn", F.explode(turns))
     # A piece is a word with the space before it.
     words = F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1), 1, part)
-    cut = F.when(F.col("mix_turn") > whole, F.array_join(words, "")).otherwise(F.col(text))
+    cut = F.when(F.col("sealstone_turn") > whole, F.array_join(words, "")).otherwise(F.col(text))
     out = rows.withColumn(text, cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))

@@ -43,7 +43,7 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, revisi
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(key)}", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {_escaped(url)}"] * (url is not None)
+    head += [] if url is None else [f"WARC-Target-URI: {_escaped(url)}"]
     head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers_to)}"] * revisit
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)

@@ -1,0 +1,183 @@
+"""Jaccard join, nearest neighbours, personal data against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from sealstone.llm import ann, jaccard, pii
+from sealstone.llm.common import documents
+from sealstone.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingle_set(t, words):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def brute(rows, percent, words):
+    sets, root = [shingle_set(t, words) for _, t in rows], list(range(len(rows)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                root[up(i)] = up(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[up(i)] = min(k, least.get(up(i), k))
+    return Counter((k, len(sets[i]), least.get(up(i))) for i, (k, _) in enumerate(rows))
+
+
+def near_copies(seed, n=260):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(4))
+    passage = [word() for _ in range(60)]
+    bases = [[word() for _ in range(r.choice((3, 6, 8, 12, 30, 90, 300, 1500)))] for _ in range(12)]
+    out = []
+    for i in range(n):
+        w = list(r.choice(bases)) if i % 3 else [word() for _ in range(r.randint(0, 80))] + passage
+        for _ in range(r.choice((0, 0, 1, 1, 2, 4, 8))):
+            if w:
+                w[r.randrange(len(w))] = word()
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_jaccard_is_exact(spark, odd, none, monkeypatch):
+    for percent, words in ((85, 4), (80, 5)):
+        rows = near_copies(percent)
+        out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, words=words).collect()
+        assert Counter(map(tuple, out)) == brute(rows, percent, words)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    assert Counter(map(tuple, jaccard.join(odd).collect())) == brute(rows, 80, 5)
+    assert jaccard.join(none).count() == 0
+    # Lists and groups in many parts give the same.
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+    rows = near_copies(7)
+    assert Counter(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, words=4).collect())) == brute(rows, 85, 4)
+
+
+def test_one_of_each_keeps_one(spark, odd):
+    rows = near_copies(11, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in jaccard.one_of_each(docs).collect()}
+    assert kept == {c for _, n, c in brute(rows, 80, 5)}
+    assert jaccard.one_of_each(odd).columns == odd.columns and jaccard.one_of_each(odd).count() == odd.count() - 1
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(300, 340)] + [(r.randrange(100), r.randrange(100)) for _ in range(60)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {n: n for e in edges for n in e}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {n: find(n) for n in up}
+
+
+def test_neighbours(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    odd = spark.createDataFrame([(100000, None, 1), (100001, [0.0] * 64, 1), (100002, [float("nan")] * 64, 1), (100003, [1.0, None] * 32, 1), (None, [1.0] * 64, 1), (100050, [1.0] * 3, 1)], df.schema)
+    rows = df.union(odd).union(df.filter("vec_id < 30"))
+    for recall, list_size in ((1.0, 512), (0.98, 40)):
+        old, ann.LIST = ann.LIST, list_size
+        out = ann.search(rows, recall=recall).collect()
+        ann.LIST = old
+        p = df.union(df.filter("vec_id < 30")).toPandas()
+        v, ids = np.stack(p.embedding).astype(float), p.vec_id.to_numpy()
+        norm = np.sqrt((v * v).sum(1))
+        exact = {}
+        for i in np.flatnonzero(ids % 50 == 0):
+            s = (v * v[i]).sum(1) / (norm * norm[i])
+            s[ids == ids[i]] = -2
+            best = {}
+            for j in np.lexsort((ids, -s)):
+                if s[j] > -1.5:
+                    best.setdefault(int(ids[j]), float(s[j]))
+            exact[int(ids[i])] = list(best.items())[:5]
+        got = {}
+        for r in sorted(out, key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert ann.expected_recall({q: [k for k, _ in b] for q, b in exact.items()}, got) >= 0.9
+        score = {(q, k): s for q, b in exact.items() for k, s in b}
+        assert all(abs(score[r.query_id, r.vec_id] - r.score) < 1e-12 for r in out if (r.query_id, r.vec_id) in score)
+    assert ann.search(df.limit(0)).count() == 0
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, p in patterns.items():
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            out += [f"{kind}:{m.start()}:{m.end()}"] if good else []
+    return out
+
+
+PARTS = ["a", "b.", "@", "@x.", "1", "23", ".", " ", "-", "+", "(", ")", "4111111111111111", "4111 1111-1111 1111", "+1 (988) 555-2485", "é", "日", "😀", "255", "256", "007", "a@b.co_", "x@y.zz", "\n", "password=abc12345", "123-45-6789", "(415) 555-1234"]
+
+
+def test_personal_data(spark, odd, none):
+    r = random.Random(3)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 25))) for _ in range(1500)] + ["a" * 50000, "1" * 50000 + "." * 500, "a@" + "b." * 20000 + "c", "1 " * 20000, "x@y.zz " * 800, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.find(docs).collect():
+        base = [f"{x.kind}:{x.s}:{x.e}" for x in row.spans if x.base]
+        assert base == base_spans(texts[row.doc_id])
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(b.startswith(k + ":") for b in base) for k in pii.PATTERNS]
+    assert pii.find(odd).count() == odd.count() and pii.find(none).count() == 0
+
+
+def test_redaction_keeps_the_rest(spark, odd):
+    t = "Mail to joe.b@mail.example.com or +1 (988) 555-2485, not 1.2.3.4; é 😀 4111111111111111!"
+    out = pii.redact(odd.limit(1).withColumn("text", __import__("pyspark").sql.functions.lit(t)))
+    (row,) = out.collect()
+    assert row.text == "Mail to <EMAIL> or <PHONE>, not <IP>; é 😀 <CARD>!" and out.columns == odd.columns
+    assert Counter(x.text for x in pii.redact(odd).collect()) == Counter(x.text for x in odd.collect())
+
+
+def test_labelers_are_told_apart():
+    """EM on made votes finds the labeler that is right, and a useless one."""
+    r = random.Random(1)
+    counts = Counter()
+    for _ in range(4000):
+        truth = r.random() < 0.4
+        say = lambda p: (1 if truth else -1) if r.random() < p else (-1 if truth else 1)  # noqa: B023, E731
+        counts["card", (say(0.95), say(0.85), 0, say(0.9), say(0.5))] += 1
+    c = pii.learn([(k, v, n) for (k, v), n in sorted(counts.items())])
+    assert min(c.reliability["card", "check"]) > 0.8 and max(c.reliability["card", "shape"]) < 0.7
+    assert c.weights["x.check = 1"] > abs(c.weights["x.shape = 1"])
+
+
+def test_digest_of_no_span(spark):
+    from sealstone.llm.queries import op1_pii
+
+    rows = op1_pii(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in documents(spark, SF).collect()}
+    assert len(rows) == len(texts)
+    for row in rows:
+        assert row.base_sha256 == hashlib.sha256(",".join(base_spans(texts[row.doc_id])).encode()).hexdigest()
