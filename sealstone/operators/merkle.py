@@ -6,6 +6,7 @@ leaves are padded with zeros to a power of two (``zero_padded_roots``)."""
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,27 +20,44 @@ from sealstone.functions.framing import LEGACY_LEAF, NODE, SEPARATOR, digest, jo
 STEP = 10
 
 
+def parents(pairs: list[tuple[bytes, bytes]], alg: str) -> list[bytes]:
+    """Nodes over pairs of children. ``poseidon``: children and nodes are field elements, 32 bytes, big-endian."""
+    if alg == "poseidon":
+        from sealstone.functions.poseidon import node
+
+        return [node(int.from_bytes(a, "big"), int.from_bytes(b, "big")).to_bytes(32, "big") for a, b in pairs]
+    messages = [NODE + SEPARATOR + a + SEPARATOR + b for a, b in pairs]
+    return hash_many(messages) if alg == "blake3" else [hashlib.sha256(m).digest() for m in messages]
+
+
+@cache
+def zeros(alg: str, depth: int) -> list[bytes]:
+    """Roots of empty subtrees over leaves of 32 zero bytes, by height."""
+    out = [bytes(32)]
+    for _ in range(depth):
+        out += parents([(out[-1], out[-1])], alg)
+    return out
+
+
 def _level_udf(alg: str, height: int, empties: list[bytes] | None):
     """Root of up to 2 ** STEP neighbouring nodes that start at a multiple of it."""
-    many = hash_many if alg == "blake3" else lambda ms: [hashlib.sha256(m).digest() for m in ms]
-
     @F.pandas_udf(BinaryType())
     def run(nodes: pd.Series, levels: pd.Series) -> pd.Series:
         rows = [[bytes(x) for x in r] for r in nodes]
         for level in range(int(levels.max()) if len(levels) else 0):
-            messages, where = [], []
+            pairs, where = [], []
             for i, r in enumerate(rows):
                 if level >= levels.iloc[i]:
                     continue
                 if len(r) % 2 and empties is not None:
                     r.append(empties[height + level])
                 for j in range(0, len(r) - 1, 2):
-                    messages.append(NODE + SEPARATOR + r[j] + SEPARATOR + r[j + 1])
+                    pairs.append((r[j], r[j + 1]))
                     where.append(i)
                 rows[i] = r[-1:] if len(r) % 2 else []
             carry = {i: r for i, r in enumerate(rows)}
             fresh: dict[int, list[bytes]] = {}
-            for i, h in zip(where, many(messages), strict=True):
+            for i, h in zip(where, parents(pairs, alg), strict=True):
                 fresh.setdefault(i, []).append(h)
             rows = [fresh.get(i, []) + carry[i] if level < levels.iloc[i] else carry[i] for i in range(len(rows))]
         return pd.Series([r[0] for r in rows])
@@ -73,18 +91,88 @@ def binary_roots(rows: DataFrame, *, by: str, alg: str = "blake3") -> DataFrame:
 
 def fixed_depth_roots(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
     """(by, n, root) of trees of a fixed depth; missing leaves are empty subtrees of 32 zero bytes. More leaves than the tree holds are an error for the caller."""
-    one = lambda m: hash_many([m])[0] if alg == "blake3" else hashlib.sha256(m).digest()
-    empties = [bytes(32)]
-    for _ in range(depth):
-        empties.append(one(NODE + SEPARATOR + empties[-1] + SEPARATOR + empties[-1]))
+    empties = zeros(alg, depth)
     return _fold(_numbered(rows, by).withColumnRenamed("data", "node"), by, F.lit(depth), alg, empties, depth).select(by, "n", F.col("node").alias("root"))
 
 
 def zero_padded_roots(rows: DataFrame, *, by: str, alg: str = "blake3") -> DataFrame:
     """(by, n, root): leaves padded with zeros to a power of two. Groups of fewer than two leaves, or more than 65536, have none."""
-    one = lambda m: hash_many([m])[0] if alg == "blake3" else hashlib.sha256(m).digest()
-    empties = [bytes(32)]
-    for _ in range(16):
-        empties.append(one(NODE + SEPARATOR + empties[-1] + SEPARATOR + empties[-1]))
+    empties = zeros(alg, 16)
     leaves = _numbered(rows, by).withColumnRenamed("data", "node").filter((F.col("n") >= 2) & (F.col("n") <= 65536))
     return _fold(leaves, by, F.length(F.bin(F.col("n") - 1)), alg, empties, 17).select(by, "n", F.col("node").alias("root"))
+
+
+def snapshot_paths(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
+    """For the last leaf of each group its siblings from the leaf up: (by, n, leaf, siblings, root). Right of the last leaf all is empty, so the siblings
+    to its left are the roots of the full subtrees that make up the n - 1 leaves before it."""
+    numbered = _numbered(rows, by).withColumnRenamed("data", "node")
+    last = numbered.filter(F.col("i") == F.col("n") - 1).select(by, "n", F.col("node").alias("leaf"))
+    # Leaf i lies in the full subtree of height h where i and n - 1 first differ; that is the sibling at level h.
+    apart = F.length(F.bin(F.col("i").bitwiseXOR(F.col("n") - 1))) - 1
+    before = numbered.filter(F.col("i") < F.col("n") - 1).withColumn("level", apart)
+    empties = zeros(alg, depth)
+
+    @F.pandas_udf(BinaryType())
+    def full(nodes: pd.Series) -> pd.Series:
+        """Root of a full subtree over all its nodes."""
+        out = []
+        for r in nodes:
+            level = [bytes(x) for x in r]
+            while len(level) > 1:
+                level = parents([(level[i], level[i + 1]) for i in range(0, len(level), 2)], alg)
+            out.append(level[0])
+        return pd.Series(out)
+
+    part = before.groupBy(by, "level", F.shiftright("i", STEP).alias("run")).agg(F.sort_array(F.collect_list(F.struct("i", "node"))).alias("all")).withColumn("node", full(F.transform("all", lambda x: x["node"])))
+    sibling = part.groupBy(by, "level").agg(F.sort_array(F.collect_list(F.struct("run", "node"))).alias("all")).withColumn("node", full(F.transform("all", lambda x: x["node"])))
+    found = sibling.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("level", "node"))).alias("held"))
+    empty = F.array(*(F.lit(e) for e in empties[:depth]))
+    siblings = F.transform(empty, lambda e, i: F.coalesce(F.try_element_at("held", i), e))
+    out = last.join(found, by, "left").withColumn("siblings", siblings)
+    return out.select(by, "n", "leaf", "siblings", fold_path(F.col("leaf"), F.col("siblings"), F.col("n") - 1, alg).alias("root"))
+
+
+def fold_path(leaf: Column, siblings: Column, index: Column, alg: str = "blake3") -> Column:
+    """Root that a leaf (binary), its siblings from the leaf up (array of binary) and its index lead to; null if any is."""
+
+    @F.pandas_udf(BinaryType())
+    def run(leaves: pd.Series, paths: pd.Series, places: pd.Series) -> pd.Series:
+        state = [None if x is None or p is None or pd.isna(i) else bytes(x) for x, p, i in zip(leaves, paths, places, strict=True)]
+        for level in range(max((len(p) for p in paths if p is not None), default=0)):
+            on = [r for r, s in enumerate(state) if s is not None and level < len(paths.iloc[r])]
+            pairs = [(bytes(paths.iloc[r][level]), state[r]) if int(places.iloc[r]) >> level & 1 else (state[r], bytes(paths.iloc[r][level])) for r in on]
+            for r, h in zip(on, parents(pairs, alg), strict=True):
+                state[r] = h
+        return pd.Series(state, dtype=object)
+
+    return run(leaf, siblings, index)
+
+
+def append_transition(snapshots: DataFrame, alg: str = "blake3") -> DataFrame:
+    """``snapshots(prev_root, root, leaf, siblings, size)`` with ``verdict``: one path, with an empty leaf, gives the root before, and with the leaf the root after."""
+    place = F.col("size") - 1
+    before, after = fold_path(F.lit(bytes(32)), F.col("siblings"), place, alg), fold_path(F.col("leaf"), F.col("siblings"), place, alg)
+    checked = snapshots.withColumn("before_", before).withColumn("after_", after)
+    return checked.withColumn("verdict", F.when(~F.col("before_").eqNullSafe(F.col("prev_root")), "not-an-append").when(~F.col("after_").eqNullSafe(F.col("root")), "root-mismatch").otherwise("valid")).drop("before_", "after_")
+
+
+def snapshot_faults(records: DataFrame, snapshots: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
+    """Stated snapshots (by, size, leaf, root) against their records (by, position, data): the first rule broken, or valid.
+
+    Rules in order: as many records as the size says; positions from 0 without gaps; the last leaf; the rebuilt root."""
+    facts = records.groupBy(by).agg(F.count("*").alias("n_"), F.min("position").alias("lo_"), F.max("position").alias("hi_"), F.countDistinct("position").alias("k_"))
+    built = snapshot_paths(records, by=by, depth=depth, alg=alg).select(by, F.col("leaf").alias("leaf_"), F.col("root").alias("root_"))
+    rows = snapshots.join(facts, by, "left").join(built, by, "left")
+    gaps = (F.col("lo_") != 0) | (F.col("hi_") != F.col("n_") - 1) | (F.col("k_") != F.col("n_"))
+    verdict = F.when(~F.col("n_").eqNullSafe(F.col("size")), "size-mismatch").when(gaps, "not-contiguous").when(~F.col("leaf_").eqNullSafe(F.col("leaf")), "leaf-mismatch").when(~F.col("root_").eqNullSafe(F.col("root")), "root-mismatch").otherwise("valid")
+    return rows.withColumn("verdict", verdict).select(*snapshots.columns, "verdict")
+
+
+def path_with_sides(leaf: Column, path: Column, alg: str = "sha256") -> Column:
+    """Legacy proof: ``path`` is an array of (hash binary, side 'left' or 'right' of the sibling). ``sha256`` folds inside the JVM."""
+    if alg != "sha256":
+        index = F.aggregate(F.transform(path, lambda x, i: F.when(x["side"] == "left", F.shiftleft(F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, b: a + b)
+        return fold_path(leaf, F.transform(path, lambda x: x["hash"]), index, alg)
+    prefix, bar = F.lit(NODE + SEPARATOR), F.lit(SEPARATOR)
+    step = lambda a, x: F.unhex(F.sha2(F.when(x["side"] == "left", F.concat(prefix, x["hash"], bar, a)).otherwise(F.concat(prefix, a, bar, x["hash"])), 256))
+    return F.aggregate(path, leaf, step)

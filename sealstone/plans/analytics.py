@@ -299,3 +299,50 @@ def snapshot_append_roots(spark, d):
     """Root of each shard's snapshot tree of a fixed depth over its records in order."""
     rows = fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
     return merkle.fixed_depth_roots(rows, by="shard_id", depth=20, alg="sha256").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
+
+
+@query("SELECT shard_id, 'valid' AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
+def snapshot_append_transition(spark, d):
+    """The last append of each shard: one path leads from the root before to the root after."""
+    rows = fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
+    n = F.max("position").over(Window.partitionBy("shard_id"))
+    before = merkle.fixed_depth_roots(rows.withColumn("top", n).filter("position < top").drop("top"), by="shard_id", depth=20, alg="sha256").select("shard_id", F.col("root").alias("prev_root"))
+    now = merkle.snapshot_paths(rows, by="shard_id", depth=20, alg="sha256").withColumnRenamed("n", "size")
+    return merkle.append_transition(now.join(before, "shard_id"), "sha256").select("shard_id", "verdict")
+
+
+@query("SELECT shard_id, 'valid' AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
+def snapshot_validation(spark, d):
+    rows = fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
+    stated = merkle.snapshot_paths(rows, by="shard_id", depth=20, alg="sha256").select("shard_id", F.col("n").alias("size"), "leaf", "root")
+    return merkle.snapshot_faults(rows, stated, by="shard_id", depth=20, alg="sha256").select("shard_id", "verdict")
+
+
+@query("SELECT doc_id, sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256('b' || CAST(doc_id AS VARCHAR)) || '7C' || sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256(CAST(doc_id AS VARCHAR)) || '7C' || sha256('a' || CAST(doc_id AS VARCHAR)))))) AS root FROM documents")
+def legacy_proof_fold(spark, d):
+    k = F.col("doc_id").cast("string")
+    h = lambda p: F.unhex(F.sha2(F.concat(F.lit(p), k), 256))
+    path = F.array(F.struct(h("a").alias("hash"), F.lit("right").alias("side")), F.struct(h("b").alias("hash"), F.lit("left").alias("side")))
+    return read(spark, d, "documents").select("doc_id", F.lower(F.hex(merkle.path_with_sides(h(""), path))).alias("root"))
+
+
+@query()
+def poseidon_snapshot_roots(spark, d):
+    """Snapshot trees over the field, of each shard's checkpoints."""
+    rows = fx.own_checkpoints(spark, d).select("shard_id", F.col("tree_size").alias("position"), F.unhex(F.lpad(F.hex("id"), 64, "0")).alias("data"))
+    return merkle.fixed_depth_roots(rows, by="shard_id", depth=20, alg="poseidon").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
+
+
+@query(ctes("records", "records_v2") + " SELECT shard_id, record_id, version FROM records_v2 EXCEPT SELECT shard_id, record_id, version FROM records")
+def incremental_leaves(spark, d):
+    """Leaves that a next version adds to a write-once tree."""
+    from sealstone.sources.files import write_once
+
+    old, new = (smt.leaves(r, "sha256").select("shard_id", "record_id", "version", "key", "value_hash") for r in (fx.records(spark, d), fx.records_v2(spark, d)))
+    return write_once(old, new).select("shard_id", "record_id", "version")
+
+
+@query("SELECT substr(h, 1, 3) AS canopy, count(*) AS leaves, count(*) > 4 AS kept FROM (SELECT sha256(text) AS h FROM documents) GROUP BY 1")
+def canopy_pruning(spark, d):
+    """Which canopies hold enough leaves for their deep nodes to be kept."""
+    return read(spark, d, "documents").groupBy(F.substring(F.sha2("text", 256), 1, 3).alias("canopy")).agg(F.count("*").alias("leaves")).withColumn("kept", F.col("leaves") > 4)
