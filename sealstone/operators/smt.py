@@ -7,7 +7,7 @@ all its nodes at a time; the buckets' roots, a few for each shard, are folded la
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from functools import cache
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from sealstone.functions import framing
-from sealstone.functions.blake3 import hash_many
+from sealstone.functions.blake3 import hash_equal, hash_many
 from sealstone.functions.framing import leaf_hash, tree_key
 
 DEPTH, SHARD_BITS = 256, 64
@@ -38,6 +38,8 @@ def nodes(left: np.ndarray, right: np.ndarray, alg: str) -> np.ndarray:
     block = np.empty((n, 77), np.uint8)
     block[:, :12] = np.frombuffer(framing.NODE + framing.SEPARATOR, np.uint8)
     block[:, 12:44], block[:, 44], block[:, 45:] = left, 0x7C, right
+    if alg == "blake3":
+        return hash_equal(block)
     raw = block.tobytes()
     return np.frombuffer(b"".join(many([raw[i : i + 77] for i in range(0, 77 * n, 77)], alg)), np.uint8).reshape(n, 32) if n else np.zeros((0, 32), np.uint8)
 
@@ -96,10 +98,13 @@ def leaves(records: DataFrame, alg: str, **names: str) -> DataFrame:
     return keyed.withColumn("leaf", leaf_hash(F.col("shard_id"), F.col("key"), F.col("value_hash"), F.lit(n["parser_id"]), F.lit(n["parser_version"]), F.lit(n["model_hash"]), alg))
 
 
-def bucket_bits(records: DataFrame, size: int = BUCKET) -> int:
-    """Bits below the shard's that buckets are told apart by, from the largest shard."""
-    most = records.groupBy("shard_id").count().agg(F.max("count")).first()[0] or 0
-    return max(0, int(most - 1).bit_length() - int(size).bit_length() + 1) if most > size else 0
+def layout(records: DataFrame, size: int | None = None) -> tuple[int, int]:
+    """Bits below the shard's that buckets are told apart by, from the largest shard; and the number of tasks, each with several buckets if they are small."""
+    size = size or BUCKET
+    most, total = records.groupBy("shard_id").count().agg(F.max("count"), F.sum("count")).first()
+    bits = max(0, int(most - 1).bit_length() - int(size).bit_length() + 1) if (most or 0) > size else 0
+    wide = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bits, max(1, min(wide, -(-(total or 0) // 512)), -(-(total or 0) // (4 * size)))
 
 
 def _bucket(key: str, bits: int):
@@ -108,20 +113,24 @@ def _bucket(key: str, bits: int):
     return F.concat(F.substring(key, 1, 8), framing.u32(F.shiftleft(F.shiftright(more, 32 - bits), 32 - bits) if bits else F.lit(0)))
 
 
-def bucket_roots(leaf_rows: DataFrame, bits: int, alg: str) -> DataFrame:
-    """``(bucket, key, hash, n)``: the node of each bucket at depth 64 + bits; ``key`` is its first leaf's."""
+def _task(bucket: str, tasks: int):
+    return F.pmod(F.xxhash64(bucket), F.lit(tasks))
+
+
+def bucket_roots(leaf_rows: DataFrame, bits: int, tasks: int, alg: str) -> DataFrame:
+    """``(bucket, key, hash)``: the node of each bucket at depth 64 + bits; ``key`` is its first leaf's. A task folds all its buckets side by side."""
 
     def build(rows: pa.Table) -> pa.Table:
         keys = [bytes(k) for k in rows.column("key").to_pylist()]
         order = sorted(range(len(keys)), key=keys.__getitem__)
         if any(keys[a] == keys[b] for a, b in zip(order, order[1:])):
             raise ValueError("two records have one key")
-        leaf = rows.column("leaf").to_pylist()
+        leaf, bucket = rows.column("leaf").to_pylist(), rows.column("bucket").to_pylist()
         first, got = fold(_matrix([keys[i] for i in order]), _matrix([leaf[i] for i in order]), DEPTH, SHARD_BITS + bits, alg)
-        return pa.table({"bucket": [rows.column("bucket")[0].as_py()], "key": [keys[order[int(first[0])]]], "hash": [got[0].tobytes()], "n": pa.array([len(keys)], pa.int64())})
+        return pa.table({"bucket": [bucket[order[i]] for i in first], "key": [keys[order[i]] for i in first], "hash": [h.tobytes() for h in got]})
 
-    rows = leaf_rows.select("key", "leaf").withColumn("bucket", _bucket("key", bits))
-    return rows.groupBy("bucket").applyInArrow(build, "bucket binary, key binary, hash binary, n long")
+    rows = leaf_rows.select("key", "leaf").withColumn("bucket", _bucket("key", bits)).withColumn("task", _task("bucket", tasks))
+    return rows.groupBy("task").applyInArrow(build, "bucket binary, key binary, hash binary")
 
 
 def roots(buckets: DataFrame, bits: int, alg: str) -> DataFrame:
@@ -142,8 +151,8 @@ def seal(records: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
     """A row for each shard: shard_id, shard_root, record_count, byte_size, manifest_root (hex). Fails on a repeated identity.
 
     An empty dataset has no rows; its root is ``empties(alg)[256]``."""
-    bits = bucket_bits(records)
-    tree = roots(bucket_roots(leaves(records, alg, **names), bits, alg), bits, alg)
+    bits, tasks = layout(records)
+    tree = roots(bucket_roots(leaves(records, alg, **names), bits, tasks, alg), bits, alg)
     shards = records.groupBy("shard_id").agg(F.count("*").alias("record_count"), F.sum("byte_size").alias("byte_size"))
     prefix = F.substring(framing.digest(framing.joined(framing.SHARD_PREFIX, F.col("shard_id")), alg), 1, 8)
     named = shards.withColumn("shard_prefix", prefix).join(tree, "shard_prefix")
@@ -152,9 +161,10 @@ def seal(records: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
 
 
 def _wanted(keys: list[bytes], bits: np.ndarray, query: bytes, high: int) -> tuple[list[tuple[int, int]], int]:
-    """Depths at which the query's sibling holds leaves, with the first leaf; and the query's own leaf or -1."""
+    """Depths below ``high`` at which the query's sibling holds leaves, with the first leaf; and the query's own leaf or -1."""
     own = np.unpackbits(np.frombuffer(query, np.uint8))
-    lo, hi, out = 0, len(keys), []
+    number, below = int.from_bytes(query, "big"), (1 << (DEPTH - high)) - 1
+    lo, hi, out = bisect_left(keys, (number & ~below).to_bytes(32, "big")), bisect_right(keys, (number | below).to_bytes(32, "big")), []
     for depth in range(high + 1, DEPTH + 1):
         if lo >= hi:
             break
@@ -178,10 +188,10 @@ def prove(records: DataFrame, wanted: DataFrame, alg: str = "blake3", **names: s
 
     Adds ``key``, ``kind`` (inclusion or exclusion), ``content_hash`` (null if not there), ``siblings`` (256 * 32 bytes from the leaf up), ``manifest_root``."""
     n = DEFAULTS | names
-    bits = bucket_bits(records)
+    bits, tasks = layout(records)
     low = SHARD_BITS + bits
-    leaf_rows = leaves(records, alg, **names).select("key", "leaf", "value_hash").withColumn("bucket", _bucket("key", bits))
-    asked = wanted.withColumn("key", tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)).withColumn("bucket", _bucket("key", bits))
+    leaf_rows = leaves(records, alg, **names).select("key", "leaf", "value_hash").withColumn("bucket", _bucket("key", bits)).withColumn("task", _task("bucket", tasks))
+    asked = wanted.withColumn("key", tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)).withColumn("bucket", _bucket("key", bits)).withColumn("task", _task("bucket", tasks))
     schema = "bucket binary, key binary, value_hash binary, below binary"
 
     def inside(own: pa.Table, queries: pa.Table) -> pa.Table:
@@ -206,11 +216,11 @@ def prove(records: DataFrame, wanted: DataFrame, alg: str = "blake3", **names: s
                     below[q, DEPTH - depth] = hashes[np.searchsorted(first, leaf)]
 
             fold(matrix, _matrix([x for _, x, _ in got]), DEPTH, low, alg, visit)
-        where = queries.column("bucket")[0].as_py() if queries.num_rows else b""
-        return pa.table({"bucket": pa.array([where] * len(asked_keys), pa.binary()), "key": pa.array(asked_keys, pa.binary()), "value_hash": pa.array(value, pa.binary()), "below": pa.array([x.tobytes() for x in below], pa.binary())})
+        where = dict(zip(queries.column("key").to_pylist(), queries.column("bucket").to_pylist(), strict=True))
+        return pa.table({"bucket": pa.array([where[k] for k in asked_keys], pa.binary()), "key": pa.array(asked_keys, pa.binary()), "value_hash": pa.array(value, pa.binary()), "below": pa.array([x.tobytes() for x in below], pa.binary())})
 
-    parts = asked.groupBy("bucket").cogroup(leaf_rows.groupBy("bucket")).applyInArrow(lambda q, o: inside(o, q), schema)
-    tops = bucket_roots(leaf_rows, bits, alg).withColumn("is_root", F.lit(True)).select("bucket", "key", "hash", "is_root")
+    parts = asked.groupBy("task").cogroup(leaf_rows.groupBy("task")).applyInArrow(lambda q, o: inside(o, q), schema)
+    tops = bucket_roots(leaf_rows, bits, tasks, alg).withColumn("is_root", F.lit(True)).select("bucket", "key", "hash", "is_root")
     # Buckets asked for but empty have siblings above them too.
     every = tops.unionByName(asked.groupBy("bucket").agg(F.min("key").alias("key")).select("bucket", "key", F.lit(None).cast("binary").alias("hash"), F.lit(False).alias("is_root")))
 
@@ -237,7 +247,7 @@ def prove(records: DataFrame, wanted: DataFrame, alg: str = "blake3", **names: s
         return pa.table({"bucket": pa.array(list(up), pa.binary()), "above": pa.array([x.tobytes() for x in up.values()], pa.binary()), "root": pa.array([root.tobytes()] * len(up), pa.binary())})
 
     upper = every.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(above, "bucket binary, above binary, root binary")
-    out = asked.drop("bucket").join(parts.join(upper, "bucket").drop("bucket"), "key")
+    out = asked.drop("bucket", "task").join(parts.join(upper, "bucket").drop("bucket"), "key")
     kind = F.when(F.col("value_hash").isNull(), "exclusion").otherwise("inclusion")
     return out.select(*wanted.columns, "key", kind.alias("kind"), F.lower(F.hex("value_hash")).alias("content_hash"), F.concat("below", "above").alias("siblings"), F.lower(F.hex("root")).alias("manifest_root"))
 

@@ -346,3 +346,48 @@ def incremental_leaves(spark, d):
 def canopy_pruning(spark, d):
     """Which canopies hold enough leaves for their deep nodes to be kept."""
     return read(spark, d, "documents").groupBy(F.substring(F.sha2("text", 256), 1, 3).alias("canopy")).agg(F.count("*").alias("leaves")).withColumn("kept", F.col("leaves") > 4)
+
+
+@query("""WITH r AS (SELECT doc_id, octet_length(encode(text)) AS n, [doc_id % 50, doc_id % 300 + 100] AS s, [doc_id % 50 + 10, doc_id % 300 + 140] AS e, greatest(CAST(ceil(octet_length(encode(text)) / 16.0) AS BIGINT), 1) AS c FROM documents),
+    m AS (SELECT doc_id, n, c, i, e[1] <= n AND e[2] <= n AS good, NOT (i * c < n AND ((s[1] < least((i + 1) * c, n) AND i * c < e[1]) OR (s[2] < least((i + 1) * c, n) AND i * c < e[2]))) AS open FROM r, unnest(range(16)) AS u(i))
+    SELECT doc_id, CASE WHEN bool_and(good) AND bool_or(open AND i * c < n) THEN string_agg(CASE WHEN open THEN '1' ELSE '0' END, '' ORDER BY i) END AS mask FROM m GROUP BY doc_id""")
+def chunk_reveal_masks(spark, d):
+    from sealstone.operators.chunks import reveal_mask
+
+    k = F.col("doc_id")
+    ranges = F.array(F.struct((k % 50).alias("s"), (k % 50 + 10).alias("e")), F.struct((k % 300 + 100).alias("s"), (k % 300 + 140).alias("e")))
+    return read(spark, d, "documents").select("doc_id", F.array_join(reveal_mask(F.octet_length("text").cast("long"), ranges).cast("array<string>"), "").alias("mask"))
+
+
+@query("SELECT doc_id, sha256(unhex(rpad(hex(encode(left(text, 0))) || upper(left(hex(encode(text)), CAST(2 * greatest(ceil(octet_length(encode(text)) / 16.0), 1) AS INTEGER))), CAST(2 * greatest(ceil(octet_length(encode(text)) / 16.0), 1) AS INTEGER), '0'))) AS first_chunk FROM documents")
+def chunk_hashes_sha256(spark, d):
+    from sealstone.operators.chunks import chunk_hash
+
+    return read(spark, d, "documents").select("doc_id", F.lower(F.hex(chunk_hash(F.col("text"), F.lit(0), "sha256"))).alias("first_chunk"))
+
+
+def _lists(spark, d):
+    c = F.col("c_custkey")
+    at = F.lit(AS_OF)
+    lists = read(spark, d, "customer").select((c % 40).alias("list_id")).distinct().select("list_id", (F.col("list_id") % 4).alias("sequence"), F.when(F.col("list_id") % 3 > 0, "p").alias("previous"), at.alias("issued_at"), (at + 100).alias("activation_at"), (at + 1000).alias("expires_at"), F.array(F.lit("witness")).alias("active_roles"))
+    entries = read(spark, d, "customer").filter("c_custkey % 40 < 38").select((c % 40).alias("list_id"), F.concat(F.lit("k"), (F.floor(c / 40) % 2).cast("string")).alias("pubkey"), F.when(c % 40 % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("witness"))).alias("roles"), (at + c % 40 % 5).alias("valid_from"), (at + 900 + F.when(c % 40 == 9, F.floor(c / 80) % 2).otherwise(0)).alias("valid_until"))
+    policies = lists.filter("list_id % 6 <> 1").select("list_id", F.lit("witness").alias("role"), F.array(F.lit("a"), F.lit("b")).alias("signers"), F.when(F.col("list_id") % 10 == 7, "a").otherwise("z").alias("recovery"))
+    return lists, entries, policies
+
+
+@query("""WITH l AS (SELECT DISTINCT c_custkey % 40 AS id FROM customer)
+    SELECT id AS list_id, CASE WHEN id % 4 = 0 THEN 'zero-sequence' WHEN id % 4 = 1 AND id % 3 > 0 THEN 'genesis-has-predecessor' WHEN id % 4 > 1 AND id % 3 = 0 THEN 'missing-predecessor'
+        WHEN id < 38 AND id % 11 = 0 THEN 'issuer-without-roles' WHEN id = 9 THEN 'ambiguous-duplicate' WHEN id >= 38 THEN 'role-not-covered' WHEN id % 6 = 1 THEN 'role-without-policy' WHEN id % 10 = 7 THEN 'recovery-key-in-quorum' ELSE 'valid' END AS verdict FROM l""")
+def trust_list_validation(spark, d):
+    from sealstone.operators.trust import list_faults
+
+    return list_faults(*_lists(spark, d), max_lifetime=5000).select("list_id", "verdict")
+
+
+@query("SELECT DISTINCT c_custkey % 40 AS list_id, c_custkey % 40 % 2 = 0 OR c_custkey % 40 % 11 = 0 AS same FROM customer WHERE c_custkey % 40 < 38")
+def role_projection(spark, d):
+    from sealstone.operators.trust import same_projection
+
+    _, entries, _ = _lists(spark, d)
+    later = entries.withColumn("valid_from", F.when(F.col("list_id") % 2 == 1, F.col("valid_from") + 1).otherwise(F.col("valid_from")))
+    return same_projection(entries, later, "witness")

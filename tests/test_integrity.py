@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sealstone.functions import framing
-from sealstone.functions.blake3 import blake3, derive_key, hash_many
+from sealstone.functions.blake3 import blake3, derive_key, hash_equal, hash_many
 from sealstone.functions.canonical import NotCanonical, canonical, canonical_json
 from sealstone.functions.fields import BN254, canonical_below, canonical_hex
 from sealstone.operators import diff, merkle, segments, smt
@@ -27,6 +28,9 @@ def test_blake3_against_the_jvm(spark):
         return bytes(h.doFinalize(32))
 
     assert hash_many(messages) == [one(jvm.initHash(), m) for m in messages]
+    for n in (0, 1, 64, 65, 77, 128, 1024):
+        rows = np.frombuffer(r.randbytes(3 * n), np.uint8).reshape(3, n)
+        assert [x.tobytes() for x in hash_equal(rows)] == [one(jvm.initHash(), x.tobytes()) for x in rows]
     assert derive_key("a context", messages[:5]) == [one(jvm.initKeyDerivationFunction(b"a context"), m) for m in messages[:5]]
     rows = spark.createDataFrame([(1, bytearray(b"abc")), (2, None)], "k int, m binary").select("k", blake3("m").alias("h")).orderBy("k").collect()
     assert bytes(rows[0].h) == one(jvm.initHash(), b"abc") and rows[1].h is None
@@ -58,7 +62,7 @@ def test_seal_prove_verify(spark, alg, monkeypatch):
 
         assert sub(own, 64).hex() == x.shard_root
         break
-    monkeypatch.setattr(smt, "bucket_bits", lambda records, size=0: 3)
+    monkeypatch.setattr(smt, "layout", lambda records, size=0: (3, 5))
     assert smt.seal(r, alg).first().manifest_root == root
     there = r.select("shard_id", "record_id", "version")
     absent = spark.createDataFrame([("src0", "nope", 1), ("zz", "1", 1), ("src1", "5", 9)], there.schema)
