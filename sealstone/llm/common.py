@@ -27,8 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Paths made while a ``Scratch`` is open go to it.
+_scratch: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+class Scratch:
+    """Collects the tables and files that operators write inside its ``with`` block; ``drop`` deletes them, once nothing that reads them is left."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        _scratch.append(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.pop()
+
+    def drop(self, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths.clear()
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
