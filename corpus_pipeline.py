@@ -1,33 +1,57 @@
 """A training corpus from documents, in five stages; each takes what the one before kept and decided.
 
 STAGES: quality rules, one document of each near-duplicate group, personal data redacted, sources mixed to target
-weights, packing into sequences. All but the last return the columns of documents."""
+weights, packing into sequences. All but the last return the columns of documents. A stage's result is written before the
+next stage is called; the next one then deletes what the stage before had written for itself."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sealstone.llm import jaccard, mixing, packing, pii, quality
-from sealstone.llm.common import table
+from sealstone.llm.common import Scratch, table
 from sealstone.llm.queries import BYTE_BPE, PIECES, WORD_BPE, bands
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_last = Scratch()
+
+
+def stage(f: Stage) -> Stage:
+    """Keeps at most one stage's intermediate tables on disk."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _last.drop(spark)
+        with _last:
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, BYTE_BPE, PIECES, bands=bands(spark, sf_dir, docs))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each(docs)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+@stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(docs, WORD_BPE))
 
@@ -40,6 +64,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for name, step in STAGES:
+        docs = table(step(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
