@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sealstone.llm import licenses, quality
 from sealstone.llm.common import buffers, documents, hashes, shingles, split_words
@@ -88,6 +89,35 @@ def test_quality_rejects_foreign_bytes(spark):
     assert r.byte_share > 0.9 and not r.base_failed and not r.kept
 
 
+PLAIN = {
+    "ru": "в этом году летом мы долго жили у моря недалеко от старого города и каждый вечер гуляли вдоль берега потому что погода была очень хорошая",
+    "el": "το καλοκαίρι μείναμε πολύ καιρό κοντά στη θάλασσα έξω από την παλιά πόλη και κάθε βράδυ περπατούσαμε στην παραλία γιατί έκανε ζέστη",
+    "ar": "في الصيف سكنا مدة طويلة قرب البحر خارج المدينة القديمة وكنا نمشي كل مساء على الشاطئ لأن الجو كان جميلا جدا",
+    "ja": "夏の間 私たちは 海の 近くの 古い 町に 長く 住んで 毎晩 浜辺を 散歩しました 天気が とても 良かった からです",
+    "zh": "夏天 我们 在 老城 外面的 海边 住了 很久 每天 晚上 沿着 海岸 散步 因为 天气 非常 好",
+    "sr": "tokom leta smo dugo živeli pored mora nedaleko od starog grada i svake večeri šetali uz obalu jer je vreme bilo veoma lepo",
+    "sr/cyrillic": "током лета смо дуго живели поред мора недалеко од старог града и сваке вечери шетали уз обалу јер је време било веома лепо",
+}
+
+
+def test_quality_fits_each_script(spark):
+    """From FIT_LEAST labelled documents on, plain texts of any script stay, and texts of a script that the language has not do not."""
+    r = random.Random(7)
+    rows = [(lang.split("/")[0], " ".join(r.choice(words.split()) for _ in range(r.randint(60, 200)))) for lang, words in PLAIN.items() for _ in range(130)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, lang string, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    own = quality.fit_bands(docs, labels, BYTE_BPE, PIECES)
+    out = quality.quality(docs, BYTE_BPE, PIECES, bands=own).join(docs, "doc_id").collect()
+    for lang in {x for x, _ in rows}:
+        plain = [x for x in out if x.lang == lang and not x.base_failed]
+        assert len(plain) >= 100 and sum(x.kept for x in plain) >= 0.97 * len(plain), lang
+    assert all(own[x].centre is not None for x in PLAIN)
+    foreign = docs.filter("lang = 'ru'").withColumn("lang", F.lit("zh"))
+    assert quality.quality(foreign, BYTE_BPE, PIECES, bands=own).filter("kept and n_tokens >= 64").count() == 0
+    unknown = docs.filter("lang = 'ru'").withColumn("lang", F.lit(None).cast("string"))
+    assert quality.keep_good(unknown, BYTE_BPE, PIECES, bands=own).count() == quality.keep_good(docs.filter("lang = 'ru'"), BYTE_BPE, PIECES).count()
+
+
 def base_license(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     at, labels = [], set()
