@@ -35,7 +35,7 @@ LOOSE = {
     "email": r"\b[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+){1,4}",
     "phone": r"\(?\b[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"\b(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;\"']{6,128}+",
+    "secret": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;\"']{6,}+",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
@@ -108,7 +108,8 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carr
     kind_of = "case " + " ".join(f"when x.t rlike '^(?:{_sql(p)})$' then '{k}'" for k, p in LOOSE.items()) + " end"
     loose = f"transform(loose, x -> named_struct('kind', {kind_of}, 'base', false, 's', x.s, 'e', x.e, 't', x.t, 'l', x.l, 'r', x.r))"
     rows = rows.withColumn("base_found", F.expr(f"concat({base})")).withColumn("loose_found", F.expr(loose))
-    apart = "filter(concat(base_found, loose_found), x -> not x.base and x.kind is not null and not exists(filter(base_found, y -> y.base), y -> y.s < x.e and x.s < y.e))"
+    # A secret may hold a base span; redaction joins the two.
+    apart = "filter(concat(base_found, loose_found), x -> not x.base and x.kind is not null and (x.kind = 'secret' or not exists(filter(base_found, y -> y.base), y -> y.s < x.e and x.s < y.e)))"
     rows = rows.withColumn("found", F.expr(f"concat(filter(base_found, x -> x.base), {apart})"))
     votes = ", ".join(f"'{name}', cast({_vote(name)} as tinyint)" for name in LABELERS)
     voted = f"transform(found, x -> named_struct('kind', x.kind, 'base', x.base, 's', x.s, 'e', x.e, 'size', length({_digits('x.t')}), {votes}))"
@@ -131,7 +132,7 @@ def _vote(labeler: str) -> str:
     yes_no = lambda test: f"if({test}, 1, -1)"
     rl = lambda t, p: f"{t} rlike '{_sql(p)}'"
     if labeler == "check":
-        strict = {"iban": f"if(length(replace(x.t, ' ', '')) between 15 and 34 and {d} <> '', 1, -1)", "ssn": yes_no(rl("x.t", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")), "secret": yes_no(rl("x.t", r"[=:] ?(?=.*[0-9])\S{8,}$"))}
+        strict = {"iban": f"if(length(replace(x.t, ' ', '')) between 15 and 34 and {d} <> '', 1, -1)", "ssn": yes_no(rl("x.t", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")), "secret": yes_no(rl("x.t", r"^[^=:]*+[=:] ?(?=[^0-9]*+[0-9])\S{8,}$"))}
         return f"if(x.base, 1, {_by_kind({'ip': '-1', 'card': '-1', 'phone': f'if(length({d}) = 10, 1, -1)', 'email': '1', **strict})})"
     if labeler == "gazetteer":
         return _by_kind({"email": f"if({rl('x.t', TOP_DOMAINS)}, 1, 0)", "ip": f"if({rl('x.t', RESERVED_IP)}, -1, 1)", "card": yes_no(rl("x.t", ISSUERS)), "phone": f"if({rl('x.t', CALLING_CODES)}, 1, 0)", "secret": f"if({rl('x.t', PLACEHOLDERS)}, -1, 0)"})

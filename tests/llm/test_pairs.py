@@ -160,6 +160,18 @@ def test_redaction_keeps_the_rest(spark, odd):
     assert Counter(x.text for x in pii.redact(odd).collect()) == Counter(x.text for x in odd.collect())
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    """A value of any length, after a keyword of any case, with a base span and many signs in it or without."""
+    r = random.Random(3)
+    value = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNP2345678_-") for _ in range(n)) + "7Zq"
+    words = ["token=", "Password: ", "API_KEY=", "SECRET : ", "pwd="]
+    texts = [f"the user account has {w}{v} set" for w in words for n in (10, 210, 700, 100_000) for v in (value(n), value(n) + "&mail=joe.b@mail.example.com&q=" + value(n))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "set token=" + "=:" * 50_000 + " now"])], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in pii.redact(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == ["the user account has <SECRET> set"] * len(texts)
+    assert [[s.e - s.s for s in x.spans if s.kind == "secret"] for x in pii.find(docs.filter("doc_id = 2")).collect()] == [[len(texts[2]) - len("the user account has  set")]]
+
+
 def test_labelers_are_told_apart():
     """EM on made votes finds the labeler that is right, and a useless one."""
     r = random.Random(1)
