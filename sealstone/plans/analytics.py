@@ -366,6 +366,24 @@ def chunk_hashes_sha256(spark, d):
     return read(spark, d, "documents").select("doc_id", F.lower(F.hex(chunk_hash(F.col("text"), F.lit(0), "sha256"))).alias("first_chunk"))
 
 
+@query("""WITH t AS (SELECT doc_id, hex(encode(text)) AS h, CAST(2 * greatest(ceil(octet_length(encode(text)) / 16.0), 1) AS INTEGER) AS c FROM documents)
+    SELECT doc_id, i AS chunk, sha256(unhex(rpad(substr(h, i * c + 1, c), c, '0'))) AS hash FROM t, unnest(range(16)) AS u(i)""")
+def all_chunk_hashes_sha256(spark, d):
+    """All sixteen chunks of every text."""
+    from sealstone.operators.chunks import CHUNKS, chunk_hash
+
+    hashes = F.array(*(F.lower(F.hex(chunk_hash(F.col("text"), F.lit(i), "sha256"))) for i in range(CHUNKS)))
+    return read(spark, d, "documents").select("doc_id", F.posexplode(hashes).alias("chunk", "hash")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+@query()
+def chunk_roots(spark, d):
+    """Root of each text's sixteen chunks."""
+    from sealstone.operators.chunks import CHUNKS, chunk_hash, chunk_root
+
+    return read(spark, d, "documents").select("doc_id", chunk_root(F.array(*(chunk_hash(F.col("text"), F.lit(i)) for i in range(CHUNKS)))).alias("root"))
+
+
 def _lists(spark, d):
     c = F.col("c_custkey")
     at = F.lit(AS_OF)

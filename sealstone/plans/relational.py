@@ -252,6 +252,12 @@ def elements_with_ordinality(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(words).alias("ordinal", "word")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
+@query("SELECT doc_id, i - 1 AS ordinal, ws[i] AS word FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)")
+def all_elements_with_ordinality(spark, d):
+    """Every word of the whole text."""
+    return read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("ordinal", "word")).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
 @query("SELECT doc_id, list_contains(['en', 'fr'], lang) AS has, lower(hex(encode(lang))) AS bytes, CAST(octet_length(encode(text)) AS BIGINT) AS octets, lang || ':' || source AS joined, substr(source, 1, 3) AS head FROM documents")
 def string_functions(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_contains(F.array(F.lit("en"), F.lit("fr")), F.col("lang")).alias("has"), F.lower(F.hex("lang")).alias("bytes"), F.octet_length("text").cast("long").alias("octets"), F.concat("lang", F.lit(":"), "source").alias("joined"), F.substring("source", 1, 3).alias("head"))
@@ -283,6 +289,12 @@ def sanitised_cells(spark, d):
     return read(spark, d, "documents").select("doc_id", ledger.clean_filename(F.col("text")).alias("name"), ledger.csv_safe(F.substring("text", 1, 20)).alias("cell"))
 
 
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM documents")
+def sanitised_whole_cells(spark, d):
+    """Cells of whole texts."""
+    return read(spark, d, "documents").select("doc_id", ledger.csv_safe(F.col("text")).alias("cell"))
+
+
 @query("SELECT o_orderkey, regexp_full_match(CAST(o_totalprice::BIGINT AS VARCHAR), '(0|[1-9][0-9]*)') AND (length(CAST(o_totalprice::BIGINT AS VARCHAR)) < 6 OR (length(CAST(o_totalprice::BIGINT AS VARCHAR)) = 6 AND CAST(o_totalprice::BIGINT AS VARCHAR) < '200000')) AS canonical FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders)")
 def canonical_decimal(spark, d):
     """A decimal text below a bound, without converting it: length first, then code points."""
