@@ -20,3 +20,8 @@ def test_whole_texts(spark):
     for k, t in texts.items():
         assert same.setdefault(t, roots[k]) == roots[k]
     assert len(set(same.values())) == len(same)
+
+
+def test_all_records_are_proven(spark):
+    n = read(spark, SF, "documents").count()
+    assert {r.kind: r["count"] for r in catalog.QUERIES["prove_records"](spark, SF).groupBy("kind").count().collect()} == {"inclusion": n, "exclusion": n}
