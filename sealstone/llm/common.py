@@ -6,6 +6,7 @@ import posixpath
 import tempfile
 import uuid
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one if that is unset (a local session)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a fresh one in a local session; on a cluster that is an error."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="sealstone-")
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(at)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="sealstone-")
+        sc.setCheckpointDir(at)
     return at
 
 
@@ -136,23 +138,10 @@ def split_words(data: np.ndarray, off: np.ndarray, gap: np.ndarray | None = None
     return Words(data[ink], word_off, start, np.searchsorted(start, off))
 
 
-#: Fixed odd multipliers and byte values of the two polynomials that make up a word's digest.
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, (2, 256), np.uint64)
-
-
 def hashes(distinct: pa.Array) -> np.ndarray:
-    """A 64-bit digest of each distinct word, the same in every task."""
-    data, off = buffers(distinct)
-    size = np.diff(off)
-    out = size.astype(np.uint64)
-    for base, values in zip(_BASES, _BYTES, strict=True):
-        # Each word is a polynomial in powers that begin anew with it, so that no inverse is needed.
-        place = np.arange(len(data)) - np.repeat(off[:-1], size)
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(1, int(size.max(initial=0))), base)]))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * powers[place])])
-        out = mixed(out * base + (total[off[1:]] - total[off[:-1]]))
-    return out
+    """A 64-bit digest of each distinct word, the same in every task: BLAKE2b of its bytes, so no family of words clashes by its form."""
+    raw = distinct.cast(pa.large_binary()).to_pylist()
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in raw]), np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

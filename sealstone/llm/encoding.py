@@ -8,16 +8,18 @@ and an ASCII sign. The pieces are encoded by the library; a piece met again cost
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from sealstone.llm.common import buffers, hashes, is_space
+from sealstone.llm.common import buffers, is_space
 
-#: Distinct pieces that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 3_000_000
+#: Bytes of pieces (of SHORT characters at most) and their ids that a worker remembers, about; a piece costs OVERHEAD besides.
+REMEMBERED = 40 << 20
+SHORT, OVERHEAD = 48, 160
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -38,8 +40,81 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(at), n)
 
 
+#: Pre-tokenisation (and, with it, normalisation) of the public vocabularies for which the cuts are right: fixed values of their files.
+CUT_SAFE = (
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+)
+
+
+class Met:
+    """Arrays of short strings met before, one for each string. Strings are compared, never digests; beyond REMEMBERED bytes it starts anew."""
+
+    def __init__(self, kind) -> None:
+        self.kind = kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.values, self.off = np.zeros(1 << 16, self.kind), np.zeros(1 << 12, np.int64)
+        self.held = 0
+
+    def add(self, texts: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the arrays of short ``texts``, which lie in ``values`` end to end."""
+        short = np.fromiter((len(t) <= SHORT for t in texts), bool, len(texts))
+        values, sizes = values[np.repeat(short, sizes)], sizes[short]
+        n, end = len(self.number), int(self.off[len(self.number)])
+        if end + len(values) > len(self.values):  # twice the room, so that copies stay few
+            self.values = np.concatenate([self.values[:end], np.zeros(end + 2 * len(values), self.kind)])
+        if n + len(sizes) + 1 > len(self.off):
+            self.off = np.concatenate([self.off[: n + 1], np.zeros(n + 2 * len(sizes) + 2, np.int64)])
+        self.values[end : end + len(values)] = values
+        self.off[n + 1 : n + 1 + len(sizes)] = end + np.cumsum(sizes)
+        kept = [t for t, s in zip(texts, short.tolist(), strict=True) if s]
+        self.number.update(zip(kept, range(n, n + len(kept)), strict=True))
+        self.held += sum(map(len, kept)) + OVERHEAD * len(kept) + values.nbytes
+
+    def arrays(self, texts: list[str], make) -> tuple[np.ndarray, np.ndarray]:
+        """Array of each of the distinct ``texts``, end to end, and where each begins; ``make`` gives (values, sizes) of those not met before."""
+        if self.held > REMEMBERED:
+            self.forget()
+        get = self.number.get
+        number = np.fromiter((get(t, -1) for t in texts), np.int64, len(texts))
+        new = np.flatnonzero(number < 0)
+        met = number >= 0
+        size = np.zeros(len(texts), np.int64)
+        size[met] = self.off[number[met] + 1] - self.off[number[met]]
+        if len(new):
+            fresh = [texts[i] for i in new.tolist()]
+            made, sizes = make(fresh)
+            size[new] = sizes
+        off = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(off[-1], self.kind)
+        if met.any():
+            out[spread(off[:-1][met], size[met])] = self.values[spread(self.off[number[met]], size[met])]
+        if len(new):
+            out[spread(off[new], sizes)] = made
+            self.add(fresh, made, sizes)
+        return out, off
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the stretches that begin there and have those sizes, in order."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - size), size)
+
+
 class Encoder:
-    """Encodes batches of texts; keeps the ids of pieces it has met."""
+    """Encodes batches of texts; keeps the ids of pieces it has met. A vocabulary that cuts texts in another way than those known encodes whole texts."""
 
     _open: dict[str, Encoder] = {}
 
@@ -49,7 +124,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
+        stated = json.loads(self.tokenizer.to_str())
+        self.may_cut = (stated["normalizer"], stated["pre_tokenizer"]) in CUT_SAFE
+        self.met = Met(np.uint32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -58,49 +135,24 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # digests in order, and where their ids lie
-        self.where = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.off = np.zeros(1, np.int64)
-
-    def _ids_of(self, distinct: pa.Array) -> np.ndarray:
-        """For each distinct piece its number among the known ones."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        digest = hashes(distinct)
-        place = np.searchsorted(self.known, digest)
-        found = np.zeros(len(digest), bool)
-        inside = place < len(self.known)
-        found[inside] = self.known[place[inside]] == digest[inside]
-        new = np.flatnonzero(~found)
-        number = np.empty(len(digest), np.int64)
-        number[found] = self.where[place[found]]
-        if len(new):
-            lists = []
-            for a in range(0, len(new), 50_000):
-                texts = distinct.take(pa.array(new[a : a + 50_000])).to_pylist()
-                lists += [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            number[new] = np.arange(len(new)) + len(self.off) - 1
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))])
-            known, where = np.concatenate([self.known, digest[new]]), np.concatenate([self.where, number[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.where = known[order], where[order]
-        return number
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = []
+        for a in range(0, len(texts), 50_000):
+            lists += [x.ids for x in self.tokenizer.encode_batch_fast(texts[a : a + 50_000], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's ids start (null: empty): ``(uint32[n], int64[rows + 1])``."""
         data, off = buffers(texts)
-        start = cuts(data, off)
+        start = cuts(data, off) if self.may_cut else np.append(off[:-1][np.diff(off) > 0], len(data))
         if len(start) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
-        number = self._ids_of(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-        size = np.diff(self.off)[number]
+        ids, begin = self.met.arrays(coded.dictionary.to_pylist(), self._encode)
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.diff(begin)[number]
         end = np.cumsum(size)
-        at = np.arange(end[-1]) + np.repeat(self.off[number] - (end - size), size)
         piece_of = np.searchsorted(start[:-1], off)
-        return self.ids[at], np.concatenate([[0], end])[piece_of]
+        return ids[spread(begin[:-1][number], size)], np.concatenate([[0], end])[piece_of]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstone.llm.common import buffers, hashes, slices, split_words
+from sealstone.llm.common import buffers, mixed, slices, split_words
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 32, 16, 6, 24
 DIM = 2 * PATH_DIM + WORD_DIM + MEASURES
@@ -114,6 +114,24 @@ def _unit(name: str, dim: int) -> np.ndarray:
     return (x / np.sqrt(dim)).astype(np.float32)
 
 
+#: Multipliers and byte values of the feature hash that the weights were trained with: fixed values.
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, (2, 256), np.uint64)
+
+
+def word_slots(distinct: pa.Array) -> np.ndarray:
+    """Feature hash of each word. Words that share a slot share a vector, no more; nothing takes it for the word itself."""
+    data, off = buffers(distinct)
+    size = np.diff(off)
+    out = size.astype(np.uint64)
+    for base, values in zip(_BASES, _BYTES, strict=True):
+        place = np.arange(len(data)) - np.repeat(off[:-1], size)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(1, int(size.max(initial=0))), base)]))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * powers[place])])
+        out = mixed(out * base + (total[off[1:]] - total[off[:-1]]))
+    return out
+
+
 _WORDS = np.random.Generator(np.random.PCG64(7)).standard_normal((4096, WORD_DIM)).astype(np.float32)
 
 
@@ -134,7 +152,7 @@ def features(pages: list[list]) -> list[np.ndarray]:
     data, off = buffers(pa.array([t for _, t, _ in flat], pa.large_utf8()))
     words = split_words(data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32), off)
     codes, distinct = words.codes()
-    ids = (hashes(distinct) & np.uint64(4095)).astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+    ids = (word_slots(distinct) & np.uint64(4095)).astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
     n = np.maximum(words.counts, 1)
     if len(ids):
         held = words.counts > 0
