@@ -11,9 +11,13 @@ The boundary minimises the subsets and list entries made, from the sizes of all
 same members are one. In each list a parity sketch (a lower bound of the difference) rules out pairs without loss; what it leaves
 connected is a candidate group, and there the sets themselves are intersected, most alike first, pairs already connected left out.
 So neither lists nor groups ever give rise to all their pairs as rows, and no link between different components is missed.
-Lists and groups beyond PART members are kept in parts, and each part meets each other in a task of its own.
 
-Shingles are compared by 64-bit digests (two of one document pair clash about once in 10^13). Null and empty texts have no set
+Lists and groups are kept in cells of at most PART members (and PART_BYTES), by their measured length. Each cell is connected by itself; then one member of each
+connected piece meets those of other cells, and so on; only where pieces stay apart do their members meet in pairs of cells.
+Many copies alike thus cost their number; members that are candidates of each other and yet not linked cost the square of theirs in comparisons.
+
+Shingles are compared by 64-bit digests, made from BLAKE2b digests of their words (two of one document pair clash about once in 10^13).
+Sets are one class if their sizes and two 64-bit sums of their digests agree. Null and empty texts have no set
 and link with nothing. Rows that repeat a key count each by its own text. A null key has no number to lend: it takes the others' component.
 """
 
@@ -27,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealstone.llm.common import buffers, hashes, mixed, shingles, slices, split_words, table
-from sealstone.llm.components import components
+from sealstone.llm.components import HUBS, components, join_spread
 
 PERCENT = 80
 WORDS = 5
-COUNTED = 0.35  #: share of all shingles, by digest, that are counted to find common ones
 COMMON, COMMON_LEAST = 200_000, 16  #: common shingles that go to every task, and the documents that such a one is in at least
 LIGHT_MOST = 1024
-PART = 2048  #: members of a part of a list or group
+PART, PART_BYTES = 256, 16 << 20  #: members of a cell of a list or group, and bytes of their sets
 BUCKET = 400_000  #: entries of a task, about
+LONG = 100_000  #: documents from which on a shingle's list is not dealt as one
 BROADCAST_KEYS = 1_000_000  #: keys that are sent to every task rather than shuffled
 SKETCH = 10  #: the shortest sketches have 2 ** SKETCH bits
 
@@ -61,6 +65,13 @@ def sets_of(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(each) if each else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(size)])
 
 
+def set_digests(digest: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set: sums of two independent mixings, whatever the order."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(digest + np.uint64(c)))]) for c in (11, 1234567)]
+    one, two = (mixed(s[off[1:]] - s[off[:-1]]).view(np.int64) for s in sums)
+    return one, two
+
+
 def dealt(bucket: np.ndarray, values: np.ndarray, n: int) -> pa.RecordBatch:
     """Values as one packed row for each bucket that has some."""
     order = np.argsort(bucket, kind="stable")
@@ -77,32 +88,83 @@ def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
     return ((mixed(x ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def common_shingles(docs: DataFrame, n_docs: int, words: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """The most common shingles (digest order) with the documents each is in, and the mean length of the list an entry is in.
+def n_buckets(n_docs: int, each: int) -> int:
+    """Buckets for ``each`` entries a document: BUCKET entries in one, ten times as many where there would be over a thousand."""
+    n = -(-n_docs * each // BUCKET)
+    return max(8, min(n, 1024), n // 10)
+
+
+def place_of(digest: np.ndarray, n: int) -> np.ndarray:
+    """Bucket and low half of each digest: what shingles are counted by. Two shingles of one place are counted together, which changes their order and no result."""
+    return bucket_of(digest, n).astype(np.uint64) << np.uint64(32) | digest & np.uint64(0xFFFFFFFF)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """``uint32`` values in order, as steps of three bytes if all are short enough."""
+    step = np.diff(values)
+    if len(step) and int(step.max()) >= 1 << 24:
+        return b"4" + values.astype("<u4").tobytes()
+    return b"3" + values[:1].astype("<u4").tobytes() + step.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
-    Every document is counted. At most COMMON shingles are returned: they only order the others, whatever they are the result is the same."""
-    n = max(8, -(-n_docs * 200 // BUCKET))
-    limit = np.uint64(int(COUNTED * 2**64))
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"4":
+        return np.frombuffer(raw, "<u4", offset=1)
+    steps = np.zeros(((len(raw) - 5) // 3, 4), np.uint8)
+    steps[:, :3] = np.frombuffer(raw, np.uint8, offset=5).reshape(-1, 3)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u4", 1, 1), steps.view("<u4").ravel()]), dtype=np.uint32)
+
+
+def common_shingles(docs: DataFrame, n_docs: int, words: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Places of the most common shingles in order, the documents each is in, the number of buckets, and the mean length of the list an entry is in.
+
+    Every shingle of every document is counted. At most COMMON are returned: they only order the others, whatever they are the result is the same."""
+    n = n_buckets(n_docs, 200)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            place = np.sort(np.concatenate(held))
+            edge = np.searchsorted(place, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
+            some, low = np.flatnonzero(np.diff(edge)), (place & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "packed": pa.array([packed(low[edge[b] : edge[b + 1]]) for b in some.tolist()], pa.binary())})
+
         for batch in batches:
             for part in slices(batch, "text"):
-                digest = sets_of(part.column("text"), words)[0]
-                digest = digest[digest < limit]
-                yield dealt(bucket_of(digest, n), digest, n)
+                held.append(place_of(sets_of(part.column("text"), words)[0], n))
+                size += len(held[-1])
+                if size >= 1 << 21:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
     def count(rows: pa.Table) -> pa.Table:
-        digest, held = np.unique(_bytes(rows.column("packed"), np.uint64), return_counts=True)
+        bucket = np.uint64(rows.column("bucket")[0].as_py() if rows.num_rows else 0)
+        low, held = np.unique(np.concatenate([unpacked(x) for x in rows.column("packed").to_pylist()] or [np.zeros(0, np.uint32)]), return_counts=True)
         most = held >= COMMON_LEAST
         plain = held[~most].astype(float)
-        return pa.table({"digest": np.append(digest[most].view(np.int64), 0), "held": np.append(held[most], 0), "entries": np.append(np.zeros(most.sum()), plain.sum()), "squares": np.append(np.zeros(most.sum()), (plain**2).sum())})
+        place = (bucket << np.uint64(32) | low[most].astype(np.uint64)).view(np.int64)
+        return pa.table({"place": np.append(place, 0), "held": np.append(held[most], 0), "entries": np.append(np.zeros(most.sum()), plain.sum()), "squares": np.append(np.zeros(most.sum()), (plain**2).sum())})
 
-    counted = table(docs.select("text").mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(count, "digest long, held long, entries double, squares double"), "shingle-counts")
+    counted = table(docs.select("text").mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(count, "place long, held long, entries double, squares double"), "shingle-counts")
     entries, squares = counted.agg(F.sum("entries"), F.sum("squares")).first()
-    most = counted.filter("held > 0").orderBy(F.desc("held"), "digest").limit(COMMON).select("digest", "held").toArrow()
-    digest, held = most.column("digest").to_numpy().view(np.uint64), most.column("held").to_numpy()
-    order = np.argsort(digest)
-    return digest[order], held[order], (squares / entries if entries else 1.0)
+    most = counted.filter("held > 0").orderBy(F.desc("held"), "place").limit(COMMON).select("place", "held").toArrow()
+    place, held = most.column("place").to_numpy().view(np.uint64), most.column("held").to_numpy()
+    order = np.argsort(place)
+    return place[order], held[order], n, (squares / entries if entries else 1.0)
+
+
+def is_common(digest: np.ndarray, common: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each shingle is a common one, and the documents it is in (0 if it is not)."""
+    hot, held, n = common
+    if not len(hot):
+        return np.zeros(len(digest), bool), np.zeros(len(digest), np.int64)
+    place = place_of(digest, n)
+    at = np.minimum(np.searchsorted(hot, place), len(hot) - 1)
+    same = hot[at] == place
+    return same, np.where(same, held[at], 0)
 
 
 def boundary(sizes: dict[int, int], mean_list: float, percent: int) -> int:
@@ -182,9 +244,13 @@ def near_pairs(size: np.ndarray, sketch: list[bytes], percent: int, block: int =
                 yield i[p], j[q], apart[p, q]
 
 
-def link(size: np.ndarray, sketch: list[bytes], sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Root of each set among its links: exact; sets most alike by sketch first, pairs in one component already left out."""
+def link(size: np.ndarray, sketch: list[bytes], sets: list[np.ndarray] | None, percent: int, piece: np.ndarray | None = None) -> np.ndarray:
+    """Root of each set among its links: sets most alike by sketch first, pairs in one component already left out; without ``sets`` by sketches alone. ``piece``: what is connected beforehand."""
     forest = Forest(len(size))
+    if piece is not None:
+        first = np.unique(piece, return_index=True, return_inverse=True)
+        for i, j in enumerate(first[1][first[2]].tolist()):
+            forest.join(i, j)
     for i, j, apart in near_pairs(size, sketch, percent):
         root = forest.roots()
         open_ = root[i] != root[j]
@@ -192,17 +258,113 @@ def link(size: np.ndarray, sketch: list[bytes], sets: list[np.ndarray], percent:
         for at in np.argsort(apart, kind="stable").tolist():
             x, y = int(i[at]), int(j[at])
             if forest.root(x) != forest.root(y):
+                if sets is None:
+                    forest.join(x, y)
+                    continue
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                     forest.join(x, y)
     return forest.roots()
 
 
-def _parts(t: DataFrame, by: str, n_part: str) -> DataFrame:
-    """Rows of a list or group of n_part parts, once for each pair of parts that theirs is in."""
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col(n_part)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col(n_part) - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    return t.withColumn("own", own).withColumn("meet", F.explode(pairs)).withColumn(by, F.when(F.col(n_part) > 1, F.xxhash64(by, "meet.i", "meet.j")).otherwise(F.col(by))).drop("own", "meet", n_part)
+CELLS = "list long, node long, root long, wide boolean"
+
+
+def stars(percent: int, exact: bool, paired: bool = False):
+    """A function for ``applyInArrow`` on rows (cell, list, wide, node, n, sketch, and held if ``exact``, piece if ``paired``): the root of each member among those of its cell.
+
+    Rows whose root is their own are left out unless the list is ``wide``, that is in several cells."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"list": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "wide": pa.array([], pa.bool_())})
+        cell, list_, node, n = (rows.column(c).to_numpy() for c in ("cell", "list", "node", "n"))
+        wide = rows.column("wide").to_numpy(zero_copy_only=False)
+        order = np.lexsort((node, n, list_, cell))
+        same = lambda x: x[order][1:] == x[order][:-1]
+        again = same(cell) & same(list_) & same(node)  # rows that repeat a document bring its set twice
+        order = order[np.concatenate([[True], ~again])]
+        edge = np.flatnonzero(np.concatenate([[True], ~(same(cell) & same(list_)), [True]]))
+        size, n_, raw = np.diff(edge), n[order], rows.column("sketch").to_pylist()
+        sketch = [raw[i] for i in order.tolist()]
+        held = rows.column("held").to_pylist() if exact else None
+        piece = rows.column("piece").to_numpy() if paired else None
+        root = np.arange(len(order))
+        done = size == 1
+        if not exact and not paired:  # lists of two short sets, of which there are many, all at once
+            two = edge[:-1][(size == 2) & (sketch_bits(n_[edge[:-1]]) == SKETCH) & (sketch_bits(n_[edge[1:] - 1]) == SKETCH)]
+            first, second = (np.frombuffer(b"".join(sketch[i] for i in (two + k).tolist()), np.uint64).reshape(len(two), (1 << SKETCH) // 64) for k in (0, 1))
+            x, y = n_[two], n_[two + 1]
+            apart = np.bitwise_count(first ^ second).sum(axis=1).astype(np.int64)
+            good = two[(apart <= most_apart(x + y, percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
+            root[good + 1] = good
+            done |= np.isin(edge[:-1], two)
+        for i in np.flatnonzero(~done).tolist():
+            a, b = int(edge[i]), int(edge[i + 1])
+            at = order[a:b]
+            sets = [np.frombuffer(held[j], np.uint64) for j in at.tolist()] if exact else None
+            root[a:b] = a + link(n[at], sketch[a:b], sets, percent, piece[at] if paired else None)
+        keep = np.flatnonzero((root != np.arange(len(root))) | wide[order])
+        return pa.table({"list": list_[order][keep], "node": node[order][keep], "root": node[order][root[keep]], "wide": pa.array(wide[order][keep])})
+
+    return run
+
+
+def connect(rows: DataFrame, percent: int, exact: bool, name: str, task: int) -> DataFrame:
+    """Edges (a, b) over the members of each list, as connected as all their possible (``exact``: real) links. ``rows`` is a written table (list, node, n, sketch, and held if ``exact``); ``task``: rows of a task, about."""
+    weight = F.octet_length("held") if exact else F.lit(0)
+    n_parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum(weight) / PART_BYTES)).cast("int")
+    run = stars(percent, exact)
+
+    def meet(t: DataFrame, run, rows_: int) -> DataFrame:
+        tasks = max(64, -(-rows_ // task))
+        return t.withColumn("task", F.pmod(F.xxhash64("cell", F.lit(7)), F.lit(tasks))).groupBy("task").applyInArrow(run, CELLS)
+
+    def in_cells(t: DataFrame, seed: int) -> tuple[DataFrame, int]:
+        """Rows with their cell; and the number of lists of several cells."""
+        many = table(t.groupBy("list").agg(n_parts.alias("parts")).filter("parts > 1"), f"{name}-long")
+        n = many.count()
+        if not n:
+            return t.withColumn("cell", F.col("list")).withColumn("wide", F.lit(seed > 0)), 0
+        told = join_spread(t, many, "list", "node", n, "left")
+        own = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts"))
+        return told.withColumn("cell", F.when(F.col("parts") > 1, F.xxhash64("list", own)).otherwise(F.col("list"))).withColumn("wide", F.col("parts").isNotNull() | F.lit(seed > 0)).drop("parts"), n
+
+    n_rows = rows.count()
+    celled, n_wide = in_cells(rows, 0)
+    found = table(meet(celled, run, n_rows), f"{name}-stars")
+    edges = found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    if not n_wide:
+        return edges
+    piece = table(found.filter("wide").select("list", "node", F.col("root").alias("piece")), f"{name}-pieces")
+    count, seed = piece.count(), 0
+    while True:  # one member of each piece meets those of others
+        heads = table(rows.join(piece.filter("node = piece").select("list", "node"), ["list", "node"]).dropDuplicates(["list", "node"]), f"{name}-heads")
+        before, count, seed = count, heads.count(), seed + 1
+        celled, n_wide = in_cells(heads, seed)
+        found = table(meet(celled, run, count), f"{name}-stars")
+        new = found.filter("node <> root")
+        edges = edges.union(new.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        moved = new.select("list", F.col("node").alias("piece"), F.col("root").alias("to"))
+        n_moved = moved.count()
+        piece = table(piece.join(moved, ["list", "piece"], "left").select("list", "node", F.coalesce("to", "piece").alias("piece")), f"{name}-pieces")
+        if not n_wide or n_moved < 0.05 * count:
+            break
+    # Pieces still apart meet with all their members, but those of the largest with each other: they are connected.
+    sizes = table(piece.groupBy("list", "piece").count(), f"{name}-sizes")
+    largest = sizes.groupBy("list").agg(F.max(F.struct("count", "piece")).alias("top"), F.count("*").alias("n_pieces"), F.sum("count").alias("all")).filter("n_pieces > 1")
+    largest = table(largest.select("list", F.col("top.piece").alias("top"), F.ceil(F.col("top.count") / PART).cast("int").alias("in_top"), F.ceil((F.col("all") - F.col("top.count")) / PART).cast("int").alias("others")), f"{name}-apart")
+    n_apart = largest.count()
+    if not n_apart:
+        return edges
+    left = join_spread(piece, largest, "list", "node", n_apart)
+    is_top = F.col("piece") == F.col("top")
+    own = F.when(is_top, F.pmod(F.xxhash64("node", F.lit(-1)), F.col("in_top"))).otherwise(F.col("in_top") + F.pmod(F.xxhash64("node", F.lit(-1)), F.col("others"))).cast("int")
+    with_ = F.sequence(F.when(is_top, F.col("in_top")).otherwise(F.lit(0)), F.col("in_top") + F.col("others") - 1)
+    left = left.withColumn("own", own).withColumn("with", F.explode(with_)).withColumn("cell", F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"), F.lit("pair"))).select("list", "node", "piece", "cell", F.lit(False).alias("wide"))
+    pairs = table(left, f"{name}-pairs")
+    last = table(meet(rows.join(pairs, ["list", "node"]), stars(percent, exact, True), pairs.count()), f"{name}-stars")
+    return edges.union(last.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -210,20 +372,16 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     n_docs = own.count()
-    digest_, held_, mean_list = common_shingles(own, n_docs, words)
-    common = spark.sparkContext.broadcast((digest_, held_))  # at most COMMON
+    *common_, mean_list = common_shingles(own, n_docs, words)
+    common = spark.sparkContext.broadcast(tuple(common_))  # at most COMMON
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = common.value[0]
         for batch in batches:
             for part in slices(batch, "text"):
                 digest, off = sets_of(part.column("text"), words)
                 n = np.diff(off)
                 doc = np.repeat(np.arange(len(n)), n)
-                place = np.searchsorted(hot, digest)
-                last = np.zeros(len(digest), bool)
-                inside = place < len(hot)
-                last[inside] = hot[place[inside]] == digest[inside]
+                last, _ = is_common(digest, common.value)
                 # Place of each shingle in the corpus's order: rare ones by digest, then common ones by digest.
                 rare = np.concatenate([[0], np.cumsum(~last)])
                 before = rare[:-1] - rare[off[:-1]][doc]
@@ -234,20 +392,17 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
                 first = first[np.lexsort((order[first], doc[first]))]
                 edge = np.concatenate([[0], np.cumsum(most)]).tolist()
                 raw = digest[first].tobytes()
-                # The set's own digest: order-free sums of two independent mixings.
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(digest + np.uint64(c)))]) for c in (11, 1234567)]
-                a, b = (s[off[1:]] - s[off[:-1]] for s in sums)
-                node = mixed(a ^ mixed(b + n.astype(np.uint64)))
-                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "n": pa.array(n), "node": pa.array(node.view(np.int64), mask=n == 0), "first": pa.array([raw[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "sketch": pa.array(sketches(digest, off), pa.binary())})
-
-    every = table(own.mapInArrow(sets, "key long, n long, node long, first binary, sketch binary"), "shingle-sets")
-    classes = table(every.filter("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch")), "set-classes")
+                one, two = set_digests(digest, off)
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "n": pa.array(n), "one": pa.array(one, mask=n == 0), "two": pa.array(two), "first": pa.array([raw[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "sketch": pa.array(sketches(digest, off), pa.binary())})
+
+    every = table(own.mapInArrow(sets, "key long, n long, one long, two long, first binary, sketch binary"), "shingle-sets")
+    same = every.filter("one is not null").groupBy("one", "two", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
+    classes = table(same.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     sizes = {r[0]: r[1] for r in classes.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}  # LIGHT_MOST rows at most
     light = boundary(sizes, mean_list, percent)
-    n_lists = max(8, -(-n_docs * 120 // BUCKET))
+    n_lists = n_buckets(n_docs, 120)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, held = common.value
         for batch in batches:
             signs, nodes, weight = [], [], []
             for node, n, raw in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("first").to_pylist(), strict=True):
@@ -266,20 +421,16 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
             if not signs:
                 continue
             sign, node, shingle = np.concatenate(signs), np.concatenate(nodes), np.concatenate(weight)
-            at = np.minimum(np.searchsorted(hot, shingle), max(0, len(hot) - 1))
-            long_ = np.where(hot[at] == shingle, held[at], 0) if len(hot) else np.zeros(len(shingle), np.int64)
-            parts = np.maximum(1, -(-long_ // PART))
-            mine = (mixed(node.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % parts
-            # A list in parts: an entry goes to each pair of parts that its own is in.
-            row = np.repeat(np.arange(len(sign)), parts)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-            low, high = np.minimum(mine[row], other), np.maximum(mine[row], other)
-            sign = np.where(parts[row] > 1, mixed(sign[row] + mixed((low << 32 | high).astype(np.uint64))), sign[row])
-            yield dealt(bucket_of(sign, n_lists), np.stack([sign, node[row].view(np.uint64)], axis=1), n_lists)
+            # What may be a long list is dealt entry by entry, as buckets beyond n_lists; no such list meets in one task.
+            long_ = is_common(shingle, common.value)[1] > LONG
+            spread_ = bucket_of(sign ^ mixed(node.view(np.uint64)), n_lists) + n_lists
+            yield dealt(np.where(long_, spread_, bucket_of(sign, n_lists)), np.stack([sign, node.view(np.uint64)], axis=1), 2 * n_lists)
 
     def lists(rows: pa.Table) -> pa.Table:
-        """Lists of two members and more, each set of members once in a task."""
+        """Lists of two members and more, each set of members once in a task; entries of long lists as they are."""
         entry = _bytes(rows.column("packed"), np.uint64).reshape(-1, 2)
+        if rows.num_rows and rows.column("bucket")[0].as_py() >= n_lists:
+            return pa.table({"list": mixed(entry[:, 0]).view(np.int64), "node": entry[:, 1].view(np.int64)})
         entry = entry[np.lexsort((entry[:, 1], entry[:, 0]))]
         edge = np.flatnonzero(np.concatenate([[True], entry[1:, 0] != entry[:-1, 0], [True]]))
         size = np.diff(edge)
@@ -292,85 +443,44 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
         return pa.table({"list": name[many][row].view(np.int64), "node": entry[at, 1].view(np.int64)})
 
     posted = classes.select("node", "n", "first").mapInArrow(post, "bucket int, packed binary").groupBy("bucket").applyInArrow(lists, "list long, node long")
-    member = table(posted.dropDuplicates(["list", "node"]), "lists")
-    n_tasks = max(8, -(-member.count() // 20_000))
-    described = member.join(classes.select("node", "n", "sketch"), "node").withColumn("task", F.pmod(F.xxhash64("list"), F.lit(n_tasks)))
-
-    def possible(rows: pa.Table) -> pa.Table:
-        """For each list, a star over members that its sketches leave connected."""
-        list_, node, n = (rows.column(c).to_numpy() for c in ("list", "node", "n"))
-        order = np.lexsort((node, list_))
-        list_, node, n, raw = list_[order], node[order], n[order], rows.column("sketch").to_pylist()
-        sketch = [raw[i] for i in order.tolist()]
-        edge = np.flatnonzero(np.concatenate([[True], list_[1:] != list_[:-1], [True]])) if len(list_) else np.zeros(1, np.int64)
-        size = np.diff(edge)
-        two = edge[:-1][(size == 2) & (sketch_bits(n[edge[:-1]]) == SKETCH) & (sketch_bits(n[edge[1:] - 1]) == SKETCH)] if len(list_) else np.zeros(0, np.int64)
-        first, second = (np.frombuffer(b"".join(sketch[i] for i in (two + k).tolist()), np.uint64).reshape(len(two), (1 << SKETCH) // 64) for k in (0, 1))
-        x, y = n[two], n[two + 1]
-        apart = np.bitwise_count(first ^ second).sum(axis=1).astype(np.int64)
-        good = two[(apart <= most_apart(x + y, percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
-        a, b = [node[good]], [node[good + 1]]
-        done = np.isin(edge[:-1], two)
-        for i in np.flatnonzero(~done).tolist():
-            s = slice(edge[i], edge[i + 1])
-            forest = Forest(size[i])
-            for p, q, _ in near_pairs(n[s], sketch[s], percent):
-                apart_ = forest.roots()
-                open_ = apart_[p] != apart_[q]
-                for u, v in zip(p[open_].tolist(), q[open_].tolist(), strict=True):
-                    forest.join(u, v)
-            root = forest.roots()
-            some = root != np.arange(len(root))
-            a.append(node[s][root[some]])
-            b.append(node[s][some])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if len(list_) else pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    maybe = table(described.groupBy("task").applyInArrow(possible, "a long, b long").distinct(), "possible-links")
+    member = posted.dropDuplicates(["list", "node"])
+    described = table(member.join(classes.select("node", "n", "sketch"), "node"), "lists")
+    maybe = table(connect(described, percent, False, "possible", 20_000).distinct(), "possible-links")
     groups = components(maybe, "groups")
-    wanted = table(groups.join(classes.select("node", "rep", "n", "sketch"), "node").select("node", "root", "n", "sketch", "rep"), "wanted")
-    # One text of each class: that of a row with its smallest key and its set.
-    chosen = every.filter("node is not null").join(wanted.select("node", "rep"), "node").filter(F.col("key").eqNullSafe(F.col("rep"))).select("key", "node").distinct()
-    chosen = F.broadcast(chosen) if wanted.count() <= BROADCAST_KEYS else chosen.hint("shuffle_hash")
+    wanted = table(groups.join(classes.select("node", "rep", "one", "two", "n", "sketch"), "node"), "wanted")
+    n_wanted = wanted.count()
+    # One text of each class: that of a row with its smallest key and its set. Rows of that key with another set bring none along.
+    chosen = wanted.select(F.col("rep").alias("key"), "node", "one", "two", "n")
+    chosen = F.broadcast(chosen) if n_wanted <= BROADCAST_KEYS else chosen.hint("shuffle_hash")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 digest, off = sets_of(part.column("text"), words)
+                one, two = set_digests(digest, off)
+                own_ = (one == part.column("one").to_numpy()) & (two == part.column("two").to_numpy()) & (np.diff(off) == part.column("n").to_numpy())
                 raw, edge = digest.tobytes(), (off * 8).tolist()
-                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "held": pa.array([raw[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
+                at = np.flatnonzero(own_).tolist()
+                yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(at, pa.int64())), "held": pa.array([raw[edge[i] : edge[i + 1]] for i in at], pa.binary())})
 
-    texts = own.join(chosen, own["key"].eqNullSafe(chosen["key"])).select("node", "text")
+    texts = own.join(chosen, own["key"].eqNullSafe(chosen["key"])).select("node", "one", "two", "n", "text")
     held = texts.mapInArrow(whole, "node long, held binary")
-    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    placed = _parts(wanted.join(parts, "root").select("root", "parts", "node", "n", "sketch"), "root", "parts")
-    checked = table(placed.join(held, "node"), "candidate-sets")
-    n_groups = max(8, -(-checked.count() // 500))
-
-    def exact(rows: pa.Table) -> pa.Table:
-        root, node, n = (rows.column(c).to_numpy() for c in ("root", "node", "n"))
-        sketch, raw = rows.column("sketch").to_pylist(), rows.column("held").to_pylist()
-        order = np.lexsort((node, n, root))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        edge = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1], [True]])) if len(root) else np.zeros(1, np.int64)
-        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            at = order[x:y]
-            # Rows that repeat a key may bring another text of it along: only that of the class's own size counts.
-            got = [np.frombuffer(raw[i], np.uint64) for i in at.tolist()]
-            keep = [i for i, g in enumerate(got) if len(g) == n[at[i]]]
-            at, got = at[keep], [got[i] for i in keep]
-            up = link(n[at], [sketch[i] for i in at.tolist()], got, percent)
-            some = up != np.arange(len(up))
-            a.append(node[at][up[some]])
-            b.append(node[at][some])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    links = table(checked.withColumn("task", F.pmod(F.xxhash64("root", F.lit(7)), F.lit(n_groups))).groupBy("task").applyInArrow(exact, "a long, b long"), "links")
+    checked = table(wanted.select(F.col("root").alias("list"), "node", "n", "sketch").join(held, "node"), "candidate-sets")
+    links = table(connect(checked, percent, True, "links", 1000), "links")
     linked = components(links, "linked")
-    named = linked.join(classes.select("node", "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = classes.select("node", "rep").join(linked, "node", "left").join(least, "root", "left").select(F.col("node").alias("node_"), F.coalesce("component", "rep").alias("component"))
-    out = every.select("key", "n", "node").join(of_class, F.col("node") == F.col("node_"), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    least = table(linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component")), "linked-least")
+    named = join_spread(linked, least, "root", "node", least.count()).select("node", "component")
+    of_class = table(classes.select("node", "one", "two", "n", "rep", "copies").join(named, "node", "left").select(F.col("one"), F.col("two"), F.col("n"), F.coalesce("component", "rep").alias("component"), "copies"), "class-components")
+    # Classes of very many copies, HUBS at most, are sent to every task; the others are joined by key.
+    often = max(1000, -(-n_docs // HUBS))
+    by = ["one", "two", "n"]
+    rows = every.select("key", "n", "one", "two")
+    many = of_class.filter(F.col("copies") > often).drop("copies")
+    out = [rows.filter("one is null").withColumn("component", F.lit(None).cast("long")).select("key", "n", "component")]
+    out += [rows.join(F.broadcast(many), by).select("key", "n", "component")]
+    out += [rows.filter("one is not null").join(F.broadcast(many.select(*by)), by, "left_anti").join(of_class.filter(F.col("copies") <= often), by).select("key", "n", "component")]
+    both = out[0].union(out[1]).union(out[2])
+    return both.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:

@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from sealstone.llm import ann, jaccard, pii
 from sealstone.llm.common import documents
+from sealstone.llm import components as parts
 from sealstone.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -62,14 +64,84 @@ def test_jaccard_is_exact(spark, odd, none, monkeypatch):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert Counter(map(tuple, jaccard.join(odd).collect())) == brute(rows, 80, 5)
     assert jaccard.join(none).count() == 0
-    # Lists and groups in many parts give the same.
+    # Lists and groups in many cells, long lists dealt entry by entry, and joins in salted parts give the same.
     monkeypatch.setattr(jaccard, "PART", 8)
     monkeypatch.setattr(jaccard, "COMMON_LEAST", 2)
+    monkeypatch.setattr(jaccard, "LONG", 4)
     monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr("sealstone.llm.components.SENT", 0)
     rows = near_copies(7)
     assert Counter(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, words=4).collect())) == brute(rows, 85, 4)
 
 
+def test_a_large_group_is_not_one_task(spark, monkeypatch):
+    """Chains of near copies and a star of them: no cell of more than PART members, and all links of the group."""
+    seen = []
+    plain = jaccard.stars
+
+    def watched(*args):
+        run = plain(*args)
+
+        def counted(rows):
+            cells = Counter(zip(rows.column("cell").to_pylist(), rows.column("list").to_pylist()))
+            if max(cells.values(), default=0) > 3 * 16:
+                raise ValueError("a cell is too large")
+            return run(rows)
+
+        return counted
+
+    monkeypatch.setattr(jaccard, "stars", watched)
+    monkeypatch.setattr(jaccard, "PART", 16)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(220):  # near copies of one text
+        w = list(base)
+        for _ in range(r.choice((1, 1, 2))):
+            w[r.randrange(120)] = word()
+        rows.append((len(rows), " ".join(w)))
+    w = [word() for _ in range(150)]
+    for i in range(120):  # each like the one before, the last unlike the first
+        w[i] = word()
+        rows.append((len(rows), " ".join(w)))
+    r.shuffle(rows)
+    rows = list(enumerate(t for _, t in rows))
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, words=4).collect()
+    assert Counter(map(tuple, out)) == brute(rows, 85, 4) and not seen
+
+
+def test_shared_shingles_make_no_long_list(spark):
+    """14,000 short texts that share two shingles: all shingles are counted, so the shared ones come last and are in no list."""
+    rows = [(i, f"one two three four five six seven {' '.join(f'w{i}x{j}' for j in range(12))}") for i in range(14_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    place, held, n, mean = jaccard.common_shingles(docs.select(docs.text), len(rows), 4)
+    assert sorted(held.tolist()) == [14_000] * 4 and mean == 1
+    shared = {x for x in jaccard.sets_of(pa.array([rows[0][1]]), 4)[0].tolist()} & {x for x in jaccard.sets_of(pa.array([rows[1][1]]), 4)[0].tolist()}
+    assert set(place.tolist()) == set(jaccard.place_of(np.array(sorted(shared), np.uint64), n).tolist())
+    assert {(x.n_shingles, x.component_id == x.doc_id) for x in jaccard.join(docs, percent=85, words=4).collect()} == {(16, True)}
+
+
+def test_counts_are_packed_without_loss():
+    r = np.random.default_rng(4)
+    for top in (50, 2**20, 2**32):
+        for n in (1, 2, 1000):
+            x = np.sort(r.integers(0, top, n).astype(np.uint32))
+            assert jaccard.unpacked(jaccard.packed(x)).tolist() == x.tolist()
+
+
+def thue_morse(n):
+    """Two words of 2 ** n letters that every polynomial digest modulo a power of two takes for the same."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2**n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_not_taken_for_others(spark):
+    a, b = thue_morse(10)
+    rows = [(1, f"{a} is a long word of four"), (2, f"{b} is a long word of four"), (3, a), (4, b)]
+    out = {x.doc_id: x.component_id for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=50, words=1).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_one_of_each_keeps_one(spark, odd):
     rows = near_copies(11, 120)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -78,7 +150,7 @@ def test_one_of_each_keeps_one(spark, odd):
     assert jaccard.one_of_each(odd).columns == odd.columns and jaccard.one_of_each(odd).count() == odd.count() - 1
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(300, 340)] + [(r.randrange(100), r.randrange(100)) for _ in range(60)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -92,6 +164,10 @@ def test_components(spark):
     for a, b in edges:
         up[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {n: find(n) for n in up}
+    monkeypatch.setattr(parts, "SENT", 0)
+    star = [(7, i) for i in range(8, 200)] + [(199, 3), (500, 501)]  # a hub, and its labels in salted parts
+    got = {x.node: x.root for x in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {n: 500 if n >= 500 else 3 for e in star for n in e}
 
 
 def test_neighbours(spark):
