@@ -3,11 +3,12 @@
 Centroids are fitted on a bounded sample. Every vector goes to the list of its nearest centroid, and near a
 boundary to those of others too. Lists are kept in parts of bounded size, so neither a large cluster nor thousands of copies of a vector
 meet in one task. A query walks a graph over the centroids, in memory, and takes all lists whose distance is within
-a ratio of the nearest one's; the ratio is found on the sample, for the recall asked for. Parts are joined with the queries
-that want them, each gives its own best, and the best of these are kept.
+a ratio of the nearest one's; the ratio is found on the sample, for the recall asked for. If these hold too few vectors for k neighbours, the next
+nearest lists are taken too. Parts are joined with the queries that want them, each gives its own best, and the best of these are kept.
 
-Vectors that are null or zero, hold null or non-finite components, or have another length than most take no part, nor do null keys. Equal
-scores go to the smaller key. Rows that repeat a key are candidates each; a query has no candidate of its own key.
+Vectors that are null or zero, or hold null or non-finite components, take no part, nor do null keys. All others do, however large or small their components: each is
+scaled by a power of two before it is squared, which changes no digit of a cosine. The cosine of vectors of two lengths is not defined: those of another
+length than most are left out. Equal scores go to the smaller key. Rows that repeat a key are candidates each; a query has no candidate of its own key.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from sealstone.llm.common import table
 
-SAMPLE = 20_000  #: vectors that centroids and ratio are fitted on, at most
+SAMPLE = 65_536  #: vectors that centroids and ratio are fitted on, at most: SAMPLE_EACH for a list, SAMPLE_LEAST while lists are few
+SAMPLE_LEAST, SAMPLE_EACH = 20_000, 8
 SAMPLE_BYTES = 64 << 20
 LIST = 512  #: vectors of a list, about, while there are few enough lists
 LISTS = 8192  #: lists at most: the centroids go to every task
@@ -33,7 +35,13 @@ DEGREE = 16
 RECALL = 0.98  #: asked for on the sample
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component between 1/2 and 1, so that no square is lost or infinite."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
@@ -84,8 +92,8 @@ class Centroids:
         self.near = [np.array(sorted(s), np.int64) for s in sets]
         self.entries = ring[: min(k, 4)]
 
-    def walk(self, unit: np.ndarray, beam: int = 32) -> list[int]:
-        """Lists within the ratio of the nearest one, nearest first: best-first search of the graph."""
+    def walk(self, unit: np.ndarray, sizes: np.ndarray, need: int, beam: int = 32) -> list[int]:
+        """Lists within the ratio of the nearest one, nearest first: best-first search of the graph. If they hold fewer than ``need`` vectors, the next nearest as well."""
         seen = np.zeros(len(self.vectors), bool)
         seen[self.entries] = True
         d = _distance(unit[None], self.vectors[self.entries])[0]
@@ -105,10 +113,16 @@ class Centroids:
                 heapq.heappush(ahead, (y, j))
                 nearest = min(nearest, y)
                 heapq.heappush(best, -y) if len(best) < beam else heapq.heappushpop(best, -y)
-        return [j for y, j in sorted(found) if y <= self.ratio * nearest + 1e-12]
+        near = [j for y, j in sorted(found) if y <= self.ratio * nearest + 1e-12]
+        if sizes[near].sum() >= need:
+            return near
+        every = np.argsort(_distance(unit[None], self.vectors)[0], kind="stable")
+        rest = every[~np.isin(every, near)]
+        held = sizes[near].sum() + np.cumsum(sizes[rest])
+        return near + rest[: int(np.searchsorted(held, need)) + 1].tolist()
 
     def lists(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each vector its lists: that of the nearest centroid, and up to REPLICAS in all within REPLICA_RATIO. Returns (row, list)."""
+        """For each vector its lists: that of the nearest centroid first, and up to REPLICAS in all within REPLICA_RATIO. Returns (row, list)."""
         d = _distance(units, self.vectors)
         k = min(REPLICAS, d.shape[1])
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -144,6 +158,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def best(own: np.ndarray, keys: np.ndarray, query: np.ndarray, query_keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, key, score) of the k nearest of ``own`` to each query. A product of matrices finds who may be among them, the score is summed anew."""
+    own, query = scaled(own), scaled(query)
     norm, qnorm = np.sqrt((own * own).sum(axis=1)), np.sqrt((query * query).sum(axis=1))
     rows, out_keys, scores = [], [], []
     for a in range(0, len(query), 256):
@@ -168,10 +183,16 @@ def fit(df: DataFrame, *, key: str, vector: str, k: int, recall: float = RECALL,
     if not facts:
         return None
     dim, n = facts[0]
-    most = max(64, min(sample, SAMPLE_BYTES // (8 * dim)))
-    drawn = df.filter(F.size(vector) == dim).orderBy(F.xxhash64(key), key).select(F.col(vector).cast("array<double>").alias("v")).limit(most).toArrow()
+    count = min(lists, -(-n // list_size))
+    most = max(64, min(sample, max(SAMPLE_LEAST, SAMPLE_EACH * count), SAMPLE_BYTES // (8 * dim)))
+    like = df.filter(F.size(vector) == dim).select(F.col(key).alias("key"), F.xxhash64(key).alias("at"), F.col(vector).cast("array<double>").alias("v"))
+    if n > 2 * most:  # a little more than is wanted, so that few rows are put in order
+        like = like.filter(F.col("at") < F.lit(int(-(2**63) + 2**64 * 1.2 * most / n)))
+    drawn = like.orderBy("at", "key", "v").select("v").limit(most).toArrow()
     units = _units(_matrix(drawn.column("v").combine_chunks()))
-    count = max(1, min(lists, -(-n // list_size), len(units) // 8 + 1))
+    if not len(units):  # every key of a large table is the same
+        units = _units(_matrix(df.filter(F.size(vector) == dim).select(F.col(vector).cast("array<double>").alias("v")).limit(1).toArrow().column("v").combine_chunks()))
+    count = max(1, min(count, len(units) // SAMPLE_EACH + 1))
     index = Centroids(fit_centroids(units, count))
     index.calibrate(units, k, recall)
     return index, dim
@@ -192,23 +213,29 @@ def search(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", que
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 row, list_ = sent.value.lists(_units(_matrix(part.column("v"))))
-                yield pa.RecordBatch.from_pydict({"list": pa.array(list_, pa.int32()), "key": part.column("key").take(pa.array(row)), "v": part.column("v").take(pa.array(row))})
+                yield pa.RecordBatch.from_pydict({"list": pa.array(list_, pa.int32()), "key": part.column("key").take(pa.array(row)), "v": part.column("v").take(pa.array(row)), "own": pa.array(np.diff(row, prepend=-1) > 0)})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = [sent.value.walk(u) for u in _units(_matrix(batch.column("v")))]
+            chosen = [sent.value.walk(u, held.value, need) for u in _units(_matrix(batch.column("v")))]
             row = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
             yield pa.RecordBatch.from_pydict({"list": pa.array([j for c in chosen for j in c], pa.int32()), "key": batch.column("key").take(pa.array(row)), "v": batch.column("v").take(pa.array(row))})
 
     schema = "list int, key long, v array<double>"
     placed = rows.filter(F.size(vector) == dim)
-    own = table(placed.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(assign, schema), "posting-lists")
+    own = table(placed.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(assign, f"{schema}, own boolean"), "posting-lists")
+    # How many vectors have each list for their own (LISTS numbers at most), and how many must be looked into for k other keys: rows may repeat a key.
+    sizes = np.zeros(len(index.vectors), np.int64)
+    for list_, n in own.filter("own").groupBy("list").count().collect():
+        sizes[list_] = n
+    held = spark.sparkContext.broadcast(sizes)
+    need = (k + 1) * own.filter("own").groupBy("key").count().agg(F.max("count")).first()[0]
     asked = table(placed.filter(queries).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(ask, schema), "list-queries")
     parts = lambda t, name: t.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
     # At most LISTS rows each. Every part of a list meets every part of its queries.
-    sizes = parts(own, "own_parts").join(parts(asked, "query_parts"), "list")
-    spread = lambda t, mine, other: t.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("key", F.lit(mine)), F.col(mine)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    left = spread(own, "own_parts", "query_parts").select("list", F.col("part").alias("own_part"), F.col("with").alias("query_part"), "key", "v")
+    split = parts(own, "own_parts").join(parts(asked, "query_parts"), "list")
+    spread = lambda t, mine, other: t.join(F.broadcast(split), "list").withColumn("part", F.pmod(F.xxhash64("key", F.lit(mine)), F.col(mine)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    left = spread(own.drop("own"), "own_parts", "query_parts").select("list", F.col("part").alias("own_part"), F.col("with").alias("query_part"), "key", "v")
     right = spread(asked, "query_parts", "own_parts").select("list", F.col("with").alias("own_part"), F.col("part").alias("query_part"), "key", "v")
     by = ("list", "own_part", "query_part")
 

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sealstone.llm import ann, jaccard, pii
 from sealstone.llm.common import documents
@@ -199,6 +201,34 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def cosines(rows):
+    """Exact neighbours by rational arithmetic of scaled components."""
+    out = {}
+    v = {k: np.ldexp(np.array(x), -int(np.frexp(np.abs(x).max())[1])) for k, x in rows}
+    for q in v:
+        score = {k: float((v[q] * x).sum() / (np.sqrt((v[q] ** 2).sum()) * np.sqrt((x**2).sum()))) for k, x in v.items() if k != q}
+        out[q] = sorted(score, key=lambda k: (-round(score[k], 12), k))[:5]
+    return out
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    """Components near 1e-200 and 1e200 count like any others, and a query that lies alone in its list still gets k neighbours."""
+    r = np.random.default_rng(8)
+    rows = [(i, (r.standard_normal(16) * 10.0 ** r.choice([-200, 0, 200])).tolist()) for i in range(400)]
+    rows += [(400, [1e-200] * 16), (401, [1e200] + [0.0] * 15)]
+    out = {}
+    for x in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect(), key=lambda x: x["rank"]):
+        out.setdefault(x.query_id, []).append(x.vec_id)
+    want = {q: n for q, n in cosines(rows).items() if q % 50 == 0}
+    assert out == want
+    # Far clusters: one of a single vector and its copies, which is a query.
+    far = [(i, (np.eye(16)[0] + r.standard_normal(16) * 1e-3).tolist()) for i in range(1, 600) if i % 50] + [(50, np.eye(16)[5].tolist()), (1000, (-np.eye(16)[7]).tolist())]
+    got = ann.search(spark.createDataFrame(far + [far[-1]] * 3, "vec_id long, embedding array<double>"), recall=0.5)
+    assert {x.query_id: x["count"] for x in got.groupBy("query_id").count().collect()} == {50: 5, 1000: 5}
+    few = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [2.0, 1.0], 2), (2, [0.5, 3.0], 3)], "vec_id long, embedding array<double>, list int").withColumn("key", F.lit(1)).withColumn("v", F.lit(2.0))
+    assert ann.search(few).select("query_id", "rank", "vec_id").orderBy("rank").collect() == [(0, 1, 2), (0, 2, 1)]
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -256,9 +286,43 @@ def test_labelers_are_told_apart():
         truth = r.random() < 0.4
         say = lambda p: (1 if truth else -1) if r.random() < p else (-1 if truth else 1)  # noqa: B023, E731
         counts["card", (say(0.95), say(0.85), 0, say(0.9), say(0.5))] += 1
-    c = pii.learn([(k, v, n) for (k, v), n in sorted(counts.items())])
+    c = pii.learn(dict(counts))
     assert min(c.reliability["card", "check"]) > 0.8 and max(c.reliability["card", "shape"]) < 0.7
     assert c.weights["x.check = 1"] > abs(c.weights["x.shape = 1"])
+    # A feature of the span that goes with the posteriors moves the classifier.
+    told = [(("card", v, (int(v[0] == 1), 0, 0)), n) for (_, v), n in sorted(counts.items())]
+    c = pii.learn(dict(counts), told)
+    assert c.weights["(x.kind = 'card' and x.form = 1)"] > 0 > c.weights["(x.kind = 'card' and x.form = 0)"]
+    assert pii.learn({}, []).weights == {}
+
+
+def test_account_numbers_have_check_digits(spark):
+    right, wrong = "DE89 3704 0044 0532 0130 00", "DE00 3704 0044 0532 0130 00"
+    rows = spark.createDataFrame([(right,), (wrong,), ("GB82WEST12345698765432",), ("GB82WEST12345698765431",)], "t string")
+    assert [r[0] for r in rows.selectExpr(pii._mod97("t") + " AS good").collect()] == [True, False, True, False]
+
+
+def test_obfuscated_addresses_have_no_largest_length(spark):
+    local, domain = "a" * 70, "b" * 80
+    docs = spark.createDataFrame([(i, f"please write a mail to {local} [at] {domain}{' [dot] sub' * k} [dot] com today") for i, k in enumerate((0, 1, 7))], "doc_id long, text string")
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["please write a mail to <EMAIL> today"] * 3
+
+
+def test_texts_of_very_many_spans_take_little(spark):
+    """32,000 addresses in one text, with others between that the classifier decides on."""
+    t = " ".join(f"u{i}@x.org" if i % 8 else f"(415) 555-{1000 + i % 9000}" for i in range(32_000))
+    docs = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    begin = time.time()
+    (row,) = pii.find(docs).collect()
+    assert [f"{x.kind}:{x.s}:{x.e}" for x in row.spans if x.base] == base_spans(t) and row.n_email == 28_000
+    (out,) = pii.redact(docs).collect()
+    assert time.time() - begin < 60
+    want, at = [], 0
+    for s, e, kind in sorted((x.s, x.e, x.kind) for x in row.spans):
+        if s >= at:
+            want += [t[at:s], f"<{kind.upper()}>"]
+        at = max(at, e)
+    assert out.text == "".join(want) + t[at:]
 
 
 def test_digest_of_no_span(spark):
