@@ -5,7 +5,12 @@ class and id words of what it stands in), of its hashed words, and a few measure
 in numpy, runs over all blocks of the page and labels each; blocks labelled main are joined. The weights
 come from ``html_train`` (pages made there, with labels known by construction) and lie beside this file.
 
+Script, style, title, textarea and the like are left out to their end tags, as browsers do; so are noscript, template and select where they have one. Of a
+drawing (svg) nothing is read, up to its end or the next block of the page; formulas and the fallback of objects are text. A page costs time and
+memory in proportion to its length, however its tags are nested or broken.
+
 A null or empty page has an empty text. Pages are read one by one: ties, repeated rows and other columns change nothing.
+The weights have seen pages with usual names of classes; how well they do on pages of the open web has not been measured.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -30,79 +36,150 @@ WEIGHTS = Path(__file__).with_name("models") / "html_blocks.npz"
 PAGES_AT_ONCE = 512
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)
+    r"""<!--.*?(?:(?P<ended>-->)|\Z)
+    |<(?P<raw>script|style|iframe|textarea|title|xmp|noembed|noframes)(?=[\s/>])[^>]*+>.*?(?:(?P<shut></(?P=raw)(?=[\s/>])[^>]*+>)|\Z)
     |<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<[a-z/!?][^>]*+>""",
     re.S | re.I | re.X,
 )
+_OPEN = re.compile(r"<[a-z/!?]", re.I)
+#: Left out with all they hold, if they have an end tag.
+SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in ("noscript", "template", "select")}
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd maction semantics annotation"
+INLINE = frozenset(f"{MATH} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of the same set, but no further out than the boundary given.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = frozenset("address article aside blockquote body div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html main nav ol p pre section table ul".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """Leaf blocks in order: tag path (each element as ``tag word word``), text, share of its characters inside links."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
+class Place:
+    """An element of a tag path, as ``tag word word``, below another. Like paths are one object, so a page deep in elements has as many as it has elements."""
+
+    __slots__ = ("parent", "name", "depth", "below", "vector")
+    made = 0
+
+    def __init__(self, parent: Place | None, name: str) -> None:
+        self.parent, self.name, self.depth, self.below, self.vector = parent, name, parent.depth + 1 if parent else 0, {}, None
+        Place.made += 1
+
+    def child(self, name: str) -> Place:
+        got = self.below.get(name)
+        if got is None:
+            got = self.below[name] = Place(self, name)
+        return got
+
+    def __iter__(self) -> Iterator[str]:
+        """Names from the outermost element."""
+        names, at = [], self
+        while at.parent:
+            names.append(at.name)
+            at = at.parent
+        return reversed(names)
+
+
+_root = Place(None, "")
+
+
+def top() -> Place:
+    """What all paths are below. Begins anew when PLACES have been made since."""
+    global _root
+    if Place.made > PLACES:
+        Place.made, _root = 0, Place(None, "")
+    return _root
+
+
+PLACES = 100_000
+
+
+def blocks(page: str) -> list[tuple[Place, str, float]]:
+    """Leaf blocks in order: tag path, text, share of its characters inside links."""
+    out: list[tuple[Place, str, float]] = []
+    place = top()
+    stack: list[tuple[str, Place]] = []  # open elements, each with the place it is in
+    where: dict[str, list[int]] = {}  # heights in the stack of open elements of each tag
     parts: list[str] = []
-    at, linked, in_link = 0, 0, False
+    linked, in_link, in_drawing = 0, False, False
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x for t, x in stack if t not in INLINE), text, min(1.0, linked / len(text))))
+                out.append((place, text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not in_drawing:
             parts.append(text)
             if in_link:
                 linked += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
+    def close(height: int) -> None:
+        """Close all elements from that height up."""
+        nonlocal place
+        while len(stack) > height:
+            tag, place = stack.pop()
+            where[tag].pop()
+
+    end, at, ended = page.rfind(">") + 1, 0, True  # no tag ends beyond
+    while m := _TOKEN.search(page, at, end):
         add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if m["raw"]:
-            if m["raw"].lower() not in ("svg", "math", "object"):
+            ended = bool(m["shut"])
+            if not in_drawing:
                 flush()
             continue
         if not tag:
+            ended = not m[0].startswith("<!--") or bool(m["ended"])
+            continue
+        closes = m["attrs"].endswith("/")
+        if tag in SKIPPED and not m["close"] and tag not in endless:
+            until = SKIPPED[tag].search(page, at, end)
+            if until:
+                flush()
+                at = until.end()
+            else:
+                endless.add(tag)
+            continue
+        if tag == "svg":
+            in_drawing = not m["close"] and not closes
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in SKIPPED:
             in_link = not m["close"] if tag == "a" else in_link
             continue
+        if in_drawing and tag not in ENDS_P:
+            continue
+        in_drawing = False
         flush()
         if m["close"]:
-            names = [t for t, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if where.get(tag):
+                close(where[tag][-1])
                 in_link = False
             continue
-        if tag in ENDS_P:
-            names = [t for t, _ in stack]
-            if names and names[-1] == "p":
-                stack.pop()
+        if tag in ENDS_P and stack and stack[-1][0] == "p":
+            close(len(stack) - 1)
         if tag in IMPLIED:
             ends, upto = IMPLIED[tag]
-            i = len(stack) - 1
-            while i >= 0 and stack[i][0] not in upto:
-                if stack[i][0] in ends:
-                    del stack[i:]
-                i -= 1
-        if tag not in VOID and not m["attrs"].endswith("/"):
+            least = max((where[t][-1] for t in upto if where.get(t)), default=-1)
+            inside = [h for t in ends if where.get(t) for h in where[t][bisect_right(where[t], least) :][:1]]
+            if inside:
+                close(min(inside))
+        if tag not in VOID and not closes:
             marks = " ".join(w for x in _MARK.findall(m["attrs"]) for w in _SPLIT.split("".join(x).lower()) if w and not w.isdigit()) if m["attrs"] else ""
-            stack.append((tag, f"{tag} {marks}".strip()))
-    add(page[at:])
+            stack.append((tag, place))
+            where.setdefault(tag, []).append(len(stack) - 1)
+            place = place.child(f"{tag} {marks}".strip())
+    if ended:  # beyond the last tag, up to one that has no end
+        broken = _OPEN.search(page, at)
+        add(page[at : broken.start() if broken else len(page)])
     flush()
     return out
 
@@ -136,17 +213,29 @@ _WORDS = np.random.Generator(np.random.PCG64(7)).standard_normal((4096, WORD_DIM
 
 
 @cache
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    names = [[*x.split()] for x in path]
-    whole = sum((_unit(n, PATH_DIM) for x in names for n in {x[0], *(f".{w}" for w in x[1:])}), np.zeros(PATH_DIM, np.float32))
-    own = sum((_unit(n, PATH_DIM) for n in {names[-1][0], *(f".{w}" for w in names[-1][1:])}), np.zeros(PATH_DIM, np.float32)) if names else np.zeros(PATH_DIM, np.float32)
-    return np.concatenate([whole, own])
+def _own_vector(name: str) -> np.ndarray:
+    tag, *words = name.split()
+    return sum((_unit(n, PATH_DIM) for n in sorted({tag, *(f".{w}" for w in words)})), np.zeros(PATH_DIM, np.float32))
+
+
+def _path_vector(path: Place) -> np.ndarray:
+    """Sum of the vectors of all elements of the path, and that of the last one."""
+    above = []
+    while path.vector is None and path.parent:
+        above.append(path)
+        path = path.parent
+    vector = path.vector if path.parent else np.zeros(2 * PATH_DIM, np.float32)
+    for path in reversed(above):
+        own = _own_vector(path.name)
+        path.vector = vector = np.concatenate([vector[:PATH_DIM] + own, own])
+    return vector
 
 
 def features(pages: list[list]) -> list[np.ndarray]:
     """``float32[blocks, DIM]`` for each page, from its blocks."""
-    if _path_vector.cache_info().currsize > 100_000:
-        _path_vector.cache_clear()
+    for names in (_own_vector, _unit):
+        if names.cache_info().currsize > PLACES:
+            names.cache_clear()
     flat = [b for page in pages for b in page]
     out = np.empty((len(flat), DIM), np.float32)
     data, off = buffers(pa.array([t for _, t, _ in flat], pa.large_utf8()))
@@ -167,7 +256,7 @@ def features(pages: list[list]) -> list[np.ndarray]:
     for i, (path, _, _) in enumerate(flat):
         out[i, : 2 * PATH_DIM] = _path_vector(path)
     if flat:
-        out[:, 2 * PATH_DIM + WORD_DIM :] = np.stack([np.minimum(1, n / 50), np.log1p(n) / 6, [b[2] for b in flat], np.minimum(1, ends / 5), place, [len(b[0]) / 10 for b in flat]], axis=1)
+        out[:, 2 * PATH_DIM + WORD_DIM :] = np.stack([np.minimum(1, n / 50), np.log1p(n) / 6, [b[2] for b in flat], np.minimum(1, ends / 5), place, [b[0].depth / 10 for b in flat]], axis=1)
     return np.split(out, np.cumsum(sizes)[:-1]) if pages else []
 
 
@@ -188,10 +277,11 @@ class Labeller:
         """``x[steps, pages, DIM]``, ``live[steps, pages]``: state after each step; dead steps keep the state."""
         steps, pages, _ = x.shape
         n = u.shape[0]
-        drive = x @ w + b
         h, c, out = np.zeros((pages, n), np.float32), np.zeros((pages, n), np.float32), np.empty((steps, pages, n), np.float32)
         for t in range(steps):
-            z = drive[t] + h @ u
+            if t % 4096 == 0:
+                drive = x[t : t + 4096] @ w + b
+            z = drive[t % 4096] + h @ u
             gate = 1 / (1 + np.exp(-z[:, : 3 * n]))
             c2 = gate[:, n : 2 * n] * c + gate[:, :n] * np.tanh(z[:, 3 * n :])
             h2 = gate[:, 2 * n :] * np.tanh(c2)

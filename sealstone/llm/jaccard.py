@@ -16,7 +16,7 @@ Lists and groups are kept in cells of at most PART members (and PART_BYTES), by
 connected piece meets those of other cells, and so on; only where pieces stay apart do their members meet in pairs of cells.
 Many copies alike thus cost their number; members that are candidates of each other and yet not linked cost the square of theirs in comparisons.
 
-Shingles are compared by 64-bit digests, made from BLAKE2b digests of their words (two of one document pair clash about once in 10^13).
+Shingles are compared by 64-bit digests, made from digests of their words (two of one document pair clash about once in 10^13).
 Sets are one class if their sizes and two 64-bit sums of their digests agree. Null and empty texts have no set
 and link with nothing. Rows that repeat a key count each by its own text. A null key has no number to lend: it takes the others' component.
 """
@@ -37,7 +37,7 @@ PERCENT = 80
 WORDS = 5
 COMMON, COMMON_LEAST = 200_000, 16  #: common shingles that go to every task, and the documents that such a one is in at least
 LIGHT_MOST = 1024
-PART, PART_BYTES = 256, 16 << 20  #: members of a cell of a list or group, and bytes of their sets
+PART, PART_BYTES = 128, 16 << 20  #: members of a cell of a list or group, and bytes of their sets
 BUCKET = 400_000  #: entries of a task, about
 LONG = 100_000  #: documents from which on a shingle's list is not dealt as one
 BROADCAST_KEYS = 1_000_000  #: keys that are sent to every task rather than shuffled
@@ -317,7 +317,7 @@ def connect(rows: DataFrame, percent: int, exact: bool, name: str, task: int) ->
     run = stars(percent, exact)
 
     def meet(t: DataFrame, run, rows_: int) -> DataFrame:
-        tasks = max(64, -(-rows_ // task))
+        tasks = max(128, -(-rows_ // task))
         return t.withColumn("task", F.pmod(F.xxhash64("cell", F.lit(7)), F.lit(tasks))).groupBy("task").applyInArrow(run, CELLS)
 
     def in_cells(t: DataFrame, seed: int) -> tuple[DataFrame, int]:

@@ -1,17 +1,21 @@
 """Licence scans: phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a window of BLOCK words, a new one every BLOCK / 2 words, so any passage of BLOCK / 2 words
-lies whole in one. A block matches a template if it holds at least THRESHOLD of the template's distinct words.
+A block is a window of words, a new one every half of its length, so any passage of half a block lies whole in one. Each template has blocks of its own
+size, a power of two of at least BLOCK words of which half hold the template with room to spare. A block holds a template if it has at least THRESHOLD of the template's distinct words.
 Words are ordered by the number of blocks of the whole corpus that hold them, rarest first. A block can only
 match if it holds one of a template's first words in that order (prefix filter), holds enough template
 words at all (length filter), and enough of them lie beyond the first common one (positional filter); what
 is left is counted exactly. Templates are a fixed list, so they go to every task, and blocks are never shuffled.
 
+Sets know no order, so a block that holds a template is a candidate: its label is given where the template's words also stand in their order (longest common
+subsequence, THRESHOLD of all words) within SPAN times its length. Of templates found at one place those with most words in common stay, and of these the most complete.
+
 A null text is empty: no words, no labels, score 0. Each row is scanned by itself, so ties and repeated rows change nothing.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -25,6 +29,7 @@ from sealstone.llm.common import buffers, slices, split_words, table
 
 BLOCK = 128
 THRESHOLD = 0.85
+SPAN = 1.5
 
 #: Phrases of the base labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -35,7 +40,8 @@ TEMPLATES = (
     ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
@@ -45,6 +51,37 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    # Whole licence texts.
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+        copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code
+        must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+        CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+        IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+        OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        3. This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+        code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software
+        dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+        We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
 )
 
 #: Bytes of words, once A to Z are lower: digits, a to z, and all of multi-byte characters.
@@ -64,12 +101,25 @@ def words_of(text: str) -> list[str]:
     return [distinct[int(i)].as_py() for i in codes]
 
 
+def block_of(n_words: int) -> int:
+    """Words of the blocks for a template of so many words."""
+    size = BLOCK
+    while size // 2 < reach(n_words):
+        size *= 2
+    return size
+
+
+def reach(n_words: int) -> int:
+    """Words within which a template of so many words may stand."""
+    return int(np.ceil(SPAN * n_words)) + 2
+
+
 @dataclass
 class Templates:
-    """Templates as sets of word numbers."""
+    """Templates as sequences and sets of word numbers."""
 
     labels: list[str]
-    sets: list[list[int]]
+    words: list[list[int]]
     phrases: list[tuple[list[int], str]]
     vocabulary: list[str]
     order: list[list[int]] = field(default_factory=list)  #: each set, rarest word first
@@ -80,10 +130,52 @@ class Templates:
         terms = [(words_of(text), label) for text, label in phrases]
         vocabulary = sorted({w for _, ws in split for w in ws} | {w for ws, _ in terms for w in ws})
         number = {w: i for i, w in enumerate(vocabulary)}
-        return cls([x for x, _ in split], [sorted({number[w] for w in ws}) for _, ws in split], [([number[w] for w in ws], label) for ws, label in terms], vocabulary)
-
-    def ordered(self, frequency: np.ndarray) -> Templates:
-        return Templates(self.labels, self.sets, self.phrases, self.vocabulary, [sorted(s, key=lambda c: (frequency[c], c)) for s in self.sets])
+        return cls([x for x, _ in split], [[number[w] for w in ws] for _, ws in split], [([number[w] for w in ws], label) for ws, label in terms], vocabulary)
+
+    @property
+    def sizes(self) -> list[int]:
+        """Sizes of blocks, each once."""
+        return sorted({block_of(len(w)) for w in self.words})
+
+    def held(self, size: int) -> np.ndarray:
+        """Which words the templates with blocks of that size hold."""
+        out = np.zeros(len(self.vocabulary), bool)
+        for w in self.words:
+            out[w] |= block_of(len(w)) == size
+        return out
+
+    def ordered(self, frequency: dict[int, np.ndarray]) -> Templates:
+        return Templates(self.labels, self.words, self.phrases, self.vocabulary, [sorted(set(w), key=lambda c: (frequency[block_of(len(w))][c], c)) for w in self.words])
+
+
+def in_order(template: list[int], words: np.ndarray) -> int:
+    """Length of the longest common subsequence: the longest run of rising places of the template, taken from its end for each word."""
+    places: dict[int, list[int]] = {}
+    for i in range(len(template) - 1, -1, -1):
+        places.setdefault(template[i], []).append(i)
+    ends: list[int] = []  # least last place of a subsequence of each length
+    for w in words.tolist():
+        for i in places.get(w, ()):
+            at = bisect_left(ends, i)
+            ends[at : at + 1] = [i]
+    return len(ends)
+
+
+def placed(template: list[int], words: np.ndarray, at: np.ndarray, threshold: float) -> tuple[int, int, int] | None:
+    """Words in common, and where they begin and end, at the best place where the template's words stand in order within its reach; ``at``: positions of ``words`` (those of the template alone)."""
+    need, wide, step = threshold * len(template) - 1e-9, reach(len(template)), max(1, len(template) // 8)
+    if in_order(template, words) < need:
+        return None
+    best = None
+    a = 0
+    while a < len(at):
+        b = int(np.searchsorted(at, at[a] + wide + step - 1))
+        if b - a >= need:
+            got = in_order(template, words[a:b])
+            if got >= need and (best is None or got > best[0]):
+                best = (got, int(at[a]), int(at[b - 1]))
+        a = max(a + 1, int(np.searchsorted(at, at[a] + step)))
+    return best
 
 
 def found(batch: pa.RecordBatch, t: Templates) -> pa.RecordBatch:
@@ -93,12 +185,13 @@ def found(batch: pa.RecordBatch, t: Templates) -> pa.RecordBatch:
     words = split_words(data, off, ~IN_WORD[data])
     codes, distinct = words.codes()
     at = pc.index_in(distinct, value_set=pa.array(t.vocabulary, pa.large_utf8())).fill_null(-1).to_numpy(zero_copy_only=False)
-    seq = at[codes].astype(np.int16) if len(codes) else np.zeros(0, np.int16)
+    seq = at[codes].astype(np.int32) if len(codes) else np.zeros(0, np.int32)
     rows = len(off) - 1
     doc_of = lambda i: np.searchsorted(words.doc, i, side="right") - 1
-    n_base, masks = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    n_base = np.zeros(rows, np.int64)
+    labels: dict[int, set[str]] = {}
     first, last = np.full(rows, np.iinfo(np.int64).max), np.full(rows, -1, np.int64)
-    for bit, (phrase, _) in enumerate(t.phrases):
+    for phrase, label in t.phrases:
         k = len(phrase)
         hit = np.flatnonzero(seq[: max(0, len(seq) - k + 1)] == phrase[0])
         for j in range(1, k):
@@ -108,7 +201,8 @@ def found(batch: pa.RecordBatch, t: Templates) -> pa.RecordBatch:
         hit, doc = hit[inside], doc[inside]
         place = hit - words.doc[doc]
         n_base += np.bincount(doc, minlength=rows)
-        masks[doc] |= 1 << bit
+        for d in np.unique(doc).tolist():
+            labels.setdefault(d, set()).add(label)
         np.minimum.at(first, doc, place)
         np.maximum.at(last, doc, place)
     hits = np.flatnonzero(seq >= 0)
@@ -116,32 +210,44 @@ def found(batch: pa.RecordBatch, t: Templates) -> pa.RecordBatch:
     place = (hits - words.doc[doc_of(hits)]).astype("<i4") if len(hits) else np.zeros(0, "<i4")
     packed = lambda x: pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(bounds.astype(np.int64) * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
     none = n_base == 0
-    return pa.RecordBatch.from_pydict({"key": batch.column("key"), "n_words": pa.array(words.counts), "n_base": pa.array(n_base), "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base": pa.array(masks), "codes": packed(seq[hits].astype("<i2")), "places": packed(place)})
+    return pa.RecordBatch.from_pydict({"key": batch.column("key"), "n_words": pa.array(words.counts), "n_base": pa.array(n_base), "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base": pa.array([",".join(sorted(labels.get(i, ()))) for i in range(rows)], pa.string()), "codes": packed(seq[hits].astype("<i4")), "places": packed(place)})
+
 
+FOUND = "key long, n_words long, n_base long, first_word long, last_word long, base string, codes binary, places binary"
 
-FOUND = "key long, n_words long, n_base long, first_word long, last_word long, base long, codes binary, places binary"
 
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template words of all texts, their positions, and where each text's begin."""
 
-def blocks(batch: pa.RecordBatch, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (block, template word) pairs in order: the row of each block, the block of each pair, the word of each pair."""
-    def flat(name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
         data, off = buffers(batch.column(name))
-        return data.view(kind) if len(data) else np.zeros(0, kind), off // np.dtype(kind).itemsize
+        return data.view("<i4") if len(data) else np.zeros(0, "<i4"), off // 4
+
+    (codes, off), (places, _) = flat("codes"), flat("places")
+    return codes, places, off
 
-    (codes, off), (places, _) = flat("codes", "<i2"), flat("places", "<i4")
+
+def blocks(codes: np.ndarray, places: np.ndarray, off: np.ndarray, n_codes: int, size: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (block, word) pairs of the ``held`` words, in order: the text of each block and its number there, the block of each pair, the word of each pair."""
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    step = BLOCK // 2
+    on = held[codes] if len(codes) else np.zeros(0, bool)
+    codes, places, row = codes[on], places[on], row[on]
+    step = size // 2
     own = (row.astype(np.int64) << 32) | (places // step)
     again = places >= step
-    pair = np.unique(np.concatenate([own, own[again] - 1]) * n_codes + np.concatenate([codes, codes[again]]))
-    block, index = np.unique(pair // n_codes, return_inverse=True)
-    return block >> 32, index, pair % n_codes
+    both, word = np.concatenate([own, own[again] - 1]), np.concatenate([codes, codes[again]])
+    order = np.lexsort((word, both))
+    both, word = both[order], word[order]
+    once = np.ones(len(both), bool)
+    once[1:] = (both[1:] != both[:-1]) | (word[1:] != word[:-1])
+    block, index = np.unique(both[once], return_inverse=True)
+    return block >> 32, block & 0xFFFFFFFF, index, word[once]
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document: key, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks (matching)."""
+    """A row for each document: key, n_words, n_base, first_word, last_word, base_labels, labels, score (largest share of a template's words in a block), contained (labels of all templates held by a block), n_blocks (pairs of a block and a template that it holds)."""
     t = Templates.of(templates, phrases)
-    size = len(t.vocabulary)
+    size, kinds = len(t.vocabulary), [(b, t.held(b)) for b in t.sizes]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,42 +255,69 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
                 yield found(part, t)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros((len(kinds), size), np.int64)
         for batch in batches:
-            total += np.bincount(blocks(batch, size)[2], minlength=size)
-        yield pa.RecordBatch.from_pydict({"code": pa.array(np.arange(size)), "n": pa.array(total)})
+            words = unpacked(batch)
+            for i, (b, held) in enumerate(kinds):
+                total[i] += np.bincount(blocks(*words, size, b, held)[3], minlength=size)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.repeat([b for b, _ in kinds], size).astype(np.int64)), "code": pa.array(np.tile(np.arange(size), len(kinds))), "n": pa.array(total.ravel())})
 
     rows = table(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(find, FOUND), "license-words")
-    frequency = np.zeros(size, np.int64)
-    for code, n in rows.select("codes", "places").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).collect():  # a row for each template word
-        frequency[code] = n
+    frequency = {b: np.zeros(size, np.int64) for b, _ in kinds}
+    for b, code, n in rows.select("codes", "places").mapInArrow(count, "block long, code long, n long").groupBy("block", "code").agg(F.sum("n")).collect():  # a row for each size of blocks and template word
+        frequency[b][code] = n
     ready = t.ordered(frequency)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block_row, block, code = blocks(batch, size)
-            held = np.bincount(block, minlength=len(block_row))
+            codes, places, off = unpacked(batch)
             score, matching = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            labels: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            for label, order in zip(ready.labels, ready.order, strict=True):
-                need = int(np.ceil(threshold * len(order) - 1e-9))
-                place = np.full(size, len(order))
-                place[order] = np.arange(len(order))
-                at = place[code]
-                prefix = at <= len(order) - need
-                first = np.full(len(block_row), len(order))
-                np.minimum.at(first, block[prefix], at[prefix])
-                may = (first <= len(order) - need) & (held >= need) & (len(order) - first >= need)
-                pick = may[block] & (at < len(order))
-                overlap = np.bincount(block[pick], minlength=len(block_row))
-                np.maximum.at(score, block_row, overlap / len(order))
-                full = np.flatnonzero(overlap >= need)
-                np.add.at(matching, block_row[full], 1)
-                for r in np.unique(block_row[full]).tolist():
-                    labels[r].add(label)
-            base = [[label for bit, (_, label) in enumerate(ready.phrases) if m >> bit & 1] for m in batch.column("base").to_pylist()]
-            score[[bool(b) for b in base]] = 1.0
+            contained: dict[int, set[str]] = {}
+            candidates: dict[int, list[tuple[int, int, int]]] = {}  # of each text: template, and the words of the block
+            for b, kept in kinds:
+                block_row, block_number, block, code = blocks(codes, places, off, size, b, kept)
+                held = np.bincount(block, minlength=len(block_row))
+                for number, order in enumerate(ready.order):
+                    if block_of(len(ready.words[number])) != b:
+                        continue
+                    need = int(np.ceil(threshold * len(order) - 1e-9))
+                    place = np.full(size, len(order))
+                    place[order] = np.arange(len(order))
+                    at = place[code]
+                    prefix = at <= len(order) - need
+                    first = np.full(len(block_row), len(order))
+                    np.minimum.at(first, block[prefix], at[prefix])
+                    may = (first <= len(order) - need) & (held >= need) & (len(order) - first >= need)
+                    pick = may[block] & (at < len(order))
+                    overlap = np.bincount(block[pick], minlength=len(block_row))
+                    np.maximum.at(score, block_row, overlap / len(order))
+                    full = np.flatnonzero(overlap >= need)
+                    np.add.at(matching, block_row[full], 1)
+                    for r, i in zip(block_row[full].tolist(), block_number[full].tolist(), strict=True):
+                        contained.setdefault(r, set()).add(ready.labels[number])
+                        candidates.setdefault(r, []).append((number, i * (b // 2), i * (b // 2) + b))
+            labels = {r: chosen(c, codes[off[r] : off[r + 1]], places[off[r] : off[r + 1]]) for r, c in candidates.items()}
+            base = [set(x.split(",")) - {""} for x in batch.column("base").to_pylist()]
+            score[[bool(x) for x in base]] = 1.0
+            joined = lambda x: ",".join(sorted(x))
             out = {key: batch.column("key")} | {c: batch.column(c) for c in ("n_words", "n_base", "first_word", "last_word")}
-            yield pa.RecordBatch.from_pydict(out | {"base_labels": [",".join(sorted(set(b))) for b in base], "labels": [",".join(sorted(a | set(b))) for a, b in zip(labels, base, strict=True)], "score": pa.array(score), "n_blocks": pa.array(matching)})
-
-    return rows.mapInArrow(join, f"{key} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")
+            yield pa.RecordBatch.from_pydict(out | {"base_labels": batch.column("base"), "labels": pa.array([joined(labels.get(i, set()) | x) for i, x in enumerate(base)], pa.string()), "score": pa.array(score), "contained": pa.array([joined(contained.get(i, ())) for i in range(batch.num_rows)], pa.string()), "n_blocks": pa.array(matching)})
+
+    def chosen(candidates: list[tuple[int, int, int]], words: np.ndarray, at: np.ndarray) -> set[str]:
+        """Labels of the templates that stand in a text in order; of those at one place the most specific."""
+        got = []
+        for number, begin, end in candidates:
+            template = ready.words[number]
+            a, b = np.searchsorted(at, (begin, end))
+            own = np.isin(words[a:b], template)
+            where = placed(template, words[a:b][own], at[a:b][own], threshold)
+            if where:
+                got.append((where[0], where[0] / len(template), where[1], where[2], ready.labels[number]))
+        got.sort(key=lambda x: (-x[0], -x[1]))
+        kept: list[tuple] = []
+        for n, share, begin, end, label in got:
+            if not any(begin <= e and b <= end and (m, s) > (n, share) for m, s, b, e, _ in kept):
+                kept.append((n, share, begin, end, label))
+        return {x[-1] for x in kept}
+
+    return rows.mapInArrow(join, f"{key} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, contained string, n_blocks long")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -170,5 +171,40 @@ def test_pages_of_the_table(spark):
     assert sum(g[0] == w for g, w in zip(got, want)) >= 0.99 * len(rows)
 
 
+def text_of(page):
+    return [t for _, t, _ in html.blocks(page)]
+
+
+def test_odd_markup_loses_nothing():
+    """Drawings, formulas, objects, unended elements and tags: what stands outside them is read, and in order."""
+    assert text_of("<p>A<svg class=i />b</p><p>C</p>") == ["Ab", "C"]
+    assert text_of("<p>A<svg><title>no</title><g/>x</svg>b<svg><path><p>C") == ["Ab", "C"]
+    assert text_of("<p>Energy is <math><mi>E</mi><mo>=</mo><mn>1</mn></math> conserved") == ["Energy is E=1 conserved"]
+    assert text_of("<object data=x><p>Fallback</p>") == ["Fallback"]
+    assert text_of("<noscript>no</noscript><p>A</p><noscript><p>B</p>") == ["A", "B"]
+    assert text_of("<p>A</p><script>var a = '<p>B</p>';</script ><p>C<textarea><p>D") == ["A", "C"]
+    assert text_of("<p>A</p><!-- x --><p>B</p><!-- <p>C") == ["A", "B"]
+    assert text_of("<p>A < b > c &lt;d&gt; <3</p>e <a href='x") == ["A < b > c <d> <3", "e"]
+    assert text_of("no tags at all") == ["no tags at all"]
+    assert [list(p) for p, _, _ in html.blocks("<ul><li>a<div><li>b</div><li>c</ul><li>d")] == [["ul", "li"], ["ul", "li"], ["ul", "li"], ["li"]]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", "<li>x", "</p>", "<div><li>", "<svg>", "<noscript>", "<!--", "<p class='", "&#", "<p>x"])
+def test_hostile_pages_take_time_in_proportion(part):
+    def took(n):
+        begin = time.process_time()
+        html.features([html.blocks(part * n)])
+        return time.process_time() - begin
+
+    took(1000)
+    assert took(80_000) < 8 * max(took(20_000), 0.15)
+
+
+def test_pages_with_other_columns_and_ties(spark):
+    page = "<article><p>One two three four five. Six seven eight nine ten, eleven twelve thirteen.</p></article>"
+    rows = spark.createDataFrame([(1, "u", page, "k", "t", 1), (1, "u", page, "k", "t", 2), (2, None, None, None, None, None)], "page_id long, url string, html string, key string, text string, n_chars int")
+    assert Counter((r.page_id, r.n_chars) for r in html.main_text(rows).collect()) == Counter({(1, len(html.blocks(page)[0][1])): 2, (2, 0): 1})
+
+
 def test_labeller_on_new_layouts():
     assert html_train.accuracy({k: v for k, v in html.Labeller.load().w.items()}, pages=200, seed=31337) > 0.98

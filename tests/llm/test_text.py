@@ -137,20 +137,40 @@ def test_licenses_base(spark, odd, none):
 
 
 def test_licenses_join_is_exact(spark):
-    """Against counting every template in every block of every text."""
+    """Against counting every template in every block of every text; templates of 5 to over 200 words."""
     r = random.Random(3)
     pool = [w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)] + ["some", "other", "words", "here"]
     texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 400))) for _ in range(60)]
     texts += [" ".join(["lorem"] * 50 + licenses.words_of(t) + ["ipsum"] * 90) for _, t in licenses.TEMPLATES]
     out = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=()).collect()}
     for i, t in enumerate(texts):
-        w, want = t.split(), set()
-        for a in range(0, max(1, len(w)), licenses.BLOCK // 2):
-            block = set(w[a : a + licenses.BLOCK])
-            for label, template in licenses.TEMPLATES:
-                s = set(licenses.words_of(template))
-                if len(s & block) >= licenses.THRESHOLD * len(s) - 1e-9:
+        w, want, n = t.split(), set(), 0
+        for label, template in licenses.TEMPLATES:
+            words, size = licenses.words_of(template), licenses.block_of(len(licenses.words_of(template)))
+            for a in range(-size // 2, max(1, len(w)), size // 2):
+                if len(set(words) & set(w[max(0, a) : a + size])) >= licenses.THRESHOLD * len(set(words)) - 1e-9 and (a >= 0):
                     want.add(label)
-        assert out[i].labels == ",".join(sorted(want)), i
-        assert 0 <= out[i].score <= 1
-    assert all(out[60 + k].labels for k in range(len(licenses.TEMPLATES)))
+                    n += 1
+        assert (out[i].contained, out[i].n_blocks) == (",".join(sorted(want)), n), i
+        assert 0 <= out[i].score <= 1 and set(out[i].labels.split(",")) <= want | {""}
+    assert all(licenses.TEMPLATES[k][0] in out[60 + k].labels.split(",") for k in range(len(licenses.TEMPLATES)))
+
+
+def test_long_templates_are_found(spark):
+    """A template of 900 words, whole and with a tenth of its words changed."""
+    r = random.Random(4)
+    long_ = [f"term{i}" for i in range(900)]
+    changed = [w if r.random() > 0.1 else "other" for w in long_]
+    texts = [" ".join(["x"] * 700 + w + ["y"] * 700) for w in (long_, changed, long_[:450], long_[::-1])]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=(("own", " ".join(long_)),)).orderBy("doc_id").collect()
+    assert [(x.labels, x.contained) for x in got] == [("own", "own"), ("own", "own"), ("", ""), ("", "own")]
+
+
+def test_license_labels_are_specific(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = {gpl.format(""): "gpl", gpl.format("Lesser "): "lgpl", gpl.format("Affero "): "agpl", cc.format(""): "cc-by", cc.format("-ShareAlike"): "cc-by-sa"}
+    texts |= {"We released the cat today under the desk of the mit lab, and a driving license was found": "", "license mit the under released": "", "Released under the MIT License.": "mit"}
+    texts |= {gpl.format("Lesser ") + " " + "word " * 300 + cc.format(""): "cc-by,lgpl"}
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x.labels for x in out] == list(texts.values())
