@@ -2,8 +2,9 @@
 
 A shard is two files. ``*.ids``: the ids of its documents end to end, little-endian, in ascending
 key order. ``*.idx``: the keys, and a minimal perfect hash from key to slot; each slot holds a
-32-bit fingerprint of its key, the offset of its document and its number of ids. A look-up is one
-hash, a few bit tests and one read, however many documents there are.
+32-bit fingerprint of its key, the offset of its document and its number of ids. A look-up reads the
+head of the index once, then for a key a few words of bits, one slot and the ids, however many documents there are.
+``Store`` finds the shard of a key by the key ranges in the manifest; ``look_up`` does so for a table of keys.
 
 Null keys come first, a null text has the end id alone, rows that repeat a key are told apart by
 their ordinal, an empty table makes no shard, other columns are left alone.
@@ -15,6 +16,7 @@ import io
 import json
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -94,16 +96,17 @@ def _pack(arrays: dict[str, np.ndarray], meta: dict) -> bytes:
     return out.getvalue()
 
 
-def _unpack(raw: bytes) -> tuple[dict[str, np.ndarray], dict]:
-    if raw[:8] != MAGIC:
+def _layout(read) -> tuple[dict[str, tuple[np.dtype, int, int]], dict]:
+    """Type, number and first byte of each array of an index, and its other facts. ``read(at, n)`` gives bytes of the file."""
+    head = read(0, 12)
+    if head[:8] != MAGIC:
         raise ValueError("not an index file")
-    n = int.from_bytes(raw[8:12], "little")
-    head, at, arrays = json.loads(raw[12 : 12 + n]), 12 + n, {}
-    for name, kind, size in head["arrays"]:
-        dtype = np.dtype(kind)
-        arrays[name] = np.frombuffer(raw, dtype, size, at)
-        at += size * dtype.itemsize
-    return arrays, head["meta"]
+    n = int.from_bytes(head[8:12], "little")
+    facts, at, arrays = json.loads(read(12, n)), 12 + n, {}
+    for name, kind, size in facts["arrays"]:
+        arrays[name] = (np.dtype(kind), size, at)
+        at += size * np.dtype(kind).itemsize
+    return arrays, facts["meta"]
 
 
 def ordinals(key: np.ndarray, is_null: np.ndarray) -> np.ndarray:
@@ -117,19 +120,33 @@ def ordinals(key: np.ndarray, is_null: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """One shard, open for look-ups."""
+    """One shard, open for look-ups. Its head is read at once, other parts of the index as they are needed."""
 
     def __init__(self, path: str) -> None:
         """``path``: URI without ``.ids`` or ``.idx``."""
         self.fs, self.path = pafs.FileSystem.from_uri(path)
-        with self.fs.open_input_stream(f"{self.path}.idx") as f:
-            self.arrays, self.meta = _unpack(f.read())
-        self.hash = PerfectHash(self.meta["sizes"], self.arrays["bits"], self.arrays["rank"])
+        self._index = self.fs.open_input_file(f"{self.path}.idx")
+        self._at, self.meta = _layout(lambda at, n: self._index.read_at(n, at))
+        self._arrays: dict[str, np.ndarray] | None = None
+
+    @property
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The whole index, for work on all keys."""
+        if self._arrays is None:
+            self._arrays = {k: np.frombuffer(self._index.read_at(n * kind.itemsize, at), kind) for k, (kind, n, at) in self._at.items()}
+        return self._arrays
+
+    def _one(self, name: str, i: int):
+        """One value of an array, read where it lies."""
+        kind, n, at = self._at[name]
+        if not 0 <= i < n:
+            raise IndexError(i)
+        return np.frombuffer(self._index.read_at(kind.itemsize, at + i * kind.itemsize), kind)[0]
 
     def find(self, key: np.ndarray, is_null: np.ndarray, ordinal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offset and number of ids of each key's document; -1 for keys that are not there."""
         h = key_hash(key, is_null, ordinal)
-        slot = self.hash.slot(h)
+        slot = PerfectHash(self.meta["sizes"], self.arrays["bits"], self.arrays["rank"]).slot(h)
         n = len(self.arrays["offset"])
         good = (slot >= 0) & (slot < n)
         good[good] = self.arrays["fingerprint"][slot[good]] == fingerprint(h[good])
@@ -137,18 +154,78 @@ class Shard:
         offset[good], size[good] = self.arrays["offset"][slot[good]], self.arrays["size"][slot[good]]
         return offset, size
 
+    def _slot(self, h: np.ndarray) -> int:
+        base = 0
+        for level, size in enumerate(self.meta["sizes"]):
+            at = base + int(PerfectHash._place(h, level, size)[0])
+            word, bit = int(self._one("bits", at >> 6)), at & 63
+            if word >> bit & 1:
+                return int(self._one("rank", at >> 6)) + (word & ((1 << bit) - 1)).bit_count()
+            base += size
+        return -1
+
     def get(self, key: int | None, ordinal: int = 0) -> np.ndarray | None:
-        """The ids of one document."""
-        (at,), (size,) = self.find(np.array([key or 0]), np.array([key is None]), np.array([ordinal]))
-        if at < 0:
+        """The ids of one document; None if its fingerprint is not there."""
+        h = key_hash(np.array([key or 0]), np.array([key is None]), np.array([ordinal]))
+        slot = self._slot(h)
+        if slot < 0 or self._one("fingerprint", slot) != fingerprint(h)[0]:
             return None
-        width = np.dtype(self.meta["dtype"]).itemsize
+        kind, at, size = np.dtype(self.meta["dtype"]), int(self._one("offset", slot)), int(self._one("size", slot))
         with self.fs.open_input_file(f"{self.path}.ids") as f:
-            f.seek(int(at) * width)
-            return np.frombuffer(f.read(int(size) * width), self.meta["dtype"])
+            return np.frombuffer(f.read_at(size * kind.itemsize, at * kind.itemsize), kind)
+
+
+class Store:
+    """Keyed access to all shards of a manifest (a row for each shard). Null keys lie in the shards that begin with one."""
+
+    def __init__(self, manifest: DataFrame) -> None:
+        rows = sorted(manifest.select("shard", "path", "first_key", "last_key", "n_null").collect())
+        self.nulls = [r[1] for r in rows if r[4]]
+        self.keyed = [(r[2], r[3], r[1]) for r in rows if r[2] is not None]
+        self._open: dict[str, Shard] = {}
+
+    def _shard(self, path: str) -> Shard:
+        if path not in self._open:
+            self._open[path] = Shard(path)
+        return self._open[path]
+
+    def get(self, key: int | None, ordinal: int = 0) -> np.ndarray | None:
+        """The ids of one document: that of the key, and of rows that repeat it the one of that ordinal in its first shard."""
+        if key is None:
+            paths = self.nulls
+        else:
+            at = bisect_left(self.keyed, key, key=lambda x: x[1])
+            paths = [p for first, _, p in self.keyed[at : at + 1] if first <= key]
+        for path in paths[:1]:
+            return self._shard(path).get(key, ordinal)
+        return None
+
+
+def look_up(manifest: DataFrame, keys: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(key, ids binary): the ids of each wanted key, null if it is not there; each key once. A task opens the shards that its keys lie in."""
+    ranges = sorted(tuple(r) for r in manifest.filter("first_key is not null").select("first_key", "last_key", "path").collect())  # a row a shard
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[str, Shard] = {}
+        for batch in batches:
+            out = []
+            for k in batch.column("key").to_pylist():
+                at = bisect_left(ranges, k, key=lambda x: x[1])
+                ids = None
+                if at < len(ranges) and ranges[at][0] <= k:
+                    path = ranges[at][2]
+                    if path not in shards:
+                        shards.clear()  # keys come in order
+                        shards[path] = Shard(path)
+                    ids = shards[path].get(k)
+                out.append(None if ids is None else ids.tobytes())
+            yield pa.RecordBatch.from_pydict({key: batch.column("key"), "ids": pa.array(out, pa.binary())})
+
+    wanted = keys.select(F.col(key).cast("long").alias("key")).filter("key is not null").distinct()
+    return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(read, f"{key} long, ids binary")
 
 
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
+MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key long, last_key long, n_null long"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 0, dtype: str = "<u2", out: str | None = None) -> DataFrame:
@@ -185,6 +262,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
             return
         stream.close()
         key_, null_, size_ = np.concatenate(keys), np.concatenate(nulls), np.concatenate(sizes).astype(np.int64)
+        own = key_[~null_]
         h = key_hash(key_, null_, ordinals(key_, null_))
         index = PerfectHash.build(h)
         slot = index.slot(h)
@@ -194,10 +272,10 @@ def write_shards(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
             arrays[what][slot] = values
         with fs.open_output_stream(f"{base}/{name}.idx") as f:
             f.write(_pack(arrays, {"sizes": index.sizes, "dtype": dtype}))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{out}/{name}"], "n_docs": pa.array([len(key_)], pa.int64()), "n_ids": pa.array([int(size_.sum())], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{out}/{name}"], "n_docs": pa.array([len(key_)], pa.int64()), "n_ids": pa.array([int(size_.sum())], pa.int64()), "first_key": pa.array([int(own[0]) if len(own) else None], pa.int64()), "last_key": pa.array([int(own[-1]) if len(own) else None], pa.int64()), "n_null": pa.array([int(null_.sum())], pa.int64())})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = max(1, docs.rdd.getNumPartitions())
+    parts = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     placed = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("row"))
     return table(placed.select("key", "text").mapInArrow(write, MANIFEST), "token-manifest")
 

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstone.llm.common import fresh_path, table
+from sealstone.llm.components import join_spread
 
 MIN_REVISIT = 100
 ROLL = 64 << 20  #: bytes after which a task begins its next archive
@@ -144,17 +145,25 @@ def read_archive(source, keep_payload: bool = False) -> Iterator[Record]:
 def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT, roll: int = ROLL, out: str | None = None) -> DataFrame:
     """Writes all rows; returns the manifest: path, n_records, n_bytes, a row for each archive.
 
-    Which record is the response is found over narrow rows (partial minimum for each digest), then joined to the payloads
-    by row, so no number of copies meets in one task with its payloads. Files have names of their own attempt."""
+    Which record is the response is found over narrow rows (partial counts for each digest and key), then joined to the payloads
+    by digest: sent to every task, or each digest in several parts, so no number of copies meets in one task with its payloads. Files have names of their own attempt."""
     spark = pages.sparkSession
     out = out or fresh_path(spark, "warc")
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
-    facts = rows.select("key", "row", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
-    long_ = facts.filter(F.col("size") >= min_revisit)
-    order = F.struct(F.col("key").isNull().alias("last"), "key", "row")
-    firsts = long_.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    revisits = long_.join(firsts, "digest").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("row_"), F.col("first.key").alias("refers_to"))
-    joined = rows.join(revisits, rows["row"] == revisits["row_"], "left").select("key", "url", "payload", F.col("row_").isNotNull().alias("revisit"), "refers_to")
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_revisit, F.sha2("payload", 256)))
+    each = rows.filter("digest is not null").groupBy("digest", "key").count()
+    own = F.struct(F.col("key").isNull().alias("last"), "key", F.col("count").alias("rows"))
+    firsts = each.groupBy("digest").agg(F.min(own).alias("first"), F.sum("count").alias("n")).filter("n > 1")
+    firsts = table(firsts.select("digest", F.col("first.key").alias("refers_to"), F.col("first.rows").alias("first_rows")), "warc-firsts")
+    # Nothing but the digest and the key decides, so no row is numbered, and payloads stay where they are while the copied digests are few.
+    told = join_spread(rows, firsts, "digest", "key", firsts.count(), "left")
+    told = told.withColumn("first_rows", F.coalesce("first_rows", F.lit(0))).withColumn("revisit", (F.col("first_rows") > 0) & ~F.col("key").eqNullSafe(F.col("refers_to")))
+    joined = told.select("key", "url", "payload", "revisit", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"))
+    if firsts.filter("first_rows > 1").limit(1).count():  # rows repeat the key of a response: the one of the first URL is it
+        again = (F.col("first_rows") > 1) & ~F.col("revisit")
+        order = F.row_number().over(Window.partitionBy("digest", "key").orderBy("url"))
+        repeated = told.filter(again).withColumn("revisit", order > 1).select("key", "url", "payload", "revisit", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"))
+        joined = told.filter(~again).select("key", "url", "payload", "revisit", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to")).union(repeated)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(out)
