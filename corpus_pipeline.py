@@ -2,12 +2,14 @@
 
 STAGES: quality rules, one document of each near-duplicate group, personal data redacted, sources mixed to target
 weights, packing into sequences. All but the last return the columns of documents. A stage's result is written before the
-next stage is called; the next one then deletes what the stage before had written for itself."""
+next stage is called; the next one then deletes what the stage before had written for itself. The first stage begins anew and deletes nothing, and runs in
+other threads or on other folders have tables of their own, so no run touches what another still reads."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +18,7 @@ from sealstone.llm.common import Scratch, table
 from sealstone.llm.queries import BYTE_BPE, PIECES, WORD_BPE, bands
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_last = Scratch()
+_last: dict[tuple[int, str], Scratch] = {}
 
 
 def stage(f: Stage) -> Stage:
@@ -24,8 +26,12 @@ def stage(f: Stage) -> Stage:
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _last.drop(spark)
-        with _last:
+        run_of = (get_ident(), sf_dir)
+        if f is STAGES[0][1].__wrapped__:
+            _last[run_of] = Scratch()
+        own = _last.setdefault(run_of, Scratch())
+        own.drop(spark)
+        with own:
             return f(spark, docs, sf_dir)
 
     return run_stage
