@@ -15,11 +15,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from sealstone.llm.common import buffers, is_space
+from sealstone.llm.common import buffers, is_space, mixed
 
-#: Bytes of pieces (of SHORT characters at most) and their ids that a worker remembers, about; a piece costs OVERHEAD besides.
-REMEMBERED = 40 << 20
-SHORT, OVERHEAD = 48, 160
+#: Bytes of pieces (of SHORT bytes at most) and their ids that a worker remembers, about.
+REMEMBERED = 80 << 20
+SHORT = 48
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -57,54 +57,93 @@ CUT_SAFE = (
 
 
 class Met:
-    """Arrays of short strings met before, one for each string. Strings are compared, never digests; beyond REMEMBERED bytes it starts anew."""
+    """Arrays of short strings met before, one for each string, in a few flat arrays. A digest finds a string, its bytes decide. Beyond REMEMBERED bytes it starts anew."""
 
     def __init__(self, kind) -> None:
         self.kind = kind
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.values, self.off = np.zeros(1 << 16, self.kind), np.zeros(1 << 12, np.int64)
-        self.held = 0
-
-    def add(self, texts: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
-        """Remember the arrays of short ``texts``, which lie in ``values`` end to end."""
-        short = np.fromiter((len(t) <= SHORT for t in texts), bool, len(texts))
-        values, sizes = values[np.repeat(short, sizes)], sizes[short]
-        n, end = len(self.number), int(self.off[len(self.number)])
-        if end + len(values) > len(self.values):  # twice the room, so that copies stay few
-            self.values = np.concatenate([self.values[:end], np.zeros(end + 2 * len(values), self.kind)])
-        if n + len(sizes) + 1 > len(self.off):
-            self.off = np.concatenate([self.off[: n + 1], np.zeros(n + 2 * len(sizes) + 2, np.int64)])
-        self.values[end : end + len(values)] = values
-        self.off[n + 1 : n + 1 + len(sizes)] = end + np.cumsum(sizes)
-        kept = [t for t, s in zip(texts, short.tolist(), strict=True) if s]
-        self.number.update(zip(kept, range(n, n + len(kept)), strict=True))
-        self.held += sum(map(len, kept)) + OVERHEAD * len(kept) + values.nbytes
-
-    def arrays(self, texts: list[str], make) -> tuple[np.ndarray, np.ndarray]:
-        """Array of each of the distinct ``texts``, end to end, and where each begins; ``make`` gives (values, sizes) of those not met before."""
-        if self.held > REMEMBERED:
+        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # digests in order, and the number of each one's string
+        self.text, self.text_off = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.values, self.off = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.known, self.where, self.text, self.text_off, self.values, self.off))
+
+    def find(self, digest: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each string, -1 if it is not there, and whether another has its digest."""
+        number = np.full(len(digest), -1, np.int64)
+        place = np.searchsorted(self.known, digest)
+        inside = np.flatnonzero(place < len(self.known))
+        inside = inside[self.known[place[inside]] == digest[inside]]
+        at, size = self.where[place[inside]].astype(np.int64), np.diff(off)[inside]
+        same = np.diff(self.text_off)[at] == size
+        maybe, at, size = inside[same], at[same], size[same]
+        differs = self.text[spread(self.text_off[:-1][at], size)] != data[spread(off[:-1][maybe], size)]
+        total = np.concatenate([[0], np.cumsum(differs)])
+        end = np.cumsum(size)
+        good = total[end] == total[end - size]
+        number[maybe[good]] = at[good]
+        taken = np.zeros(len(digest), bool)
+        taken[inside] = True
+        return number, taken
+
+    def add(self, digest: np.ndarray, data: np.ndarray, off: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember strings with new digests, each digest once; their arrays lie in ``values`` end to end."""
+        digest, first = np.unique(digest, return_index=True)
+        n, long_ = len(self.off) - 1, np.diff(off)[first]
+        begin = np.cumsum(sizes) - sizes
+        self.text = np.concatenate([self.text, data[spread(off[:-1][first], long_)]])
+        self.text_off = np.concatenate([self.text_off, self.text_off[-1] + np.cumsum(long_)])
+        self.values = np.concatenate([self.values, values[spread(begin[first], sizes[first])]])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes[first])])
+        known, where = np.concatenate([self.known, digest]), np.concatenate([self.where, np.arange(n, n + len(first), dtype=np.int32)])
+        order = np.argsort(known, kind="stable")  # of two runs in order
+        self.known, self.where = known[order], where[order]
+
+    def arrays(self, distinct: pa.Array, make) -> tuple[np.ndarray, np.ndarray]:
+        """Array of each of the ``distinct`` strings, end to end, and where each begins; ``make`` gives (values, sizes) of a list of those not met before."""
+        if self.held() > REMEMBERED:
             self.forget()
-        get = self.number.get
-        number = np.fromiter((get(t, -1) for t in texts), np.int64, len(texts))
-        new = np.flatnonzero(number < 0)
-        met = number >= 0
-        size = np.zeros(len(texts), np.int64)
+        data, off = buffers(distinct)
+        short = np.diff(off) <= SHORT
+        digest = np.zeros(len(distinct), np.uint64)
+        digest[short] = quick_digests(data, off[:-1][short], np.diff(off)[short])
+        number, taken = self.find(digest, data, off)
+        number[~short] = -1
+        met, new = number >= 0, np.flatnonzero(number < 0)
+        size = np.zeros(len(distinct), np.int64)
         size[met] = self.off[number[met] + 1] - self.off[number[met]]
         if len(new):
-            fresh = [texts[i] for i in new.tolist()]
-            made, sizes = make(fresh)
+            made, sizes = make(distinct.take(pa.array(new)).to_pylist())
             size[new] = sizes
-        off = np.concatenate([[0], np.cumsum(size)])
-        out = np.empty(off[-1], self.kind)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(begin[-1], self.kind)
         if met.any():
-            out[spread(off[:-1][met], size[met])] = self.values[spread(self.off[number[met]], size[met])]
+            out[spread(begin[:-1][met], size[met])] = self.values[spread(self.off[number[met]], size[met])]
         if len(new):
-            out[spread(off[new], sizes)] = made
-            self.add(fresh, made, sizes)
-        return out, off
+            out[spread(begin[new], sizes)] = made
+            keep = short[new] & ~taken[new]
+            self.add(digest[new][keep], *gathered(data, off, new[keep]), made[np.repeat(keep, sizes)], sizes[keep])
+        return out, begin
+
+
+def quick_digests(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A digest of each short string, eight bytes at a time; only to find it by."""
+    out, place = size.astype(np.uint64), np.arange(8)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    for at in range(0, int(size.max(initial=0)), 8):
+        on = np.flatnonzero(size > at)
+        lane = np.where(place < size[on][:, None] - at, data[np.minimum(begin[on] + at, len(data) - 8)[:, None] + place], 0).astype(np.uint8).view("<u8").ravel()
+        out[on] = mixed(out[on] * np.uint64(0x9E3779B97F4A7C15) + lane)
+    return out
+
+
+def gathered(data: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of those strings end to end, and where each begins."""
+    size = np.diff(off)[at]
+    return data[spread(off[:-1][at], size)], np.concatenate([[0], np.cumsum(size)])
 
 
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -150,7 +189,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
-        ids, begin = self.met.arrays(coded.dictionary.to_pylist(), self._encode)
+        ids, begin = self.met.arrays(coded.dictionary, self._encode)
         number = coded.indices.to_numpy(zero_copy_only=False)
         size = np.diff(begin)[number]
         end = np.cumsum(size)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sealstone.llm import licenses, quality
+from sealstone.llm import encoding, licenses, quality
 from sealstone.llm.common import buffers, documents, hashes, shingles, split_words
 from sealstone.llm.encoding import Encoder
 from sealstone.llm.queries import BYTE_BPE, PIECES, bands
@@ -53,6 +53,51 @@ def test_pieces_encode_as_whole_texts(name, spark):
         assert ids[off[i] : off[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_pieces_met_before_are_compared(monkeypatch):
+    """Words that a polynomial digest takes for one, in two batches; and strings that all have one digest."""
+    from tokenizers import Tokenizer
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    plain = Tokenizer.from_file(BYTE_BPE)
+    own = lambda t: plain.encode(t, add_special_tokens=False).ids
+    for each in (None, lambda data, begin, size: np.zeros(len(size), np.uint64)):
+        if each:
+            monkeypatch.setattr(encoding, "quick_digests", each)
+        encoder, pieces = encoding.Encoder(BYTE_BPE), quality.PieceCounter(PIECES)
+        for t in (a, a.translate(str.maketrans("ab", "ba")), "one two three", "two one", "one two three", "longword" * 9, "x"):
+            ids, off = encoder.encode(pa.array([t]))
+            assert ids.tolist() == own(t) and off.tolist() == [0, len(ids)]
+            got = pieces.count(pa.array(t.split(), pa.large_utf8()))
+            assert got[:, 0].tolist() == [len(pieces.model.encode(w)) for w in t.split()]
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    """Texts without spaces are pieces of their own length, and are not kept; many short ones make a worker start anew."""
+    encoder = encoding.Encoder(BYTE_BPE)
+    encoder.encode(pa.array(["日本語" * 5000, "文" * 4000]))
+    assert encoder.met.held() < 1000
+    monkeypatch.setattr(encoding, "REMEMBERED", 100_000)
+    for i in range(30):
+        encoder.encode(pa.array([" ".join(f"w{i}x{j}" for j in range(500))]))
+        assert encoder.met.held() < 100_000 + 500 * 200
+
+
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a b": 0, "c": 1, "?": 2}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Split("c", "isolated")
+    t.save(str(tmp_path / "own.json"))
+    encoder = encoding.Encoder(str(tmp_path / "own.json"))
+    assert not encoder.may_cut and encoder.encode(pa.array(["a bc", None, "c"]))[0].tolist() == [0, 1, 1]
+
+
+def test_short_words_have_digests_of_their_own():
+    r = np.random.default_rng(2)
+    words = sorted({bytes(r.integers(97, 100, r.integers(1, 9))).decode() for _ in range(20_000)} | {"\0", "\0\0", "a\0"})
+    assert len(set(hashes(pa.array(words, pa.large_utf8())).tolist())) == len(words)
+
+
 def base_quality(t):
     t = t or ""
     w, seen, dup = WORD.findall(t), set(), 0
@@ -100,6 +145,16 @@ PLAIN = {
 }
 
 
+def test_quality_judges_short_texts_and_tables_without_languages(spark):
+    noise = "".join(chr(0x2800 + i * 7 % 256) for i in range(3))
+    texts = [" ".join([noise] * 3 + [f"{noise}{chr(0x2900 + i)}" for i in range(9)]), "A few plain words make one short text that nobody would reject today."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands_ = quality.BANDS | {"other": quality.Band((0.9, 6.0), 0.3)}
+    out = quality.quality(docs, BYTE_BPE, PIECES, bands=bands_).orderBy("doc_id").collect()
+    assert [(x.base_failed, x.kept) for x in out] == [(False, False), (False, True)] and out[1].n_tokens < 20
+    assert quality.fit_bands(docs, docs.select("doc_id", F.lit(1).alias("quality")), BYTE_BPE, PIECES) == quality.BANDS
+
+
 def test_quality_fits_each_script(spark):
     """From FIT_LEAST labelled documents on, plain texts of any script stay, and texts of a script that the language has not do not."""
     r = random.Random(7)
