@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstone.functions.framing import DIFF, digest, joined, lp, u32, u64
+from sealstone.functions.framing import DIFF, joined, lp, u64
+from sealstone.operators.streams import blake3_of_parts
+from sealstone.sources.tables import table
 
 IDENTITY = ("shard_id", "record_id", "version")
 REMOVE, ADD = 0, 1
@@ -31,15 +37,37 @@ def entry(alias: str = "entry"):
     return joined(kind, lp(F.col("shard_id")), lp(F.col("record_id")), u64(F.col("version")), F.unhex("content_hash")).alias(alias)
 
 
+#: Bytes of the entries of a partition, about.
+PIECE = 32 << 20
+
+
 def diff_root(differences: DataFrame, alg: str = "blake3") -> DataFrame:
     """One row: added, removed, diff_root (hex). Entries as a set, in order of kind, shard, id, version, hash.
 
-    The digest is over one stream, so the entries of a change set meet in one row; a change set, unlike a dataset, is small."""
-    order = F.struct("kind", *IDENTITY, "content_hash")
-    once = differences.select("kind", *IDENTITY, "content_hash").distinct().select(order.alias("o"), entry(), "kind")
-    whole = once.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == ADD).alias("added"), F.count_if(F.col("kind") == REMOVE).alias("removed"), F.sort_array(F.collect_list(F.struct("o", "entry"))).alias("all"))
-    body = F.array_join(F.transform("all", lambda x: F.hex(x["entry"])), "")
-    return whole.select("added", "removed", F.lower(F.hex(digest(joined(DIFF, u32(F.col("n")), F.unhex(body)), alg))).alias("diff_root"))
+    BLAKE3 is a tree over chunks of 1,024 bytes: entries are sorted by ranges, each range knows where its bytes begin, and chunks are hashed where they lie. SHA-256 is one
+    stream by nature: the sorted entries run through one task, a batch at a time."""
+    order = ["kind", *IDENTITY, "content_hash"]
+    once = differences.select(*order).distinct().withColumn("entry", entry())
+    if alg == "blake3":
+        size = once.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
+        once = once.repartitionByRange(max(1, -(-size // PIECE)), *order)
+    sorted_ = table(once.withColumn("part", F.spark_partition_id()), "diff-entries")
+    counted = sorted_.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == ADD).alias("added"), F.count_if(F.col("kind") == REMOVE).alias("removed"))
+    n, added, removed = counted.first()
+    head = DIFF + int(n).to_bytes(4, "big")
+    if alg == "blake3":
+        root = F.lit(blake3_of_parts(sorted_, order, "entry", head))
+    else:
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = hashlib.sha256(head)
+            for batch in batches:
+                for x in batch.column("entry").to_pylist():
+                    state.update(x)
+            yield pa.RecordBatch.from_pydict({"root": [state.digest()]})
+
+        whole = sorted_.repartition(1).sortWithinPartitions(*order).select("entry").mapInArrow(stream, "root binary")
+        root = F.lit(bytes(whole.first()["root"])) if n else F.lit(hashlib.sha256(head).digest())
+    return counted.select("added", "removed", F.lower(F.hex(root)).alias("diff_root"))
 
 
 def verify_link(link: DataFrame) -> DataFrame:

@@ -82,9 +82,9 @@ def issuer_anchored(sets: DataFrame, cosignatures: DataFrame) -> DataFrame:
 def trusted_at(rows: DataFrame, windows: DataFrame, *, at: str = "ts", closed: bool = False) -> DataFrame:
     """Rows with ``trusted``: a window of their (signer, role) holds at their time. Half-open, or with ``closed`` the end included; a null end is open."""
     inside = (F.col("valid_from") <= F.col(at)) & (F.col("valid_until").isNull() | ((F.col(at) <= F.col("valid_until")) if closed else (F.col(at) < F.col("valid_until"))))
-    numbered = rows.withColumn("trust_row", F.monotonically_increasing_id())
-    hit = numbered.join(windows, ["signer", "role"]).filter(inside).select("trust_row").distinct().withColumn("hit", F.lit(True))
-    return numbered.join(hit, "trust_row", "left").withColumn("trusted", F.col("hit").isNotNull()).drop("hit", "trust_row")
+    by = ["signer", "role", at]
+    hit = rows.select(*by).distinct().join(windows.select("signer", "role", "valid_from", "valid_until"), ["signer", "role"]).filter(inside).select(*by).distinct().withColumn("hit", F.lit(True))
+    return rows.join(hit, by, "left").withColumn("trusted", F.col("hit").isNotNull()).select(*rows.columns, "trusted")
 
 
 def freshness(snapshots: DataFrame, as_of: int, *, skew: int = 300, max_age: int | None = 7 * 86400, max_lifetime: int | None = 30 * 86400) -> DataFrame:
@@ -150,3 +150,42 @@ def csv_safe(c: Column) -> Column:
 def clean_filename(c: Column) -> Column:
     """Without control characters, 255 characters at most."""
     return F.substring(F.regexp_replace(c, r"[\x00-\x1f\x7f]", ""), 1, 255)
+
+
+#: Pages and rows of a page that a client may ask for.
+PAGES, PER_PAGE = 10_000, 100
+
+
+def clamped(wanted: int, least: int, most: int) -> int:
+    """A client's limit within its bounds."""
+    return max(least, min(most, wanted))
+
+
+def page(df: DataFrame, order: list[Column | str], number: int, per_page: int) -> DataFrame:
+    """A page of results in order, from page 1; number and size are clamped, so that no client asks for a scan past everything."""
+    size = clamped(per_page, 1, PER_PAGE)
+    return df.orderBy(*order).offset((clamped(number, 1, PAGES) - 1) * size).limit(size)
+
+
+def chain_faults(links: DataFrame) -> DataFrame:
+    """``links(chain_id, sequence, kind, digest, previous_digest, snapshot_digest, snapshot_sequence, activation_at, activated)`` with ``verdict``: the first rule that a link breaks, or valid.
+
+    Rules in order: its columns agree with the signed snapshot (recomputed digest, sequence); the first is a genesis of sequence 1; no gap; it names its predecessor's digest; activation
+    does not go back; and it is not activated before its predecessor. A chain is an ordered look back by one, so links of one chain sort together, and chains apart."""
+    w = Window.partitionBy("chain_id").orderBy("sequence")
+    prev = lambda c: F.lag(c).over(w)
+    c = F.col
+    first = prev("sequence").isNull()
+    rules = [
+        (~c("digest").eqNullSafe(c("snapshot_digest")), "digest-disagrees"),
+        (~c("sequence").eqNullSafe(c("snapshot_sequence")), "sequence-disagrees"),
+        (first & ((c("sequence") != 1) | (c("kind") != "genesis")), "missing-genesis"),
+        (~first & (c("sequence") != prev("sequence") + 1), "sequence-gap"),
+        (~first & ~c("previous_digest").eqNullSafe(prev("digest")), "linkage-broken"),
+        (~first & (c("activation_at") < prev("activation_at")), "activation-order"),
+        (~first & c("activated") & ~prev("activated"), "activation-gap"),
+    ]
+    verdict = F.lit("valid")
+    for broken, name in reversed(rules):
+        verdict = F.when(F.coalesce(broken, F.lit(False)), name).otherwise(verdict)
+    return links.withColumn("verdict", verdict)

@@ -15,6 +15,7 @@ from pyspark.sql.types import BinaryType
 
 from sealstone.functions.blake3 import hash_many
 from sealstone.functions.framing import LEGACY_LEAF, NODE, SEPARATOR, digest, joined
+from sealstone.sources.tables import table
 
 #: Levels folded inside a task, over runs of neighbours, for each shuffle.
 STEP = 10
@@ -76,10 +77,19 @@ def _fold(leaves: DataFrame, by: str, depth: Column, alg: str, empties: list[byt
     return rows
 
 
-def _numbered(rows: DataFrame, by: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy("position")
-    n = F.count("*").over(Window.partitionBy(by))
-    return rows.withColumn("i", F.row_number().over(w).cast("long") - 1).withColumn("n", n)
+def _numbered(rows: DataFrame, by: str, most: int | None = None) -> DataFrame:
+    """Rows with their number ``i`` in their group's order of position, and the group's number of rows ``n``; a written table.
+
+    Rows are sorted by ranges of (group, position), so a large group is many tasks; what lies before a range is a running total over the ranges, of which there are few.
+    A group of more than ``most`` rows is an error."""
+    ranged = table(rows.repartitionByRange(F.col(by), F.col("position")).withColumn("part_", F.spark_partition_id()), "ranges")
+    each = ranged.groupBy(by, "part_").agg(F.count("*").alias("rows_"))  # rows here are ranges and groups
+    before = Window.partitionBy(by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.withColumn("before_", F.coalesce(F.sum("rows_").over(before), F.lit(0))).withColumn("n", F.sum("rows_").over(Window.partitionBy(by))).select(F.col(by).alias("by_"), F.col("part_").alias("of_"), "before_", "n")
+    inside = F.row_number().over(Window.partitionBy(by, "part_").orderBy("position")).cast("long") - 1
+    told = ranged.withColumn("inside_", inside).join(starts, F.col(by).eqNullSafe(F.col("by_")) & (F.col("part_") == F.col("of_")))
+    n = F.col("n") if most is None else F.when(F.col("n") > most, F.raise_error(F.lit("a group has more rows than its tree holds"))).otherwise(F.col("n")).cast("long")
+    return table(told.select(*rows.columns, (F.col("before_") + F.col("inside_")).alias("i"), n.alias("n")), "numbered")
 
 
 def binary_roots(rows: DataFrame, *, by: str, alg: str = "blake3") -> DataFrame:
@@ -90,22 +100,22 @@ def binary_roots(rows: DataFrame, *, by: str, alg: str = "blake3") -> DataFrame:
 
 
 def fixed_depth_roots(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
-    """(by, n, root) of trees of a fixed depth; missing leaves are empty subtrees of 32 zero bytes. More leaves than the tree holds are an error for the caller."""
+    """(by, n, root) of trees of a fixed depth; missing leaves are empty subtrees of 32 zero bytes. More leaves than the tree holds are an error."""
     empties = zeros(alg, depth)
-    return _fold(_numbered(rows, by).withColumnRenamed("data", "node"), by, F.lit(depth), alg, empties, depth).select(by, "n", F.col("node").alias("root"))
+    return _fold(_numbered(rows, by, 1 << depth).withColumnRenamed("data", "node"), by, F.lit(depth), alg, empties, depth).select(by, "n", F.col("node").alias("root"))
 
 
 def zero_padded_roots(rows: DataFrame, *, by: str, alg: str = "blake3") -> DataFrame:
-    """(by, n, root): leaves padded with zeros to a power of two. Groups of fewer than two leaves, or more than 65536, have none."""
+    """(by, n, root): leaves padded with zeros to a power of two. Groups of fewer than two leaves have none; more than 65536 are an error."""
     empties = zeros(alg, 16)
-    leaves = _numbered(rows, by).withColumnRenamed("data", "node").filter((F.col("n") >= 2) & (F.col("n") <= 65536))
+    leaves = _numbered(rows, by, 65536).withColumnRenamed("data", "node").filter("n >= 2")
     return _fold(leaves, by, F.length(F.bin(F.col("n") - 1)), alg, empties, 17).select(by, "n", F.col("node").alias("root"))
 
 
 def snapshot_paths(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
     """For the last leaf of each group its siblings from the leaf up: (by, n, leaf, siblings, root). Right of the last leaf all is empty, so the siblings
     to its left are the roots of the full subtrees that make up the n - 1 leaves before it."""
-    numbered = _numbered(rows, by).withColumnRenamed("data", "node")
+    numbered = _numbered(rows, by, 1 << depth).withColumnRenamed("data", "node")
     last = numbered.filter(F.col("i") == F.col("n") - 1).select(by, "n", F.col("node").alias("leaf"))
     # Leaf i lies in the full subtree of height h where i and n - 1 first differ; that is the sibling at level h.
     apart = F.length(F.bin(F.col("i").bitwiseXOR(F.col("n") - 1))) - 1

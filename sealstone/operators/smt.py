@@ -1,26 +1,30 @@
-"""The sparse Merkle tree over a dataset: seal, prove, verify, in bulk.
+"""The sparse Merkle tree over a dataset: seal, prove, verify, extend, in bulk.
 
-Leaves are dealt to buckets by the leading bits of their keys, and each bucket is folded on its own, a level of
-all its nodes at a time; the buckets' roots, a few for each shard, are folded last. Nothing depends on the order of rows.
+Leaf rows are made once and written. The tree is then climbed in four steps, each a shuffle by the node at its upper end: leaves to buckets (nodes told apart by bits below
+the shard's, so a hot shard is many buckets), buckets to shards, shards to the 65,536 nodes of two bytes at most, and these to the root. Within a step nodes are
+folded a level of all of them at a time, and what is asked for is given its siblings on the way. Nothing depends on the order of rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from sealstone.functions import framing
 from sealstone.functions.blake3 import hash_equal, hash_many
 from sealstone.functions.framing import leaf_hash, tree_key
+from sealstone.sources.files import write_once
+from sealstone.sources.tables import table
 
 DEPTH, SHARD_BITS = 256, 64
 #: Leaves of a bucket, about.
@@ -98,66 +102,46 @@ def leaves(records: DataFrame, alg: str, **names: str) -> DataFrame:
     return keyed.withColumn("leaf", leaf_hash(F.col("shard_id"), F.col("key"), F.col("value_hash"), F.lit(n["parser_id"]), F.lit(n["parser_version"]), F.lit(n["model_hash"]), alg))
 
 
-def layout(records: DataFrame, size: int | None = None) -> tuple[int, int]:
-    """Bits below the shard's that buckets are told apart by, from the largest shard; and the number of tasks, each with several buckets if they are small."""
+def layout(most: int, size: int | None = None) -> int:
+    """Bits below the shard's that buckets are told apart by, for so many leaves in the largest shard."""
     size = size or BUCKET
-    most, total = records.groupBy("shard_id").count().agg(F.max("count"), F.sum("count")).first()
-    bits = max(0, int(most - 1).bit_length() - int(size).bit_length() + 1) if (most or 0) > size else 0
-    wide = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bits, max(1, min(wide, -(-(total or 0) // 512)), -(-(total or 0) // (4 * size)))
+    return min(128, max(0, int(most - 1).bit_length() - int(size).bit_length() + 1)) if most > size else 0
 
 
-def _bucket(key: str, bits: int):
-    """Leading 8 bytes of the shard and ``bits`` more."""
-    more = F.conv(F.hex(F.substring(key, 9, 4)), 16, 10).cast("long")
-    return F.concat(F.substring(key, 1, 8), framing.u32(F.shiftleft(F.shiftright(more, 32 - bits), 32 - bits) if bits else F.lit(0)))
+def prefix(key: str, depth: int) -> Column:
+    """The first ``depth`` bits of a key, as whole bytes with zeros behind."""
+    whole, rest = divmod(depth, 8)
+    if not rest:
+        return F.substring(key, 1, whole) if whole else F.lit(b"")
+    last = F.conv(F.hex(F.substring(key, whole + 1, 1)), 16, 10).cast("int")
+    return F.concat(F.substring(key, 1, whole), F.unhex(F.lpad(F.hex(last.bitwiseAND(256 - (1 << (8 - rest))).cast("long")), 2, "0")))
 
 
-def _task(bucket: str, tasks: int):
-    return F.pmod(F.xxhash64(bucket), F.lit(tasks))
+def _cut(key: bytes, depth: int) -> bytes:
+    mask = (1 << (DEPTH - depth)) - 1
+    return (int.from_bytes(key, "big") & ~mask).to_bytes(32, "big")
 
 
-def bucket_roots(leaf_rows: DataFrame, bits: int, tasks: int, alg: str) -> DataFrame:
-    """``(bucket, key, hash)``: the node of each bucket at depth 64 + bits; ``key`` is its first leaf's. A task folds all its buckets side by side."""
-
-    def build(rows: pa.Table) -> pa.Table:
-        keys = [bytes(k) for k in rows.column("key").to_pylist()]
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        if any(keys[a] == keys[b] for a, b in zip(order, order[1:])):
-            raise ValueError("two records have one key")
-        leaf, bucket = rows.column("leaf").to_pylist(), rows.column("bucket").to_pylist()
-        first, got = fold(_matrix([keys[i] for i in order]), _matrix([leaf[i] for i in order]), DEPTH, SHARD_BITS + bits, alg)
-        return pa.table({"bucket": [bucket[order[i]] for i in first], "key": [keys[order[i]] for i in first], "hash": [h.tobytes() for h in got]})
-
-    rows = leaf_rows.select("key", "leaf").withColumn("bucket", _bucket("key", bits)).withColumn("task", _task("bucket", tasks))
-    return rows.groupBy("task").applyInArrow(build, "bucket binary, key binary, hash binary")
+def pack_bits(bits: Sequence[int]) -> bytes:
+    """A partial path as bytes, first bit highest, zeros behind; its length is kept apart."""
+    if any(b not in (0, 1) for b in bits):
+        raise ValueError("a path holds bits alone")
+    return np.packbits(np.asarray(bits, np.uint8)).tobytes()
 
 
-def roots(buckets: DataFrame, bits: int, alg: str) -> DataFrame:
-    """``(shard_prefix, hash)`` of each shard's subtree, and the tree's root with an empty prefix. Rows here are buckets: a few for each shard."""
+def unpack_bits(raw: bytes, n: int) -> list[int]:
+    """The first ``n`` bits of a packed path; what is behind them is not looked at."""
+    return np.unpackbits(np.frombuffer(raw, np.uint8))[:n].tolist()
 
-    def top(rows: pa.Table) -> pa.Table:
-        keys, hashes = _matrix(rows.column("key").to_pylist()), _matrix(rows.column("hash").to_pylist())
-        order = sorted(range(len(keys)), key=lambda i: keys[i].tobytes())
-        keys, hashes = keys[order], hashes[order]
-        first, at_shards = fold(keys, hashes, SHARD_BITS + bits, SHARD_BITS, alg)
-        _, root = fold(keys[first], at_shards, SHARD_BITS, 0, alg)
-        return pa.table({"shard_prefix": [*(keys[i, :8].tobytes() for i in first), b""], "hash": [*(h.tobytes() for h in at_shards), root[0].tobytes()]})
 
-    return buckets.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(top, "shard_prefix binary, hash binary")
+def shard_prefix(shard_id: Column, alg: str) -> Column:
+    """The first 8 bytes of all keys of a shard."""
+    return F.substring(framing.digest(framing.joined(framing.SHARD_PREFIX, shard_id), alg), 1, 8)
 
 
-def seal(records: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
-    """A row for each shard: shard_id, shard_root, record_count, byte_size, manifest_root (hex). Fails on a repeated identity.
-
-    An empty dataset has no rows; its root is ``empties(alg)[256]``."""
-    bits, tasks = layout(records)
-    tree = roots(bucket_roots(leaves(records, alg, **names), bits, tasks, alg), bits, alg)
-    shards = records.groupBy("shard_id").agg(F.count("*").alias("record_count"), F.sum("byte_size").alias("byte_size"))
-    prefix = F.substring(framing.digest(framing.joined(framing.SHARD_PREFIX, F.col("shard_id")), alg), 1, 8)
-    named = shards.withColumn("shard_prefix", prefix).join(tree, "shard_prefix")
-    whole = tree.filter(F.octet_length("shard_prefix") == 0).select(F.lower(F.hex("hash")).alias("manifest_root"))
-    return named.select("shard_id", F.lower(F.hex("hash")).alias("shard_root"), "record_count", "byte_size").join(F.broadcast(whole)).select("shard_id", "shard_root", "record_count", "byte_size", "manifest_root")
+def shard_matches_key(shard_id: Column, key: Column, alg: str) -> Column:
+    """Whether a key is of that shard."""
+    return F.substring(key, 1, 8) == shard_prefix(shard_id, alg)
 
 
 def _wanted(keys: list[bytes], bits: np.ndarray, query: bytes, high: int) -> tuple[list[tuple[int, int]], int]:
@@ -183,111 +167,225 @@ def _wanted(keys: list[bytes], bits: np.ndarray, query: bytes, high: int) -> tup
     return out, -1
 
 
-def prove(records: DataFrame, wanted: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
-    """For each wanted (shard_id, record_id, version) a proof, whether its record is there or not.
+CLIMBED = "key binary, hash binary, value binary, siblings binary"
 
-    Adds ``key``, ``kind`` (inclusion or exclusion), ``content_hash`` (null if not there), ``siblings`` (256 * 32 bytes from the leaf up), ``manifest_root``."""
-    n = DEFAULTS | names
-    bits, tasks = layout(records)
-    low = SHARD_BITS + bits
-    leaf_rows = leaves(records, alg, **names).select("key", "leaf", "value_hash").withColumn("bucket", _bucket("key", bits)).withColumn("task", _task("bucket", tasks))
-    asked = wanted.withColumn("key", tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)).withColumn("bucket", _bucket("key", bits)).withColumn("task", _task("bucket", tasks))
-    schema = "bucket binary, key binary, value_hash binary, below binary"
-
-    def inside(own: pa.Table, queries: pa.Table) -> pa.Table:
-        got = sorted(zip(*(own.column(c).to_pylist() for c in ("key", "leaf", "value_hash")), strict=True))
-        keys = [k for k, _, _ in got]
-        asked_keys = sorted(set(queries.column("key").to_pylist()))
-        none = empties(alg)
-        below = np.repeat(none[None, : DEPTH - low], len(asked_keys), axis=0).copy() if asked_keys else np.zeros((0, DEPTH - low, 32), np.uint8)
+
+def climb(nodes_: DataFrame, asked: DataFrame | None, low: int, high: int, alg: str, tasks: int) -> DataFrame:
+    """From nodes (key, hash, value) at depth ``low`` to those at ``high``: rows (key, hash) of nodes, keys cut at ``high``; and for each asked key
+    (cut at ``low``) a row with its ``siblings`` from ``low`` up to ``high``, no hash, and the ``value`` of the node of its own key."""
+
+    def run(own: pa.Table, queries: pa.Table | None = None) -> pa.Table:
+        got = sorted(zip(*(own.column(c).to_pylist() for c in ("key", "hash", "value")), strict=True), key=lambda x: x[0])
+        keys, none = [k for k, _, _ in got], empties(alg)
+        if any(a == b for a, b in zip(keys, keys[1:])):
+            raise ValueError("two records have one key")
+        asked_keys = sorted(set(queries.column("key").to_pylist())) if queries is not None else []
+        siblings = np.repeat(none[None, DEPTH - low : DEPTH - high], len(asked_keys), axis=0).copy()
         value: list[bytes | None] = [None] * len(asked_keys)
-        by_depth: dict[int, list[tuple[int, int]]] = {}
-        if keys and asked_keys:
-            matrix = _matrix(keys)
-            all_bits = bits_of(matrix)
+        out_keys, out_hashes = [], []
+        if keys:
+            matrix, by_depth = _matrix(keys), {}
+            all_bits = bits_of(matrix) if asked_keys else None
             for q, k in enumerate(asked_keys):
-                places, at = _wanted(keys, all_bits, k, low)
+                places, at = _wanted(keys, all_bits, k, high)
                 value[q] = got[at][2] if at >= 0 else None
-                for depth, leaf in places:
-                    by_depth.setdefault(depth, []).append((q, leaf))
+                for depth, node in places:
+                    by_depth.setdefault(depth, []).append((q, node))
 
             def visit(depth: int, first: np.ndarray, hashes: np.ndarray) -> None:
-                for q, leaf in by_depth.get(depth, ()):
-                    below[q, DEPTH - depth] = hashes[np.searchsorted(first, leaf)]
-
-            fold(matrix, _matrix([x for _, x, _ in got]), DEPTH, low, alg, visit)
-        where = dict(zip(queries.column("key").to_pylist(), queries.column("bucket").to_pylist(), strict=True))
-        return pa.table({"bucket": pa.array([where[k] for k in asked_keys], pa.binary()), "key": pa.array(asked_keys, pa.binary()), "value_hash": pa.array(value, pa.binary()), "below": pa.array([x.tobytes() for x in below], pa.binary())})
-
-    parts = asked.groupBy("task").cogroup(leaf_rows.groupBy("task")).applyInArrow(lambda q, o: inside(o, q), schema)
-    tops = bucket_roots(leaf_rows, bits, tasks, alg).withColumn("is_root", F.lit(True)).select("bucket", "key", "hash", "is_root")
-    # Buckets asked for but empty have siblings above them too.
-    every = tops.unionByName(asked.groupBy("bucket").agg(F.min("key").alias("key")).select("bucket", "key", F.lit(None).cast("binary").alias("hash"), F.lit(False).alias("is_root")))
-
-    def above(rows: pa.Table) -> pa.Table:
-        there = sorted((k, h) for k, h, r in zip(*(rows.column(c).to_pylist() for c in ("key", "hash", "is_root")), strict=True) if r)
-        queries = {b: k for b, k, r in zip(*(rows.column(c).to_pylist() for c in ("bucket", "key", "is_root")), strict=True) if not r}
-        mask = (1 << (DEPTH - low)) - 1
-        cut = lambda k: (int.from_bytes(k, "big") & ~mask).to_bytes(32, "big")
-        keys, none = [cut(k) for k, _ in there], empties(alg)
-        up = {b: none[DEPTH - low : DEPTH].copy() for b in queries}
-        root, by_depth = none[DEPTH], {}
-        if keys:
-            matrix = _matrix(keys)
-            all_bits = bits_of(matrix)
-            for b, k in queries.items():
-                for depth, leaf in _wanted(keys, all_bits, cut(k), 0)[0]:
-                    by_depth.setdefault(depth, []).append((b, leaf))
+                if depth in by_depth:
+                    q, node = np.array(by_depth[depth]).T
+                    siblings[q, low - depth] = hashes[np.searchsorted(first, node)]
+
+            first, hashes = fold(matrix, _matrix([h for _, h, _ in got]), low, high, alg, visit)
+            out_keys, out_hashes = [_cut(keys[i], high) for i in first.tolist()], [h.tobytes() for h in hashes]
+        gap = [None] * len(out_keys)
+        return pa.table({"key": pa.array(out_keys + asked_keys, pa.binary()), "hash": pa.array(out_hashes + [None] * len(asked_keys), pa.binary()), "value": pa.array(gap + value, pa.binary()), "siblings": pa.array(gap + [x.tobytes() for x in siblings], pa.binary())})
+
+    task = F.pmod(F.xxhash64(prefix("key", high)), F.lit(tasks)).alias("task")
+    placed = nodes_.select("key", "hash", "value", task).groupBy("task")
+    if asked is None:
+        return placed.applyInArrow(lambda own: run(own), CLIMBED)
+    return placed.cogroup(asked.select("key", task).groupBy("task")).applyInArrow(lambda own, queries: run(own, queries), CLIMBED)
+
+
+#: Depths at which the tree is cut above the buckets: shards, two bytes, root.
+STEPS = (SHARD_BITS, 16, 0)
+
+
+@dataclass
+class Tree:
+    """A sealed dataset as tables: leaves (shard_id, record_id, version, key, value_hash, leaf, byte_size) and bucket roots (key, hash), at depth 64 + bits."""
+
+    leaves: DataFrame
+    buckets: DataFrame
+    bits: int
+    alg: str
+
+    def _tasks(self, rows: int, each: int) -> int:
+        wide = int(self.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(wide, -(-rows // 512)), -(-rows // each))
+
+    def up(self, asked: DataFrame | None = None) -> list[DataFrame]:
+        """What each step above the buckets gives, shards first; ``asked``: keys."""
+        out, nodes_, low = [], self.buckets.select("key", "hash", F.lit(None).cast("binary").alias("value")), SHARD_BITS + self.bits
+        wide = int(self.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        for high in STEPS:
+            wanted = asked.select(_padded("key", low).alias("key")).distinct() if asked is not None else None
+            step = climb(nodes_, wanted, low, high, self.alg, 1 if high == 0 else wide)
+            step = table(step, f"tree-{high}") if asked is not None else step
+            out.append(step)
+            nodes_, low = step.filter("hash is not null").select("key", "hash", "value"), high
+        return out
+
+    def seal(self) -> DataFrame:
+        """A row for each shard: shard_id, shard_root, record_count, byte_size, manifest_root (hex). An empty dataset has no rows; its root is ``empties(alg)[256]``."""
+        shards = table(self.up()[0], "shard-roots")
+        named = self.leaves.groupBy("shard_id").agg(F.count("*").alias("record_count"), F.sum("byte_size").alias("byte_size")).withColumn("key", F.rpad(shard_prefix(F.col("shard_id"), self.alg), 32, b"\0"))
+        low, nodes_ = SHARD_BITS, shards
+        for high in STEPS[1:]:
+            nodes_ = climb(nodes_, None, low, high, self.alg, 1 if high == 0 else int(self.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            low = high
+        whole = nodes_.select(F.lower(F.hex("hash")).alias("manifest_root"))  # one row
+        return named.join(shards.select("key", "hash"), "key").select("shard_id", F.lower(F.hex("hash")).alias("shard_root"), "record_count", "byte_size").join(F.broadcast(whole))
+
+    def root(self) -> str:
+        """The root, hex."""
+        got = self.up()[-1].first()
+        return bytes(got["hash"] if got else empties(self.alg)[DEPTH]).hex()
+
+
+def _padded(key: str, depth: int) -> Column:
+    """A key cut at a depth, 32 bytes."""
+    return F.rpad(prefix(key, depth), 32, b"\0") if depth < DEPTH else F.col(key)
+
+
+def build(records: DataFrame, alg: str = "blake3", **names: str) -> Tree:
+    """The tree of a dataset. Fails on a repeated identity when it is first read."""
+    has = "byte_size" in records.columns
+    rows = table(leaves(records, alg, **names).select("shard_id", "record_id", "version", "key", "value_hash", "leaf", (F.col("byte_size") if has else F.lit(None)).cast("long").alias("byte_size")), "leaves")
+    most, total = rows.groupBy("shard_id").count().agg(F.max("count"), F.sum("count")).first()
+    tree = Tree(rows, rows, layout(most or 0), alg)
+    climbed = climb(rows.select("key", F.col("leaf").alias("hash"), F.lit(None).cast("binary").alias("value")), None, DEPTH, SHARD_BITS + tree.bits, alg, tree._tasks(total or 0, 4 * BUCKET))
+    tree.buckets = table(climbed.select("key", "hash"), "buckets")
+    return tree
+
+
+def extend(tree: Tree, records: DataFrame, **names: str) -> Tree:
+    """The tree with more records. Write-once: a key that holds another value stops the job, one that holds the same is left alone. Only buckets that new leaves fall into are folded again."""
+    fresh = leaves(records, tree.alg, **names).select("shard_id", "record_id", "version", "key", "value_hash", "leaf", (F.col("byte_size") if "byte_size" in records.columns else F.lit(None)).cast("long").alias("byte_size"))
+    new = table(write_once(tree.leaves.select("key", "value_hash"), fresh), "new-leaves")
+    low = SHARD_BITS + tree.bits
+    touched = table(new.select(_padded("key", low).alias("bucket")).distinct(), "touched")
+    inside = tree.leaves.withColumn("bucket", _padded("key", low)).join(touched, "bucket", "left_semi").select("key", F.col("leaf").alias("hash"))
+    again = inside.union(new.select("key", F.col("leaf").alias("hash"))).withColumn("value", F.lit(None).cast("binary"))
+    climbed = climb(again, None, DEPTH, low, tree.alg, tree._tasks(again.count(), 4 * BUCKET)).select("key", "hash")
+    kept = tree.buckets.join(touched, tree.buckets["key"] == touched["bucket"], "left_anti").select("key", "hash")
+    return Tree(tree.leaves.unionByName(new), table(kept.union(climbed), "buckets"), tree.bits, tree.alg)
 
-            def visit(depth: int, first: np.ndarray, hashes: np.ndarray) -> None:
-                for b, leaf in by_depth.get(depth, ()):
-                    up[b][low - depth] = hashes[np.searchsorted(first, leaf)]
 
-            root = fold(matrix, _matrix([h for _, h in there]), low, 0, alg, visit)[1][0]
-        return pa.table({"bucket": pa.array(list(up), pa.binary()), "above": pa.array([x.tobytes() for x in up.values()], pa.binary()), "root": pa.array([root.tobytes()] * len(up), pa.binary())})
-
-    upper = every.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(above, "bucket binary, above binary, root binary")
-    out = asked.drop("bucket", "task").join(parts.join(upper, "bucket").drop("bucket"), "key")
-    kind = F.when(F.col("value_hash").isNull(), "exclusion").otherwise("inclusion")
-    return out.select(*wanted.columns, "key", kind.alias("kind"), F.lower(F.hex("value_hash")).alias("content_hash"), F.concat("below", "above").alias("siblings"), F.lower(F.hex("root")).alias("manifest_root"))
+def seal(records: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
+    """``Tree.seal`` of the records. Fails on a repeated identity."""
+    return build(records, alg, **names).seal()
 
 
-def verify(proofs: DataFrame, expected_root: str, alg: str = "blake3", **names: str) -> DataFrame:
-    """Adds ``verdict``: the first check that fails, in the order root, kind, key, content, fold; or valid.
+def prove(records: DataFrame | Tree, wanted: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
+    """For each wanted (shard_id, record_id, version) a proof, whether its record is there or not.
 
-    ``committed_hash`` (hex), if there, is the value that the proof's leaf holds; else it is the content hash stated."""
+    Adds ``key``, ``kind`` (inclusion or exclusion), ``content_hash`` (null if not there), ``siblings`` (256 * 32 bytes from the leaf up), ``shard_root``, ``manifest_root``."""
     n = DEFAULTS | names
-    key = tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)
-    committed = F.col("committed_hash") if "committed_hash" in proofs.columns else F.col("content_hash")
-    leaf = leaf_hash(F.col("shard_id"), F.col("key"), F.unhex(committed), F.lit(n["parser_id"]), F.lit(n["parser_version"]), F.lit(n["model_hash"]), alg)
+    tree = records if isinstance(records, Tree) else build(records, alg, **names)
+    alg, low = tree.alg, SHARD_BITS + tree.bits
+    asked = table(wanted.withColumn("key", tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)), "asked")
+    n_asked, n_leaves = asked.count(), tree.leaves.count()
+    leaf_nodes = tree.leaves.select("key", F.col("leaf").alias("hash"), F.col("value_hash").alias("value"))
+    # A proof's lower part is some 6 kB, so asked keys bound the tasks as leaves do.
+    below = table(climb(leaf_nodes, asked, DEPTH, low, alg, max(tree._tasks(n_leaves, 4 * BUCKET), -(-n_asked // 2048))).filter("hash is null"), "proofs-below")
+    shards, two, top = tree.up(asked)
+    parts = below.select("key", "value", F.col("siblings").alias("s0"))
+    for i, (step, depth) in enumerate(((shards, low), (two, SHARD_BITS), (top, 16)), 1):
+        above = step.filter("siblings is not null").select(F.col("key").alias("cut"), F.col("siblings").alias(f"s{i}"))
+        parts = parts.withColumn("cut", _padded("key", depth)).join(above, "cut").drop("cut")
+    root = top.filter("hash is not null").agg(F.max("hash").alias("root")).select(F.coalesce("root", F.lit(empties(alg)[DEPTH].tobytes())).alias("root"))
+    shard_roots = shards.filter("hash is not null").select(F.col("key").alias("cut"), F.col("hash").alias("shard_root"))
+    out = asked.join(parts, "key").withColumn("cut", _padded("key", SHARD_BITS)).join(shard_roots, "cut", "left").join(F.broadcast(root))
+    kind = F.when(F.col("value").isNull(), "exclusion").otherwise("inclusion")
+    own = F.coalesce("shard_root", F.lit(empties(alg)[DEPTH - SHARD_BITS].tobytes()))
+    return out.select(*wanted.columns, "key", kind.alias("kind"), F.lower(F.hex("value")).alias("content_hash"), F.concat("s0", "s1", "s2", "s3").alias("siblings"), F.lower(F.hex(own)).alias("shard_root"), F.lower(F.hex("root")).alias("manifest_root"))
+
+
+def folded(key: Column, start: Column, siblings: Column, levels: int, alg: str) -> Column:
+    """The node ``levels`` above a leaf (null: an empty one) that its siblings from the leaf up lead to; null if there are not so many siblings."""
 
     @F.pandas_udf(BinaryType())
-    def folded(keys: pd.Series, start: pd.Series, siblings: pd.Series) -> pd.Series:
+    def run(keys: pd.Series, start: pd.Series, siblings: pd.Series) -> pd.Series:
         none = empties(alg)
-        good = [len(bytes(s or b"")) == 32 * DEPTH for s in siblings]
+        good = [len(bytes(s or b"")) == 32 * levels for s in siblings]
         state = np.stack([np.frombuffer(bytes(x), np.uint8) if x is not None else none[0] for x in start]) if len(keys) else np.zeros((0, 32), np.uint8)
-        path = np.stack([np.frombuffer(bytes(s), np.uint8).reshape(DEPTH, 32) if g else np.zeros((DEPTH, 32), np.uint8) for s, g in zip(siblings, good, strict=True)]) if len(keys) else np.zeros((0, DEPTH, 32), np.uint8)
+        path = np.stack([np.frombuffer(bytes(s), np.uint8).reshape(levels, 32) if g else np.zeros((levels, 32), np.uint8) for s, g in zip(siblings, good, strict=True)]) if len(keys) else np.zeros((0, levels, 32), np.uint8)
         bits = bits_of(_matrix(keys)) if len(keys) else np.zeros((0, DEPTH), np.uint8)
-        for level in range(DEPTH):
+        for level in range(levels):
             right = (bits[:, DEPTH - 1 - level] == 1)[:, None]
             state = nodes(np.where(right, path[:, level], state), np.where(right, state, path[:, level]), alg)
         return pd.Series([s.tobytes() if g else None for s, g in zip(state, good, strict=True)])
 
-    start = F.when(F.col("kind") == "inclusion", leaf)
-    checked = proofs.withColumn("expected_key_", key).withColumn("start_", start)
-    checked = checked.withColumn("folded_", folded("key", "start_", "siblings"))
+    return run(key, start, siblings)
+
+
+def _verified(proofs: DataFrame, expected: Column, stated: Column, siblings: Column, levels: int, alg: str, **names: str) -> DataFrame:
+    n = DEFAULTS | names
+    key = tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)
+    committed = F.col("committed_hash") if "committed_hash" in proofs.columns else F.col("content_hash")
+    leaf = leaf_hash(F.col("shard_id"), F.col("key"), F.unhex(committed), F.lit(n["parser_id"]), F.lit(n["parser_version"]), F.lit(n["model_hash"]), alg)
     there = F.col("kind") == "inclusion"
+    checked = proofs.withColumn("expected_key_", key).withColumn("start_", F.when(there, leaf))
+    checked = checked.withColumn("folded_", folded(F.col("key"), F.col("start_"), siblings, levels, alg))
     verdict = (
-        F.when(~F.col("manifest_root").eqNullSafe(F.lit(expected_root)), "root-mismatch")
+        F.when(~stated.eqNullSafe(expected), "root-mismatch")
         .when(~F.col("kind").isin("inclusion", "exclusion"), "kind-mismatch")
         .when(F.col("key") != F.col("expected_key_"), "key-mismatch")
         .when(there & ~committed.eqNullSafe(F.col("content_hash")), "content-mismatch")
-        .when(F.lower(F.hex("folded_")).eqNullSafe(F.lit(expected_root)), "valid")
+        .when(F.lower(F.hex("folded_")).eqNullSafe(expected), "valid")
         .otherwise("proof-invalid")
     )
     return checked.withColumn("verdict", verdict).drop("expected_key_", "start_", "folded_")
 
 
+def verify(proofs: DataFrame, expected_root: str, alg: str = "blake3", **names: str) -> DataFrame:
+    """Adds ``verdict``: the first check that fails, in the order root, kind, key, content, fold; or valid.
+
+    ``committed_hash`` (hex), if there, is the value that the proof's leaf holds; else it is the content hash stated."""
+    return _verified(proofs, F.lit(expected_root), F.col("manifest_root"), F.col("siblings"), DEPTH, alg, **names)
+
+
+def verify_in_shard(proofs: DataFrame, shards: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
+    """``verify`` against the root of the record's shard alone: ``shards(shard_id, shard_root)``, hex, a row a shard. Only the lower siblings are folded; a shard that is not known has no root to match."""
+    known = shards.select("shard_id", F.col("shard_root").alias("expected_"))
+    own = proofs.join(known, "shard_id", "left")
+    return _verified(own, F.coalesce("expected_", F.lit("")), F.col("shard_root"), F.substring("siblings", 1, 32 * (DEPTH - SHARD_BITS)), DEPTH - SHARD_BITS, alg, **names).drop("expected_").select(*proofs.columns, "verdict")
+
+
+def verify_changes(changes: DataFrame, before: DataFrame, after: DataFrame, parent_root: str, child_root: str, alg: str = "blake3", **names: str) -> DataFrame:
+    """``changes(kind 0 removed or 1 added, shard_id, record_id, version, content_hash)`` with ``verdict``, by two proofs of the same record, under the parent's and the child's root.
+
+    A removed record is included before, with the hash stated, and excluded after; an added one the other way round. The first that fails: no-proof, the parent's proof, the child's, wrong-sides, content-mismatch; or valid."""
+    by = ["shard_id", "record_id", "version"]
+    sides = [verify(p, root, alg, **names).select(*by, F.col("kind").alias(f"kind_{s}"), F.col("content_hash").alias(f"hash_{s}"), F.col("verdict").alias(f"verdict_{s}")) for s, p, root in (("a", before, parent_root), ("b", after, child_root))]
+    rows = changes.join(sides[0], by, "left").join(sides[1], by, "left")
+    removed = F.col("kind") == 0
+    held = F.when(removed, F.col("hash_a")).otherwise(F.col("hash_b"))
+    right = F.when(removed, (F.col("kind_a") == "inclusion") & (F.col("kind_b") == "exclusion")).otherwise((F.col("kind_a") == "exclusion") & (F.col("kind_b") == "inclusion"))
+    verdict = (
+        F.when(F.col("verdict_a").isNull() | F.col("verdict_b").isNull(), "no-proof")
+        .when(F.col("verdict_a") != "valid", F.concat(F.lit("parent-"), "verdict_a"))
+        .when(F.col("verdict_b") != "valid", F.concat(F.lit("child-"), "verdict_b"))
+        .when(~right, "wrong-sides")
+        .when(~held.eqNullSafe(F.col("content_hash")), "content-mismatch")
+        .otherwise("valid")
+    )
+    return rows.select(*changes.columns, verdict.alias("verdict"))
+
+
 def reference_root(pairs: dict[bytes, bytes], alg: str = "blake3", depth: int = 0) -> bytes:
     """Root over key to leaf hash by recursion, for tests and for few leaves."""
     if not pairs:
@@ -299,3 +397,6 @@ def reference_root(pairs: dict[bytes, bytes], alg: str = "blake3", depth: int =
     return many([framing.NODE + b"|" + reference_root(left, alg, depth + 1) + b"|" + reference_root(right, alg, depth + 1)], alg)[0]
 
 
+def canopies(leaf_rows: DataFrame, most: int = 1024, width: int = 9) -> DataFrame:
+    """(canopy hex, leaves, kept): leaves by the first ``width`` bytes of their ``key``, and whether there are so many that the nodes below are kept."""
+    return leaf_rows.groupBy(F.lower(F.hex(F.substring("key", 1, width))).alias("canopy")).agg(F.count("*").alias("leaves")).withColumn("kept", F.col("leaves") > most)

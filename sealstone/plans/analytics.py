@@ -10,6 +10,7 @@ from sealstone.operators import diff, ledger, merkle, segments, smt
 from sealstone.plans.registry import query
 from sealstone.sources import fixtures as fx
 from sealstone.sources.fixtures import AS_OF, ctes, read
+from sealstone.sources.tables import table
 
 _EQUIVOCATES = ctes("peer_checkpoints") + """, f AS (SELECT *, verified AND (
     EXISTS (SELECT 1 FROM g1 WHERE g1.signer = p.signer AND g1.shard_id = p.shard_id AND g1.checkpoint_timestamp = p.checkpoint_timestamp)
@@ -245,18 +246,44 @@ def seal_documents(spark, d):
     return smt.seal(fx.records(spark, d))
 
 
-@query()
+_H = "hex(encode('{0}'))"
+_NODE = "sha256(unhex(" + _H.format("OLY:NODE:V1|") + " || {0} || '7C' || {1}))"
+
+
+def _lp_text(value: str) -> str:
+    return _LP.format(value)
+
+
+def _leaves_sql(source: str) -> str:
+    """Leaves of a relation of records: shard_id, byte_size, key (hex), leaf (hex)."""
+    key = f"left(sha256(unhex({_H.format('OLY:SHARD-PREFIX:V1')} || hex(encode(shard_id)))), 16) || left(sha256(unhex({_H.format('OLY:KEY:V1')} || {_lp_text(chr(39) + 'dataset-record' + chr(39))} || {_lp_text('record_id')} || lpad(hex(version), 16, '0'))), 48)"
+    parser = " || ".join(_lp_text(f"'{x}'") for x in ("manifest@v1", "v1", "none"))
+    return f"keys AS (SELECT *, {key} AS key FROM {source}), leaves AS (SELECT *, sha256(unhex('014F4C590101' || {_lp_text('shard_id')} || '05' || '00000020' || key || content_hash || {parser})) AS leaf FROM keys)"
+
+
+def _seal_sql(source: str, *needs: str) -> str:
+    """The tree level by level: 256 groupings by one bit less of the key."""
+    empty = [e.tobytes().hex() for e in smt.empties("sha256")]
+    levels = ["l256 AS (SELECT CAST(CAST(unhex(key) AS BIT) AS VARCHAR) AS b, leaf AS h FROM leaves)"]
+    for d in range(256, 0, -1):
+        side = [f"coalesce(max(h) FILTER (WHERE substr(b, {d}, 1) = '{x}'), '{empty[256 - d]}')" for x in "01"]
+        levels.append(f"l{d - 1} AS (SELECT left(b, {d - 1}) AS b, {_NODE.format(*side)} AS h FROM l{d} GROUP BY 1)")
+    out = f"SELECT s.shard_id, l64.h AS shard_root, s.record_count, s.byte_size, l0.h AS manifest_root FROM (SELECT shard_id, left(CAST(CAST(unhex(min(key)) AS BIT) AS VARCHAR), 64) AS b, count(*) AS record_count, CAST(sum(byte_size) AS BIGINT) AS byte_size FROM leaves GROUP BY 1) s JOIN l64 USING (b), l0"
+    return ctes(*needs) + f", {_leaves_sql(source)}, {', '.join(levels)} {out}"
+
+
+@query(_seal_sql("records", "records"))
 def seal_documents_sha256(spark, d):
     return smt.seal(fx.records(spark, d), "sha256")
 
 
-def _queries(spark, d):
-    r = fx.records(spark, d)
-    absent = r.limit(0).select("shard_id", "record_id", "version").unionByName(r.filter(F.col("record_id").cast("long") % 50 == 1).select("shard_id", F.concat("record_id", F.lit("-absent")).alias("record_id"), "version"))
-    return r, r.filter(F.col("record_id").cast("long") % 50 == 0).select("shard_id", "record_id", "version").unionByName(absent)
+@query(_seal_sql("merged", "records", "records_v2").replace(", keys AS", ", merged AS (SELECT * FROM records UNION SELECT * FROM records_v2), keys AS"))
+def incremental_seal(spark, d):
+    """The tree of one version, extended by the records of the next: only buckets that get new leaves are folded again."""
+    return smt.extend(smt.build(fx.records(spark, d), "sha256"), fx.records_v2(spark, d)).seal()
 
 
-def _all_queries(spark, d):
+def _queries(spark, d):
     r = fx.records(spark, d)
     own = r.select("shard_id", "record_id", "version")
     return r, own.unionByName(own.withColumn("record_id", F.concat("record_id", F.lit("-absent"))))
@@ -265,23 +292,69 @@ def _all_queries(spark, d):
 @query()
 def prove_records(spark, d):
     """Inclusion proofs for every record and exclusion proofs for as many absent ones."""
-    r, asked = _all_queries(spark, d)
+    r, asked = _queries(spark, d)
     return smt.prove(r, asked)
 
 
-@query("SELECT CASE WHEN doc_id % 50 = 0 THEN 'inclusion' ELSE 'exclusion' END AS kind, 'valid' AS verdict, count(*) AS n FROM documents WHERE doc_id % 50 < 2 GROUP BY 1")
+_TAMPERED = """CASE WHEN doc_id % 7 = 0 THEN 'root-mismatch' WHEN doc_id % 11 = 1 THEN 'kind-mismatch' WHEN doc_id % 13 = 2 THEN 'key-mismatch' WHEN doc_id % 17 = 3 AND kind = 'inclusion' THEN 'content-mismatch' WHEN doc_id % 19 = 4 THEN 'proof-invalid' ELSE 'valid' END"""
+
+
+@query(f"SELECT CASE WHEN doc_id % 11 = 1 THEN '?' ELSE kind END AS kind, {_TAMPERED} AS verdict, count(*) AS n FROM documents, unnest(['inclusion', 'exclusion']) AS u(kind) GROUP BY 1, 2")
 def verify_records(spark, d):
+    """Proofs of every record and as many absent ones, many of them tampered with in one way or other."""
     r, asked = _queries(spark, d)
-    root = smt.seal(r).select("manifest_root").first()[0]
-    return smt.verify(smt.prove(r, asked), root).groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+    tree = smt.build(r)
+    k = F.regexp_extract("record_id", "^[0-9]+", 0).cast("long")
+    bad = smt.prove(tree, asked).withColumn("k", k).withColumn("committed_hash", F.col("content_hash"))
+    bad = bad.withColumn("manifest_root", F.when(F.col("k") % 7 == 0, F.lit("00" * 32)).otherwise(F.col("manifest_root"))).withColumn("content_hash", F.when((F.col("k") % 17 == 3) & (F.col("kind") == "inclusion"), F.lit("11" * 32)).otherwise(F.col("content_hash")))
+    bad = bad.withColumn("version", F.when(F.col("k") % 13 == 2, F.col("version") + 1).otherwise(F.col("version"))).withColumn("siblings", F.when(F.col("k") % 19 == 4, F.concat(F.lit(bytes(32)), F.substring("siblings", 33, 8192))).otherwise(F.col("siblings")))
+    bad = bad.withColumn("kind", F.when(F.col("k") % 11 == 1, "?").otherwise(F.col("kind")))
+    return smt.verify(bad, tree.root()).groupBy("kind", "verdict").agg(F.count("*").alias("n"))
 
 
 @query("SELECT kind, 'valid' AS verdict, count(*) AS n FROM documents, unnest(['inclusion', 'exclusion']) AS u(kind) GROUP BY 1")
 def verify_all_records(spark, d):
-    """Every record and as many absent ones; verify_records asks for every 50th."""
-    r, asked = _all_queries(spark, d)
-    root = smt.seal(r).select("manifest_root").first()[0]
-    return smt.verify(smt.prove(r, asked), root).groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+    """Every record and as many absent ones, untouched."""
+    r, asked = _queries(spark, d)
+    tree = smt.build(r)
+    return smt.verify(smt.prove(tree, asked), tree.root()).groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source AS shard_id, kind, CASE WHEN source = 'src3' THEN 'root-mismatch' WHEN doc_id % 7 = 0 AND kind = 'inclusion' THEN 'proof-invalid' ELSE 'valid' END AS verdict, count(*) AS n FROM documents, unnest(['inclusion', 'exclusion']) AS u(kind) GROUP BY 1, 2, 3")
+def verify_in_shards(spark, d):
+    """Each proof against the root of its shard alone; one shard's root is another's, and some hashes are not those sealed."""
+    r, asked = _queries(spark, d)
+    tree = smt.build(r)
+    known = tree.seal().select("shard_id", F.when(F.col("shard_id") == "src3", F.lit("22" * 32)).otherwise(F.col("shard_root")).alias("shard_root"))
+    bad = smt.prove(tree, asked).withColumn("content_hash", F.when(F.regexp_extract("record_id", "^[0-9]+", 0).cast("long") % 7 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
+    return smt.verify_in_shard(bad, known).groupBy("shard_id", "kind", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(_DIFF + " SELECT kind, shard_id, record_id, version, CASE WHEN CAST(record_id AS BIGINT) % 5 = 0 THEN 'content-mismatch' WHEN CAST(record_id AS BIGINT) % 7 = 1 THEN 'wrong-sides' ELSE 'valid' END AS verdict FROM x")
+def verify_version_changes(spark, d):
+    """Added and removed records by two proofs each; some state another hash, some the other kind of change."""
+    old, new = fx.records(spark, d), fx.records_v2(spark, d)
+    a, b = smt.build(old), smt.build(new)
+    changes = table(diff.diff(old, new), "changes")
+    asked = changes.select("shard_id", "record_id", "version")
+    k = F.col("record_id").cast("long")
+    stated = changes.withColumn("content_hash", F.when(k % 5 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))).withColumn("own", F.col("kind")).withColumn("kind", F.when((k % 7 == 1) & (k % 5 != 0), 1 - F.col("kind")).otherwise(F.col("kind")))
+    checked = smt.verify_changes(stated, smt.prove(a, asked), smt.prove(b, asked), a.root(), b.root())
+    return checked.select(F.col("own").alias("kind"), "shard_id", "record_id", "version", "verdict")
+
+
+@query(ctes("records") + f", {_leaves_sql('records')} SELECT left(key, 18) AS canopy, count(*) AS leaves, count(*) > 1024 AS kept FROM leaves GROUP BY 1")
+def canopies_of_keys(spark, d):
+    """Leaves by the first nine bytes of their keys, and whether the nodes below are kept."""
+    return smt.canopies(smt.leaves(fx.records(spark, d), "sha256"))
+
+
+@query(ctes("records") + f", {_leaves_sql('records')} SELECT record_id, left(key, 16) = left(sha256(unhex({_H.format('OLY:SHARD-PREFIX:V1')} || hex(encode(CASE WHEN CAST(record_id AS BIGINT) % 3 = 0 THEN 'src1' ELSE shard_id END)))), 16) AS matches FROM leaves")
+def shard_of_key(spark, d):
+    """Whether a key is of the shard stated for it."""
+    rows = smt.leaves(fx.records(spark, d), "sha256")
+    stated = F.when(F.col("record_id").cast("long") % 3 == 0, F.lit("src1")).otherwise(F.col("shard_id"))
+    return rows.select("record_id", smt.shard_matches_key(stated, F.col("key"), "sha256").alias("matches"))
 
 
 @query(ctes("records") + f" SELECT shard_id, record_id, sha256(unhex(hex(encode('OLY:KEY:V1')) || {_LP.format(chr(39) + 'dataset-record' + chr(39))} || {_LP.format('record_id')} || lpad(hex(version), 16, '0'))) AS record_key FROM records")
@@ -308,28 +381,55 @@ def legacy_merkle_root(spark, d):
     return merkle.binary_roots(rows, by="shard_id").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
 
 
-@query()
+def _levels_sql(depth: int, empties: list[str] | None) -> str:
+    """Levels of an ordered tree over l0(shard_id, i, h): a missing right node is an empty subtree or, without these, the left one passes up."""
+    out = []
+    for k in range(depth):
+        left, right = ("max(h) FILTER (WHERE i % 2 = {})".format(x) for x in (0, 1))
+        node = _NODE.format(left, f"coalesce({right}, '{empties[k]}')") if empties else f"CASE WHEN count(*) = 2 THEN {_NODE.format(left, right)} ELSE max(h) END"
+        out.append(f"l{k + 1} AS (SELECT shard_id, i // 2 AS i, {node} AS h FROM l{k} GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+@query(ctes("records") + f", l0 AS (SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY CAST(record_id AS BIGINT)) - 1 AS i, sha256(unhex({_H.format('OLY:LEAF:V1|')} || content_hash)) AS h FROM records), {_levels_sql(24, None)} SELECT l24.shard_id, h AS root, n FROM l24 JOIN (SELECT shard_id, count(*) AS n FROM records GROUP BY 1) USING (shard_id)")
+def legacy_merkle_root_sha256(spark, d):
+    rows = fx.records(spark, d).select("shard_id", F.col("record_id").cast("long").alias("position"), F.unhex("content_hash").alias("data"))
+    return merkle.binary_roots(rows, by="shard_id", alg="sha256").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
+
+
+def _snapshots(spark, d):
+    return fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
+
+
+@query(ctes("ingest_records") + f", l0 AS (SELECT shard_id, snapshot_index AS i, sha256(CAST(proof_id AS VARCHAR)) AS h FROM ingest_records), {_levels_sql(20, [e.hex() for e in merkle.zeros('sha256', 20)])} SELECT l20.shard_id, h AS root, n FROM l20 JOIN (SELECT shard_id, count(*) AS n FROM ingest_records GROUP BY 1) USING (shard_id)")
 def snapshot_append_roots(spark, d):
     """Root of each shard's snapshot tree of a fixed depth over its records in order."""
-    rows = fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
-    return merkle.fixed_depth_roots(rows, by="shard_id", depth=20, alg="sha256").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
+    return merkle.fixed_depth_roots(_snapshots(spark, d), by="shard_id", depth=20, alg="sha256").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
 
 
-@query("SELECT shard_id, 'valid' AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
+def _where(shard: str, column: str, value):
+    return F.when(F.col("shard_id") == shard, value).otherwise(F.col(column))
+
+
+@query("SELECT shard_id, CASE shard_id WHEN 'click' THEN 'not-an-append' WHEN 'view' THEN 'root-mismatch' ELSE 'valid' END AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
 def snapshot_append_transition(spark, d):
-    """The last append of each shard: one path leads from the root before to the root after."""
-    rows = fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
+    """The last append of each shard: one path leads from the root before to the root after. One shard states another root before, one another after."""
+    rows = _snapshots(spark, d)
     n = F.max("position").over(Window.partitionBy("shard_id"))
     before = merkle.fixed_depth_roots(rows.withColumn("top", n).filter("position < top").drop("top"), by="shard_id", depth=20, alg="sha256").select("shard_id", F.col("root").alias("prev_root"))
-    now = merkle.snapshot_paths(rows, by="shard_id", depth=20, alg="sha256").withColumnRenamed("n", "size")
-    return merkle.append_transition(now.join(before, "shard_id"), "sha256").select("shard_id", "verdict")
+    now = merkle.snapshot_paths(rows, by="shard_id", depth=20, alg="sha256").withColumnRenamed("n", "size").join(before, "shard_id")
+    now = now.withColumn("prev_root", _where("click", "prev_root", F.lit(bytes(32)))).withColumn("root", _where("view", "root", F.lit(bytes(32))))
+    return merkle.append_transition(now, "sha256").select("shard_id", "verdict")
 
 
-@query("SELECT shard_id, 'valid' AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
+@query("SELECT shard_id, CASE shard_id WHEN 'click' THEN 'size-mismatch' WHEN 'signup' THEN 'not-contiguous' WHEN 'view' THEN 'leaf-mismatch' WHEN 'error' THEN 'root-mismatch' ELSE 'valid' END AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
 def snapshot_validation(spark, d):
-    rows = fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
+    """Stated snapshots against their records: four shards break a rule each."""
+    rows = _snapshots(spark, d)
     stated = merkle.snapshot_paths(rows, by="shard_id", depth=20, alg="sha256").select("shard_id", F.col("n").alias("size"), "leaf", "root")
-    return merkle.snapshot_faults(rows, stated, by="shard_id", depth=20, alg="sha256").select("shard_id", "verdict")
+    stated = stated.withColumn("size", _where("click", "size", F.col("size") + 1)).withColumn("leaf", _where("view", "leaf", F.lit(bytes(32)))).withColumn("root", _where("error", "root", F.lit(bytes(32))))
+    gap = rows.withColumn("position", F.when((F.col("shard_id") == "signup") & (F.col("position") > 0), F.col("position") + 1).otherwise(F.col("position")))
+    return merkle.snapshot_faults(gap, stated, by="shard_id", depth=20, alg="sha256").select("shard_id", "verdict")
 
 
 @query("SELECT doc_id, sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256('b' || CAST(doc_id AS VARCHAR)) || '7C' || sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256(CAST(doc_id AS VARCHAR)) || '7C' || sha256('a' || CAST(doc_id AS VARCHAR)))))) AS root FROM documents")
@@ -373,11 +473,14 @@ def chunk_reveal_masks(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(reveal_mask(F.octet_length("text").cast("long"), ranges).cast("array<string>"), "").alias("mask"))
 
 
-@query("SELECT doc_id, sha256(unhex(rpad(hex(encode(left(text, 0))) || upper(left(hex(encode(text)), CAST(2 * greatest(ceil(octet_length(encode(text)) / 16.0), 1) AS INTEGER))), CAST(2 * greatest(ceil(octet_length(encode(text)) / 16.0), 1) AS INTEGER), '0'))) AS first_chunk FROM documents")
+@query("""WITH t AS (SELECT doc_id, hex(encode(text)) AS h, CAST(2 * greatest(ceil(octet_length(encode(text)) / 16.0), 1) AS INTEGER) AS c FROM documents)
+    SELECT doc_id, string_agg(sha256(unhex(rpad(substr(h, i * c + 1, c), c, '0'))), ',' ORDER BY i) AS chunks FROM t, unnest(range(16)) AS u(i) GROUP BY 1""")
 def chunk_hashes_sha256(spark, d):
-    from sealstone.operators.chunks import chunk_hash
+    """The hashes of the sixteen chunks of every text, in one row."""
+    from sealstone.operators.chunks import CHUNKS, chunk_hash
 
-    return read(spark, d, "documents").select("doc_id", F.lower(F.hex(chunk_hash(F.col("text"), F.lit(0), "sha256"))).alias("first_chunk"))
+    hashes = F.array(*(F.lower(F.hex(chunk_hash(F.col("text"), F.lit(i), "sha256"))) for i in range(CHUNKS)))
+    return read(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(hashes, ",").alias("chunks"))
 
 
 @query("""WITH t AS (SELECT doc_id, hex(encode(text)) AS h, CAST(2 * greatest(ceil(octet_length(encode(text)) / 16.0), 1) AS INTEGER) AS c FROM documents)
@@ -423,3 +526,27 @@ def role_projection(spark, d):
     _, entries, _ = _lists(spark, d)
     later = entries.withColumn("valid_from", F.when(F.col("list_id") % 2 == 1, F.col("valid_from") + 1).otherwise(F.col("valid_from")))
     return same_projection(entries, later, "witness")
+
+
+_LINKS = """WITH c AS (SELECT c_custkey AS k, c_nationkey AS chain_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer), l AS (SELECT *, n + CASE WHEN chain_id % 6 = 1 AND n >= 5 THEN 1 ELSE 0 END AS sequence FROM c)"""
+
+
+@query(_LINKS + """ SELECT k, CASE WHEN n = 3 AND chain_id % 6 = 0 THEN 'digest-disagrees' WHEN n = 4 AND chain_id % 6 = 4 THEN 'sequence-disagrees' WHEN n = 1 AND chain_id % 6 = 5 THEN 'missing-genesis' WHEN n = 5 AND chain_id % 6 = 1 THEN 'sequence-gap' WHEN n = 4 AND chain_id % 6 = 2 THEN 'linkage-broken'
+    WHEN n = 6 AND chain_id % 6 = 2 THEN 'activation-order' WHEN n = 6 AND chain_id % 6 = 3 THEN 'activation-gap' ELSE 'valid' END AS verdict FROM l""")
+def accepted_chain(spark, d):
+    """Chains of trust transitions, one a nation; each breaks one of the rules."""
+    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long")
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("chain_id"), n.alias("n")).withColumn("broken", F.col("chain_id") % 6)
+    is_ = lambda kind, at: (F.col("broken") == kind) & (F.col("n") == at)
+    sequence = F.col("n") + F.when((F.col("broken") == 1) & (F.col("n") >= 5), 1).otherwise(0)
+    digest = lambda at: F.sha2(F.concat_ws(":", F.col("chain_id").cast("string"), at.cast("string")), 256)
+    links = rows.select("k", "chain_id", sequence.alias("sequence"), F.when((F.col("n") == 1) & (F.col("broken") != 5), "genesis").otherwise("rotation").alias("kind"), digest(F.col("n")).alias("digest"), F.when(is_(2, 4), "none").otherwise(digest(F.col("n") - 1)).alias("previous_digest"), F.when(is_(0, 3), "other").otherwise(digest(F.col("n"))).alias("snapshot_digest"), (sequence + F.when(is_(4, 4), 9).otherwise(0)).alias("snapshot_sequence"), (F.col("n") * 100 - F.when(is_(2, 6), 150).otherwise(0)).alias("activation_at"), ((F.col("n") < 4) | is_(3, 6)).alias("activated"))
+    return ledger.chain_faults(links).select("k", "verdict")
+
+
+@query(f"SELECT doc_id, lower({_H.format('OLY:REDACTION_BUNDLE:V3')} || {_LP.format('sha256(text)')} || {_LP.format(chr(39) + 'text' + chr(39))} || lpad(hex(len(string_split(text, chr(10)))), 8, '0') || {_LP.format('CAST(doc_id AS VARCHAR)')} || sha256('t' || text)) AS message, sha256(unhex({_H.format('OLY:REDACTION:NULLIFIER:V1')} || sha256(text) || sha256('t' || text) || {_LP.format('CAST(doc_id AS VARCHAR)')})) AS nullifier FROM documents")
+def redaction_bundles(spark, d):
+    """What is signed of a redacted bundle, and its nullifier."""
+    root, table_hash, to = F.sha2("text", 256), F.sha2(F.concat(F.lit("t"), "text"), 256), F.col("doc_id").cast("string")
+    message = segments.signing_message(root, F.lit("text"), F.size(F.split("text", "\n")), to, table_hash)
+    return read(spark, d, "documents").select("doc_id", F.lower(F.hex(message)).alias("message"), segments.nullifier(root, table_hash, to, "sha256").alias("nullifier"))

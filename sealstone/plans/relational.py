@@ -86,7 +86,8 @@ def join_using(spark, d):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def join_left(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_orders"))
+    each = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"))  # counted before the join
+    return read(spark, d, "customer").join(each, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS has_done FROM customer")
@@ -241,15 +242,33 @@ def set_except(spark, d):
     return fx.records(spark, d).select(*by).subtract(fx.records_v2(spark, d).select(*by)).groupBy("shard_id").agg(F.count("*").alias("n"))
 
 
+@query(ctes("records", "records_v2") + " SELECT shard_id, count(*) AS n FROM (SELECT shard_id, content_hash FROM records INTERSECT SELECT shard_id, content_hash FROM records_v2) GROUP BY 1")
+def set_intersect(spark, d):
+    by = ["shard_id", "content_hash"]
+    return fx.records(spark, d).select(*by).intersect(fx.records_v2(spark, d).select(*by)).groupBy("shard_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS quarter, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)")
+def ranks_of_group(spark, d):
+    w, one = Window.partitionBy("o_custkey").orderBy("o_orderdate"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return read(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(4).over(one).cast("long").alias("quarter"), F.lead("o_orderkey").over(one).alias("next"))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100 OFFSET 0")
+def page_clamped(spark, d):
+    """A client's page 0 of 5,000 rows, clamped to page 1 of 100."""
+    return ledger.page(read(spark, d, "customer"), [F.desc("c_acctbal"), "c_custkey"], 0, 5000).select("c_custkey", "c_name")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_field(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).filter("k is not null")
 
 
-@query("SELECT doc_id, i - 1 AS ordinal, string_split(t, ' ')[i] AS word FROM (SELECT doc_id, left(text, 200) AS t FROM documents), unnest(range(1, len(string_split(t, ' ')) + 1)) AS u(i) WHERE i <= 5")
+@query("SELECT doc_id, i - 1 AS ordinal, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)")
 def elements_with_ordinality(spark, d):
-    words = F.slice(F.split(F.substring("text", 1, 200), " "), 1, 5)
-    return read(spark, d, "documents").select("doc_id", F.posexplode(words).alias("ordinal", "word")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    """Every line of the whole text."""
+    return read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("SELECT doc_id, i - 1 AS ordinal, ws[i] AS word FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)")
@@ -284,9 +303,10 @@ def tree_geometry(spark, d):
     return read(spark, d, "part").select("p_partkey", ledger.tree_depth(F.col("p_partkey")).alias("depth"))
 
 
-@query("SELECT doc_id, substr(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 255) AS name, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents")
+@query("SELECT doc_id, substr(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 255) AS name, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM documents")
 def sanitised_cells(spark, d):
-    return read(spark, d, "documents").select("doc_id", ledger.clean_filename(F.col("text")).alias("name"), ledger.csv_safe(F.substring("text", 1, 20)).alias("cell"))
+    """Names (255 characters, the ledger's own bound) and cells of whole texts."""
+    return read(spark, d, "documents").select("doc_id", ledger.clean_filename(F.col("text")).alias("name"), ledger.csv_safe(F.col("text")).alias("cell"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM documents")

@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealstone.functions.framing import digest
 from sealstone.operators.ledger import csv_safe, latest
+from sealstone.operators.streams import hash_stream
+
+
+#: Files from this size on are read as streams, by the tasks; smaller ones are rows of Spark's reader.
+STREAMED = 1 << 30
+
 
+def scan_directory(spark: SparkSession, root: str, *, alg: str = "blake3", shard: str | None = None, streamed: int = STREAMED) -> DataFrame:
+    """All regular files below ``root`` as records, empty ones too. The shard is the first folder of the path (``root`` for files on top), or the one given; the id is the rest of the path.
 
-def scan_directory(spark: SparkSession, root: str, *, alg: str = "blake3", shard: str | None = None) -> DataFrame:
-    """Files below ``root`` as records; empty files, which the reader leaves out, have none. The shard is the first folder of the path (``root`` for files on top), or the one given; the id is the rest of the path."""
-    base = root.rstrip("/") + "/"
+    Spark's reader lists the files once; it leaves empty ones out of its rows, so these are what the list holds besides. Files from ``streamed`` bytes on, in a store that pyarrow opens, are hashed
+    a block at a time. Hidden files (a leading dot or underscore) are not listed by Spark's reader and have no record."""
+    base = "/" + root.removeprefix("file://").strip("/") + "/" if root.startswith(("/", "file:")) else root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    inside = F.substring_index(path, base.removeprefix("file://"), -1)
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    small = files.filter(F.col("length") < streamed).select(plain.alias("path"), F.lower(F.hex(digest(F.col("content"), alg))).alias("content_hash"), F.col("length").cast("long").alias("byte_size"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+                with fs.open_input_stream(at) as f:
+                    if alg == "blake3":
+                        got, n = hash_stream(f)
+                    else:
+                        state, n = hashlib.sha256(), 0
+                        while data := f.read(16 << 20):
+                            state.update(data)
+                            n += len(data)
+                        got = state.digest()
+                yield pa.RecordBatch.from_pydict({"path": [path], "content_hash": [got.hex()], "byte_size": pa.array([n], pa.int64())})
+
+    large = files.filter(F.col("length") >= streamed).select(plain.alias("path")).repartition(F.col("path")).mapInArrow(hashed, "path string, content_hash string, byte_size long")
+    listed = spark.createDataFrame([("/" + p.removeprefix("file:").lstrip("/") if p.startswith("file:") else p,) for p in map(unquote, files.inputFiles())], "path string")
+    empty = listed.join(files.select(plain.alias("path")), "path", "left_anti").select("path", F.lower(F.hex(digest(F.lit(b""), alg))).alias("content_hash"), F.lit(0).cast("long").alias("byte_size"))
+    every = small.unionByName(large).unionByName(empty)
+    inside = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
     first = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("root")
     name = F.when(F.instr(inside, "/") > 0, F.regexp_replace(inside, "^[^/]*/", "")).otherwise(inside)
-    return files.select((F.lit(shard) if shard else first).alias("shard_id"), (inside if shard else name).alias("record_id"), F.lit(1).cast("long").alias("version"), F.lower(F.hex(digest(F.col("content"), alg))).alias("content_hash"), F.col("length").cast("long").alias("byte_size"))
+    return every.select((F.lit(shard) if shard else first).alias("shard_id"), (inside if shard else name).alias("record_id"), F.lit(1).cast("long").alias("version"), "content_hash", "byte_size")
 
 
 def write_csv(df: DataFrame, path: str, most: int = 50_000) -> None:

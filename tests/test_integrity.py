@@ -62,7 +62,7 @@ def test_seal_prove_verify(spark, alg, monkeypatch):
 
         assert sub(own, 64).hex() == x.shard_root
         break
-    monkeypatch.setattr(smt, "layout", lambda records, size=0: (3, 5))
+    monkeypatch.setattr(smt, "layout", lambda most, size=0: 3)
     assert smt.seal(r, alg).first().manifest_root == root
     there = r.select("shard_id", "record_id", "version")
     absent = spark.createDataFrame([("src0", "nope", 1), ("zz", "1", 1), ("src1", "5", 9)], there.schema)
@@ -84,6 +84,57 @@ def test_seal_refuses_a_repeated_identity(spark):
         smt.seal(r.union(r), "sha256").collect()
 
 
+def test_extended_tree_is_the_whole_one(spark, monkeypatch):
+    r = fx.records(spark, SF).limit(90).cache()
+    monkeypatch.setattr(smt, "layout", lambda most, size=0: 3)
+    first = r.filter("cast(record_id as long) % 3 > 0")
+    tree = smt.build(first, "sha256")
+    again = smt.extend(tree, r)  # records that are there already change nothing
+    assert again.root() == smt.build(r, "sha256").root() == smt.seal(r, "sha256").first().manifest_root
+    assert again.leaves.count() == 90 and again.buckets.count() == smt.build(r, "sha256").buckets.count()
+    with pytest.raises(Exception, match="another value"):
+        smt.extend(tree, first.withColumn("content_hash", F.sha2("content_hash", 256)))
+    none = smt.build(r.limit(0), "sha256")
+    assert none.root() == smt.empties("sha256")[256].tobytes().hex() and none.seal().count() == 0
+    asked = r.select("shard_id", "record_id", "version").limit(2)
+    assert {x.verdict for x in smt.verify(smt.prove(none, asked), none.root(), "sha256").collect()} == {"valid"}
+    assert {x.verdict for x in smt.verify_in_shard(smt.prove(tree, asked), tree.seal(), "sha256").collect()} == {"valid"}
+
+
+def test_packed_paths():
+    for bits in ([], [1], [0, 1, 1, 0, 1, 0, 0, 1, 1], [1] * 16):
+        assert smt.unpack_bits(smt.pack_bits(bits), len(bits)) == bits
+    assert smt.pack_bits([1, 0, 1]) == b"\xa0" and smt.unpack_bits(b"\xbf", 3) == [1, 0, 1]
+    with pytest.raises(ValueError):
+        smt.pack_bits([2])
+
+
+def test_prefixes_of_keys(spark):
+    key = bytes(range(160, 192))
+    for depth in (0, 3, 8, 16, 64, 67, 71):
+        got = bytes(spark.createDataFrame([(bytearray(key),)], "key binary").select(smt.prefix("key", depth).alias("p")).first().p)
+        assert got.ljust(32, b"\0") == smt._cut(key, depth)
+
+
+def test_streams_of_rows_have_the_digest_of_the_whole(spark, monkeypatch):
+    """Heads, parts and chunks of all sizes against the digest of the joined bytes."""
+    from sealstone.operators import streams
+    from sealstone.sources.tables import table
+
+    r = random.Random(9)
+    monkeypatch.setattr(streams, "STEP", 2)
+    for n, most, parts, head in ((0, 1, 1, b"h"), (3, 40, 2, b"head"), (40, 900, 3, b"head"), (30, 5000, 6, b""), (400, 90, 9, b"x" * 1024), (5, 2048, 5, b"y" * 24)):
+        rows = [(i, bytearray(r.randbytes(r.randint(0, most)))) for i in range(n)]
+        df = spark.createDataFrame(rows, "i long, entry binary").repartitionByRange(parts, "i").withColumn("part", F.spark_partition_id())
+        assert streams.blake3_of_parts(table(df, "rows"), ["i"], "entry", head) == hash_many([head + b"".join(bytes(x) for _, x in rows)])[0]
+
+
+def test_a_tree_that_is_too_full_is_an_error(spark):
+    rows = spark.createDataFrame([("g", i, bytearray(32)) for i in range(9)], "g string, position int, data binary")
+    with pytest.raises(Exception, match="more rows than its tree holds"):
+        merkle.fixed_depth_roots(rows, by="g", depth=3, alg="sha256").collect()
+
+
 def test_ordered_trees(spark):
     one = lambda m: hashlib.sha256(m).digest()
     join = lambda a, b: one(framing.NODE + b"|" + a + b"|" + b)

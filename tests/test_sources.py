@@ -1,6 +1,7 @@
 """Directory scans, sinks, Poseidon and snapshot paths."""
 
 import hashlib
+import io
 import json
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sealstone.functions.blake3 import hash_many
 from sealstone.functions.poseidon import chain, leaf, node, poseidon, tagged
 from sealstone.operators import merkle
+from sealstone.operators.streams import hash_stream
 from sealstone.sources import files
 
 
@@ -19,6 +21,15 @@ def test_scan_directory(spark, tmp_path):
     got = {(r.shard_id, r.record_id): (r.content_hash, r.byte_size) for r in files.scan_directory(spark, str(tmp_path)).collect()}
     assert got == {("a", "b/x.txt"): (hash_many([b"abc"])[0].hex(), 3), ("root", "top.txt"): (hash_many([b"q" * 3000])[0].hex(), 3000)}
     assert {r.record_id for r in files.scan_directory(spark, str(tmp_path), shard="s").collect()} == {"a/b/x.txt", "top.txt"}
+    (tmp_path / "a" / "empty é %.txt").write_bytes(b"")
+    got = {(r.shard_id, r.record_id): (r.content_hash, r.byte_size) for r in files.scan_directory(spark, f"file://{tmp_path}", streamed=1000).collect()}  # a file of 3,000 bytes as a stream
+    assert got == {("a", "b/x.txt"): (hash_many([b"abc"])[0].hex(), 3), ("root", "top.txt"): (hash_many([b"q" * 3000])[0].hex(), 3000), ("a", "empty é %.txt"): (hash_many([b""])[0].hex(), 0)}
+
+
+def test_streamed_digests():
+    data = bytes(i * 7 % 251 for i in range(70_000))
+    for n in (0, 1, 1024, 1025, 4096, 4097, 8192, 9000, 12_288, 70_000):
+        assert hash_stream(io.BytesIO(data[:n]), 4096) == (hash_many([data[:n]])[0], n)
 
 
 def test_sinks(spark, tmp_path):
