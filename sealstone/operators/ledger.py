@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MERGE_DELAY, MERGE_DELAY_LEAST = 86_400, 60
+#: Arrivals of a range of an identity.
+ARRIVALS = 65_536
 
 
 def equivocations(checkpoints: DataFrame, *, identity: tuple[str, ...] = ("signer", "scope", "shard_id"), root: str = "ledger_root") -> DataFrame:
@@ -113,10 +115,16 @@ def ready_receipts(receipts: DataFrame, as_of: int) -> DataFrame:
 
 
 def splices(checkpoints: DataFrame, *, identity: tuple[str, ...] = ("signer", "shard_id"), arrival: str = "id") -> DataFrame:
-    """Rows with the latest earlier row of the identity: ``prev_size``, and ``contiguous``: whether this one appends exactly one."""
-    before = Window.partitionBy(*identity).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max("tree_size").over(before)
-    return checkpoints.withColumn("prev_size", prev).withColumn("contiguous", F.coalesce(F.col("tree_size") == F.col("prev_size") + 1, F.lit(False)))
+    """Rows with the latest earlier row of the identity: ``prev_size``, and ``contiguous``: whether this one appends exactly one. ``arrival`` is a number; an identity is split
+    by ranges of it, whose largest sizes are carried over, so a hot one is not one task."""
+    by = [*identity, "range_"]
+    rows = checkpoints.withColumn("range_", F.floor(F.col(arrival) / F.lit(ARRIVALS)))
+    within = Window.partitionBy(*by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*identity).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*by).agg(F.max("tree_size").alias("top_")).withColumn("before_", F.max("top_").over(ahead)).drop("top_")
+    prev = F.greatest("inside_", "before_")  # either may be null
+    out = rows.withColumn("inside_", F.max("tree_size").over(within)).join(tops, by).withColumn("prev_size", prev)
+    return out.withColumn("contiguous", F.coalesce(F.col("tree_size") == F.col("prev_size") + 1, F.lit(False))).select(*checkpoints.columns, "prev_size", "contiguous")
 
 
 def latest(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

@@ -163,8 +163,7 @@ def integrity_tally(spark, d):
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations) WHERE r = 1")
 def replay_dedup(spark, d):
     """First use of each nonce (conversation and role); the stream form has a time to live."""
-    w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    return read(spark, d, "conversations").withColumn("r", F.row_number().over(w)).filter("r = 1").select("conv_id", "turn")
+    return read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn")).select("conv_id", "turn")
 
 
 # --- dataset versions -------------------------------------------------------------------------------------------

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sealstone.plans.registry import query
 from sealstone.sources.fixtures import read
+from sealstone.sources.tables import shared_dir
 from sealstone.streaming import operators
 
 
@@ -15,10 +18,12 @@ def stream_windowed_counts(spark, d):
     return operators.drained(counts, "complete").select("event_type", F.col("start").cast("timestamp_ntz").alias("day") if dict(read(spark, d, "events").dtypes)["ts"] == "timestamp_ntz" else F.col("start").alias("day"), "n")
 
 
-@query("SELECT DISTINCT user_id % 50 AS nonce FROM events")
+@query("SELECT DISTINCT user_id AS nonce FROM events")
 def stream_replay_dedup(spark, d):
-    s = operators.table_stream(spark, f"{d}/events.parquet").withColumn("nonce", F.col("user_id") % 50)
-    return operators.drained(operators.first_uses(s, "ts", "nonce", "400 days"), "append").select("nonce")
+    """First uses, written as files with a checkpoint in the shared folder: results of any size."""
+    s = operators.table_stream(spark, f"{d}/events.parquet").withColumn("nonce", F.col("user_id"))
+    at = f"{shared_dir(spark)}/first-uses-{uuid.uuid4().hex}"
+    return operators.stored(operators.first_uses(s, "ts", "nonce", "400 days").select("nonce"), f"{at}/out", f"{at}/checkpoint")
 
 
 @query("SELECT user_id % 20 AS signer, event_type AS shard_id, max(event_id % 50) AS tree_size FROM events GROUP BY 1, 2")
