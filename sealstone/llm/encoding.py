@@ -18,7 +18,7 @@ import pyarrow as pa
 from sealstone.llm.common import buffers, is_space, mixed
 
 #: Bytes of pieces (of SHORT bytes at most) and their ids that a worker remembers, about.
-REMEMBERED = 80 << 20
+REMEMBERED = 36 << 20
 SHORT = 48
 
 
@@ -65,8 +65,8 @@ class Met:
 
     def forget(self) -> None:
         self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # digests in order, and the number of each one's string
-        self.text, self.text_off = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.values, self.off = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.text, self.text_off = np.zeros(0, np.uint8), np.zeros(1, np.int32)
+        self.values, self.off = np.zeros(0, self.kind), np.zeros(1, np.int32)
 
     def held(self) -> int:
         return sum(x.nbytes for x in (self.known, self.where, self.text, self.text_off, self.values, self.off))
@@ -95,9 +95,9 @@ class Met:
         n, long_ = len(self.off) - 1, np.diff(off)[first]
         begin = np.cumsum(sizes) - sizes
         self.text = np.concatenate([self.text, data[spread(off[:-1][first], long_)]])
-        self.text_off = np.concatenate([self.text_off, self.text_off[-1] + np.cumsum(long_)])
+        self.text_off = np.concatenate([self.text_off, (self.text_off[-1] + np.cumsum(long_)).astype(np.int32)])
         self.values = np.concatenate([self.values, values[spread(begin[first], sizes[first])]])
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes[first])])
+        self.off = np.concatenate([self.off, (self.off[-1] + np.cumsum(sizes[first])).astype(np.int32)])
         known, where = np.concatenate([self.known, digest]), np.concatenate([self.where, np.arange(n, n + len(first), dtype=np.int32)])
         order = np.argsort(known, kind="stable")  # of two runs in order
         self.known, self.where = known[order], where[order]
@@ -165,7 +165,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         stated = json.loads(self.tokenizer.to_str())
         self.may_cut = (stated["normalizer"], stated["pre_tokenizer"]) in CUT_SAFE
-        self.met = Met(np.uint32)
+        self.met = Met(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -194,4 +194,4 @@ class Encoder:
         size = np.diff(begin)[number]
         end = np.cumsum(size)
         piece_of = np.searchsorted(start[:-1], off)
-        return ids[spread(begin[:-1][number], size)], np.concatenate([[0], end])[piece_of]
+        return ids[spread(begin[:-1][number], size)].astype(np.uint32), np.concatenate([[0], end])[piece_of]

@@ -13,7 +13,7 @@ connected is a candidate group, and there the sets themselves are intersected, m
 So neither lists nor groups ever give rise to all their pairs as rows, and no link between different components is missed.
 
 Lists and groups are kept in cells of at most PART members (and PART_BYTES), by their measured length. Each cell is connected by itself; then one member of each
-connected piece meets those of other cells, and so on; only where pieces stay apart do their members meet in pairs of cells.
+connected piece meets those of other cells, and so on; only where pieces stay apart do their members meet, in pairs of parts of CROSS members.
 Many copies alike thus cost their number; members that are candidates of each other and yet not linked cost the square of theirs in comparisons.
 
 Shingles are compared by 64-bit digests, made from digests of their words (two of one document pair clash about once in 10^13).
@@ -37,7 +37,8 @@ PERCENT = 80
 WORDS = 5
 COMMON, COMMON_LEAST = 200_000, 16  #: common shingles that go to every task, and the documents that such a one is in at least
 LIGHT_MOST = 1024
-PART, PART_BYTES = 128, 16 << 20  #: members of a cell of a list or group, and bytes of their sets
+PART, PART_BYTES = 64, 16 << 20  #: members of a cell of a list or group, and bytes of their sets
+CROSS = 512  #: members of a part of those that stay apart; two parts meet in a cell, so each member is copied once for each part
 BUCKET = 400_000  #: entries of a task, about
 LONG = 100_000  #: documents from which on a shingle's list is not dealt as one
 BROADCAST_KEYS = 1_000_000  #: keys that are sent to every task rather than shuffled
@@ -134,7 +135,7 @@ def common_shingles(docs: DataFrame, n_docs: int, words: int) -> tuple[np.ndarra
             for part in slices(batch, "text"):
                 held.append(place_of(sets_of(part.column("text"), words)[0], n))
                 size += len(held[-1])
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     yield out()
                     held, size = [], 0
         if size:
@@ -317,7 +318,7 @@ def connect(rows: DataFrame, percent: int, exact: bool, name: str, task: int) ->
     run = stars(percent, exact)
 
     def meet(t: DataFrame, run, rows_: int) -> DataFrame:
-        tasks = max(128, -(-rows_ // task))
+        tasks = max(256, -(-rows_ // task))
         return t.withColumn("task", F.pmod(F.xxhash64("cell", F.lit(7)), F.lit(tasks))).groupBy("task").applyInArrow(run, CELLS)
 
     def in_cells(t: DataFrame, seed: int) -> tuple[DataFrame, int]:
@@ -353,7 +354,7 @@ def connect(rows: DataFrame, percent: int, exact: bool, name: str, task: int) ->
     # Pieces still apart meet with all their members, but those of the largest with each other: they are connected.
     sizes = table(piece.groupBy("list", "piece").count(), f"{name}-sizes")
     largest = sizes.groupBy("list").agg(F.max(F.struct("count", "piece")).alias("top"), F.count("*").alias("n_pieces"), F.sum("count").alias("all")).filter("n_pieces > 1")
-    largest = table(largest.select("list", F.col("top.piece").alias("top"), F.ceil(F.col("top.count") / PART).cast("int").alias("in_top"), F.ceil((F.col("all") - F.col("top.count")) / PART).cast("int").alias("others")), f"{name}-apart")
+    largest = table(largest.select("list", F.col("top.piece").alias("top"), F.ceil(F.col("top.count") / CROSS).cast("int").alias("in_top"), F.ceil((F.col("all") - F.col("top.count")) / CROSS).cast("int").alias("others")), f"{name}-apart")
     n_apart = largest.count()
     if not n_apart:
         return edges

@@ -68,6 +68,7 @@ def test_jaccard_is_exact(spark, odd, none, monkeypatch):
     assert jaccard.join(none).count() == 0
     # Lists and groups in many cells, long lists dealt entry by entry, and joins in salted parts give the same.
     monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "CROSS", 8)
     monkeypatch.setattr(jaccard, "COMMON_LEAST", 2)
     monkeypatch.setattr(jaccard, "LONG", 4)
     monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
@@ -94,6 +95,7 @@ def test_a_large_group_is_not_one_task(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard, "stars", watched)
     monkeypatch.setattr(jaccard, "PART", 16)
+    monkeypatch.setattr(jaccard, "CROSS", 16)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     base, rows = [word() for _ in range(120)], []
@@ -302,6 +304,16 @@ def test_account_numbers_have_check_digits(spark):
     assert [r[0] for r in rows.selectExpr(pii._mod97("t") + " AS good").collect()] == [True, False, True, False]
 
 
+def test_numbers_with_wrong_check_digits_stay(spark):
+    """The classifier is not misled by many numbers of a card's length that fail their check digit, and still takes other candidates."""
+    r = random.Random(12)
+    good = lambda: next(d for d in iter(lambda: "4" + "".join(r.choice("0123456789") for _ in range(15)), None) if luhn(d))
+    bad = lambda: next(d for d in iter(lambda: "4" + "".join(r.choice("0123456789") for _ in range(15)), None) if not luhn(d))
+    texts = [f"the card {good()} was used" for _ in range(60)] + [f"a row of {bad()} signs" for _ in range(60)] + [f"in {1900 + i} we had {i} of them" for i in range(100)] + ["call (415) 555-1234 today"]
+    out = [x.text for x in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[:60] == ["the card <CARD> was used"] * 60 and out[60:220] == texts[60:220] and out[220] == "call <PHONE> today"
+
+
 def test_obfuscated_addresses_have_no_largest_length(spark):
     local, domain = "a" * 70, "b" * 80
     docs = spark.createDataFrame([(i, f"please write a mail to {local} [at] {domain}{' [dot] sub' * k} [dot] com today") for i, k in enumerate((0, 1, 7))], "doc_id long, text string")

@@ -29,3 +29,25 @@ def test_quality_stage_is_the_operator(spark):
     own = bands(spark, SF, docs)
     want = {r.doc_id for r in quality.quality(docs, BYTE_BPE, PIECES, bands=own).filter("kept").collect()}
     assert {r.doc_id for r in quality.keep_good(docs, BYTE_BPE, PIECES, bands=own).collect()} == want
+
+
+def test_stages_on_odd_tables(spark, odd, none):
+    """Nulls, empty and long texts, repeated rows, clashing names; an empty table; a table without languages: as a chain."""
+    for docs, least in ((odd, 1), (none, 0), (odd.drop("lang", "n", "size"), 1)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = table(stage(spark, docs, SF), "stage")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == columns
+        assert docs.count() >= least
+
+
+def test_runs_do_not_touch_each_other(spark, monkeypatch):
+    """A second run leaves what a result of the first still reads."""
+    docs = documents(spark, SF).limit(30)
+    first = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        first = table(stage(spark, first, SF), "stage")
+    packed = corpus_pipeline.STAGES[-1][1](spark, first, SF)
+    corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert packed.count() > 0

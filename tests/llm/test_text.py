@@ -1,5 +1,6 @@
 """Words, encoding, quality, licences against plain Python."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -128,6 +129,45 @@ def test_quality_base_and_bands(spark, odd, none):
     assert quality.keep_good(none, BYTE_BPE, PIECES).columns == odd.columns
 
 
+def plain_verdict(t, lang, bands_):
+    """Measures by the libraries on the whole text, and the band's rules one by one."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    if not hasattr(plain_verdict, "libraries"):
+        plain_verdict.libraries = Tokenizer.from_file(BYTE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    bpe, sp = plain_verdict.libraries
+    bpe.encode_special_tokens = True
+    ids = bpe.encode(t, add_special_tokens=False).ids
+    pieces = [i for w in WORD.findall(t) for i in sp.encode(w)]
+    n, k, n_bytes = max(1, len(ids)), max(1, len(pieces)), sum(sp.is_byte(i) for i in pieces)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+    x, share = len(t) / n, n_bytes / k
+    script = quality.scripts(*buffers(pa.array([t])))[0]
+    b = quality.band_of(bands_, lang, script)
+    slack = 5 * math.sqrt(6 / n)
+    good = b.chars_per_token[0] - slack <= x <= b.chars_per_token[1] + slack
+    good &= share <= b.byte_share + 5 * math.sqrt(b.byte_share * (1 - b.byte_share) / k)
+    good &= bits >= b.entropy * min(1, math.log2(max(n, 2)) / 6) and bits >= b.per_token_entropy * math.log2(max(n, 2))
+    at = int(math.log2(n))
+    good &= not (at < len(b.floors) and bits < b.floors[at])
+    good &= b.centre is None or abs(x - b.centre) <= 5 * math.sqrt(b.variance[0] + b.variance[1] / n)
+    return len(ids), x, share, bits, bool(good)
+
+
+def test_quality_verdict_by_plain_libraries(spark, odd):
+    docs = documents(spark, SF).select("doc_id", "text", "lang").union(odd.select("doc_id", "text", "lang").filter("doc_id > 1"))
+    own = bands(spark, SF, docs)
+    texts = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    out = Counter((r.doc_id, r.n_tokens, round(r.chars_per_token, 6), round(r.byte_share, 6), round(r.token_entropy, 6), r.kept) for r in quality.quality(docs, BYTE_BPE, PIECES, bands=own).collect())
+    want = Counter()
+    for k, t, lang in texts:
+        t = t or ""
+        n, x, share, bits, good = plain_verdict(t, lang, own)
+        want[k, n, round(x, 6), round(share, 6), round(bits, 6), good and not base_quality(t)[-1]] += 1
+    assert out == want
+
+
 def test_quality_rejects_foreign_bytes(spark):
     noise = " ".join("".join(chr(0x2800 + (i * 7 + j * 13) % 256) for j in range(6)) for i in range(200))
     (r,) = quality.quality(spark.createDataFrame([(1, noise)], "doc_id long, text string"), BYTE_BPE, PIECES, bands={"": quality.Band(), "other": quality.Band(byte_share=0.5)}).collect()
