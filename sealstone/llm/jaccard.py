@@ -40,6 +40,7 @@ LIGHT_MOST = 1024
 PART, PART_BYTES = 64, 16 << 20  #: members of a cell of a list or group, and bytes of their sets
 CROSS = 512  #: members of a part of those that stay apart; two parts meet in a cell, so each member is copied once for each part
 BUCKET = 400_000  #: entries of a task, about
+TASKS = 256  #: tasks that cells are dealt to, at least
 LONG = 100_000  #: documents from which on a shingle's list is not dealt as one
 BROADCAST_KEYS = 1_000_000  #: keys that are sent to every task rather than shuffled
 SKETCH = 10  #: the shortest sketches have 2 ** SKETCH bits
@@ -318,7 +319,7 @@ def connect(rows: DataFrame, percent: int, exact: bool, name: str, task: int) ->
     run = stars(percent, exact)
 
     def meet(t: DataFrame, run, rows_: int) -> DataFrame:
-        tasks = max(256, -(-rows_ // task))
+        tasks = max(TASKS, -(-rows_ // task))
         return t.withColumn("task", F.pmod(F.xxhash64("cell", F.lit(7)), F.lit(tasks))).groupBy("task").applyInArrow(run, CELLS)
 
     def in_cells(t: DataFrame, seed: int) -> tuple[DataFrame, int]:
