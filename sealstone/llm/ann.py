@@ -161,15 +161,20 @@ def best(own: np.ndarray, keys: np.ndarray, query: np.ndarray, query_keys: np.nd
     own, query = scaled(own), scaled(query)
     norm, qnorm = np.sqrt((own * own).sum(axis=1)), np.sqrt((query * query).sum(axis=1))
     rows, out_keys, scores = [], [], []
+    order = np.argsort(keys, kind="stable")
+    own, norm, keys = own[order], norm[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))  # rows that repeat a key count once, by their nearest
     for a in range(0, len(query), 256):
         rough = (query[a : a + 256] @ own.T) / (qnorm[a : a + 256, None] * norm)
         rough[query_keys[a : a + 256, None] == keys] = -3
-        take = min(k, rough.shape[1])
-        least = np.partition(rough, rough.shape[1] - take, axis=1)[:, rough.shape[1] - take] - 1e-9
+        of_key = np.maximum.reduceat(rough, first, axis=1) if len(first) < len(keys) else rough
+        take = min(k, of_key.shape[1])
+        least = np.partition(of_key, of_key.shape[1] - take, axis=1)[:, of_key.shape[1] - take] - 1e-9
         for i in range(len(rough)):
             at = np.flatnonzero((rough[i] >= least[i]) & (rough[i] > -2.5))
             score = (own[at] * query[a + i]).sum(axis=1) / (norm[at] * qnorm[a + i])
-            at_best = np.lexsort((keys[at], -score))[:k]
+            at_best = np.lexsort((keys[at], -score))
+            at_best = at_best[np.sort(np.unique(keys[at[at_best]], return_index=True)[1])][:k]
             rows.append(np.full(len(at_best), a + i))
             out_keys.append(keys[at[at_best]])
             scores.append(score[at_best])
@@ -185,13 +190,13 @@ def fit(df: DataFrame, *, key: str, vector: str, k: int, recall: float = RECALL,
     dim, n = facts[0]
     count = min(lists, -(-n // list_size))
     most = max(64, min(sample, max(SAMPLE_LEAST, SAMPLE_EACH * count), SAMPLE_BYTES // (8 * dim)))
-    like = df.filter(F.size(vector) == dim).select(F.col(key).alias("key"), F.xxhash64(key).alias("at"), F.col(vector).cast("array<double>").alias("v"))
-    if n > 2 * most:  # a little more than is wanted, so that few rows are put in order
-        like = like.filter(F.col("at") < F.lit(int(-(2**63) + 2**64 * 1.2 * most / n)))
-    drawn = like.orderBy("at", "key", "v").select("v").limit(most).toArrow()
+    like = df.filter(F.size(vector) == dim).select(F.col(key).alias("key"), F.xxhash64(key, vector).alias("at"), F.col(vector).cast("array<double>").alias("v"))
+    # A little more than is wanted, so that few rows are put in order; all, if few rows or none are drawn, for copies fall together.
+    some = like.filter(F.col("at") < F.lit(int(-(2**63) + 2**64 * 1.2 * most / n))) if n > 2 * most else like
+    drawn = some.orderBy("at", "key", "v").select("v").limit(most).toArrow()
+    if drawn.num_rows < min(n, most) // 2:
+        drawn = like.orderBy("at", "key", "v").select("v").limit(most).toArrow()
     units = _units(_matrix(drawn.column("v").combine_chunks()))
-    if not len(units):  # every key of a large table is the same
-        units = _units(_matrix(df.filter(F.size(vector) == dim).select(F.col(vector).cast("array<double>").alias("v")).limit(1).toArrow().column("v").combine_chunks()))
     count = max(1, min(count, len(units) // SAMPLE_EACH + 1))
     index = Centroids(fit_centroids(units, count))
     index.calibrate(units, k, recall)
@@ -224,19 +229,17 @@ def search(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", que
     schema = "list int, key long, v array<double>"
     placed = rows.filter(F.size(vector) == dim)
     own = table(placed.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(assign, f"{schema}, own boolean"), "posting-lists")
-    # How many vectors have each list for their own (LISTS numbers at most), and how many must be looked into for k other keys: rows may repeat a key.
+    # How many keys have each list for their own: LISTS numbers at most.
+    once_each = own.filter("own").select("list", "key").distinct()
     sizes = np.zeros(len(index.vectors), np.int64)
-    for list_, n in own.filter("own").groupBy("list").count().collect():
+    for list_, n in once_each.groupBy("list").count().collect():
         sizes[list_] = n
-    held = spark.sparkContext.broadcast(sizes)
-    need = (k + 1) * own.filter("own").groupBy("key").count().agg(F.max("count")).first()[0]
+    n_keys = once_each.select("key").distinct().count()
+    held, need = spark.sparkContext.broadcast(sizes), k + 1
     asked = table(placed.filter(queries).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(ask, schema), "list-queries")
     parts = lambda t, name: t.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
     # At most LISTS rows each. Every part of a list meets every part of its queries.
-    split = parts(own, "own_parts").join(parts(asked, "query_parts"), "list")
-    spread = lambda t, mine, other: t.join(F.broadcast(split), "list").withColumn("part", F.pmod(F.xxhash64("key", F.lit(mine)), F.col(mine)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    left = spread(own.drop("own"), "own_parts", "query_parts").select("list", F.col("part").alias("own_part"), F.col("with").alias("query_part"), "key", "v")
-    right = spread(asked, "query_parts", "own_parts").select("list", F.col("with").alias("own_part"), F.col("part").alias("query_part"), "key", "v")
+    spread = lambda t, split, mine, other: t.join(F.broadcast(split), "list").withColumn("part", F.pmod(F.xxhash64("key", "v", F.lit(mine)), F.col(mine)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     by = ("list", "own_part", "query_part")
 
     def meet(own_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
@@ -249,8 +252,20 @@ def search(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", que
             got = best(flat(own_rows), own_rows.column("key").to_numpy(), flat(query_rows), query_keys, k)
         return pa.table({"query_id": query_keys[got[0]], "vec_id": got[1], "score": got[2]})
 
-    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def met(asked: DataFrame) -> DataFrame:
+        split = parts(own, "own_parts").join(parts(asked, "query_parts"), "list")
+        left = spread(own.drop("own"), split, "own_parts", "query_parts").select("list", F.col("part").alias("own_part"), F.col("with").alias("query_part"), "key", "v")
+        right = spread(asked, split, "query_parts", "own_parts").select("list", F.col("with").alias("own_part"), F.col("part").alias("query_part"), "key", "v")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+    once = table(met(asked).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    # Where keys lie in many lists, those that were read may hold fewer than k others: such queries look into all lists.
+    short = once.groupBy("query_id").count().filter(F.col("count") >= min(k, n_keys - 1))
+    late = asked.join(short.select(F.col("query_id").alias("key")), "key", "left_anti") if n_keys > 1 else asked.limit(0)
+    late = table(late.select("key", "v").distinct(), "short-queries")
+    if late.count():
+        everywhere = late.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(index.vectors) - 1)))).select("list", "key", "v")
+        once = once.union(met(everywhere)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from contextvars import ContextVar
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -29,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-#: Paths made while a ``Scratch`` is open go to it.
-_scratch: list[list[str]] = []
+#: Paths made while a ``Scratch`` is open go to the innermost one of the same thread.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    if _scratch:
-        _scratch[-1].append(path)
+    if open_ := _scratch.get():
+        open_[-1].append(path)
     return path
 
 
@@ -47,11 +48,11 @@ class Scratch:
         self.paths: list[str] = []
 
     def __enter__(self) -> Scratch:
-        _scratch.append(self.paths)
+        _scratch.set((*_scratch.get(), self.paths))
         return self
 
     def __exit__(self, *_) -> None:
-        _scratch.pop()
+        _scratch.set(_scratch.get()[:-1])
 
     def drop(self, spark: SparkSession) -> None:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -138,21 +139,18 @@ def split_words(data: np.ndarray, off: np.ndarray, gap: np.ndarray | None = None
     return Words(data[ink], word_off, start, np.searchsorted(start, off))
 
 
-def hashes(distinct: pa.Array) -> np.ndarray:
-    """A 64-bit digest of each distinct word, the same in every task. Of two words of one length up to eight bytes no two agree, for their bytes
-    are the number that is mixed; longer words have the BLAKE2b of their bytes, so no family of words clashes by its form."""
+def hashes(distinct: pa.Array, secret: bytes) -> np.ndarray:
+    """A 64-bit digest of each distinct word, the same in every task that has the ``secret``: BLAKE2b of its bytes, keyed, so words that clash cannot be made by one who writes texts."""
     data, off = buffers(distinct)
-    size = np.diff(off)
-    short = np.flatnonzero(size <= 8)
-    place = np.arange(8)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])[off[:-1][short][:, None] + place]
-    lane = np.where(place < size[short][:, None], padded, 0).astype(np.uint8).view("<u8").ravel()
-    out = np.empty(len(size), np.uint64)
-    out[short] = mixed(mixed(lane) + size[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    long_ = np.flatnonzero(size > 8)
-    raw = data.tobytes()
-    out[long_] = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(off[:-1][long_].tolist(), off[1:][long_].tolist(), strict=True)]), np.uint64)
-    return out
+    raw, edge = data.tobytes(), off.tolist()
+    keyed = blake2b(digest_size=8, key=secret)
+
+    def one(word: bytes) -> bytes:
+        h = keyed.copy()
+        h.update(word)
+        return h.digest()
+
+    return np.frombuffer(b"".join([one(raw[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]), np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,8 @@ class and id words of what it stands in), of its hashed words, and a few measure
 in numpy, runs over all blocks of the page and labels each; blocks labelled main are joined. The weights
 come from ``html_train`` (pages made there, with labels known by construction) and lie beside this file.
 
-Script, style, title, textarea and the like are left out to their end tags, as browsers do; so are noscript, template and select where they have one. Of a
+Script, style, title, textarea and the like are left out to their end tags, as browsers do; so are noscript (what a browser with scripts never shows), template and select where they have one. A comment ends as browsers end it, a quote
+opens a value only right after the equals sign. Of a
 drawing (svg) nothing is read, up to its end or the next block of the page; formulas and the fallback of objects are text. A page costs time and
 memory in proportion to its length, however its tags are nested or broken.
 
@@ -36,9 +37,9 @@ WEIGHTS = Path(__file__).with_name("models") / "html_blocks.npz"
 PAGES_AT_ONCE = 512
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:(?P<ended>-->)|\Z)
+    r"""<!--(?:(?P<ended>-?>|.*?--!?>)|.*\Z)
     |<(?P<raw>script|style|iframe|textarea|title|xmp|noembed|noframes)(?=[\s/>])[^>]*+>.*?(?:(?P<shut></(?P=raw)(?=[\s/>])[^>]*+>)|\Z)
-    |<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
+    |<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>
     |<[a-z/!?][^>]*+>""",
     re.S | re.I | re.X,
 )

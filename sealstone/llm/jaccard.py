@@ -13,16 +13,19 @@ connected is a candidate group, and there the sets themselves are intersected, m
 So neither lists nor groups ever give rise to all their pairs as rows, and no link between different components is missed.
 
 Lists and groups are kept in cells of at most PART members (and PART_BYTES), by their measured length. Each cell is connected by itself; then one member of each
-connected piece meets those of other cells, and so on; only where pieces stay apart do their members meet, in pairs of parts of CROSS members.
-Many copies alike thus cost their number; members that are candidates of each other and yet not linked cost the square of theirs in comparisons.
+connected piece meets those of other cells, and so on; only where pieces stay apart do their members meet, in bands of like size (a set links with none beyond the next band) and
+there in pairs of parts. Many copies alike thus cost their number. Members that are candidates of each other and yet not linked are copied three times as long as a band of a list
+has no more than CROSS of them, beyond that once for each CROSS; and they cost the square of their number in comparisons of sketches.
 
-Shingles are compared by 64-bit digests, made from digests of their words (two of one document pair clash about once in 10^13).
+Shingles are compared by 64-bit digests, made from digests of their words that are keyed by a secret of the job (two of one document pair clash about once in 10^13, and none at will).
 Sets are one class if their sizes and two 64-bit sums of their digests agree. Null and empty texts have no set
 and link with nothing. Rows that repeat a key count each by its own text. A null key has no number to lend: it takes the others' component.
 """
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +38,10 @@ from sealstone.llm.components import HUBS, components, join_spread
 
 PERCENT = 80
 WORDS = 5
-COMMON, COMMON_LEAST = 200_000, 16  #: common shingles that go to every task, and the documents that such a one is in at least
+COMMON, COMMON_LEAST = 1_000_000, 16  #: common shingles that go to every task, and the documents that such a one is in at least
 LIGHT_MOST = 1024
 PART, PART_BYTES = 64, 16 << 20  #: members of a cell of a list or group, and bytes of their sets
-CROSS = 512  #: members of a part of those that stay apart; two parts meet in a cell, so each member is copied once for each part
+CROSS = 4096  #: of those that stay apart, members of a part of a band: two parts meet in a cell, so each member is copied once for each part of the three bands it meets
 BUCKET = 400_000  #: entries of a task, about
 TASKS = 256  #: tasks that cells are dealt to, at least
 LONG = 100_000  #: documents from which on a shingle's list is not dealt as one
@@ -56,12 +59,12 @@ def most_apart(total, percent: int):
     return total - 2 * ((percent * total + 99 + percent) // (100 + percent))
 
 
-def sets_of(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+def sets_of(texts: pa.Array, words: int, secret: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle digests of each text in order, end to end, and where each text's start."""
     data, off = buffers(texts)
     split = split_words(data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32), off)
     codes, distinct = split.codes()
-    digest, start = shingles(hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64), split.doc, words)
+    digest, start = shingles(hashes(distinct, secret)[codes] if len(codes) else np.zeros(0, np.uint64), split.doc, words)
     each = [np.unique(digest[a:b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
     size = np.fromiter(map(len, each), np.int64, len(each))
     return np.concatenate(each) if each else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(size)])
@@ -117,10 +120,11 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw, "<u4", 1, 1), steps.view("<u4").ravel()]), dtype=np.uint32)
 
 
-def common_shingles(docs: DataFrame, n_docs: int, words: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+def common_shingles(docs: DataFrame, n_docs: int, words: int, secret: bytes) -> tuple[np.ndarray, np.ndarray, int, float]:
     """Places of the most common shingles in order, the documents each is in, the number of buckets, and the mean length of the list an entry is in.
 
-    Every shingle of every document is counted. At most COMMON are returned: they only order the others, whatever they are the result is the same."""
+    Every shingle of every document is counted. At most COMMON are returned: they only order the others, whatever they are the result is the same. A shingle that is not
+    among them is in at most entries / COMMON documents or so, which bounds the lists that are not dealt entry by entry."""
     n = n_buckets(n_docs, 200)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +138,7 @@ def common_shingles(docs: DataFrame, n_docs: int, words: int) -> tuple[np.ndarra
 
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(place_of(sets_of(part.column("text"), words)[0], n))
+                held.append(place_of(sets_of(part.column("text"), words, secret)[0], n))
                 size += len(held[-1])
                 if size >= 1 << 20:
                     yield out()
@@ -152,7 +156,12 @@ def common_shingles(docs: DataFrame, n_docs: int, words: int) -> tuple[np.ndarra
 
     counted = table(docs.select("text").mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(count, "place long, held long, entries double, squares double"), "shingle-counts")
     entries, squares = counted.agg(F.sum("entries"), F.sum("squares")).first()
-    most = counted.filter("held > 0").orderBy(F.desc("held"), "place").limit(COMMON).select("place", "held").toArrow()
+    most = counted.filter("held > 0")
+    size = F.floor(F.log2("held") * 256)  # classes of like counts, a few thousand
+    classes = sorted(((r[0], r[1]) for r in most.groupBy(size.alias("size")).count().collect()), reverse=True)
+    many = np.cumsum([n for _, n in classes])
+    fits = int(np.searchsorted(many, COMMON, side="right"))  # whole classes only
+    most = most.filter(size >= (classes[fits - 1][0] if fits else float("inf"))).select("place", "held").toArrow()
     place, held = most.column("place").to_numpy().view(np.uint64), most.column("held").to_numpy()
     order = np.argsort(place)
     return place[order], held[order], n, (squares / entries if entries else 1.0)
@@ -352,19 +361,28 @@ def connect(rows: DataFrame, percent: int, exact: bool, name: str, task: int) ->
         piece = table(piece.join(moved, ["list", "piece"], "left").select("list", "node", F.coalesce("to", "piece").alias("piece")), f"{name}-pieces")
         if not n_wide or n_moved < 0.05 * count:
             break
-    # Pieces still apart meet with all their members, but those of the largest with each other: they are connected.
+    # Pieces still apart meet with all their members, but those of the largest with each other: they are connected. Only bands of like size meet.
     sizes = table(piece.groupBy("list", "piece").count(), f"{name}-sizes")
-    largest = sizes.groupBy("list").agg(F.max(F.struct("count", "piece")).alias("top"), F.count("*").alias("n_pieces"), F.sum("count").alias("all")).filter("n_pieces > 1")
-    largest = table(largest.select("list", F.col("top.piece").alias("top"), F.ceil(F.col("top.count") / CROSS).cast("int").alias("in_top"), F.ceil((F.col("all") - F.col("top.count")) / CROSS).cast("int").alias("others")), f"{name}-apart")
+    largest = table(sizes.groupBy("list").agg(F.max(F.struct("count", "piece")).alias("top"), F.count("*").alias("n_pieces")).filter("n_pieces > 1").select("list", F.col("top.piece").alias("top")), f"{name}-apart")
     n_apart = largest.count()
     if not n_apart:
         return edges
-    left = join_spread(piece, largest, "list", "node", n_apart)
-    is_top = F.col("piece") == F.col("top")
-    own = F.when(is_top, F.pmod(F.xxhash64("node", F.lit(-1)), F.col("in_top"))).otherwise(F.col("in_top") + F.pmod(F.xxhash64("node", F.lit(-1)), F.col("others"))).cast("int")
-    with_ = F.sequence(F.when(is_top, F.col("in_top")).otherwise(F.lit(0)), F.col("in_top") + F.col("others") - 1)
-    left = left.withColumn("own", own).withColumn("with", F.explode(with_)).withColumn("cell", F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"), F.lit("pair"))).select("list", "node", "piece", "cell", F.lit(False).alias("wide"))
-    pairs = table(left, f"{name}-pairs")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-3, -math.log(percent / 100 - 1e-9)))).cast("int")
+    left = join_spread(piece, largest, "list", "node", n_apart).join(rows.select("list", "node", band.alias("band"), weight.alias("bytes")).dropDuplicates(["list", "node"]), ["list", "node"])
+    left = table(left.select("list", "node", "piece", "band", (F.col("piece") == F.col("top")).alias("is_top"), "bytes"), f"{name}-members")
+    # Members of a band in parts, those of the largest piece by themselves.
+    parts = F.greatest(F.ceil(F.count("*") / CROSS), F.ceil(F.sum("bytes") / PART_BYTES))
+    bands = left.groupBy("list", "band", "is_top").agg(parts.cast("int").alias("parts")).groupBy("list", "band")
+    bands = table(bands.agg(*(F.coalesce(F.max(F.when(c, F.col("parts"))), F.lit(0)).alias(k) for k, c in (("in_top", F.col("is_top")), ("others", ~F.col("is_top"))))), f"{name}-bands")
+    n_bands = bands.count()
+    of = lambda t, b: join_spread(t.withColumn("key", F.xxhash64("list", b)), bands.select(F.xxhash64("list", "band").alias("key"), "in_top", "others"), "key", "node", n_bands).drop("key")
+    place = F.pmod(F.xxhash64("node", F.lit(-1)), F.when(F.col("is_top"), F.col("in_top")).otherwise(F.col("others"))) + F.when(F.col("is_top"), 0).otherwise(F.col("in_top"))
+    own = of(left, "band").withColumn("own", F.struct("band", place.cast("int").alias("part"))).drop("in_top", "others")
+    meets = of(own.withColumn("other", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))), "other")
+    meets = meets.withColumn("first", F.when(F.col("is_top"), F.col("in_top")).otherwise(0)).filter("first < in_top + others")
+    meets = meets.withColumn("part", F.explode(F.sequence("first", F.col("in_top") + F.col("others") - 1))).withColumn("with", F.struct(F.col("other").alias("band"), "part"))
+    cell = F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"), F.lit("pair"))
+    pairs = table(meets.select("list", "node", "piece", cell.alias("cell"), F.lit(False).alias("wide")), f"{name}-pairs")
     last = table(meet(rows.join(pairs, ["list", "node"]), stars(percent, exact, True), pairs.count()), f"{name}-stars")
     return edges.union(last.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
@@ -374,13 +392,14 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     n_docs = own.count()
-    *common_, mean_list = common_shingles(own, n_docs, words)
+    secret = os.urandom(16)  # of this job; it decides nothing but the order of shingles
+    *common_, mean_list = common_shingles(own, n_docs, words, secret)
     common = spark.sparkContext.broadcast(tuple(common_))  # at most COMMON
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                digest, off = sets_of(part.column("text"), words)
+                digest, off = sets_of(part.column("text"), words, secret)
                 n = np.diff(off)
                 doc = np.repeat(np.arange(len(n)), n)
                 last, _ = is_common(digest, common.value)
@@ -458,7 +477,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                digest, off = sets_of(part.column("text"), words)
+                digest, off = sets_of(part.column("text"), words, secret)
                 one, two = set_digests(digest, off)
                 own_ = (one == part.column("one").to_numpy()) & (two == part.column("two").to_numpy()) & (np.diff(off) == part.column("n").to_numpy())
                 raw, edge = digest.tobytes(), (off * 8).tolist()

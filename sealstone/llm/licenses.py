@@ -2,13 +2,14 @@
 
 A block is a window of words, a new one every half of its length, so any passage of half a block lies whole in one. Each template has blocks of its own
 size, a power of two of at least BLOCK words of which half hold the template with room to spare. A block holds a template if it has at least THRESHOLD of the template's distinct words.
-Words are ordered by the number of blocks of the whole corpus that hold them, rarest first. A block can only
-match if it holds one of a template's first words in that order (prefix filter), holds enough template
-words at all (length filter), and enough of them lie beyond the first common one (positional filter); what
+Words are ordered by the number of blocks of the whole corpus that hold them, rarest first. An index leads from words to the templates
+that have them among their first ones in that order (prefix filter), so a block meets only templates that it shares such a word with. Of these it must hold enough template
+words at all (length filter), and from the first common one on both must have enough words left, the template and the block (positional filter); what
 is left is counted exactly. Templates are a fixed list, so they go to every task, and blocks are never shuffled.
 
 Sets know no order, so a block that holds a template is a candidate: its label is given where the template's words also stand in their order (longest common
-subsequence, THRESHOLD of all words) within SPAN times its length. Of templates found at one place those with most words in common stay, and of these the most complete.
+subsequence, THRESHOLD of all words) within SPAN times its length, and the words that tell licences of one family apart (TELLING) between
+its ends, or right behind them, are just the template's own. Of templates found at one place those with most words in common stay, and of these the most complete.
 
 A null text is empty: no words, no labels, score 0. Each row is scanned by itself, so ties and repeated rows change nothing.
 """
@@ -16,7 +17,7 @@ A null text is empty: no words, no labels, score 0. Each row is scanned by itsel
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,13 @@ SPAN = 1.5
 #: Phrases of the base labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
+#: Words that tell licences of one family apart: a template stands only where they are the same as its own.
+TELLING = "nc noncommercial sa sharealike nd noderivatives noderivs lesser library affero bsd mit isc apache cc0".split()
+#: The licences of one family, by label.
+CREATIVE = {
+    "cc-by": "Attribution", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nc": "Attribution-NonCommercial", "cc-by-nd": "Attribution-NoDerivatives",
+    "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike", "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
 #: Public licence notices, and one-line forms in common use.
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -44,9 +52,17 @@ TEMPLATES = (
     ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    *((label, f"Licensed under {label.upper().replace('-', ' ', 1)} 4.0") for label in CREATIVE),
+    *((label, f"This work is licensed under a Creative Commons {name} 4.0 International License") for label, name in CREATIVE.items()),
+    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work"),
+    ("bsd", "Released under the BSD License"),
+    # Heads of whole licences.
+    ("gpl", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("gpl", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("apache", "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("mpl", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -128,7 +144,7 @@ class Templates:
     def of(cls, templates: Sequence[tuple[str, str]], phrases: Sequence[tuple[str, str]]) -> Templates:
         split = [(label, words_of(text)) for label, text in templates]
         terms = [(words_of(text), label) for text, label in phrases]
-        vocabulary = sorted({w for _, ws in split for w in ws} | {w for ws, _ in terms for w in ws})
+        vocabulary = sorted({w for _, ws in split for w in ws} | {w for ws, _ in terms for w in ws} | set(TELLING))
         number = {w: i for i, w in enumerate(vocabulary)}
         return cls([x for x, _ in split], [[number[w] for w in ws] for _, ws in split], [([number[w] for w in ws], label) for ws, label in terms], vocabulary)
 
@@ -137,6 +153,9 @@ class Templates:
         """Sizes of blocks, each once."""
         return sorted({block_of(len(w)) for w in self.words})
 
+    def telling(self, numbers: Iterable[int]) -> set[str]:
+        return {self.vocabulary[i] for i in numbers} & set(TELLING)
+
     def held(self, size: int) -> np.ndarray:
         """Which words the templates with blocks of that size hold."""
         out = np.zeros(len(self.vocabulary), bool)
@@ -244,6 +263,48 @@ def blocks(codes: np.ndarray, places: np.ndarray, off: np.ndarray, n_codes: int,
     return block >> 32, block & 0xFFFFFFFF, index, word[once]
 
 
+def least_held(n: int, threshold: float) -> int:
+    """Words of a set of n that a block must hold."""
+    return int(np.ceil(threshold * n - 1e-9))
+
+
+@dataclass
+class Index:
+    """From words to the templates that begin with them, for blocks of one size."""
+
+    rank: np.ndarray  #: place of each word in the order of the corpus
+    start: np.ndarray  #: where each word's entries begin
+    template: np.ndarray  #: of each entry, the template
+    place: np.ndarray  #: and the word's place in it
+    sizes: np.ndarray  #: words of each template
+    need: np.ndarray  #: words of each template that a block must hold
+
+    def candidates(self, block: np.ndarray, code: np.ndarray, n_blocks: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Templates with the blocks that may hold them. ``block`` and ``code``: the words of blocks, by block."""
+        held = np.bincount(block, minlength=n_blocks)
+        order = np.lexsort((self.rank[code], block))
+        before = np.arange(len(order)) - (np.cumsum(held) - held)[block[order]]  # words of the block that are rarer
+        many = np.diff(self.start)[code[order]]
+        pair = np.repeat(np.arange(len(order)), many)
+        entry = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[code[order]], many)
+        b, t = block[order][pair], self.template[entry]
+        once = np.unique(b.astype(np.int64) * len(self.sizes) + t, return_index=True)[1]  # pairs are by rank within a block: the first common word
+        b, t, place, before = b[once], t[once], self.place[entry[once]], before[pair[once]]
+        fits = (held[b] >= self.need[t]) & (np.minimum(self.sizes[t] - place, held[b] - before) >= self.need[t])
+        b, t = b[fits], t[fits]
+        for number in np.unique(t).tolist():
+            yield number, b[t == number]
+
+
+def prefix_index(t: Templates, frequency: np.ndarray, size: int, n_codes: int, threshold: float) -> Index:
+    rank = np.empty(n_codes, np.int64)
+    rank[np.lexsort((np.arange(n_codes), frequency))] = np.arange(n_codes)
+    own = [(code, number, place) for number, order in enumerate(t.order) if block_of(len(t.words[number])) == size for place, code in enumerate(order[: len(order) - least_held(len(order), threshold) + 1])]
+    code, number, place = (np.array(x, np.int64) for x in zip(*sorted(own), strict=True))
+    sizes = np.array([len(o) for o in t.order])
+    return Index(rank, np.searchsorted(code, np.arange(n_codes + 1)), number, place, sizes, np.array([least_held(n, threshold) for n in sizes.tolist()]))
+
+
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: key, n_words, n_base, first_word, last_word, base_labels, labels, score (largest share of a template's words in a block), contained (labels of all templates held by a block), n_blocks (pairs of a block and a template that it holds)."""
     t = Templates.of(templates, phrases)
@@ -268,6 +329,8 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
         frequency[b][code] = n
     ready = t.ordered(frequency)
 
+    indexes = {b: prefix_index(ready, frequency[b], b, size, threshold) for b, _ in kinds}
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, places, off = unpacked(batch)
@@ -276,22 +339,16 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
             candidates: dict[int, list[tuple[int, int, int]]] = {}  # of each text: template, and the words of the block
             for b, kept in kinds:
                 block_row, block_number, block, code = blocks(codes, places, off, size, b, kept)
-                held = np.bincount(block, minlength=len(block_row))
-                for number, order in enumerate(ready.order):
-                    if block_of(len(ready.words[number])) != b:
-                        continue
-                    need = int(np.ceil(threshold * len(order) - 1e-9))
-                    place = np.full(size, len(order))
-                    place[order] = np.arange(len(order))
-                    at = place[code]
-                    prefix = at <= len(order) - need
-                    first = np.full(len(block_row), len(order))
-                    np.minimum.at(first, block[prefix], at[prefix])
-                    may = (first <= len(order) - need) & (held >= need) & (len(order) - first >= need)
-                    pick = may[block] & (at < len(order))
-                    overlap = np.bincount(block[pick], minlength=len(block_row))
+                n_blocks = len(block_row)
+                for number, may in indexes[b].candidates(block, code, n_blocks):
+                    order = ready.order[number]
+                    member = np.zeros(size, bool)
+                    member[order] = True
+                    flag = np.zeros(n_blocks, bool)
+                    flag[may] = True
+                    overlap = np.bincount(block[flag[block] & member[code]], minlength=n_blocks)
                     np.maximum.at(score, block_row, overlap / len(order))
-                    full = np.flatnonzero(overlap >= need)
+                    full = np.flatnonzero(overlap >= least_held(len(order), threshold))
                     np.add.at(matching, block_row[full], 1)
                     for r, i in zip(block_row[full].tolist(), block_number[full].tolist(), strict=True):
                         contained.setdefault(r, set()).add(ready.labels[number])
@@ -312,6 +369,9 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
             own = np.isin(words[a:b], template)
             where = placed(template, words[a:b][own], at[a:b][own], threshold)
             if where:
+                x, y = np.searchsorted(at, (where[1], where[2] + 3))
+                if ready.telling(words[x:y].tolist()) != ready.telling(template):
+                    continue
                 got.append((where[0], where[0] / len(template), where[1], where[2], ready.labels[number]))
         got.sort(key=lambda x: (-x[0], -x[1]))
         kept: list[tuple] = []

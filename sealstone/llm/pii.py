@@ -37,7 +37,9 @@ LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++",
     "phone": r"\(?\b[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;\"']{6,}+",
+    "secret": r"""\b(?i:password|passwd|pwd|secret|token|api[_-]?key)["']? ?[=:] ?(?:"[^"\n]{6,}+"|'[^'\n]{6,}+'|["']?[^\s,;"']{6,}+)|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]++(?:-----END [A-Z ]*PRIVATE KEY-----)?"""
+    r"""|\b(?i:bearer) [A-Za-z0-9._~+/-]{16,}+=*+|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+|\bAKIA[0-9A-Z]{16}\b""",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
@@ -56,7 +58,7 @@ CALLING_CODES = r"^\+ ?\(?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|36|6011|62|64|65)"
 RESERVED_IP = r"^(?:0|10|127|255)\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\."
 TOP_DOMAINS = r"(?i)(?:\.| ?[\[(]dot[\])] ?)(?:com|org|net|edu|gov|info|io|co|de|fr|es|it|nl|uk|ch|at|be|se|pl|ru|jp|cn|in|br|us|ca|au|eu)$"
-PLACEHOLDERS = r"(?i)[=:] ?(?:x+|\*+|change.?me|example|none|null|true|false|your.*|<.*)$"
+PLACEHOLDERS = r"""(?i)[=:] ?["']?(?:x+|\*+|change.?me|example|none|null|true|false|your.*|<.*)["']?$"""
 CUES = {
     "email": r"(?i)(?:mail|contact|write|kontakt|correo|courriel)\W",
     "ip": r"(?i)(?:\bip\b|server|host|address|login|from|client)",
@@ -172,8 +174,8 @@ def _vote(labeler: str) -> str:
     yes_no = lambda test: f"if({test}, 1, -1)"
     rl = lambda t, p: f"{t} rlike '{_sql(p)}'"
     if labeler == "check":
-        strict = {"iban": yes_no(f"length(replace(x.t, ' ', '')) between 15 and 34 and {_mod97('x.t')}"), "ssn": yes_no(rl("x.t", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")), "secret": yes_no(rl("x.t", r"^[^=:]*+[=:] ?(?=[^0-9]*+[0-9])\S{8,}$"))}
-        return f"if(x.base, 1, {_by_kind({'ip': '-1', 'card': '-1', 'phone': f'if(length({d}) = 10, 1, -1)', 'email': '1', **strict})})"
+        strict = {"iban": yes_no(f"length(replace(x.t, ' ', '')) between 15 and 34 and {_mod97('x.t')}"), "ssn": yes_no(rl("x.t", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")), "secret": yes_no(rl("x.t", r"""^[^=:]*+[=:] ?["']?(?=[^0-9]*+[0-9])[^"']{8,}["']?$|^-----BEGIN|^eyJ|^AKIA|^(?i:bearer) (?=[^0-9]*+[0-9])"""))}
+        return f"if(x.base, 1, {_by_kind({'ip': yes_no(rl('x.t', ':.*[0-9]|[0-9].*:')), 'card': '-1', 'phone': f'if(length({d}) = 10, 1, -1)', 'email': '1', **strict})})"
     if labeler == "gazetteer":
         return _by_kind({"email": f"if({rl('x.t', TOP_DOMAINS)}, 1, 0)", "ip": f"if({rl('x.t', RESERVED_IP)}, -1, 1)", "card": yes_no(rl("x.t", ISSUERS)), "phone": f"if({rl('x.t', CALLING_CODES)}, 1, 0)", "secret": f"if({rl('x.t', PLACEHOLDERS)}, -1, 0)"})
     if labeler == "context":
@@ -181,7 +183,7 @@ def _vote(labeler: str) -> str:
     if labeler == "border":
         return f"if({rl('right(x.l, 1)', '[A-Za-z0-9_./#]')} or {rl('x.r', '[A-Za-z0-9_/]')}, -1, 0)"
     digits = {"ip": "4 and 12", "card": "13 and 19", "phone": "7 and 15", "ssn": "9 and 9"}
-    return _by_kind({k: f"if(length({d}) between {n} and size(array_distinct(split({d}, ''))) >= 4, 0, -1)" for k, n in digits.items()})
+    return f"if(instr(x.t, ':') > 0, 0, {_by_kind({k: f"if(length({d}) between {n} and size(array_distinct(split({d}, ''))) >= 4, 0, -1)" for k, n in digits.items()})})"
 
 
 Pattern = tuple[str, tuple[int, ...], tuple[int, ...]]  #: kind, votes, features

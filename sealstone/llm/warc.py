@@ -82,12 +82,16 @@ class _Member:
                 return True
         return False
 
-    def upto(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.out.find(mark)) < 0:
-            if len(self.out) > most or not self._more():
+    def upto(self, mark: bytes) -> bytes:
+        """What comes before ``mark``, however long."""
+        seen, done = bytearray(self.out), 0
+        while (at := seen.find(mark, done)) < 0:
+            self.out, done = b"", max(0, len(seen) - len(mark) + 1)
+            if not self._more():
                 raise ArchiveError("a header has no end")
-        got, self.out = self.out[:at], self.out[at + len(mark) :]
-        return got
+            seen += self.out
+        self.out = bytes(seen[at + len(mark) :])
+        return bytes(seen[:at])
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:

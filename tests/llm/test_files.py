@@ -223,3 +223,19 @@ def test_pages_with_other_columns_and_ties(spark):
 
 def test_labeller_on_new_layouts():
     assert html_train.accuracy({k: v for k, v in html.Labeller.load().w.items()}, pages=200, seed=31337) > 0.98
+
+
+def test_broken_comments_and_quotes_lose_nothing():
+    body = "".join(f"<p>The paragraph number {i} has quite a few words of its own to be read by all.</p>" for i in range(12))
+    want = [t for _, t, _ in html.blocks(f"<html><body><article>{body}</article></body></html>")]
+    for odd in ("<!-->", "<!--->", "<!-- a note --!>", "<!-- a > b -->", "<div title=don't></div>", "<img alt=it's>", "<a href=a'b>", "<br class='x' title=isn't>"):
+        got = [t for _, t, _ in html.blocks(f"<html><body><article>{odd}{body}</article></body></html>")]
+        assert [t for t in got if t in want] == want, odd
+    assert [t for _, t, _ in html.blocks("<p>a<!-- no end <p>b")] == ["a"] and [t for _, t, _ in html.blocks("""<p title="a > b" id = 'x>y'>c</p>""")] == ["c"]
+
+
+def test_heads_of_any_length():
+    url, payload = "http://host/" + "a" * 3_000_000, b"<html>x</html>" * 50
+    page = warc.record(1, url, payload, hashlib.sha256(payload).hexdigest(), False, None)
+    got = list(warc.read_archive(io.BytesIO(page + page), keep_payload=True))
+    assert [(r.headers["warc-target-uri"], r.payload) for r in got] == [(url, payload)] * 2
