@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 KEY, SHARD_PREFIX, NODE, EMPTY_LEAF, LEAF = b"OLY:KEY:V1", b"OLY:SHARD-PREFIX:V1", b"OLY:NODE:V1", b"OLY:EMPTY-LEAF:V1", b"\x01OLY\x01\x01"
 DIFF, GLOBAL_ROOT, PERSIST, SMT_ROOT = b"OLY:MANIFEST:DIFF:V1", b"OLY:GLOBAL_ROOT:V1", b"OLY:SNAPSHOT:PERSIST:V1", b"OLY:SMT:ROOT:V1"
 REDACTION_BUNDLE, REDACTION_NULLIFIER = b"OLY:REDACTION_BUNDLE:V3", b"OLY:REDACTION:NULLIFIER:V1"
-REDACTION_TABLE, LEGACY_LEAF = b"OLY:REDACTION:TABLE:V3", b"OLY:LEAF:V1"
+REDACTION_TABLE, REDACTION_OBJECT, LEGACY_LEAF = b"OLY:REDACTION:TABLE:V3", b"OLY:REDACTION:OBJ:V1", b"OLY:LEAF:V1"
 SEPARATOR = b"|"
 
 

@@ -95,3 +95,36 @@ def ctes(*names: str) -> str:
             if x not in out:
                 out.append(x)
     return "WITH " + ", ".join(SQL[n] for n in out)
+
+
+#: Parts of the office packages that documents are put into, in order of names; `{}` stands for the number.
+RELATIONS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+OFFICE = (("[Content_Types].xml", "<Types/>"), ("_rels/.rels", RELATIONS), ("word/document.xml", "<w:document>{}</w:document>"))
+
+
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an office package: path (long), content (binary). The text is a media part; entries come in various orders, packed or not. Some files are damaged by a rule of their number."""
+    import io
+    import warnings
+    import zipfile
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [(n, p.format(k)) for n, p in OFFICE] + [("word/media/text.bin", text or "")]
+                if k % 13 == 7:
+                    parts.append((parts[0][0], "again"))
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w") as z, warnings.catch_warnings():
+                    warnings.simplefilter("ignore")  # of repeated names, which are meant
+                    for i in sorted(range(len(parts)), key=lambda i: (k * 7 + i * 3) % 5):
+                        z.writestr(zipfile.ZipInfo(parts[i][0]), parts[i][1], zipfile.ZIP_DEFLATED if (k + i) % 2 else zipfile.ZIP_STORED)
+                raw = raw.getvalue()
+                out.append(raw[: len(raw) // 2] if k % 11 == 5 else raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(run, "path long, content binary")
