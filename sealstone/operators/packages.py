@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sealstone.functions.framing import REDACTION_OBJECT, digest, joined, lp, u32
 from sealstone.operators import merkle
+from sealstone.operators.segments import verify_shown
 
 MOST_PARTS, MOST_BYTES = 65_535, 64 << 20
 #: Fixed values of the format.
@@ -209,14 +210,5 @@ def verify(artifacts: DataFrame, segment_rows: DataFrame, wanted: DataFrame, sta
     """Artifacts (key, artifact) against the segments, what was redacted, and the stated roots (key, root): (key, verdict).
 
     Every part that was not redacted must give its digest again from the artifact, every redacted one must be there and empty, and the digests, those of redacted parts as stated, must fold to the root."""
-    found = segments(artifacts, key=key, content="artifact", alg=alg).filter("verdict = 'ok'").select(key, "segment_id", F.col("label").alias("found_label"), F.col("byte_length").alias("found_length"), F.col("digest").alias("found_digest"))
-    own = segment_rows.join(artifacts.select(key), key, "left_semi").filter("verdict = 'ok'").join(wanted.select(key, "segment_id", F.lit(True).alias("gone")).distinct(), [key, "segment_id"], "left")
-    each = own.join(found, [key, "segment_id"], "full")
-    gone = F.coalesce("gone", F.lit(False))
-    fault = F.when(F.col("label").isNull() | F.col("found_label").isNull(), 1).when(F.col("label") != F.col("found_label"), 2).when(gone & (F.col("found_length") > 0), 3).when(~gone & (F.col("digest") != F.col("found_digest")), 4)
-    faults = each.groupBy(key).agg(F.min(fault).alias("fault"))
-    again = roots(each.select(key, F.lit("ok").alias("verdict"), "segment_id", F.when(gone, F.col("digest")).otherwise(F.col("found_digest")).alias("digest")).filter("digest is not null"), key=key, alg=alg)
-    checked = artifacts.select(key).join(faults, key, "left").join(again.select(key, "root"), key, "left").join(stated.select(key, F.col("root").alias("stated")), key, "left")
-    names = F.element_at(F.array(*map(F.lit, ("missing-part", "label-mismatch", "not-emptied", "digest-mismatch"))), F.col("fault"))
-    verdict = F.when(F.col("fault").isNotNull(), names).when(~F.col("root").eqNullSafe(F.col("stated")), "root-mismatch").otherwise("valid")
-    return checked.select(key, verdict.alias("verdict"))
+    found = segments(artifacts, key=key, content="artifact", alg=alg).filter("verdict = 'ok'").withColumn("emptied", F.col("byte_length") == 0)
+    return verify_shown(found, segment_rows.filter("verdict = 'ok'").select(key, "segment_id", "label", "digest"), wanted, stated, artifacts, key=key, alg=alg)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +130,60 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(run, "path long, content binary")
+
+
+#: Objects 1 to 3 and 5 of the PDF files that documents are put into; 4 holds the text.
+PDF_OBJECTS = (
+    "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", "<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /Im 5 0 R >> >> >>",
+    "<< /Type /XObject /Subtype /Image /Length 8 /Filter /DCTDecode >>\nstream\n\\xff\\xd8ab\\xff\\xd9..\nendstream",
+)
+
+
+def pdf_file(k: int, text: str) -> bytes:
+    """A file of one page that shows the text: by a table of cross-references where ``k`` is even; else its text packed, objects 1 to 3 in an object stream, and the cross-references in a stream with a predictor."""
+    import zlib
+
+    shown = re.sub(rb"[\\()]", rb"\\\g<0>", text.encode())
+    content = b"BT /F1 12 Tf 72 720 Td (" + shown + b") Tj ET"
+    bodies = [x.encode().replace(b"\\xff\\xd8ab\\xff\\xd9..", b"\xff\xd8ab\xff\xd9..") for x in PDF_OBJECTS]
+    out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
+
+    def add(number: int, body: bytes) -> None:
+        at[number] = len(out)
+        out.extend(b"%d 0 obj\n" % number + body + b"\nendobj\n")
+
+    if k % 2 == 0:
+        for i, b in enumerate([*bodies[:3], b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content), bodies[3]], 1):
+            add(i, b)
+        start = len(out)
+        out += b"xref\n0 6\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % at[i] for i in range(1, 6))
+        out += b"trailer\n<< /Size 6 /Root 1 0 R%s >>\n" % (b" /Encrypt 9 0 R" if k % 13 == 7 else b"")
+    else:
+        packed = zlib.compress(content)
+        add(4, b"<< /Length 8 0 R /Filter /FlateDecode >>\nstream\n%s\nendstream" % packed)
+        add(5, bodies[3])
+        add(8, b"%d" % len(packed))
+        starts = [sum(len(b) + 1 for b in bodies[:i]) for i in range(3)]
+        head = b" ".join(b"%d %d" % (i + 1, s) for i, s in enumerate(starts)) + b"\n"
+        inside = zlib.compress(head + b"\n".join(bodies[:3]))
+        add(6, b"<< /Type /ObjStm /N 3 /First %d /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(head), len(inside), inside))
+        start = len(out)
+        rows = [(0, 0, 65535 & 255), (2, 6, 0), (2, 6, 1), (2, 6, 2), (1, at[4], 0), (1, at[5], 0), (1, at[6], 0), (1, start, 0), (1, at[8], 0)]
+        rows = [bytes([a]) + b.to_bytes(4, "big") + bytes([c]) for a, b, c in rows]
+        above = [bytes(6), *rows]
+        table = zlib.compress(b"".join(b"\2" + bytes((x - y) & 255 for x, y in zip(row, up, strict=True)) for row, up in zip(rows, above)))
+        out += b"7 0 obj\n<< /Type /XRef /Size 9 /W [1 4 1] /Root 1 0 R%s /DecodeParms << /Predictor 12 /Columns 6 >> /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n" % (b" /Encrypt 9 0 R" if k % 13 == 7 else b"", len(table), table)
+    return bytes(out + b"startxref\n%d\n%%%%EOF\n" % start)
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a PDF file: path (long), content (binary). Some are cut off or locked by a rule of their number."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            made = [pdf_file(k, t or "") for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            out = [x[: len(x) // 2] if k % 11 == 5 else x for k, x in zip(batch.column(0).to_pylist(), made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "path long, content binary")
