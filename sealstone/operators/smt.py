@@ -8,7 +8,6 @@ folded a level of all of them at a time, and what is asked for is given its sibl
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -27,8 +26,8 @@ from sealstone.sources.files import write_once
 from sealstone.sources.tables import table
 
 DEPTH, SHARD_BITS = 256, 64
-#: Leaves of a bucket, about.
-BUCKET = 8192
+#: Leaves of a bucket, about, and of a task where there are so many.
+BUCKET, TASK = 1024, 32_768
 DEFAULTS = {"record_type": "dataset-record", "parser_id": "manifest@v1", "parser_version": "v1", "model_hash": "none"}
 
 
@@ -62,10 +61,10 @@ def bits_of(keys: np.ndarray) -> np.ndarray:
     return np.unpackbits(keys, axis=1)
 
 
-def fold(keys: np.ndarray, hashes: np.ndarray, low: int, high: int, alg: str, visit: Callable[[int, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def fold(keys: np.ndarray, hashes: np.ndarray, low: int, high: int, alg: str, visit: Callable[[int, np.ndarray, np.ndarray], None] | None = None, split: Callable[[int, np.ndarray, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """From nodes at depth ``low`` (distinct prefixes in key order) to those at depth ``high``: first row of each, and hash.
 
-    ``visit(depth, first, hash)`` sees each level, the lowest included."""
+    ``visit(depth, first, hash)`` sees each level, the lowest included; ``split(depth, first, left, right)`` the nodes with leaves on both sides, with their children's hashes."""
     bits, first, none = bits_of(keys), np.arange(len(keys)), empties(alg)
     for depth in range(low, high, -1):
         if visit:
@@ -82,6 +81,8 @@ def fold(keys: np.ndarray, hashes: np.ndarray, low: int, high: int, alg: str, vi
         left, right = hashes[keep].copy(), np.repeat(none[DEPTH - depth][None], len(keep), axis=0)
         pair = same[keep]
         right[pair] = hashes[keep[pair] + 1]
+        if split and pair.any():
+            split(depth - 1, first[keep[pair]], left[pair], right[pair])
         alone = ~pair & (side[keep] == 1)
         right[alone], left[alone] = left[alone], none[DEPTH - depth]
         first, hashes = first[keep], nodes(left, right, alg)
@@ -144,69 +145,92 @@ def shard_matches_key(shard_id: Column, key: Column, alg: str) -> Column:
     return F.substring(key, 1, 8) == shard_prefix(shard_id, alg)
 
 
-def _wanted(keys: list[bytes], bits: np.ndarray, query: bytes, high: int) -> tuple[list[tuple[int, int]], int]:
-    """Depths below ``high`` at which the query's sibling holds leaves, with the first leaf; and the query's own leaf or -1."""
-    own = np.unpackbits(np.frombuffer(query, np.uint8))
-    number, below = int.from_bytes(query, "big"), (1 << (DEPTH - high)) - 1
-    lo, hi, out = bisect_left(keys, (number & ~below).to_bytes(32, "big")), bisect_right(keys, (number | below).to_bytes(32, "big")), []
-    for depth in range(high + 1, DEPTH + 1):
-        if lo >= hi:
-            break
-        if hi - lo == 1:
-            other = bits[lo]
-            differ = np.flatnonzero(other != own)
-            if not len(differ):
-                return out, lo
-            out.append((int(differ[0]) + 1, lo))
-            return out, -1
-        middle = bisect_left(bits[:, depth - 1], 1, lo, hi)
-        a, b = ((lo, middle), (middle, hi)) if own[depth - 1] == 0 else ((middle, hi), (lo, middle))
-        if b[0] < b[1]:
-            out.append((depth, b[0]))
-        lo, hi = a
-    return out, -1
-
-
-CLIMBED = "key binary, hash binary, value binary, siblings binary"
-
-
-def climb(nodes_: DataFrame, asked: DataFrame | None, low: int, high: int, alg: str, tasks: int) -> DataFrame:
-    """From nodes (key, hash, value) at depth ``low`` to those at ``high``: rows (key, hash) of nodes, keys cut at ``high``; and for each asked key
-    (cut at ``low``) a row with its ``siblings`` from ``low`` up to ``high``, no hash, and the ``value`` of the node of its own key."""
+CLIMBED = "key binary, hash binary, depth int, left binary, right binary, siblings binary"
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """``uint8[n, width]`` as a binary column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * width), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _flat(column: pa.ChunkedArray, width: int = 32) -> np.ndarray:
+    """A binary column of one width as ``uint8[n, width]``."""
+    column = column.combine_chunks()
+    _, off, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    begin = int(np.frombuffer(off, np.int32)[column.offset])
+    out = np.frombuffer(data, np.uint8)[begin : begin + width * len(column)]
+    return out.reshape(-1, width)
+
+
+def _as_text(keys: np.ndarray) -> np.ndarray:
+    """Keys as fixed byte strings, in whose order they can be looked up."""
+    return np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel()
+
+
+def cut(keys: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+    """The first ``depth`` bits of each key, zeros behind."""
+    if isinstance(depth, int):
+        out = keys.copy()
+        out[:, -(-depth // 8) :] = 0
+        if depth % 8:
+            out[:, depth // 8] &= 256 - (1 << (8 - depth % 8))
+        return out
+    return np.packbits(np.where(np.arange(DEPTH) < depth[:, None], bits_of(keys), 0), axis=1)
+
+
+def climb(nodes_: DataFrame, asked: DataFrame | None, low: int, high: int, alg: str, tasks: int, splits: bool = False) -> DataFrame:
+    """From nodes (key, hash) at depth ``low`` to those at ``high``: rows (key, hash) of nodes, keys cut at ``high``; for each asked key (cut at ``low``) a row
+    with its ``siblings`` from ``low`` up to ``high``; and with ``splits`` a row (key cut at ``depth``, depth, left, right) for each node between that has leaves on both sides."""
 
     def run(own: pa.Table, queries: pa.Table | None = None) -> pa.Table:
-        got = sorted(zip(*(own.column(c).to_pylist() for c in ("key", "hash", "value")), strict=True), key=lambda x: x[0])
-        keys, none = [k for k, _, _ in got], empties(alg)
-        if any(a == b for a, b in zip(keys, keys[1:])):
+        keys, hashes, none = _flat(own.column("key")), _flat(own.column("hash")), empties(alg)
+        order = np.argsort(_as_text(keys), kind="stable")
+        keys, hashes = keys[order], hashes[order]
+        text = _as_text(keys)
+        if (text[1:] == text[:-1]).any():
             raise ValueError("two records have one key")
-        asked_keys = sorted(set(queries.column("key").to_pylist())) if queries is not None else []
+        asked_keys = np.unique(_as_text(_flat(queries.column("key")))) if queries is not None else np.zeros(0, "S32")
+        wanted = np.ascontiguousarray(asked_keys).view(np.uint8).reshape(-1, 32)
         siblings = np.repeat(none[None, DEPTH - low : DEPTH - high], len(asked_keys), axis=0).copy()
-        value: list[bytes | None] = [None] * len(asked_keys)
-        out_keys, out_hashes = [], []
-        if keys:
-            matrix, by_depth = _matrix(keys), {}
-            all_bits = bits_of(matrix) if asked_keys else None
-            for q, k in enumerate(asked_keys):
-                places, at = _wanted(keys, all_bits, k, high)
-                value[q] = got[at][2] if at >= 0 else None
-                for depth, node in places:
-                    by_depth.setdefault(depth, []).append((q, node))
-
-            def visit(depth: int, first: np.ndarray, hashes: np.ndarray) -> None:
-                if depth in by_depth:
-                    q, node = np.array(by_depth[depth]).T
-                    siblings[q, low - depth] = hashes[np.searchsorted(first, node)]
-
-            first, hashes = fold(matrix, _matrix([h for _, h, _ in got]), low, high, alg, visit)
-            out_keys, out_hashes = [_cut(keys[i], high) for i in first.tolist()], [h.tobytes() for h in hashes]
-        gap = [None] * len(out_keys)
-        return pa.table({"key": pa.array(out_keys + asked_keys, pa.binary()), "hash": pa.array(out_hashes + [None] * len(asked_keys), pa.binary()), "value": pa.array(gap + value, pa.binary()), "siblings": pa.array(gap + [x.tobytes() for x in siblings], pa.binary())})
+        side = bits_of(wanted)
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def visit(depth: int, first: np.ndarray, level: np.ndarray) -> None:
+            """Where the other child of an asked key's node at the depth above is there, its hash is the sibling."""
+            if depth == high or not len(wanted):
+                return
+            there = _as_text(cut(keys[first], depth))
+            other = cut(wanted, depth)
+            other[:, (depth - 1) // 8] ^= np.uint8(128 >> (depth - 1) % 8)
+            other = _as_text(other)
+            at = np.minimum(np.searchsorted(there, other), len(there) - 1)
+            found = np.flatnonzero(there[at] == other)
+            siblings[found, low - depth] = level[at[found]]
+
+        out_keys, out_hashes = np.zeros((0, 32), np.uint8), np.zeros((0, 32), np.uint8)
+        if len(keys):
+            first, out_hashes = fold(keys, hashes, low, high, alg, visit, (lambda depth, first, left, right: held.append((depth, cut(keys[first], depth), left, right))) if splits else None)
+            out_keys = cut(keys[first], high)
+        n, m, k = len(out_keys), len(wanted), sum(len(x[1]) for x in held)
+        gap = lambda n: pa.nulls(n, pa.binary())
+        stack = lambda i: np.concatenate([x[i] for x in held]) if held else np.zeros((0, 32), np.uint8)
+        column = lambda *parts: pa.chunked_array(list(parts))
+        depths = np.repeat([x[0] for x in held], [len(x[1]) for x in held]) if held else np.zeros(0)
+        return pa.table({
+            "key": column(_fixed(out_keys), _fixed(wanted), _fixed(stack(1))), "hash": column(_fixed(out_hashes), gap(m), gap(k)), "depth": column(pa.nulls(n + m, pa.int32()), pa.array(depths.astype(np.int32))),
+            "left": column(gap(n + m), _fixed(stack(2))), "right": column(gap(n + m), _fixed(stack(3))), "siblings": column(gap(n), _fixed(siblings.reshape(m, 32 * (low - high))), gap(k)),
+        })
 
     task = F.pmod(F.xxhash64(prefix("key", high)), F.lit(tasks)).alias("task")
-    placed = nodes_.select("key", "hash", "value", task).groupBy("task")
+    # By number, for the work is far more than the bytes by which Spark would put small partitions together.
+    dealt = lambda t: t.repartition(tasks, "task").groupBy("task")
+    placed = dealt(nodes_.select("key", "hash", task))
     if asked is None:
         return placed.applyInArrow(lambda own: run(own), CLIMBED)
-    return placed.cogroup(asked.select("key", task).groupBy("task")).applyInArrow(lambda own, queries: run(own, queries), CLIMBED)
+    return placed.cogroup(dealt(asked.select("key", task))).applyInArrow(lambda own, queries: run(own, queries), CLIMBED)
 
 
 #: Depths at which the tree is cut above the buckets: shards, two bytes, root.
@@ -215,27 +239,29 @@ STEPS = (SHARD_BITS, 16, 0)
 
 @dataclass
 class Tree:
-    """A sealed dataset as tables: leaves (shard_id, record_id, version, key, value_hash, leaf, byte_size) and bucket roots (key, hash), at depth 64 + bits."""
+    """A sealed dataset as tables: leaves (shard_id, record_id, version, key, value_hash, leaf, byte_size), bucket roots (key, hash) at depth 64 + bits, and
+    below these the nodes with leaves on both sides (key cut at depth, depth, left, right): the tree with its lone paths left out, one row less than leaves in each bucket."""
 
     leaves: DataFrame
     buckets: DataFrame
+    branches: DataFrame
     bits: int
     alg: str
 
-    def _tasks(self, rows: int, each: int) -> int:
+    def _tasks(self, rows: int, each: int = TASK) -> int:
         wide = int(self.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return max(1, min(wide, -(-rows // 512)), -(-rows // each))
+        return max(1, min(4 * wide, -(-rows // 512)), -(-rows // each))
 
     def up(self, asked: DataFrame | None = None) -> list[DataFrame]:
         """What each step above the buckets gives, shards first; ``asked``: keys."""
-        out, nodes_, low = [], self.buckets.select("key", "hash", F.lit(None).cast("binary").alias("value")), SHARD_BITS + self.bits
+        out, nodes_, low = [], self.buckets, SHARD_BITS + self.bits
         wide = int(self.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         for high in STEPS:
             wanted = asked.select(_padded("key", low).alias("key")).distinct() if asked is not None else None
             step = climb(nodes_, wanted, low, high, self.alg, 1 if high == 0 else wide)
             step = table(step, f"tree-{high}") if asked is not None else step
             out.append(step)
-            nodes_, low = step.filter("hash is not null").select("key", "hash", "value"), high
+            nodes_, low = step.filter("hash is not null").select("key", "hash"), high
         return out
 
     def seal(self) -> DataFrame:
@@ -265,12 +291,18 @@ def build(records: DataFrame, alg: str = "blake3", **names: str) -> Tree:
     has = "byte_size" in records.columns
     rows = table(leaves(records, alg, **names).select("shard_id", "record_id", "version", "key", "value_hash", "leaf", (F.col("byte_size") if has else F.lit(None)).cast("long").alias("byte_size")), "leaves")
     most, total = rows.groupBy("shard_id").count().agg(F.max("count"), F.sum("count")).first()
-    tree = Tree(rows, rows, layout(most or 0), alg)
-    climbed = climb(rows.select("key", F.col("leaf").alias("hash"), F.lit(None).cast("binary").alias("value")), None, DEPTH, SHARD_BITS + tree.bits, alg, tree._tasks(total or 0, 4 * BUCKET))
-    tree.buckets = table(climbed.select("key", "hash"), "buckets")
+    bits = layout(most or 0)
+    tree = Tree(rows, rows, rows, bits, alg)
+    tree.buckets, tree.branches = _below(rows.select("key", F.col("leaf").alias("hash")), bits, alg, tree._tasks(total or 0))
     return tree
 
 
+def _below(leaf_nodes: DataFrame, bits: int, alg: str, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Bucket roots and branches over leaves (key, hash)."""
+    climbed = table(climb(leaf_nodes, None, DEPTH, SHARD_BITS + bits, alg, tasks, True).drop("siblings"), "buckets")
+    return climbed.filter("hash is not null").select("key", "hash"), climbed.filter("depth is not null").select("key", "depth", "left", "right")
+
+
 def extend(tree: Tree, records: DataFrame, **names: str) -> Tree:
     """The tree with more records. Write-once: a key that holds another value stops the job, one that holds the same is left alone. Only buckets that new leaves fall into are folded again."""
     fresh = leaves(records, tree.alg, **names).select("shard_id", "record_id", "version", "key", "value_hash", "leaf", (F.col("byte_size") if "byte_size" in records.columns else F.lit(None)).cast("long").alias("byte_size"))
@@ -278,10 +310,11 @@ def extend(tree: Tree, records: DataFrame, **names: str) -> Tree:
     low = SHARD_BITS + tree.bits
     touched = table(new.select(_padded("key", low).alias("bucket")).distinct(), "touched")
     inside = tree.leaves.withColumn("bucket", _padded("key", low)).join(touched, "bucket", "left_semi").select("key", F.col("leaf").alias("hash"))
-    again = inside.union(new.select("key", F.col("leaf").alias("hash"))).withColumn("value", F.lit(None).cast("binary"))
-    climbed = climb(again, None, DEPTH, low, tree.alg, tree._tasks(again.count(), 4 * BUCKET)).select("key", "hash")
-    kept = tree.buckets.join(touched, tree.buckets["key"] == touched["bucket"], "left_anti").select("key", "hash")
-    return Tree(tree.leaves.unionByName(new), table(kept.union(climbed), "buckets"), tree.bits, tree.alg)
+    again = inside.union(new.select("key", F.col("leaf").alias("hash")))
+    buckets, branches = _below(again, tree.bits, tree.alg, tree._tasks(again.count()))
+    kept = tree.buckets.join(touched, tree.buckets["key"] == touched["bucket"], "left_anti")
+    apart = tree.branches.withColumn("bucket", _padded("key", low)).join(touched, "bucket", "left_anti").drop("bucket")
+    return Tree(tree.leaves.unionByName(new), table(kept.union(buckets), "buckets"), table(apart.union(branches), "branches"), tree.bits, tree.alg)
 
 
 def seal(records: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
@@ -297,21 +330,106 @@ def prove(records: DataFrame | Tree, wanted: DataFrame, alg: str = "blake3", **n
     tree = records if isinstance(records, Tree) else build(records, alg, **names)
     alg, low = tree.alg, SHARD_BITS + tree.bits
     asked = table(wanted.withColumn("key", tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)), "asked")
-    n_asked, n_leaves = asked.count(), tree.leaves.count()
-    leaf_nodes = tree.leaves.select("key", F.col("leaf").alias("hash"), F.col("value_hash").alias("value"))
-    # A proof's lower part is some 6 kB, so asked keys bound the tasks as leaves do.
-    below = table(climb(leaf_nodes, asked, DEPTH, low, alg, max(tree._tasks(n_leaves, 4 * BUCKET), -(-n_asked // 2048))).filter("hash is null"), "proofs-below")
+    # Above the buckets: the siblings of every bucket that is asked for, and its shard's root.
     shards, two, top = tree.up(asked)
-    parts = below.select("key", "value", F.col("siblings").alias("s0"))
-    for i, (step, depth) in enumerate(((shards, low), (two, SHARD_BITS), (top, 16)), 1):
-        above = step.filter("siblings is not null").select(F.col("key").alias("cut"), F.col("siblings").alias(f"s{i}"))
-        parts = parts.withColumn("cut", _padded("key", depth)).join(above, "cut").drop("cut")
-    root = top.filter("hash is not null").agg(F.max("hash").alias("root")).select(F.coalesce("root", F.lit(empties(alg)[DEPTH].tobytes())).alias("root"))
+    above = shards.filter("siblings is not null").select("key", F.col("siblings").alias("s1"))
+    for i, (step, depth) in enumerate(((two, SHARD_BITS), (top, 16)), 2):
+        more = step.filter("siblings is not null").select(F.col("key").alias("cut"), F.col("siblings").alias(f"s{i}"))
+        above = above.withColumn("cut", _padded("key", depth)).join(more, "cut").drop("cut")
     shard_roots = shards.filter("hash is not null").select(F.col("key").alias("cut"), F.col("hash").alias("shard_root"))
-    out = asked.join(parts, "key").withColumn("cut", _padded("key", SHARD_BITS)).join(shard_roots, "cut", "left").join(F.broadcast(root))
-    kind = F.when(F.col("value").isNull(), "exclusion").otherwise("inclusion")
+    above = above.withColumn("cut", _padded("key", SHARD_BITS)).join(shard_roots, "cut", "left")
     own = F.coalesce("shard_root", F.lit(empties(alg)[DEPTH - SHARD_BITS].tobytes()))
-    return out.select(*wanted.columns, "key", kind.alias("kind"), F.lower(F.hex("value")).alias("content_hash"), F.concat("s0", "s1", "s2", "s3").alias("siblings"), F.lower(F.hex(own)).alias("shard_root"), F.lower(F.hex("root")).alias("manifest_root"))
+    root = top.filter("hash is not null").agg(F.max("hash").alias("root")).select(F.lower(F.hex(F.coalesce("root", F.lit(empties(alg)[DEPTH].tobytes())))).alias("manifest_root"))
+    none = F.lit(None).cast("binary")
+    rows = tree.leaves.select("key", F.lit(DEPTH).alias("depth"), F.col("leaf").alias("left"), F.col("value_hash").alias("right"))
+    rows = rows.union(tree.branches.select("key", "depth", "left", "right")).union(above.select("key", F.lit(-1), F.concat("s1", "s2", "s3"), own))
+    # A proof is some 8 kB, so asked keys bound the tasks as leaves do.
+    tasks = max(tree._tasks(tree.leaves.count()), -(-asked.count() // 2048))
+    task = F.pmod(F.xxhash64(prefix("key", low)), F.lit(tasks)).alias("task")
+    dealt = lambda t: t.withColumn("task", task).repartition(tasks, "task").groupBy("task")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+    proofs = dealt(rows).cogroup(dealt(asked)).applyInArrow(_prover(low, alg, asked.columns), f"{fields}, value binary, siblings binary, shard_root binary")
+    kind = F.when(F.col("value").isNull(), "exclusion").otherwise("inclusion")
+    return proofs.join(F.broadcast(root)).select(*wanted.columns, "key", kind.alias("kind"), F.lower(F.hex("value")).alias("content_hash"), "siblings", F.lower(F.hex("shard_root")).alias("shard_root"), "manifest_root")
+
+
+def lone(keys: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, alg: str) -> np.ndarray:
+    """Nodes at depths ``high`` over single nodes at depths ``low`` of these keys, beside which all is empty."""
+    out, bits, none = hashes.copy(), bits_of(keys), empties(alg)
+    for depth in range(int(low.max(initial=0)), int(high.min(initial=DEPTH)), -1):
+        on = np.flatnonzero((depth <= low) & (depth > high))
+        if len(on):
+            right = (bits[on, depth - 1] == 1)[:, None]
+            out[on] = nodes(np.where(right, none[DEPTH - depth], out[on]), np.where(right, out[on], none[DEPTH - depth]), alg)
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that two keys have in common at their beginning."""
+    apart = bits_of(a ^ b)
+    return np.where(apart.any(axis=1), apart.argmax(axis=1), DEPTH)
+
+
+def _prover(low: int, alg: str, columns: list[str]):
+    """For ``applyInArrow`` on the rows of some buckets (leaves at depth 256, branches, and at -1 what lies above a bucket) and the asked rows there.
+
+    Siblings are read off the branches. Only beside a key that is not there, and branches off within a lone path, a node is made anew: that path is folded from its lower end."""
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        none, m = empties(alg), asked.num_rows
+        depth = own.column("depth").to_numpy()
+        part = lambda which: own.filter(pa.array(which))
+        leaf_rows, above = part(depth == DEPTH), part(depth < 0)
+        keys, leaf, value = (_flat(leaf_rows.column(c)) for c in ("key", "left", "right"))
+        order = np.argsort(_as_text(keys), kind="stable")
+        keys, leaf, value = keys[order], leaf[order], value[order]
+        text, query = _as_text(keys), _flat(asked.column("key"))
+        query_text, side = _as_text(query), bits_of(query)
+        siblings = np.repeat(none[None, :DEPTH], m, axis=0).copy()
+        top = {bytes(k): i for i, k in enumerate(above.column("key").to_pylist())}
+        place = np.array([top[x.tobytes()] for x in cut(query, low)], np.int64)
+        upper, roots = _flat(above.column("left"), 32 * low), _flat(above.column("right"))
+        if m:
+            siblings[:, DEPTH - low :] = upper[place].reshape(m, low, 32)
+        held = {}
+        for d in np.unique(depth[(depth >= 0) & (depth < DEPTH)]).tolist():
+            rows = part(depth == d)
+            k, left, right = (_flat(rows.column(c)) for c in ("key", "left", "right"))
+            order = np.argsort(_as_text(k), kind="stable")
+            held[d] = k, left, right = _as_text(k[order]), left[order], right[order]
+            own_cut = _as_text(cut(query, d))
+            at = np.minimum(np.searchsorted(k, own_cut), len(k) - 1)
+            on = np.flatnonzero(k[at] == own_cut)
+            siblings[on, DEPTH - 1 - d] = np.where((side[on, d] == 0)[:, None], right[at[on]], left[at[on]])
+        found = np.zeros(m, bool)
+        values = np.zeros((m, 32), np.uint8)
+        if len(keys) and m:
+            at = np.minimum(np.searchsorted(text, query_text), len(text) - 1)
+            found = text[at] == query_text
+            values = value[at]
+            # The leaf that has most in common with a key that is not there is one of its neighbours.
+            off = np.flatnonzero(~found)
+            after, before = at[off], np.maximum(at[off] - 1, 0)
+            a, b = _alike(query[off], keys[after]), _alike(query[off], keys[before])
+            near, common = np.where(a >= b, after, before), np.maximum(a, b)
+            off, near, common = (x[common >= low] for x in (off, near, common))
+            if len(off):
+                # The node beside it, at the depth where they part: over one leaf, or from the first branch below on.
+                begin = cut(keys[near], common + 1)
+                last = begin | np.packbits(np.arange(DEPTH) >= (common + 1)[:, None], axis=1)
+                lo, hi = np.searchsorted(text, _as_text(begin)), np.searchsorted(text, _as_text(last), side="right") - 1
+                bottom = _alike(keys[lo], keys[hi])
+                start = leaf[lo].copy()
+                for d in np.unique(bottom[bottom < DEPTH]).tolist():
+                    on = np.flatnonzero(bottom == d)
+                    k, left, right = held[d]
+                    i = np.searchsorted(k, _as_text(cut(keys[lo[on]], d)))
+                    start[on] = nodes(left[i], right[i], alg)
+                siblings[off, DEPTH - 1 - common] = lone(keys[lo], start, bottom, common + 1, alg)
+        out = {c: asked.column(c) for c in columns}
+        return pa.table(out | {"value": pa.array([v.tobytes() if f else None for v, f in zip(values, found, strict=True)], pa.binary()), "siblings": _fixed(siblings.reshape(m, DEPTH * 32)), "shard_root": _fixed(roots[place] if m else np.zeros((0, 32), np.uint8))})
+
+    return run
 
 
 def folded(key: Column, start: Column, siblings: Column, levels: int, alg: str) -> Column:

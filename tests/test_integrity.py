@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,58 @@ def test_segments_round_trip(spark):
     assert segments.unknown_segments(spark.createDataFrame([(1, 9), (1, 0)], "doc_id long, segment_id int"), s).count() == 1
     kinds = spark.createDataFrame([(bytearray(b"%PDF-1"),), (bytearray(b"text"),), (bytearray(b"\xff\xfe"),), (bytearray(b""),), (bytearray(b"PK\x03\x04..[Content_Types].xml"),)], "b binary").select(segments.detect_format(F.col("b")).alias("f")).collect()
     assert [r.f for r in kinds] == ["pdf", "text", None, None, "ooxml"]
+
+
+def plain_siblings(pairs, query, alg, low):
+    """Siblings from the leaf up to depth ``low``, each by recursion over the leaves below it."""
+    bits = lambda k: "".join(f"{x:08b}" for x in k)
+    own, out = bits(query), []
+    for depth in range(256, low, -1):
+        beside = own[: depth - 1] + ("0" if own[depth - 1] == "1" else "1")
+        out.append(smt.reference_root({k: v for k, v in pairs.items() if bits(k).startswith(beside)}, alg, depth))
+    return b"".join(out)
+
+
+def test_siblings_are_read_off_the_branches():
+    """Keys that part early, late and anywhere between, and absent ones that part from them anywhere."""
+    r, low = random.Random(9), 64
+    base = [bytes(8) + r.randbytes(24) for _ in range(5)]
+
+    def flipped(key):
+        at = r.randrange(low, 256)
+        return bytes(x ^ (128 >> at % 8 if i == at // 8 else 0) for i, x in enumerate(key))
+
+    for n in (0, 1, 2, 14):
+        keys = list(base[: min(n, 5)])
+        while len(keys) < n:
+            keys.append(flipped(r.choice(keys)))
+        keys = sorted(set(keys))
+        pairs = {k: r.randbytes(32) for k in keys}
+        matrix, splits = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 32), []
+        if keys:
+            smt.fold(matrix, np.frombuffer(b"".join(pairs[k] for k in keys), np.uint8).reshape(-1, 32), 256, low, "sha256", None, lambda d, first, a, b: splits.extend((smt._cut(keys[i], d), d, x.tobytes(), y.tobytes()) for i, x, y in zip(first.tolist(), a, b)))
+        assert len(splits) == max(0, len(keys) - 1)
+        queries = [*keys, *(flipped(k) for k in keys for _ in range(4)), base[0], bytes(8) + r.randbytes(24)]
+        above = r.randbytes(32 * low)
+        rows = [(k, 256, pairs[k], k[::-1]) for k in keys] + splits + [(bytes(8) + bytes(24), -1, above, b"r" * 32)]
+        table = pa.table({c: pa.chunked_array([pa.array([x[i] for x in rows], t)]) for i, (c, t) in enumerate((("key", pa.binary()), ("depth", pa.int32()), ("left", pa.binary()), ("right", pa.binary())))})
+        got = smt._prover(low, "sha256", ["key"])(table, pa.table({"key": pa.chunked_array([pa.array(queries, pa.binary())])})).to_pylist()
+        for q, x in zip(queries, got, strict=True):
+            assert x["key"] == q and x["value"] == (q[::-1] if q in pairs else None) and x["shard_root"] == b"r" * 32
+            assert x["siblings"] == plain_siblings(pairs, q, "sha256", low) + above
+
+
+def test_trees_of_many_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(smt, "BUCKET", 4)
+    records = spark.range(300).selectExpr("concat('s', id % 3) shard_id", "cast(id as string) record_id", "1L version", "sha2(cast(id as string), 256) content_hash", "id byte_size")
+    tree = smt.build(records, "sha256")
+    assert tree.bits > 3 and tree.branches.count() == 300 - tree.buckets.count()
+    pairs = {bytes(x.key): bytes(x.leaf) for x in tree.leaves.collect()}
+    assert tree.root() == smt.reference_root(pairs, "sha256").hex()
+    extended = smt.extend(smt.build(records.filter("byte_size < 270"), "sha256"), records)
+    asked = records.select("shard_id", "record_id", "version")
+    asked = asked.union(asked.selectExpr("shard_id", "concat(record_id, '-')", "version"))
+    for t in (tree, extended):
+        assert t.root() == tree.root()
+        got = smt.verify(smt.prove(t, asked), tree.root(), "sha256").groupBy("kind", "verdict").count().collect()
+        assert {(x.kind, x.verdict): x["count"] for x in got} == {("inclusion", "valid"): 300, ("exclusion", "valid"): 300}
