@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -233,6 +233,8 @@ def climb(nodes_: DataFrame, asked: DataFrame | None, low: int, high: int, alg:
     return placed.cogroup(dealt(asked.select("key", task))).applyInArrow(lambda own, queries: run(own, queries), CLIMBED)
 
 
+#: Depth below which a stored tree keeps branches only where there are many.
+CANOPY = 72
 #: Depths at which the tree is cut above the buckets: shards, two bytes, root.
 STEPS = (SHARD_BITS, 16, 0)
 
@@ -247,6 +249,44 @@ class Tree:
     branches: DataFrame
     bits: int
     alg: str
+    #: Of a stored tree: leaves and branches lie in folders by ``part_of`` their keys; and the canopies whose deep branches were kept.
+    kept: DataFrame | None = None
+
+    @property
+    def low(self) -> int:
+        return SHARD_BITS + self.bits
+
+    def near(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows of the leaves or branches that may be in a bucket with some of ``keys``: of a stored tree those of the folders that these fall into, of which there are 4,096 at most."""
+        if self.kept is None:
+            return rows
+        return rows.filter(F.col("part").isin([x[0] for x in keys.select(part_of("key", self.bits)).distinct().collect()]))
+
+    def branches_for(self, keys: DataFrame) -> DataFrame:
+        """Branches (key, depth, left, right) of all buckets that ``keys`` fall into. Those that were left out of a stored tree are made again from the leaves of their canopies."""
+        own = self.near(self.branches, keys).select("key", "depth", "left", "right")
+        if self.kept is None:
+            return own
+        high = max(CANOPY, self.low)
+        canopy = F.substring("key", 1, CANOPY // 8).alias("canopy")
+        gone = table(keys.select(canopy).distinct().join(self.kept, "canopy", "left_anti"), "left-out")
+        rows = self.near(self.leaves, keys).withColumn("canopy", canopy).join(gone, "canopy", "left_semi").select("key", F.col("leaf").alias("hash"))
+        again = climb(rows, None, DEPTH, high, self.alg, self._tasks(rows.count()), True)
+        return own.union(again.filter("depth is not null").select("key", "depth", "left", "right"))
+
+    def store(self, path: str, most: int = 1024) -> None:
+        """Write the tree into a folder, for ``load``. Branches deeper than a canopy (the nine first bytes of a key) stay only where it has more than ``most`` leaves: the others are made again when they are asked for."""
+        part = part_of("key", self.bits).alias("part")
+        canopy = F.substring("key", 1, CANOPY // 8).alias("canopy")
+        kept = table(self.leaves.groupBy(canopy).agg(F.count("*").alias("leaves")).filter(F.col("leaves") > most).select("canopy"), "canopies")
+        shallow = self.branches.filter(F.col("depth") < CANOPY)
+        deep = self.branches.filter(F.col("depth") >= CANOPY).withColumn("canopy", canopy).join(kept, "canopy", "left_semi").select("key", "depth", "left", "right")
+        branches = shallow.select("key", "depth", "left", "right").union(deep)
+        for rows, name in ((self.leaves.drop("part"), "leaves"), (branches, "branches")):
+            rows.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("key"), F.lit(8))).write.partitionBy("part").parquet(f"{path}/{name}")
+        self.buckets.write.parquet(f"{path}/buckets")
+        kept.write.parquet(f"{path}/canopies")
+        self.leaves.sparkSession.createDataFrame([(self.bits, self.alg)], "bits int, alg string").write.parquet(f"{path}/facts")
 
     def _tasks(self, rows: int, each: int = TASK) -> int:
         wide = int(self.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -281,6 +321,22 @@ class Tree:
         return bytes(got["hash"] if got else empties(self.alg)[DEPTH]).hex()
 
 
+LEAVES = "shard_id string, record_id string, version long, key binary, value_hash binary, leaf binary, byte_size long, part string"
+
+
+def load(spark: SparkSession, path: str) -> Tree:
+    """A stored tree. What is asked of it reads the folders that the keys fall into alone."""
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    bits, alg = read("facts", "bits int, alg string").first()
+    return Tree(read("leaves", LEAVES), read("buckets", "key binary, hash binary"), read("branches", "key binary, depth int, left binary, right binary, part string"), bits, alg, read("canopies", "canopy binary"))
+
+
+def part_of(key: str, bits: int) -> Column:
+    """Folder of a key: its first byte, and up to four bits behind the shard's, so that a hot shard is several and no bucket is in two."""
+    behind = F.hex(F.substring(prefix(key, SHARD_BITS + min(bits, 4)), 9, 1)) if bits else F.lit("")
+    return F.concat(F.hex(F.substring(key, 1, 1)), F.lit("-"), behind)
+
+
 def _padded(key: str, depth: int) -> Column:
     """A key cut at a depth, 32 bytes."""
     return F.rpad(prefix(key, depth), 32, b"\0") if depth < DEPTH else F.col(key)
@@ -306,15 +362,19 @@ def _below(leaf_nodes: DataFrame, bits: int, alg: str, tasks: int) -> tuple[Data
 def extend(tree: Tree, records: DataFrame, **names: str) -> Tree:
     """The tree with more records. Write-once: a key that holds another value stops the job, one that holds the same is left alone. Only buckets that new leaves fall into are folded again."""
     fresh = leaves(records, tree.alg, **names).select("shard_id", "record_id", "version", "key", "value_hash", "leaf", (F.col("byte_size") if "byte_size" in records.columns else F.lit(None)).cast("long").alias("byte_size"))
-    new = table(write_once(tree.leaves.select("key", "value_hash"), fresh), "new-leaves")
-    low = SHARD_BITS + tree.bits
+    stored, low = tree.kept is not None, tree.low
+    fresh = table(fresh.withColumn("part", part_of("key", tree.bits)) if stored else fresh, "fresh-leaves")
+    old = tree.near(tree.leaves, fresh)
+    new = table(write_once(old.select("key", "value_hash"), fresh), "new-leaves")
     touched = table(new.select(_padded("key", low).alias("bucket")).distinct(), "touched")
-    inside = tree.leaves.withColumn("bucket", _padded("key", low)).join(touched, "bucket", "left_semi").select("key", F.col("leaf").alias("hash"))
+    inside = tree.near(tree.leaves, new).withColumn("bucket", _padded("key", low)).join(touched, "bucket", "left_semi").select("key", F.col("leaf").alias("hash"))
     again = inside.union(new.select("key", F.col("leaf").alias("hash")))
     buckets, branches = _below(again, tree.bits, tree.alg, tree._tasks(again.count()))
     kept = tree.buckets.join(touched, tree.buckets["key"] == touched["bucket"], "left_anti")
+    if stored:
+        branches = branches.withColumn("part", part_of("key", tree.bits))
     apart = tree.branches.withColumn("bucket", _padded("key", low)).join(touched, "bucket", "left_anti").drop("bucket")
-    return Tree(tree.leaves.unionByName(new), table(kept.union(buckets), "buckets"), table(apart.union(branches), "branches"), tree.bits, tree.alg)
+    return Tree(tree.leaves.unionByName(new), table(kept.union(buckets), "buckets"), apart.unionByName(branches) if stored else table(apart.unionByName(branches), "branches"), tree.bits, tree.alg, tree.kept)
 
 
 def seal(records: DataFrame, alg: str = "blake3", **names: str) -> DataFrame:
@@ -328,7 +388,7 @@ def prove(records: DataFrame | Tree, wanted: DataFrame, alg: str = "blake3", **n
     Adds ``key``, ``kind`` (inclusion or exclusion), ``content_hash`` (null if not there), ``siblings`` (256 * 32 bytes from the leaf up), ``shard_root``, ``manifest_root``."""
     n = DEFAULTS | names
     tree = records if isinstance(records, Tree) else build(records, alg, **names)
-    alg, low = tree.alg, SHARD_BITS + tree.bits
+    alg, low = tree.alg, tree.low
     asked = table(wanted.withColumn("key", tree_key(F.col("shard_id"), F.lit(n["record_type"]), F.col("record_id"), F.col("version"), alg)), "asked")
     # Above the buckets: the siblings of every bucket that is asked for, and its shard's root.
     shards, two, top = tree.up(asked)
@@ -341,10 +401,11 @@ def prove(records: DataFrame | Tree, wanted: DataFrame, alg: str = "blake3", **n
     own = F.coalesce("shard_root", F.lit(empties(alg)[DEPTH - SHARD_BITS].tobytes()))
     root = top.filter("hash is not null").agg(F.max("hash").alias("root")).select(F.lower(F.hex(F.coalesce("root", F.lit(empties(alg)[DEPTH].tobytes())))).alias("manifest_root"))
     none = F.lit(None).cast("binary")
-    rows = tree.leaves.select("key", F.lit(DEPTH).alias("depth"), F.col("leaf").alias("left"), F.col("value_hash").alias("right"))
-    rows = rows.union(tree.branches.select("key", "depth", "left", "right")).union(above.select("key", F.lit(-1), F.concat("s1", "s2", "s3"), own))
+    leaf_rows = tree.near(tree.leaves, asked)
+    rows = leaf_rows.select("key", F.lit(DEPTH).alias("depth"), F.col("leaf").alias("left"), F.col("value_hash").alias("right"))
+    rows = rows.union(tree.branches_for(asked)).union(above.select("key", F.lit(-1), F.concat("s1", "s2", "s3"), own))
     # A proof is some 8 kB, so asked keys bound the tasks as leaves do.
-    tasks = max(tree._tasks(tree.leaves.count()), -(-asked.count() // 2048))
+    tasks = max(tree._tasks(leaf_rows.count()), -(-asked.count() // 2048))
     task = F.pmod(F.xxhash64(prefix("key", low)), F.lit(tasks)).alias("task")
     dealt = lambda t: t.withColumn("task", task).repartition(tasks, "task").groupBy("task")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)

@@ -258,3 +258,31 @@ def test_trees_of_many_small_buckets(spark, monkeypatch):
         assert t.root() == tree.root()
         got = smt.verify(smt.prove(t, asked), tree.root(), "sha256").groupBy("kind", "verdict").count().collect()
         assert {(x.kind, x.verdict): x["count"] for x in got} == {("inclusion", "valid"): 300, ("exclusion", "valid"): 300}
+
+
+def test_a_stored_tree_reads_what_is_asked_for(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(smt, "BUCKET", 16)
+    records = spark.range(600).selectExpr("concat('s', id % 3) shard_id", "cast(id as string) record_id", "1L version", "sha2(cast(id as string), 256) content_hash", "id byte_size")
+    tree = smt.build(records.filter("byte_size < 560"), "sha256")
+    whole = smt.build(records, "sha256")
+    ask = lambda rows: rows.select("shard_id", "record_id", "version")
+    absent = ask(records.withColumn("record_id", F.concat("record_id", F.lit("-"))))
+    for most in (0, 2, 1024):  # all deep branches kept, some, none
+        tree.store(f"{tmp_path}/{most}", most)
+        stored = smt.load(spark, f"{tmp_path}/{most}")
+        assert stored.branches.count() + (0 if most else 1) > 0 and (stored.branches.count() == tree.branches.count()) == (most == 0)
+        assert stored.root() == tree.root() and stored.seal().count() == 3
+        got = smt.verify(smt.prove(stored, ask(records.filter("byte_size < 560")).union(absent)), tree.root(), "sha256").groupBy("kind", "verdict").count().collect()
+        assert {(x.kind, x.verdict): x["count"] for x in got} == {("inclusion", "valid"): 560, ("exclusion", "valid"): 600}
+        longer = smt.extend(stored, records)
+        assert longer.root() == whole.root() and longer.leaves.count() == 600
+        got = smt.verify(smt.prove(longer, ask(records).union(absent)), whole.root(), "sha256").groupBy("kind", "verdict").count().collect()
+        assert {(x.kind, x.verdict): x["count"] for x in got} == {("inclusion", "valid"): 600, ("exclusion", "valid"): 600}
+    one = spark.createDataFrame([("s1", "x", 1, "00" * 32, 5)], records.schema)
+    with pytest.raises(Exception, match="another value"):
+        smt.extend(stored, records.filter("record_id = '5'").withColumn("content_hash", F.sha2("content_hash", 256)))
+    few = smt.extend(stored, one)
+    key = smt.leaves(one, "sha256").select(smt.part_of("key", stored.bits).alias("p")).first().p
+    plan = stored.near(stored.leaves, smt.leaves(one, "sha256"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and f"= {key})" in plan
+    assert few.leaves.count() == 561
