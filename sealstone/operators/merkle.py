@@ -6,9 +6,12 @@ leaves are padded with zeros to a power of two (``zero_padded_roots``)."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -142,6 +145,83 @@ def snapshot_paths(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3")
     return out.select(by, "n", "leaf", "siblings", fold_path(F.col("leaf"), F.col("siblings"), F.col("n") - 1, alg).alias("root"))
 
 
+def _nodes(left: np.ndarray, right: np.ndarray, alg: str) -> np.ndarray:
+    """Nodes over ``uint8[n, 32]`` children."""
+    if alg == "poseidon":
+        out = parents([(a.tobytes(), b.tobytes()) for a, b in zip(left, right, strict=True)], alg)
+        return np.frombuffer(b"".join(out), np.uint8).reshape(-1, 32)
+    from sealstone.operators.smt import nodes
+
+    return nodes(left, right, alg)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """``uint8[n, 32]`` as a column."""
+    return pa.array([x.tobytes() for x in rows], pa.binary())
+
+
+def _beside(rows: DataFrame, by: str, height: int, depth: int, alg: str, most: int) -> DataFrame:
+    """For nodes (by, i, node) at a height, numbered from 0, what lies to the left of each on its way up: (by, i, node, siblings), an array from ``height`` to ``depth``.
+
+    Runs of 2 ** STEP neighbours are folded in one task each; the full runs' roots are the nodes of the next round, in which there are so many times fewer. A run that is not full has no node, and is its group's last."""
+    empties, levels = zeros(alg, depth), min(STEP, depth - height)
+    name = rows.schema[by].dataType.simpleString()
+
+    def run(own: pa.Table) -> pa.Table:
+        own = own.sort_by("i")
+        n, last = own.num_rows, own.column("node")[own.num_rows - 1].as_py()
+        level = np.frombuffer(b"".join(x or bytes(32) for x in own.column("node").to_pylist()), np.uint8).reshape(n, 32)
+        place, siblings = own.column("i").to_numpy() % (1 << levels), np.empty((n, levels, 32), np.uint8)
+        full = n - (last is None)  # nodes that are whole
+        for h in range(levels):
+            at = place >> h
+            right = (at & 1) == 1
+            siblings[right, h] = level[at[right] - 1]
+            siblings[~right, h] = np.frombuffer(empties[height + h], np.uint8)
+            full //= 2
+            level = _nodes(level[0 : 2 * full : 2], level[1 : 2 * full : 2], alg)
+        root = level[0].tobytes() if len(level) and n == 1 << levels and last is not None else None
+        key, block = own.column(by)[0].as_py(), int(own.column("i")[0].as_py()) >> levels
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * levels), _binary(siblings.reshape(-1, 32)))
+        return pa.table({
+            by: pa.chunked_array([pa.array([key] * (n + 1), own.schema.field(by).type)]), "i": pa.chunked_array([own.column("i").combine_chunks().cast(pa.int64()), pa.nulls(1, pa.int64())]), "block": pa.array([block] * (n + 1), pa.int64()),
+            "node": pa.chunked_array([own.column("node").combine_chunks().cast(pa.binary()), pa.array([root], pa.binary())]), "siblings": pa.chunked_array([flat, pa.nulls(1, flat.type)]),
+        })
+
+    runs = rows.select(by, "i", "node").groupBy(by, F.shiftright("i", levels).alias("run_")).applyInArrow(run, f"`{by}` {name}, i long, block long, node binary, siblings array<binary>")
+    done = table(runs, "runs")
+    own, above = done.filter("i is not null"), done.filter("i is null").select(by, F.col("block").alias("i"), "node")
+    if height + levels >= depth:
+        return own.select(by, "i", "node", "siblings")
+    if most <= 1 << levels:  # one run a group: nothing lies to the left of it
+        return own.select(by, "i", "node", F.concat("siblings", F.array(*(F.lit(e) for e in empties[height + levels : depth]))).alias("siblings"))
+    up = _beside(above, by, height + levels, depth, alg, -(-most >> levels)).select(F.col(by).alias("by_"), F.col("i").alias("block"), F.col("siblings").alias("more"))
+    joined = own.join(up, own[by].eqNullSafe(up["by_"]) & (own["block"] == up["block"]))
+    return joined.select(own[by], own["i"], own["node"], F.concat("siblings", "more").alias("siblings"))
+
+
+def append_paths(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
+    """``rows(by, position, data)``, data 32 bytes: for each row the tree of a fixed depth as it was when it was the last: (by, i, leaf, siblings from the leaf up, root).
+
+    To the right of it all was empty, so its siblings are the roots of the full subtrees to its left, which every later row shares; each is made once. More leaves than the tree holds are an error."""
+    leaves = _numbered(rows, by, 1 << depth).withColumnRenamed("data", "node")
+    most = leaves.agg(F.max("n")).first()[0] or 0
+    paths = _beside(leaves, by, 0, depth, alg, most)
+    schema = f"`{by}` {rows.schema[by].dataType.simpleString()}, i long, leaf binary, siblings array<binary>, root binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, place = batch.num_rows, batch.column("i").to_numpy()
+            state = np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint8).reshape(n, 32)
+            path = np.frombuffer(b"".join(batch.column("siblings").flatten().to_pylist()), np.uint8).reshape(n, depth, 32)
+            for h in range(depth):
+                right = (place >> h & 1 == 1)[:, None]
+                state = _nodes(np.where(right, path[:, h], state), np.where(right, state, path[:, h]), alg)
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("i"), batch.column("node"), batch.column("siblings"), _binary(state)], names=[by, "i", "leaf", "siblings", "root"])
+
+    return paths.select(by, "i", "node", "siblings").mapInArrow(run, schema)
+
+
 def fold_path(leaf: Column, siblings: Column, index: Column, alg: str = "blake3") -> Column:
     """Root that a leaf (binary), its siblings from the leaf up (array of binary) and its index lead to; null if any is."""
 

@@ -431,6 +431,37 @@ def snapshot_validation(spark, d):
     return merkle.snapshot_faults(gap, stated, by="shard_id", depth=20, alg="sha256").select("shard_id", "verdict")
 
 
+def _appends_sql(depth: int) -> str:
+    """Every append's root and path over l0(shard_id, i, h): level by level the node beside it, if it is a right one, else an empty subtree."""
+    empty, out = [e.hex() for e in merkle.zeros("sha256", depth)], []
+    for k in range(depth):
+        out.append(f"l{k + 1} AS (SELECT shard_id, i // 2 AS i, {_NODE.format('max(h) FILTER (WHERE i % 2 = 0)', 'max(h) FILTER (WHERE i % 2 = 1)')} AS h FROM l{k} GROUP BY 1, 2 HAVING count(*) = 2)")
+    out.append("a0 AS (SELECT shard_id, i, h AS r, '' AS path FROM l0)")
+    for k in range(depth):
+        beside = f"CASE WHEN (a.i >> {k}) % 2 = 1 THEN l.h ELSE '{empty[k]}' END"
+        node = f"CASE WHEN (a.i >> {k}) % 2 = 1 THEN {_NODE.format('l.h', 'a.r')} ELSE {_NODE.format('a.r', chr(39) + empty[k] + chr(39))} END"
+        out.append(f"a{k + 1} AS (SELECT a.shard_id, a.i, {node} AS r, a.path || {beside} AS path FROM a{k} a LEFT JOIN l{k} l ON l.shard_id = a.shard_id AND (a.i >> {k}) % 2 = 1 AND l.i = (a.i >> {k}) - 1)")
+    return ", ".join(out)
+
+
+@query(ctes("ingest_records") + f", l0 AS (SELECT shard_id, snapshot_index AS i, sha256(CAST(proof_id AS VARCHAR)) AS h FROM ingest_records), {_appends_sql(20)} SELECT shard_id, i, r AS root, sha256(unhex(path)) AS path FROM a20")
+def append_paths_sha256(spark, d):
+    """The root after every append of every shard, and the digest of the path that proves it."""
+    out = merkle.append_paths(_snapshots(spark, d), by="shard_id", depth=20, alg="sha256")
+    return out.select("shard_id", "i", F.lower(F.hex("root")).alias("root"), F.sha2(F.unhex(F.array_join(F.transform("siblings", lambda x: F.hex(x)), "")), 256).alias("path"))
+
+
+@query("SELECT event_type AS shard_id, CASE event_type WHEN 'click' THEN 'not-an-append' WHEN 'view' THEN 'root-mismatch' ELSE 'valid' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2")
+def append_transitions(spark, d):
+    """Every append's path leads from the root before to the root after; one shard states other roots before, one others after."""
+    paths = table(merkle.append_paths(_snapshots(spark, d), by="shard_id", depth=20, alg="sha256").select("shard_id", (F.col("i") + 1).alias("size"), "leaf", "siblings", "root"), "append-paths")
+    before = paths.select("shard_id", (F.col("size") + 1).alias("size"), F.col("root").alias("prev_root"))
+    none = F.lit(merkle.zeros("sha256", 20)[20])
+    rows = paths.join(before, ["shard_id", "size"], "left").withColumn("prev_root", F.coalesce("prev_root", none))
+    rows = rows.withColumn("prev_root", _where("click", "prev_root", F.lit(bytes(32)))).withColumn("root", _where("view", "root", F.lit(bytes(32))))
+    return merkle.append_transition(rows, "sha256").groupBy("shard_id", "verdict").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256('b' || CAST(doc_id AS VARCHAR)) || '7C' || sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256(CAST(doc_id AS VARCHAR)) || '7C' || sha256('a' || CAST(doc_id AS VARCHAR)))))) AS root FROM documents")
 def legacy_proof_fold(spark, d):
     k = F.col("doc_id").cast("string")

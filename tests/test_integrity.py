@@ -286,3 +286,27 @@ def test_a_stored_tree_reads_what_is_asked_for(spark, monkeypatch, tmp_path):
     plan = stored.near(stored.leaves, smt.leaves(one, "sha256"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part" in plan and f"= {key})" in plan
     assert few.leaves.count() == 561
+
+
+@pytest.mark.parametrize("alg", ["sha256", "blake3", "poseidon"])
+def test_every_append_has_its_root_and_path(spark, monkeypatch, alg):
+    """Against inserting leaf after leaf; runs of one, two and more levels."""
+    r, depth, sizes = random.Random(3), 7, {"a": 1, "b": 2, "c": 37 if alg == "poseidon" else 128, "d": 16}
+    data = {k: [bytes(1) + r.randbytes(31) for _ in range(n)] for k, n in sizes.items()}
+    rows = spark.createDataFrame([(k, i * 3, x) for k, xs in data.items() for i, x in enumerate(xs)], "g string, position long, data binary")
+    empty, want = merkle.zeros(alg, depth), {}
+    for k, xs in data.items():
+        tree = {}
+        for i, x in enumerate(xs):
+            node, path = x, []
+            for h in range(depth):
+                tree[h, i >> h] = node
+                beside = tree.get((h, i >> h ^ 1), empty[h])
+                path.append(beside)
+                node = merkle.parents([(beside, node) if i >> h & 1 else (node, beside)], alg)[0]
+            want[k, i] = (x, path, node)
+    for step in (1, 3, 10):
+        monkeypatch.setattr(merkle, "STEP", step)
+        got = {(x.g, x.i): (bytes(x.leaf), [bytes(s) for s in x.siblings], bytes(x.root)) for x in merkle.append_paths(rows, by="g", depth=depth, alg=alg).collect()}
+        assert got == want
+    assert merkle.append_paths(rows.limit(0), by="g", depth=depth, alg=alg).count() == 0
