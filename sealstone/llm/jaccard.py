@@ -46,6 +46,7 @@ BUCKET = 400_000  #: entries of a task, about
 TASKS = 256  #: tasks that cells are dealt to, at least
 LONG = 100_000  #: documents from which on a shingle's list is not dealt as one
 BROADCAST_KEYS = 1_000_000  #: keys that are sent to every task rather than shuffled
+SLICE = 2 << 20  #: bytes of text that a worker cuts into shingles at once
 SKETCH = 10  #: the shortest sketches have 2 ** SKETCH bits
 
 
@@ -137,7 +138,7 @@ def common_shingles(docs: DataFrame, n_docs: int, words: int, secret: bytes) ->
             return pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "packed": pa.array([packed(low[edge[b] : edge[b + 1]]) for b in some.tolist()], pa.binary())})
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 held.append(place_of(sets_of(part.column("text"), words, secret)[0], n))
                 size += len(held[-1])
                 if size >= 1 << 20:
@@ -398,7 +399,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 digest, off = sets_of(part.column("text"), words, secret)
                 n = np.diff(off)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -476,7 +477,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 digest, off = sets_of(part.column("text"), words, secret)
                 one, two = set_digests(digest, off)
                 own_ = (one == part.column("one").to_numpy()) & (two == part.column("two").to_numpy()) & (np.diff(off) == part.column("n").to_numpy())
