@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MERGE_DELAY, MERGE_DELAY_LEAST = 86_400, 60
+#: Seconds of a range of a key, where windows are counted.
+RANGE = 7 * 86_400
 #: Arrivals of a range of an identity.
 ARRIVALS = 65_536
 
@@ -81,12 +83,31 @@ def issuer_anchored(sets: DataFrame, cosignatures: DataFrame) -> DataFrame:
     return sets.join(signed, ["checkpoint_id", "issuer"], "left").withColumn("anchored", F.coalesce(first & F.col("signed"), F.lit(False))).drop("signed")
 
 
-def trusted_at(rows: DataFrame, windows: DataFrame, *, at: str = "ts", closed: bool = False) -> DataFrame:
-    """Rows with ``trusted``: a window of their (signer, role) holds at their time. Half-open, or with ``closed`` the end included; a null end is open."""
-    inside = (F.col("valid_from") <= F.col(at)) & (F.col("valid_until").isNull() | ((F.col(at) <= F.col("valid_until")) if closed else (F.col(at) < F.col("valid_until"))))
-    by = ["signer", "role", at]
-    hit = rows.select(*by).distinct().join(windows.select("signer", "role", "valid_from", "valid_until"), ["signer", "role"]).filter(inside).select(*by).distinct().withColumn("hit", F.lit(True))
-    return rows.join(hit, by, "left").withColumn("trusted", F.col("hit").isNotNull()).select(*rows.columns, "trusted")
+def trusted_at(rows: DataFrame, windows: DataFrame, *, at: str = "ts", closed: bool = False, width: int = RANGE) -> DataFrame:
+    """Rows with ``trusted``: a window of their (signer, role) holds at their time. Half-open, or with ``closed`` the end included; a null end is open. Null signers, roles and times are trusted by none.
+
+    A sweep: starts, ends and moments of a key in one order, and the number of open windows as a running count, within ranges of ``width`` seconds and carried over them.
+    So a key costs its windows and moments, not their product, and a hot one is as many tasks as it has ranges."""
+    by, kinds = ["signer", "role"], dict(rows.dtypes)
+    held = windows.filter(F.col("signer").isNotNull() & F.col("role").isNotNull() & F.col("valid_from").isNotNull())
+    held = held.filter(F.col("valid_until").isNull() | ((F.col("valid_from") <= F.col("valid_until")) if closed else (F.col("valid_from") < F.col("valid_until"))))
+    # At one time windows start first; they end before a moment, or behind it if their end is included.
+    mark = lambda time, turn, step: held.select(*by, F.col(time).cast(kinds[at]).alias("time_"), F.lit(turn).alias("turn_"), F.lit(step).cast("long").alias("step_"))
+    marks = mark("valid_from", 0, 1).union(mark("valid_until", 2 if closed else 0, -1).filter("time_ is not null"))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c not in by]
+    moments = rows.withColumns({"time_": F.col(at), "turn_": F.lit(1), "step_": F.lit(0).cast("long")})
+    every = marks.select(*marks.columns, *blank).unionByName(moments).withColumn("range_", F.floor(F.col("time_") / F.lit(width)))
+    spans = every.groupBy(*by, "range_").agg(F.sum("step_").alias("own_"))
+    ahead = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("open_", F.coalesce(F.sum("own_").over(ahead), F.lit(0))).select(*(F.col(c).alias(f"{c}_of") for c in (*by, "range_")), "open_")
+    within = Window.partitionBy(*by, "range_").orderBy("time_", "turn_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = every.withColumn("inside_", F.sum("step_").over(within)).filter("turn_ = 1")
+    same = F.lit(True)
+    for c in (*by, "range_"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    told = counted.join(spans, same, "left")
+    trusted = F.coalesce((F.col("inside_") + F.col("open_") > 0) & F.col(at).isNotNull(), F.lit(False))
+    return told.select(*rows.columns, trusted.alias("trusted"))
 
 
 def freshness(snapshots: DataFrame, as_of: int, *, skew: int = 300, max_age: int | None = 7 * 86400, max_lifetime: int | None = 30 * 86400) -> DataFrame:

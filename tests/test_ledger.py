@@ -1,5 +1,7 @@
 """Named cases of the ledger analytics."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,24 @@ def test_splice(spark):
     rows = [(1, 1, "a", 1), (2, 1, "a", 2), (3, 1, "a", 4), (4, 1, "b", 1)]
     out = ledger.splices(spark.createDataFrame(rows, "id long, signer long, shard_id string, tree_size long")).orderBy("id").collect()
     assert [(r.prev_size, r.contiguous) for r in out] == [(None, False), (1, True), (2, False), (None, False)]
+
+
+def test_trust_by_sweep_like_all_pairs(spark):
+    """Touching, nested, empty and inverted windows, ties of moments with both bounds, nulls, one key of 10,000 windows."""
+    r = random.Random(12)
+    pick = lambda n: r.choice([None, *range(n)])
+    w = [(r.choice(("a", "b", None)), r.choice(("x", "y", None)), pick(60), pick(60)) for _ in range(150)] + [("hot", "x", 10 * i, 10 * i + r.choice((0, 3, 10, 25))) for i in range(10_000)]
+    q = [(i, r.choice(("a", "b", "c", None)), r.choice(("x", "y", None)), pick(62)) for i in range(600)] + [(1000 + i, "hot", "x", r.randrange(100_050)) for i in range(3000)]
+    rows, windows = spark.createDataFrame(q, "id long, signer string, role string, ts long"), spark.createDataFrame(w, "signer string, role string, valid_from long, valid_until long")
+    by = {}
+    for s, o, a, b in w:
+        by.setdefault((s, o), []).append((a, b))
+    for closed in (False, True):
+        inside = lambda t, a, b: a is not None and a <= t and (b is None or t < b or closed and t == b)  # noqa: E731, B023
+        want = {i: s is not None and o is not None and t is not None and any(inside(t, a, b) for a, b in by.get((s, o), ())) for i, s, o, t in q}
+        for width in (7, 1000, 10**9):
+            out = ledger.trusted_at(rows, windows, closed=closed, width=width)
+            assert {x.id: x.trusted for x in out.collect()} == want and out.columns == [*rows.columns, "trusted"]
+    # No row for a pair of a moment and a window: what joins is one row a range.
+    plan = ledger.trusted_at(rows, windows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "own_" in plan.split("Join")[1]
