@@ -3,56 +3,121 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import posixpath
 from collections.abc import Iterator
-from urllib.parse import unquote
+from itertools import islice
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealstone.functions.framing import digest
+from sealstone.functions.blake3 import hash_many
 from sealstone.operators.ledger import csv_safe, latest
 from sealstone.operators.streams import hash_stream
+from sealstone.sources.tables import table
 
 
-#: Files from this size on are read as streams, by the tasks; smaller ones are rows of Spark's reader.
-STREAMED = 1 << 30
+#: Files from this size on are read as streams of their own; smaller ones are hashed TOGETHER bytes at a time.
+STREAMED, TOGETHER = 64 << 20, 32 << 20
+
+
+def _local(root: str) -> str | None:
+    """The path of a folder of the local file system; None if it is of another store."""
+    return os.path.abspath(unquote(urlparse(root).path) if root.startswith("file:") else root) if root.startswith("file:") or "://" not in root else None
+
+
+def _listed(root: str, inside: str) -> Iterator[tuple[str, bool, int]]:
+    """What lies in one folder: (path below the root, whether it is a folder, size). Links and what is neither folder nor file are passed over; a name that is no UTF-8 stops the job."""
+    at = _local(root)
+    if at is not None:
+        with os.scandir(os.path.join(at, inside)) as entries:
+            for e in entries:
+                folder = e.is_dir(follow_symlinks=False)
+                if folder or e.is_file(follow_symlinks=False):
+                    try:
+                        e.name.encode()
+                    except UnicodeEncodeError as error:
+                        raise ValueError(f"a name that is no UTF-8 in {inside or root}") from error
+                    yield posixpath.join(inside, e.name), folder, 0 if folder else e.stat(follow_symlinks=False).st_size
+        return
+    fs, base = pafs.FileSystem.from_uri(root)
+    for x in fs.get_file_info(pafs.FileSelector(posixpath.join(base, inside))):
+        if x.type in (pafs.FileType.Directory, pafs.FileType.File):
+            yield posixpath.join(inside, x.base_name), x.type == pafs.FileType.Directory, x.size or 0
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of all regular files below a folder, hidden ones too. A walk in rounds, each a job over the folders of one depth, so no list of files is ever in one place."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for inside in batch.column("path").to_pylist():
+                found = _listed(root, inside)
+                while some := list(islice(found, 4096)):
+                    path, folder, size = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_pydict({"path": path, "folder": folder, "size": pa.array(size, pa.int64())})
+
+    folders, files = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        found = table(folders.mapInArrow(entries, "path string, folder boolean, size long"), "listing")
+        own = found.filter("not folder").select("path", "size")
+        files = own if files is None else files.union(own)
+        folders = found.filter("folder").select("path").repartition("path")
+        if not folders.take(1):
+            return files
 
 
 def scan_directory(spark: SparkSession, root: str, *, alg: str = "blake3", shard: str | None = None, streamed: int = STREAMED) -> DataFrame:
-    """All regular files below ``root`` as records, empty ones too. The shard is the first folder of the path (``root`` for files on top), or the one given; the id is the rest of the path.
+    """All regular files below ``root`` as records, empty and hidden ones too; links are not followed and have none. The shard is the first folder of the path (``root`` for files on top), or the one given; the id is the rest of the path.
+
+    Folders are listed and files read by the tasks, in a file system that all of them see or a store that pyarrow opens. Files from ``streamed`` bytes on are hashed a block at a time."""
 
-    Spark's reader lists the files once; it leaves empty ones out of its rows, so these are what the list holds besides. Files from ``streamed`` bytes on, in a store that pyarrow opens, are hashed
-    a block at a time. Hidden files (a leading dot or underscore) are not listed by Spark's reader and have no record."""
-    base = "/" + root.removeprefix("file://").strip("/") + "/" if root.startswith(("/", "file:")) else root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    small = files.filter(F.col("length") < streamed).select(plain.alias("path"), F.lower(F.hex(digest(F.col("content"), alg))).alias("content_hash"), F.col("length").cast("long").alias("byte_size"))
+    def opened(path: str):
+        at = _local(root)
+        if at is not None:
+            return open(os.path.join(at, path), "rb")  # noqa: SIM115
+        fs, base = pafs.FileSystem.from_uri(root)
+        return fs.open_input_stream(posixpath.join(base, path))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, bytes]] = []
+
+        def out(paths: list[str], digests: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": paths, "content_hash": [d.hex() for d in digests], "byte_size": pa.array(sizes, pa.int64())})
+
+        def together() -> pa.RecordBatch:
+            paths, contents = zip(*held, strict=True)
+            held.clear()
+            return out(list(paths), hash_many(contents) if alg == "blake3" else [hashlib.sha256(c).digest() for c in contents], [len(c) for c in contents])
+
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-                with fs.open_input_stream(at) as f:
-                    if alg == "blake3":
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                with opened(path) as f:
+                    if size < streamed:
+                        held.append((path, f.read()))
+                        if sum(len(c) for _, c in held) < TOGETHER:
+                            continue
+                        yield together()
+                    elif alg == "blake3":
                         got, n = hash_stream(f)
+                        yield out([path], [got], [n])
                     else:
                         state, n = hashlib.sha256(), 0
                         while data := f.read(16 << 20):
                             state.update(data)
                             n += len(data)
-                        got = state.digest()
-                yield pa.RecordBatch.from_pydict({"path": [path], "content_hash": [got.hex()], "byte_size": pa.array([n], pa.int64())})
-
-    large = files.filter(F.col("length") >= streamed).select(plain.alias("path")).repartition(F.col("path")).mapInArrow(hashed, "path string, content_hash string, byte_size long")
-    listed = spark.createDataFrame([("/" + p.removeprefix("file:").lstrip("/") if p.startswith("file:") else p,) for p in map(unquote, files.inputFiles())], "path string")
-    empty = listed.join(files.select(plain.alias("path")), "path", "left_anti").select("path", F.lower(F.hex(digest(F.lit(b""), alg))).alias("content_hash"), F.lit(0).cast("long").alias("byte_size"))
-    every = small.unionByName(large).unionByName(empty)
-    inside = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
-    first = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("root")
-    name = F.when(F.instr(inside, "/") > 0, F.regexp_replace(inside, "^[^/]*/", "")).otherwise(inside)
-    return every.select((F.lit(shard) if shard else first).alias("shard_id"), (inside if shard else name).alias("record_id"), F.lit(1).cast("long").alias("version"), "content_hash", "byte_size")
+                        yield out([path], [state.digest()], [n])
+        if held:
+            yield together()
+
+    every = walk(spark, root).repartition("path").mapInArrow(hashed, "path string, content_hash string, byte_size long")
+    deep = F.instr("path", "/") > 0
+    first = F.when(deep, F.substring_index("path", "/", 1)).otherwise("root")
+    name = F.when(deep, F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.col("path"))
+    return every.select((F.lit(shard) if shard else first).alias("shard_id"), (F.col("path") if shard else name).alias("record_id"), F.lit(1).cast("long").alias("version"), "content_hash", "byte_size")
 
 
 def write_csv(df: DataFrame, path: str, most: int = 50_000) -> None:

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,33 @@ def test_scan_directory(spark, tmp_path):
     assert got == {("a", "b/x.txt"): (hash_many([b"abc"])[0].hex(), 3), ("root", "top.txt"): (hash_many([b"q" * 3000])[0].hex(), 3000), ("a", "empty é %.txt"): (hash_many([b""])[0].hex(), 0)}
 
 
+def test_a_scan_takes_hidden_files_and_no_links(spark, tmp_path):
+    root = tmp_path / "it's a folder %20 é"
+    (root / ".git" / "deep" / "er").mkdir(parents=True)
+    (root / "_private").mkdir()
+    (root / "none").mkdir()
+    files_ = {"top": b"1", ".hidden": b"2", ".git/config": b"3", ".git/deep/er/x'y": b"4" * 100, "_private/_a": b"", "_private/b c%41.txt": b"5"}
+    for name, content in files_.items():
+        (root / name).write_bytes(content)
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "secret").write_bytes(b"no")
+    (root / "link").symlink_to(tmp_path / "outside" / "secret")
+    (root / "folder").symlink_to(tmp_path / "outside")
+    (root / "loop").symlink_to(root)
+    (root / "broken").symlink_to(root / "gone")
+    os.mkfifo(root / "pipe")
+    got = {(r.shard_id, r.record_id): (r.content_hash, r.byte_size) for r in files.scan_directory(spark, str(root), streamed=50).collect()}
+    assert got == {(n.split("/", 1)[0] if "/" in n else "root", n.split("/", 1)[-1]): (hash_many([c])[0].hex(), len(c)) for n, c in files_.items()}
+    again = {r.record_id: r.content_hash for r in files.scan_directory(spark, root.as_uri(), alg="sha256", shard="s", streamed=50).collect()}
+    assert again == {n: hashlib.sha256(c).hexdigest() for n, c in files_.items()}
+    assert {(r.path, r.size) for r in files.walk(spark, str(root)).collect()} == {(n, len(c)) for n, c in files_.items()}
+    assert files.scan_directory(spark, str(root / "none")).count() == 0
+    with open(os.fsencode(root) + b"/bad\xff", "wb"):
+        pass
+    with pytest.raises(Exception, match="no UTF-8"):
+        files.scan_directory(spark, str(root)).collect()
+
+
 def test_streamed_digests():
     data = bytes(i * 7 % 251 for i in range(70_000))
     for n in (0, 1, 1024, 1025, 4096, 4097, 8192, 9000, 12_288, 70_000):
