@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sealstone.plans.registry import query
 from sealstone.sources.fixtures import read
 from sealstone.sources.tables import shared_dir
-from sealstone.streaming import operators
+from sealstone.streaming import gossip, operators
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
@@ -54,4 +54,14 @@ def stream_accepted_in_order(spark, d):
     """Verdicts on gossiped sizes, by order of arrival."""
     size, k = F.col("event_id") % 50, F.col("event_id")
     s = operators.table_stream(spark, f"{d}/events.parquet").select((F.col("user_id") % 40).alias("signer"), size.alias("size"), F.concat(F.lit("r"), (size - F.when(k % 3 == 0, 2).otherwise(1)).cast("string")).alias("previous"), F.concat(F.lit("r"), size.cast("string")).alias("root"), k.alias("arrival"))
-    return operators.drained(operators.accepted_in_order(s, "signer"), "append")
+    at = f"{shared_dir(spark)}/accepted-{uuid.uuid4().hex}"
+    return operators.stored(operators.accepted_in_order(s, "signer"), f"{at}/out", f"{at}/checkpoint")
+
+
+@query()
+def stream_judged(spark, d):
+    """Verdicts on gossiped checkpoints of each (signer, scope, shard), with state that ends by timers and lies in RocksDB; results as files."""
+    size, k = F.col("event_id") % 50, F.col("event_id")
+    s = operators.table_stream(spark, f"{d}/events.parquet").select((F.col("user_id") % 40).alias("signer"), F.lit("shard").alias("scope"), F.col("event_type").alias("shard_id"), size.alias("size"), F.concat(F.lit("r"), (size - F.when(k % 3 == 0, 2).otherwise(1)).cast("string")).alias("previous"), F.concat(F.lit("r"), size.cast("string")).alias("root"), "ts", k.alias("arrival"))
+    at = f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}"
+    return gossip.stored(gossip.judged(s, ["signer", "scope", "shard_id"], live=86_400_000, late="1 hour"), f"{at}/out", f"{at}/checkpoint")
