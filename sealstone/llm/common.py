@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
+import sys
 import tempfile
 import uuid
 from contextvars import ContextVar
@@ -180,8 +182,19 @@ def shingles(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray
     return out, off
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the machine: workers stay, and those of a stage long done must not keep what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+#: glibc's; other systems have their own ways and no such function.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """Parts of a batch whose texts hold about ``most`` bytes at most (one very long text makes a part of its own)."""
+    """Parts of a batch whose texts hold about ``most`` bytes at most (one very long text makes a part of its own). Behind the last one, freed memory is given back."""
     col = batch.column(column)
     size = np.asarray(_byte_lengths(col), np.int64)
     at = 0
@@ -189,6 +202,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         upto = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))
         yield batch.slice(at, upto)
         at += upto
+    give_back()
 
 
 def _byte_lengths(col: pa.Array) -> np.ndarray:
