@@ -103,3 +103,9 @@ def canonical_json(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    """Each text in Unicode's composed form; null stays null. Texts that are so already, which nearly all are, are found by a quick check."""
+    return texts.map(lambda t: t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t), na_action="ignore")
