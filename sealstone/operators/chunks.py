@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sealstone.functions import poseidon as field
 from sealstone.functions.framing import digest
@@ -64,3 +64,17 @@ def commitments(leaves: list[int], mask: list[int], revealed: int) -> tuple[int,
     for leaf, bit in zip(leaves, mask, strict=True):
         a, b = field.tagged(field.COMMITMENT, a, bit * leaf % field.P), field.tagged(field.MASK, b, bit)
     return a, b
+
+
+@F.pandas_udf(StructType([StructField("leaves", StringType()), StructField("mask", StringType())]))
+def commitment_columns(hashes: pd.Series, masks: pd.Series) -> pd.DataFrame:
+    """``commitments`` of sixteen chunk hashes (array of binary) and a reveal mask (array of 0 and 1), in decimal; null if either is, or has not sixteen entries."""
+
+    def one(row, mask) -> tuple[str | None, str | None]:
+        if row is None or mask is None or len(row) != CHUNKS or len(mask) != CHUNKS or not {int(x) for x in mask} <= {0, 1}:
+            return None, None
+        bits = [int(x) for x in mask]
+        a, b = commitments([field.leaf(bytes(x)) if bit else 0 for x, bit in zip(row, bits, strict=True)], bits, sum(bits))
+        return str(a), str(b)
+
+    return pd.DataFrame([one(r, m) for r, m in zip(hashes, masks, strict=True)], columns=["leaves", "mask"], dtype=object)

@@ -531,6 +531,21 @@ def chunk_roots(spark, d):
     return read(spark, d, "documents").select("doc_id", chunk_root(F.array(*(chunk_hash(F.col("text"), F.lit(i)) for i in range(CHUNKS)))).alias("root"))
 
 
+@query()
+def chunk_commitments(spark, d):
+    """Commitments to the chunks that a redaction leaves and to its mask, of every text."""
+    from sealstone.operators import chunks
+
+    k, i = F.col("doc_id"), F.sequence(F.lit(0), F.lit(15))
+    rows = read(spark, d, "documents").select("doc_id", "text", F.transform(i, lambda x: ((k + x) % 3 > 0).cast("int")).alias("mask"))
+    # BLAKE3 runs over columns, not inside arrays: a row a chunk, put together by document again.
+    each = rows.select("doc_id", "text", F.explode(i).alias("i")).select("doc_id", "i", chunks.chunk_hash(F.col("text"), F.col("i")).alias("h"))
+    hashes = each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("hashes"))
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: small rows, and much work for each
+    made = rows.select("doc_id", "mask").join(hashes, "doc_id").repartition(wide, "doc_id").select("doc_id", chunks.commitment_columns(F.col("hashes"), F.col("mask")).alias("c"))
+    return made.select("doc_id", "c.leaves", "c.mask")
+
+
 def _lists(spark, d):
     c = F.col("c_custkey")
     at = F.lit(AS_OF)

@@ -30,10 +30,14 @@ def records_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    size = F.row_number().over(w).cast("long")
-    return e.select(F.col("event_id").alias("proof_id"), F.col("event_type").alias("shard_id"), F.col("user_id").cast("string").alias("record_id"), F.col("ts").alias("at"), F.unix_timestamp("ts").alias("ts"), (size - 1).alias("snapshot_index"), size.alias("snapshot_size"))
+    """Events as records of a shard in order of time. Rows are numbered within days, and days by running totals, so a large shard is not one task."""
+    e = read(spark, sf_dir, "events").withColumn("day_", F.date_trunc("day", "ts"))
+    before = Window.partitionBy("event_type").orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = e.groupBy("event_type", "day_").agg(F.count("*").alias("n_")).select("event_type", "day_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("event_type", "day_").orderBy("ts", "event_id"))
+    size = (F.col("own_") + F.col("before_")).cast("long")
+    numbered = e.withColumn("own_", own).join(starts, ["event_type", "day_"])
+    return numbered.select(F.col("event_id").alias("proof_id"), F.col("event_type").alias("shard_id"), F.col("user_id").cast("string").alias("record_id"), F.col("ts").alias("at"), F.unix_timestamp("ts").alias("ts"), (size - 1).alias("snapshot_index"), size.alias("snapshot_size"))
 
 
 def own_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Chunks of a file: mask, redaction in place, root and commitments."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,21 @@ def test_chunk_tree(spark):
 def test_commitments():
     a, b = chunks.commitments([5, 6], [1, 0], 1)
     assert a == field.tagged(3, field.tagged(3, 1, 5), 0) and b == field.tagged(4, field.tagged(4, 0, 1), 0)
+
+
+def test_commitments_as_columns(spark):
+    r = random.Random(4)
+    hashes = [[r.randbytes(32) for _ in range(16)] for _ in range(3)]
+    masks = [[1] * 16, [0] * 16, [r.randrange(2) for _ in range(16)]]
+    rows = list(zip(range(3), hashes, masks)) + [(3, None, masks[0]), (4, hashes[0], None), (5, hashes[0][:15], masks[0]), (6, hashes[0], [2] * 16)]
+    out = {x.k: x.c for x in spark.createDataFrame(rows, "k int, h array<binary>, m array<int>").select("k", chunks.commitment_columns(F.col("h"), F.col("m")).alias("c")).collect()}
+    for k in range(3):
+        a, b = chunks.commitments([field.leaf(h) for h in hashes[k]], masks[k], sum(masks[k]))
+        assert (out[k].leaves, out[k].mask) == (str(a), str(b))
+    assert all(out[k].leaves is None and out[k].mask is None for k in (3, 4, 5, 6))
+
+
+def test_poseidon_with_fewer_products():
+    r = random.Random(5)
+    for a, b in [(0, 0), (field.P - 1, field.P + 3), *((r.randrange(field.P), r.randrange(field.P)) for _ in range(60))]:
+        assert field.poseidon(a, b) == field.poseidon_plain(a, b)
