@@ -48,8 +48,8 @@ WIDTH = 5.0
 TOKEN_VARIANCE, FULL_ENTROPY = 6.0, 64
 #: By language and script ("sr/latin"), else by language, else by script, else "".
 BANDS = {"": Band(), "latin": Band((1.25, 6.5), 0.10), "cyrillic": Band((0.4, 4.0), 0.35), "cjk": Band((0.25, 3.0), 0.95), "other": Band((0.2, 6.0), 0.98)}
-#: Labelled documents that bands are fitted on at most, those that a language needs, and those of like length that a least entropy needs.
-FIT_ROWS, FIT_LEAST, FLOOR_LEAST = 4096, 100, 30
+#: Labelled documents that bands are fitted on at most, and so many that the given band counts for beside those of a language.
+FIT_ROWS, GIVEN = 4096, 10
 #: A further script of a language is one of its own from this share of its labelled documents on.
 SCRIPT_SHARE = 0.02
 
@@ -219,27 +219,33 @@ def _spread(x: np.ndarray, least: float) -> tuple[float, float]:
 
 
 def fitted(base: Band, x: np.ndarray, n: np.ndarray, share: np.ndarray, bits: np.ndarray) -> Band:
-    """The band with the centre and variance of characters a token ``x`` in documents of ``n`` tokens, and limits of their byte shares and entropies."""
+    """The band with the centre and variance of characters a token ``x`` in documents of ``n`` tokens, and limits of their byte shares and entropies.
+
+    The given band's deviations and limits count for GIVEN documents beside them: a few documents narrow it a little, and one more never turns it over."""
+    trust = len(x) / (len(x) + GIVEN)
+    low, high = base.chars_per_token
     centre = float(np.median(x[n >= np.median(n)]))
     off = (x - centre) ** 2 / (1 / n + 1 / np.median(n))  # in units of about like size, so that short texts do not rule
     off = np.minimum(off, 9 * np.median(off) / 0.455) * (1 / n + 1 / np.median(n))  # a few odd documents do not widen the band
     weight = 1 / (1 / n + 1 / np.median(n))
-    a, b = np.linalg.lstsq(np.stack([weight, weight / n], 1), off * weight, rcond=None)[0]
+    a, b = (max(float(v), 0.0) for v in np.linalg.lstsq(np.stack([weight, weight / n], 1), off * weight, rcond=None)[0])
+    blend = lambda own, given: trust * own + (1 - trust) * given
     middle, wide = _spread(share, 0.02)
     floors = [float("nan")] * (int(np.log2(n.max())) + 1)
     for i in range(len(floors)):
         like = bits[np.floor(np.log2(n)) == i]
-        if len(like) >= FLOOR_LEAST:
+        if len(like):
             at, off_ = _spread(like, 0.15)
-            floors[i] = at - WIDTH * off_
-    return replace(base, centre=centre, variance=(max(float(a), 1e-4), max(float(b), 0.0)), byte_share=min(base.byte_share, middle + WIDTH * wide), floors=tuple(floors))
+            floors[i] = max(0.0, at - WIDTH * off_ * (1 + GIVEN / len(like)))
+    variance = (blend(max(a, 1e-4) ** 0.5, (high - low) / 2 / WIDTH) ** 2, blend(b**0.5, TOKEN_VARIANCE**0.5) ** 2)
+    return replace(base, centre=centre, variance=variance, byte_share=blend(min(base.byte_share, middle + WIDTH * wide), base.byte_share), floors=tuple(floors))
 
 
 def fit_bands(docs: DataFrame, labels: DataFrame, bpe: str, pieces: str, *, key: str = "doc_id", text: str = "text", lang: str = "lang", good: str = "quality = 1", bands: dict[str, Band] = BANDS, rows: int = FIT_ROWS) -> dict[str, Band]:
-    """Bands with a centre for each language and script that has FIT_LEAST good documents among at most ``rows`` labelled ones, drawn by hash of the key.
+    """Bands with a centre for each language and script of the good documents among at most ``rows`` labelled ones, drawn by hash of the key.
 
-    The fixed limits are those of the script. A language's texts in a script rare among its good documents are judged by the band of its most frequent script.
-    Documents that the base rules fail take no part. Languages with fewer keep the given bands, as do all where there is no language column.
+    The fixed limits are those of the script. A language's texts in a script rare among its good documents (SCRIPT_SHARE) are judged by the band of its most frequent script.
+    Documents that the base rules fail take no part. Languages without good ones keep the given bands, as do all where there is no language column.
     Of rows that repeat a key one takes part, the same one in each run: that of the smallest text."""
     if lang not in docs.columns:
         return dict(bands)
@@ -253,15 +259,9 @@ def fit_bands(docs: DataFrame, labels: DataFrame, bpe: str, pieces: str, *, key:
     for name in sorted({r[0] for r in got} - {""}):
         of = {script: sorted(tuple(r) for r in got if r[0] == name and r[3] == script) for script in sorted({r[3] for r in got if r[0] == name})}
         main = max(of, key=lambda script: len(of[script]))
-        if len(of[main]) < FIT_LEAST:
-            continue
         for script, rows_of in of.items():
-            band = bands.get(script, bands[""])
-            if len(rows_of) >= FIT_LEAST:
-                band = fitted(band, *(np.array([r[i] for r in rows_of], float) for i in (1, 2, 4, 5)))
-            elif len(rows_of) < SCRIPT_SHARE * sum(map(len, of.values())):
-                continue
-            out[f"{name}/{script}"] = band
+            if len(rows_of) >= SCRIPT_SHARE * sum(map(len, of.values())):
+                out[f"{name}/{script}"] = fitted(bands.get(script, bands[""]), *(np.array([r[i] for r in rows_of], float) for i in (1, 2, 4, 5)))
         out[name] = out[f"{name}/{main}"]
     return out
 

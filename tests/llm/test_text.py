@@ -195,8 +195,20 @@ def test_quality_judges_short_texts_and_tables_without_languages(spark):
     assert quality.fit_bands(docs, docs.select("doc_id", F.lit(1).alias("quality")), BYTE_BPE, PIECES) == quality.BANDS
 
 
+def test_bands_move_a_little_with_each_document():
+    r = np.random.default_rng(5)
+    n = np.floor(2 ** r.uniform(4, 9, 400))
+    x, share, bits = r.normal(4.4, 0.15, 400) + r.normal(0, 1.5, 400) / np.sqrt(n), np.abs(r.normal(0.01, 0.01, 400)), r.normal(5.5, 0.2, 400)
+    base = quality.BANDS["latin"]
+    fit = [quality.fitted(base, x[:k], n[:k], share[:k], bits[:k]) for k in range(1, 400)]
+    wide = [5 * math.sqrt(b.variance[0] + b.variance[1] / 200) for b in fit]
+    assert wide[0] > 2.3 and wide[-1] < 1.2 and max(abs(a - b) for a, b in zip(wide[20:], wide[21:])) < 0.12
+    assert max(abs(a.byte_share - b.byte_share) for a, b in zip(fit[20:], fit[21:])) < 0.02 and fit[0].byte_share > 0.09
+    assert all(abs(b.centre - 4.4) < wide[i] for i, b in enumerate(fit)) and all(f != f or f >= 0 for b in fit for f in b.floors)
+
+
 def test_quality_fits_each_script(spark):
-    """From FIT_LEAST labelled documents on, plain texts of any script stay, and texts of a script that the language has not do not."""
+    """Plain texts of any script stay, and texts of a script that the language has not do not."""
     r = random.Random(7)
     rows = [(lang.split("/")[0], " ".join(r.choice(words.split()) for _ in range(r.randint(60, 200)))) for lang, words in PLAIN.items() for _ in range(130)]
     docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, lang string, text string")
