@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sealstone.functions.blake3 import Blake3, hash_many
 from sealstone.functions.framing import DIFF, joined, lp, u64
 from sealstone.operators.streams import blake3_of_parts
 from sealstone.sources.tables import table
@@ -44,30 +45,28 @@ PIECE = 32 << 20
 def diff_root(differences: DataFrame, alg: str = "blake3") -> DataFrame:
     """One row: added, removed, diff_root (hex). Entries as a set, in order of kind, shard, id, version, hash.
 
-    BLAKE3 is a tree over chunks of 1,024 bytes: entries are sorted by ranges, each range knows where its bytes begin, and chunks are hashed where they lie. SHA-256 is one
-    stream by nature: the sorted entries run through one task, a batch at a time."""
+    BLAKE3 is a tree over chunks of 1,024 bytes: entries of more than PIECE bytes are sorted by ranges, each range knows where its bytes begin, and chunks are hashed where they lie; fewer run through one task.
+    SHA-256 is one stream by nature: the sorted entries run through one task, a batch at a time."""
     order = ["kind", *IDENTITY, "content_hash"]
-    once = differences.select(*order).distinct().withColumn("entry", entry())
-    if alg == "blake3":
-        size = once.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
-        once = once.repartitionByRange(max(1, -(-size // PIECE)), *order)
-    sorted_ = table(once.withColumn("part", F.spark_partition_id()), "diff-entries")
-    counted = sorted_.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == ADD).alias("added"), F.count_if(F.col("kind") == REMOVE).alias("removed"))
-    n, added, removed = counted.first()
+    once = table(differences.select(*order).distinct().withColumn("entry", entry()), "diff-entries")
+    n, added, removed, size = once.agg(F.count("*"), F.count_if(F.col("kind") == ADD), F.count_if(F.col("kind") == REMOVE), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0))).first()
     head = DIFF + int(n).to_bytes(4, "big")
-    if alg == "blake3":
-        root = F.lit(blake3_of_parts(sorted_, order, "entry", head))
-    else:
+    if alg == "blake3" and size > PIECE:
+        ranged = once.repartitionByRange(-(-size // PIECE), *order)
+        root = blake3_of_parts(table(ranged.withColumn("part", F.spark_partition_id()), "diff-ranges"), order, "entry", head)
+    elif n:
+        # Few entries, or a digest that is one stream by nature: they run through one task in order, a batch at a time.
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state = hashlib.sha256(head)
+            state = Blake3() if alg == "blake3" else hashlib.sha256()
+            state.update(head)
             for batch in batches:
-                for x in batch.column("entry").to_pylist():
-                    state.update(x)
+                state.update(b"".join(batch.column("entry").to_pylist()))
             yield pa.RecordBatch.from_pydict({"root": [state.digest()]})
 
-        whole = sorted_.repartition(1).sortWithinPartitions(*order).select("entry").mapInArrow(stream, "root binary")
-        root = F.lit(bytes(whole.first()["root"])) if n else F.lit(hashlib.sha256(head).digest())
-    return counted.select("added", "removed", F.lower(F.hex(root)).alias("diff_root"))
+        root = bytes(once.repartition(1).sortWithinPartitions(*order).select("entry").mapInArrow(stream, "root binary").first()["root"])
+    else:
+        root = hash_many([head])[0] if alg == "blake3" else hashlib.sha256(head).digest()
+    return differences.sparkSession.createDataFrame([(added, removed, root.hex())], "added long, removed long, diff_root string")
 
 
 def verify_link(link: DataFrame) -> DataFrame:

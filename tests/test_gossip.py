@@ -71,3 +71,22 @@ def test_verdicts_over_several_files(spark, tmp_path):
     assert run(3, "two") == plain(all_[:3])  # stopped, and begun again where it was
     assert run(len(all_), "two") == want
     assert spark.conf.get(gossip.PROVIDER[0], None) != gossip.PROVIDER[1]
+
+
+def test_a_nonce_may_come_again_after_its_time(spark, tmp_path):
+    from sealstone.streaming import operators
+
+    start = 1_700_000_000
+    batches_ = [[("a", 0), ("a", 5), ("b", 10)], [("b", 60), ("c", 3600)], [("d", 3700)], [("a", 3700), ("c", 3650), ("late", 5)], [("a", 3800)]]
+    flat = tmp_path / "in"
+    flat.mkdir()
+    for i, rows in enumerate(batches_):
+        spark.createDataFrame([(n, datetime.fromtimestamp(start + t, timezone.utc)) for n, t in rows], "nonce string, ts timestamp_ltz").coalesce(1).write.parquet(str(tmp_path / str(i)))
+        to = flat / f"{i}.parquet"
+        shutil.copy(next((tmp_path / str(i)).glob("part-*.parquet")), to)
+        os.utime(to, (start + i, start + i))
+    stream = spark.readStream.schema("nonce string, ts timestamp_ltz").option("maxFilesPerTrigger", 1).parquet(str(flat))
+    out = operators.stored(operators.first_uses(stream, "ts", "nonce", "10 minutes"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    got = sorted((x.nonce, int(x.ts.timestamp()) - start) for x in out.collect())
+    # Within its time a nonce comes once; an hour later ``a`` may come again, once; what is behind the mark is dropped.
+    assert [n for n, _ in got] == ["a", "a", "b", "c", "d"] and got[0][1] in (0, 5) and got[1][1] == 3700

@@ -310,3 +310,20 @@ def test_every_append_has_its_root_and_path(spark, monkeypatch, alg):
         got = {(x.g, x.i): (bytes(x.leaf), [bytes(s) for s in x.siblings], bytes(x.root)) for x in merkle.append_paths(rows, by="g", depth=depth, alg=alg).collect()}
         assert got == want
     assert merkle.append_paths(rows.limit(0), by="g", depth=depth, alg=alg).count() == 0
+
+
+def test_digest_of_a_difference_in_one_task_and_in_many(spark, monkeypatch):
+    import struct
+
+    a, b = fx.records(spark, SF), fx.records_v2(spark, SF)
+    rows = diff.diff(a, b)
+    lp = lambda x: struct.pack(">I", len(x.encode())) + x.encode()
+    found = sorted({(r.kind, r.shard_id, r.record_id, r.version, r.content_hash) for r in rows.collect()})
+    body = b"".join(bytes([k]) + lp(s) + lp(i) + struct.pack(">Q", v) + bytes.fromhex(h) for k, s, i, v, h in found)
+    whole = framing.DIFF + struct.pack(">I", len(found)) + body
+    for piece in (32 << 20, 300):
+        monkeypatch.setattr(diff, "PIECE", piece)
+        assert diff.diff_root(rows).first().diff_root == hash_many([whole])[0].hex()
+        assert diff.diff_root(rows, "sha256").first().diff_root == hashlib.sha256(whole).hexdigest()
+    none = framing.DIFF + bytes(4)
+    assert diff.diff_root(rows.limit(0)).first().diff_root == hash_many([none])[0].hex() and diff.diff_root(rows.limit(0), "sha256").first().diff_root == hashlib.sha256(none).hexdigest()
