@@ -52,6 +52,8 @@ BANDS = {"": Band(), "latin": Band((1.25, 6.5), 0.10), "cyrillic": Band((0.4, 4.
 FIT_ROWS, GIVEN = 4096, 10
 #: A further script of a language is one of its own from this share of its labelled documents on.
 SCRIPT_SHARE = 0.02
+#: Bytes of text that a worker measures at once.
+SLICE = 1 << 20
 
 
 def n_of(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -204,7 +206,7 @@ def quality(docs: DataFrame, bpe: str, pieces: str, *, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 got = measured(part.column("text"), part.column("lang").to_pylist(), bpe, pieces, bands)
                 yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(got[c]) for c in names), *(part.column(c) for c in more)], [key, *names, *more])
 
@@ -271,7 +273,7 @@ def keep_good(docs: DataFrame, bpe: str, pieces: str, *, text: str = "text", lan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 langs = part.column(lang).to_pylist() if lang in docs_columns else [None] * part.num_rows
                 yield part.filter(pa.array(measured(part.column(text), langs, bpe, pieces, bands)["kept"]))
 
