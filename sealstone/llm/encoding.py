@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from itertools import chain
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,12 @@ CUT_SAFE = (
 class Met:
     """Arrays of short strings met before, one for each string, in a few flat arrays. A digest finds a string, its bytes decide. Beyond REMEMBERED bytes it starts anew."""
 
+    every: WeakSet[Met] = WeakSet()
+
     def __init__(self, kind) -> None:
         self.kind = kind
         self.forget()
+        Met.every.add(self)
 
     def forget(self) -> None:
         self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # digests in order, and the number of each one's string
@@ -169,8 +173,11 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """One per worker process and file."""
+        """That of a file, opened once as long as a worker process stays with it. With another one a worker begins another stage: what it held for the one before is let go."""
         if path not in cls._open:
+            cls._open.clear()
+            for met in Met.every:
+                met.forget()
             cls._open[path] = cls(path)
         return cls._open[path]
 

@@ -24,6 +24,8 @@ from sealstone.llm.encoding import Encoder
 
 LENGTH = 2048
 GROUP = 8192
+#: Bytes of text that a worker encodes at once.
+SLICE = 1 << 20
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: st
         encoder = Encoder.of(tokenizer)
         seen = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, off = encoder.encode(part.column("text"))
                 ids = np.insert(ids, off[1:], end_id).astype("<u4")
                 size = np.diff(off) + 1
