@@ -50,6 +50,10 @@ SLICE = 2 << 20  #: bytes of text that a worker cuts into shingles at once
 SKETCH = 10  #: the shortest sketches have 2 ** SKETCH bits
 
 
+def new_secret() -> bytes:
+    return os.urandom(16)
+
+
 def least_overlap(n, percent: int):
     """Shingles that a set of n must share with any set it links to."""
     return (percent * n + 99) // 100
@@ -393,7 +397,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     n_docs = own.count()
-    secret = os.urandom(16)  # of this job; it decides nothing but the order of shingles
+    secret = new_secret()  # of this job; it decides nothing but the order of shingles
     *common_, mean_list = common_shingles(own, n_docs, words, secret)
     common = spark.sparkContext.broadcast(tuple(common_))  # at most COMMON
 
