@@ -120,7 +120,7 @@ def test_shared_shingles_make_no_long_list(spark):
     rows = [(i, f"one two three four five six seven {' '.join(f'w{i}x{j}' for j in range(12))}") for i in range(14_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     place, held, n, mean = jaccard.common_shingles(docs.select(docs.text), len(rows), 4, b"k")
-    assert sorted(held.tolist()) == [14_000] * 4 and mean == 1
+    assert sorted(held.tolist()) == [14_000] * 4 and 1 <= mean < 1.001  # two of 168,000 places may be one by chance
     shared = {x for x in jaccard.sets_of(pa.array([rows[0][1]]), 4, b"k")[0].tolist()} & {x for x in jaccard.sets_of(pa.array([rows[1][1]]), 4, b"k")[0].tolist()}
     assert set(place.tolist()) == set(jaccard.place_of(np.array(sorted(shared), np.uint64), n).tolist())
     assert {(x.n_shingles, x.component_id == x.doc_id) for x in jaccard.join(docs, percent=85, words=4).collect()} == {(16, True)}
