@@ -102,6 +102,14 @@ def binary_roots(rows: DataFrame, *, by: str, alg: str = "blake3") -> DataFrame:
     return _fold(leaves, by, F.lit(64), alg, None, max(1, int(most - 1).bit_length())).select(by, "n", F.col("node").alias("root"))
 
 
+def in_trees(rows: DataFrame, *, by: str, depth: int) -> DataFrame:
+    """``rows(by, position, data)``, positions from 0 without gaps, as the leaves of trees of a fixed depth, one after another: (tree, position in it, data). ``tree`` is a struct of the group and its tree's number, to be grouped by.
+
+    A log of any length is so many trees: where one is full, the next begins, and what holds within a tree does not depend on those before."""
+    position = F.col("position").cast("long")
+    return rows.select(F.struct(by, F.shiftright(position, depth).alias("number")).alias("tree"), position.bitwiseAND((1 << depth) - 1).alias("position"), "data")
+
+
 def fixed_depth_roots(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
     """(by, n, root) of trees of a fixed depth; missing leaves are empty subtrees of 32 zero bytes. More leaves than the tree holds are an error."""
     empties = zeros(alg, depth)
@@ -181,10 +189,10 @@ def _beside(rows: DataFrame, by: str, height: int, depth: int, alg: str, most: i
             full //= 2
             level = _nodes(level[0 : 2 * full : 2], level[1 : 2 * full : 2], alg)
         root = level[0].tobytes() if len(level) and n == 1 << levels and last is not None else None
-        key, block = own.column(by)[0].as_py(), int(own.column("i")[0].as_py()) >> levels
+        key, block = own.column(by).combine_chunks().take(pa.array(np.zeros(n + 1, np.int64))), int(own.column("i")[0].as_py()) >> levels
         flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * levels), _binary(siblings.reshape(-1, 32)))
         return pa.table({
-            by: pa.chunked_array([pa.array([key] * (n + 1), own.schema.field(by).type)]), "i": pa.chunked_array([own.column("i").combine_chunks().cast(pa.int64()), pa.nulls(1, pa.int64())]), "block": pa.array([block] * (n + 1), pa.int64()),
+            by: key, "i": pa.chunked_array([own.column("i").combine_chunks().cast(pa.int64()), pa.nulls(1, pa.int64())]), "block": pa.array([block] * (n + 1), pa.int64()),
             "node": pa.chunked_array([own.column("node").combine_chunks().cast(pa.binary()), pa.array([root], pa.binary())]), "siblings": pa.chunked_array([flat, pa.nulls(1, flat.type)]),
         })
 

@@ -396,39 +396,54 @@ def legacy_merkle_root_sha256(spark, d):
     return merkle.binary_roots(rows, by="shard_id", alg="sha256").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
 
 
+#: Depth of the snapshot trees.
+SNAPSHOT_DEPTH = 20
+
+
 def _snapshots(spark, d):
-    return fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
+    """Leaves of the shards' snapshot trees (see ``merkle.in_trees``)."""
+    rows = fx.ingest_records(spark, d).select("shard_id", F.col("snapshot_index").alias("position"), F.unhex(F.sha2(F.col("proof_id").cast("string"), 256)).alias("data"))
+    return merkle.in_trees(rows, by="shard_id", depth=SNAPSHOT_DEPTH)
 
 
 @query(ctes("ingest_records") + f", l0 AS (SELECT shard_id, snapshot_index AS i, sha256(CAST(proof_id AS VARCHAR)) AS h FROM ingest_records), {_levels_sql(20, [e.hex() for e in merkle.zeros('sha256', 20)])} SELECT l20.shard_id, h AS root, n FROM l20 JOIN (SELECT shard_id, count(*) AS n FROM ingest_records GROUP BY 1) USING (shard_id)")
 def snapshot_append_roots(spark, d):
-    """Root of each shard's snapshot tree of a fixed depth over its records in order."""
-    return merkle.fixed_depth_roots(_snapshots(spark, d), by="shard_id", depth=20, alg="sha256").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
+    """Roots of each shard's snapshot trees of a fixed depth over its records in order, and the number of all these. Where a tree is full, the next one begins."""
+    roots = merkle.fixed_depth_roots(_snapshots(spark, d), by="tree", depth=SNAPSHOT_DEPTH, alg="sha256")
+    n = F.sum("n").over(Window.partitionBy("tree.shard_id"))
+    return roots.select("tree.shard_id", F.lower(F.hex("root")).alias("root"), n.alias("n"))
 
 
 def _where(shard: str, column: str, value):
     return F.when(F.col("shard_id") == shard, value).otherwise(F.col(column))
 
 
+def _of_shards(checked):
+    """Verdicts of trees (tree, shard_id, verdict) as those of their shards: the first that is not valid."""
+    fault = F.min(F.when(F.col("verdict") != "valid", F.struct("tree.number", "verdict")))
+    return checked.groupBy("shard_id").agg(fault.alias("fault")).select("shard_id", F.coalesce("fault.verdict", F.lit("valid")).alias("verdict"))
+
+
 @query("SELECT shard_id, CASE shard_id WHEN 'click' THEN 'not-an-append' WHEN 'view' THEN 'root-mismatch' ELSE 'valid' END AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
 def snapshot_append_transition(spark, d):
-    """The last append of each shard: one path leads from the root before to the root after. One shard states another root before, one another after."""
+    """The last append of each tree of each shard: one path leads from the root before to the root after. One shard states another root before, one another after."""
     rows = _snapshots(spark, d)
-    n = F.max("position").over(Window.partitionBy("shard_id"))
-    before = merkle.fixed_depth_roots(rows.withColumn("top", n).filter("position < top").drop("top"), by="shard_id", depth=20, alg="sha256").select("shard_id", F.col("root").alias("prev_root"))
-    now = merkle.snapshot_paths(rows, by="shard_id", depth=20, alg="sha256").withColumnRenamed("n", "size").join(before, "shard_id")
+    n = F.max("position").over(Window.partitionBy("tree"))
+    before = merkle.fixed_depth_roots(rows.withColumn("top", n).filter("position < top").drop("top"), by="tree", depth=SNAPSHOT_DEPTH, alg="sha256").select("tree", F.col("root").alias("prev_root"))
+    none = F.lit(merkle.zeros("sha256", SNAPSHOT_DEPTH)[-1])  # a tree's first leaf has no root before it
+    now = merkle.snapshot_paths(rows, by="tree", depth=SNAPSHOT_DEPTH, alg="sha256").withColumnRenamed("n", "size").join(before, "tree", "left").withColumn("prev_root", F.coalesce("prev_root", none)).withColumn("shard_id", F.col("tree.shard_id"))
     now = now.withColumn("prev_root", _where("click", "prev_root", F.lit(bytes(32)))).withColumn("root", _where("view", "root", F.lit(bytes(32))))
-    return merkle.append_transition(now, "sha256").select("shard_id", "verdict")
+    return _of_shards(merkle.append_transition(now, "sha256"))
 
 
 @query("SELECT shard_id, CASE shard_id WHEN 'click' THEN 'size-mismatch' WHEN 'signup' THEN 'not-contiguous' WHEN 'view' THEN 'leaf-mismatch' WHEN 'error' THEN 'root-mismatch' ELSE 'valid' END AS verdict FROM (SELECT DISTINCT event_type AS shard_id FROM events)")
 def snapshot_validation(spark, d):
-    """Stated snapshots against their records: four shards break a rule each."""
+    """Stated snapshots against their records, tree by tree: four shards break a rule each."""
     rows = _snapshots(spark, d)
-    stated = merkle.snapshot_paths(rows, by="shard_id", depth=20, alg="sha256").select("shard_id", F.col("n").alias("size"), "leaf", "root")
+    stated = merkle.snapshot_paths(rows, by="tree", depth=SNAPSHOT_DEPTH, alg="sha256").select("tree", F.col("tree.shard_id").alias("shard_id"), F.col("n").alias("size"), "leaf", "root")
     stated = stated.withColumn("size", _where("click", "size", F.col("size") + 1)).withColumn("leaf", _where("view", "leaf", F.lit(bytes(32)))).withColumn("root", _where("error", "root", F.lit(bytes(32))))
-    gap = rows.withColumn("position", F.when((F.col("shard_id") == "signup") & (F.col("position") > 0), F.col("position") + 1).otherwise(F.col("position")))
-    return merkle.snapshot_faults(gap, stated, by="shard_id", depth=20, alg="sha256").select("shard_id", "verdict")
+    gap = rows.withColumn("position", F.when((F.col("tree.shard_id") == "signup") & (F.col("position") > 0), F.col("position") + 1).otherwise(F.col("position")))
+    return _of_shards(merkle.snapshot_faults(gap, stated, by="tree", depth=SNAPSHOT_DEPTH, alg="sha256"))
 
 
 def _appends_sql(depth: int) -> str:
@@ -447,17 +462,17 @@ def _appends_sql(depth: int) -> str:
 @query(ctes("ingest_records") + f", l0 AS (SELECT shard_id, snapshot_index AS i, sha256(CAST(proof_id AS VARCHAR)) AS h FROM ingest_records), {_appends_sql(20)} SELECT shard_id, i, r AS root, sha256(unhex(path)) AS path FROM a20")
 def append_paths_sha256(spark, d):
     """The root after every append of every shard, and the digest of the path that proves it."""
-    out = merkle.append_paths(_snapshots(spark, d), by="shard_id", depth=20, alg="sha256")
-    return out.select("shard_id", "i", F.lower(F.hex("root")).alias("root"), F.sha2(F.unhex(F.array_join(F.transform("siblings", lambda x: F.hex(x)), "")), 256).alias("path"))
+    out = merkle.append_paths(_snapshots(spark, d), by="tree", depth=SNAPSHOT_DEPTH, alg="sha256")
+    return out.select("tree.shard_id", (F.shiftleft("tree.number", SNAPSHOT_DEPTH) + F.col("i")).alias("i"), F.lower(F.hex("root")).alias("root"), F.sha2(F.unhex(F.array_join(F.transform("siblings", lambda x: F.hex(x)), "")), 256).alias("path"))
 
 
 @query("SELECT event_type AS shard_id, CASE event_type WHEN 'click' THEN 'not-an-append' WHEN 'view' THEN 'root-mismatch' ELSE 'valid' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2")
 def append_transitions(spark, d):
     """Every append's path leads from the root before to the root after; one shard states other roots before, one others after."""
-    paths = table(merkle.append_paths(_snapshots(spark, d), by="shard_id", depth=20, alg="sha256").select("shard_id", (F.col("i") + 1).alias("size"), "leaf", "siblings", "root"), "append-paths")
-    before = paths.select("shard_id", (F.col("size") + 1).alias("size"), F.col("root").alias("prev_root"))
-    none = F.lit(merkle.zeros("sha256", 20)[20])
-    rows = paths.join(before, ["shard_id", "size"], "left").withColumn("prev_root", F.coalesce("prev_root", none))
+    paths = table(merkle.append_paths(_snapshots(spark, d), by="tree", depth=SNAPSHOT_DEPTH, alg="sha256").select("tree", (F.col("i") + 1).alias("size"), "leaf", "siblings", "root"), "append-paths")
+    before = paths.select("tree", (F.col("size") + 1).alias("size"), F.col("root").alias("prev_root"))
+    none = F.lit(merkle.zeros("sha256", SNAPSHOT_DEPTH)[-1])
+    rows = paths.join(before, ["tree", "size"], "left").withColumn("prev_root", F.coalesce("prev_root", none)).withColumn("shard_id", F.col("tree.shard_id"))
     rows = rows.withColumn("prev_root", _where("click", "prev_root", F.lit(bytes(32)))).withColumn("root", _where("view", "root", F.lit(bytes(32))))
     return merkle.append_transition(rows, "sha256").groupBy("shard_id", "verdict").agg(F.count("*").alias("n"))
 

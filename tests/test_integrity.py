@@ -327,3 +327,46 @@ def test_digest_of_a_difference_in_one_task_and_in_many(spark, monkeypatch):
         assert diff.diff_root(rows, "sha256").first().diff_root == hashlib.sha256(whole).hexdigest()
     none = framing.DIFF + bytes(4)
     assert diff.diff_root(rows.limit(0)).first().diff_root == hash_many([none])[0].hex() and diff.diff_root(rows.limit(0), "sha256").first().diff_root == hashlib.sha256(none).hexdigest()
+
+
+def test_trees_follow_one_another(spark):
+    """More leaves than a tree holds: each full tree is followed by the next, and paths and roots are those within each."""
+    rows = [(g, i, hashlib.sha256(f"{g}{i}".encode()).digest()) for g, n in (("a", 19), ("b", 8), ("c", 1)) for i in range(n)]
+    leaves = merkle.in_trees(spark.createDataFrame(rows, "g string, position long, data binary"), by="g", depth=3)
+    node = lambda a, b: hashlib.sha256(b"OLY:NODE:V1|" + a + b"|" + b).digest()
+
+    def root(level: list[bytes]) -> bytes:
+        level = level + [bytes(32)] * (8 - len(level))
+        while len(level) > 1:
+            level = [node(*level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0]
+
+    want = {(g, k): (root([x for h, i, x in rows if h == g and i >> 3 == k]), sum(h == g and i >> 3 == k for h, i, _ in rows)) for g, i, _ in rows for k in [i >> 3]}
+    roots = {(r.tree.g, r.tree.number): (bytes(r.root), r.n) for r in merkle.fixed_depth_roots(leaves, by="tree", depth=3, alg="sha256").collect()}
+    assert roots == want
+    last = {(r.tree.g, r.tree.number): (bytes(r.root), r.n) for r in merkle.snapshot_paths(leaves, by="tree", depth=3, alg="sha256").collect()}
+    assert last == want
+    paths = merkle.append_paths(leaves, by="tree", depth=3, alg="sha256").collect()
+    assert len(paths) == len(rows)
+    for r in paths:
+        assert bytes(r.root) == root([x for h, i, x in rows if h == r.tree.g and i >> 3 == r.tree.number and i & 7 <= r.i])
+
+
+@pytest.mark.parametrize("name", ["snapshot_append_roots", "snapshot_append_transition", "snapshot_validation", "append_paths_sha256", "append_transitions"])
+def test_more_snapshots_than_a_tree_holds(spark, monkeypatch, name):
+    """With trees of 64 leaves every shard fills some, and the queries still give a row, or path, for all."""
+    from sealstone.plans import analytics, catalog
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(analytics, "SNAPSHOT_DEPTH", 6)
+    held = {r.event_type: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").count().collect()}
+    assert max(held.values()) > 64
+    got = catalog.QUERIES[name](spark, sf).collect()
+    if name == "snapshot_append_roots":
+        assert sorted(r.shard_id for r in got) == sorted(s for s, n in held.items() for _ in range(-(-n // 64))) and all(r.n == held[r.shard_id] for r in got)
+    elif name == "append_paths_sha256":
+        assert sorted((r.shard_id, r.i) for r in got) == sorted((s, i) for s, n in held.items() for i in range(n))
+    else:
+        verdicts = {r.shard_id: r.verdict for r in got}
+        want = {"click": "size-mismatch", "signup": "not-contiguous", "view": "leaf-mismatch", "error": "root-mismatch"} if name == "snapshot_validation" else {"click": "not-an-append", "view": "root-mismatch"}
+        assert len(got) == len(held) and verdicts == {s: want.get(s, "valid") for s in held}
