@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,38 +45,53 @@ def redact_ranges(content: Column, ranges: Column, fill: int = 0) -> Column:
     return F.unhex(F.aggregate(ranges, F.hex(content.cast("binary")), step))
 
 
+def _leaves(rows: list[list[bytes] | None]) -> list[list[int] | None]:
+    """The leaves of all rows' chunk hashes, hashed together; a null hash is no leaf but 0."""
+    flat = iter(field.leaves([bytes(x) for row in rows if row is not None for x in row if x is not None]))
+    return [None if row is None else [0 if x is None else next(flat) for x in row] for row in rows]
+
+
+#: Rows whose leaves are held at once.
+ROWS = 512
+
+
 @F.pandas_udf(StringType())
 def chunk_root(hashes: pd.Series) -> pd.Series:
-    """Root over sixteen chunk hashes (array of binary) as field elements, in decimal."""
+    """Root over sixteen chunk hashes (array of binary) as field elements, in decimal; null without sixteen of them."""
+    whole = [None if row is None or len(row) != CHUNKS or any(x is None for x in row) else list(row) for row in hashes]
 
-    def one(row) -> str | None:
-        if row is None or len(row) != CHUNKS:
+    def one(level: list[int] | None) -> str | None:
+        if level is None:
             return None
-        level = [field.leaf(bytes(x)) for x in row]
         while len(level) > 1:
             level = [field.tagged(field.LEAF, level[i], level[i + 1]) for i in range(0, len(level), 2)]
         return str(level[0])
 
-    return hashes.map(one, na_action="ignore")
+    return pd.Series([one(x) for at in range(0, len(whole), ROWS) for x in _leaves(whole[at : at + ROWS])], dtype=object)
+
+
+@lru_cache(maxsize=1 << CHUNKS + 1)
+def mask_commitment(mask: tuple[int, ...]) -> int:
+    """Commitment to a mask. Masks of sixteen bits have fewer than 131,072 beginnings, and each is made once."""
+    return field.tagged(field.MASK, mask_commitment(mask[:-1]), mask[-1]) if mask else 0
 
 
 def commitments(leaves: list[int], mask: list[int], revealed: int) -> tuple[int, int]:
     """Commitments to the revealed leaves (others as 0), seeded with their number, and to the mask."""
-    a, b = revealed, 0
+    a = revealed
     for leaf, bit in zip(leaves, mask, strict=True):
-        a, b = field.tagged(field.COMMITMENT, a, bit * leaf % field.P), field.tagged(field.MASK, b, bit)
-    return a, b
+        a = field.tagged(field.COMMITMENT, a, bit * leaf % field.P)
+    return a, mask_commitment(tuple(mask))
 
 
 @F.pandas_udf(StructType([StructField("leaves", StringType()), StructField("mask", StringType())]))
 def commitment_columns(hashes: pd.Series, masks: pd.Series) -> pd.DataFrame:
     """``commitments`` of sixteen chunk hashes (array of binary) and a reveal mask (array of 0 and 1), in decimal; null if either is, or has not sixteen entries."""
-
-    def one(row, mask) -> tuple[str | None, str | None]:
-        if row is None or mask is None or len(row) != CHUNKS or len(mask) != CHUNKS or not {int(x) for x in mask} <= {0, 1}:
-            return None, None
-        bits = [int(x) for x in mask]
-        a, b = commitments([field.leaf(bytes(x)) if bit else 0 for x, bit in zip(row, bits, strict=True)], bits, sum(bits))
-        return str(a), str(b)
-
-    return pd.DataFrame([one(r, m) for r, m in zip(hashes, masks, strict=True)], columns=["leaves", "mask"], dtype=object)
+    good = [row is not None and mask is not None and len(row) == len(mask) == CHUNKS and all(x is not None for x in (*row, *mask)) and {int(x) for x in mask} <= {0, 1} for row, mask in zip(hashes, masks, strict=True)]
+    bits = [[int(x) for x in mask] if g else None for g, mask in zip(good, masks, strict=True)]
+    shown = [[x if b else None for x, b in zip(row, own, strict=True)] if own is not None else None for row, own in zip(hashes, bits, strict=True)]
+    out = []
+    for at in range(0, len(shown), ROWS):
+        for leaves, own in zip(_leaves(shown[at : at + ROWS]), bits[at : at + ROWS], strict=True):
+            out.append((None, None) if own is None else tuple(map(str, commitments(leaves, own, sum(own)))))
+    return pd.DataFrame(out, columns=["leaves", "mask"], dtype=object)

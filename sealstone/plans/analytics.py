@@ -538,12 +538,20 @@ def all_chunk_hashes_sha256(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(hashes).alias("chunk", "hash")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
+def _chunk_hashes(spark, d):
+    """(doc_id, hashes) of each text's sixteen chunks, dealt out by number: small rows, and much work for each."""
+    from sealstone.operators.chunks import CHUNKS, chunk_hash
+
+    rows = read(spark, d, "documents").select("doc_id", F.array(*(chunk_hash(F.col("text"), F.lit(i)) for i in range(CHUNKS))).alias("hashes"))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 @query()
 def chunk_roots(spark, d):
     """Root of each text's sixteen chunks."""
-    from sealstone.operators.chunks import CHUNKS, chunk_hash, chunk_root
+    from sealstone.operators.chunks import chunk_root
 
-    return read(spark, d, "documents").select("doc_id", chunk_root(F.array(*(chunk_hash(F.col("text"), F.lit(i)) for i in range(CHUNKS)))).alias("root"))
+    return _chunk_hashes(spark, d).select("doc_id", chunk_root("hashes").alias("root"))
 
 
 @query()
@@ -552,12 +560,8 @@ def chunk_commitments(spark, d):
     from sealstone.operators import chunks
 
     k, i = F.col("doc_id"), F.sequence(F.lit(0), F.lit(15))
-    rows = read(spark, d, "documents").select("doc_id", "text", F.transform(i, lambda x: ((k + x) % 3 > 0).cast("int")).alias("mask"))
-    # BLAKE3 runs over columns, not inside arrays: a row a chunk, put together by document again.
-    each = rows.select("doc_id", "text", F.explode(i).alias("i")).select("doc_id", "i", chunks.chunk_hash(F.col("text"), F.col("i")).alias("h"))
-    hashes = each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("hashes"))
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: small rows, and much work for each
-    made = rows.select("doc_id", "mask").join(hashes, "doc_id").repartition(wide, "doc_id").select("doc_id", chunks.commitment_columns(F.col("hashes"), F.col("mask")).alias("c"))
+    mask = F.transform(i, lambda x: ((k + x) % 3 > 0).cast("int"))
+    made = _chunk_hashes(spark, d).select("doc_id", chunks.commitment_columns(F.col("hashes"), mask).alias("c"))
     return made.select("doc_id", "c.leaves", "c.mask")
 
 

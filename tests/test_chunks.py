@@ -62,3 +62,23 @@ def test_poseidon_with_fewer_products():
     r = random.Random(5)
     for a, b in [(0, 0), (field.P - 1, field.P + 3), *((r.randrange(field.P), r.randrange(field.P)) for _ in range(60))]:
         assert field.poseidon(a, b) == field.poseidon_plain(a, b)
+
+
+def test_hashes_of_a_batch_go_through_together(spark, monkeypatch):
+    """BLAKE3 is called once for many rows, not once a chunk; a mask's commitment is made once; a null hash has no result."""
+    calls, real = [], field.tagged
+    hashes = [[bytes([k, i] * 16) for i in range(16)] for k in range(3)]
+    monkeypatch.setattr("sealstone.functions.blake3.hash_many", lambda m, f=__import__("sealstone.functions.blake3", fromlist=["x"]).hash_many: calls.append(len(m)) or f(m))
+    rows = chunks._leaves([*hashes, None])
+    assert calls == [48] and rows[3] is None
+    monkeypatch.undo()
+    assert rows[:3] == [[field.leaf(h) for h in row] for row in hashes]
+    made = []
+    monkeypatch.setattr(field, "tagged", lambda d, a, b: made.append(d) or real(d, a, b))
+    mask = [1, 0, 0, 1, 1, 0, 1, 1, 0, 0, 0, 1, 0, 1, 1, 1]
+    assert chunks.commitments(rows[0], mask, 8) == chunks.commitments(rows[0], mask, 8)
+    assert made.count(field.MASK) <= 16 and made.count(field.COMMITMENT) == 32
+    monkeypatch.undo()
+    got = spark.createDataFrame([(0, [*hashes[0][:15], None]), (1, hashes[0])], "k int, h array<binary>")
+    out = {r.k: (r.root, r.c.leaves) for r in got.select("k", chunks.chunk_root("h").alias("root"), chunks.commitment_columns(F.col("h"), F.array(*[F.lit(1)] * 16)).alias("c")).collect()}
+    assert out[0] == (None, None) and None not in out[1]
