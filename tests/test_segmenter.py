@@ -47,3 +47,28 @@ def test_unknown_and_odd_contents(spark):
     segmenter.register(spark)
     got = spark.sql("SELECT n, s.verdict, s.segment_id FROM VALUES (1, CAST('a' AS BINARY), 'tar'), (2, X'FF', 'text'), (3, CAST(NULL AS BINARY), 'text'), (4, X'', 'pdf'), (5, CAST('a' AS BINARY), CAST(NULL AS STRING)), (6, CAST('a' AS BINARY), 'text') AS t(n, c, f), LATERAL segment_spans(c, f, 'blake3') s")
     assert {(x.n, x.verdict, x.segment_id) for x in got.collect()} == {(1, "unknown-format", None), (2, "not-text", None), (4, "not-a-pdf", None), (5, "unknown-format", None), (6, "ok", 0)}
+
+
+def test_files_cut_together(spark, monkeypatch):
+    """Spans of many files have the rows of the lateral join; BLAKE3 is called for the files of a batch together."""
+    files = fx.office_files(spark, SF).withColumn("format", F.lit("ooxml-part")).union(fx.pdf_files(spark, SF).withColumn("format", F.lit("pdf-object")))
+    odd = spark.createDataFrame([(-1, b"a", "tar"), (-2, b"\xff", "text"), (-3, None, "text"), (-4, b"", "pdf"), (-5, b"a", None), (-6, b"a\nb", "text")], "path long, content binary, format string")
+    files = files.union(odd)
+    rows = lambda t: sorted(map(tuple, t.select("path", "format", "verdict", "segment_id", "label", "byte_offset", "byte_length", "redactable", "digest").collect()), key=repr)
+    assert rows(segmenter.spans(files)) == rows(files.lateralJoin(segmenter.segment_spans(F.col("content").outer(), F.col("format").outer(), F.lit("blake3"))))
+
+
+def test_batches_in_pieces(spark):
+    """A batch of any size is worked on about so many bytes at a time, in order, a large row by itself."""
+    import pyarrow as pa
+
+    from sealstone.functions import batches
+    from sealstone.functions.canonical import nfc
+
+    texts = pa.array(["a" * 5, None, "b" * 30, "", "c", "d" * 4, None])
+    assert batches.bounds(texts, 10) == [(0, 2), (2, 1), (3, 4)] and batches.bounds(texts.slice(2), 10) == [(0, 1), (1, 4)] and batches.bounds(texts[:0]) == []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), texts], names=["k", "t"])
+    got = list(batches.pieces(iter([batch]), most=10))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(7)) and max(b.column(1).nbytes for b in got) < 120
+    made = spark.createDataFrame([(1, "é" * 400_000), (2, None), (3, "abc"), (4, "é" * 700_000)], "k int, t string").coalesce(1).select("k", nfc("t").alias("t"))
+    assert {r.k: r.t for r in made.collect()} == {1: "é" * 400_000, 2: None, 3: "abc", 4: "é" * 700_000}
