@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from sealstone.functions.batches import give_back
 from sealstone.functions.blake3 import hash_many
 from sealstone.functions.framing import LEGACY_LEAF, NODE, SEPARATOR, digest, joined
 from sealstone.sources.tables import table
 
 #: Levels folded inside a task, over runs of neighbours, for each shuffle.
 STEP = 10
+#: Runs whose nodes are held as Python's objects at once.
+GROUPS = 128
 
 
 def parents(pairs: list[tuple[bytes, bytes]], alg: str) -> list[bytes]:
@@ -45,8 +48,7 @@ def zeros(alg: str, depth: int) -> list[bytes]:
 
 def _level_udf(alg: str, height: int, empties: list[bytes] | None):
     """Root of up to 2 ** STEP neighbouring nodes that start at a multiple of it."""
-    @F.pandas_udf(BinaryType())
-    def run(nodes: pd.Series, levels: pd.Series) -> pd.Series:
+    def fold(nodes: list, levels: pd.Series) -> list[bytes]:
         rows = [[bytes(x) for x in r] for r in nodes]
         for level in range(int(levels.max()) if len(levels) else 0):
             pairs, where = [], []
@@ -64,7 +66,15 @@ def _level_udf(alg: str, height: int, empties: list[bytes] | None):
             for i, h in zip(where, parents(pairs, alg), strict=True):
                 fresh.setdefault(i, []).append(h)
             rows = [fresh.get(i, []) + carry[i] if level < levels.iloc[i] else carry[i] for i in range(len(rows))]
-        return pd.Series([r[0] for r in rows])
+        return [r[0] for r in rows]
+
+    @F.arrow_udf(BinaryType())
+    def run(nodes: pa.Array, levels: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(nodes), GROUPS):  # as many nodes are Python's at a time as these have
+            out.append(pa.array(fold(nodes.slice(at, GROUPS).to_pylist(), levels.slice(at, GROUPS).to_pandas()), pa.binary()))
+        give_back()
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return run
 
