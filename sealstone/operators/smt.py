@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from sealstone.functions import framing
+from sealstone.functions.batches import give_back
 from sealstone.functions.blake3 import hash_equal, hash_many
 from sealstone.functions.framing import leaf_hash, tree_key
 from sealstone.sources.files import write_once
@@ -28,6 +29,8 @@ from sealstone.sources.tables import table
 DEPTH, SHARD_BITS = 256, 64
 #: Leaves of a bucket, about, and of a task where there are so many.
 BUCKET, TASK = 1024, 32_768
+#: Proofs that are folded at once.
+FOLDED = 2048
 DEFAULTS = {"record_type": "dataset-record", "parser_id": "manifest@v1", "parser_version": "v1", "model_hash": "none"}
 
 
@@ -496,17 +499,23 @@ def _prover(low: int, alg: str, columns: list[str]):
 def folded(key: Column, start: Column, siblings: Column, levels: int, alg: str) -> Column:
     """The node ``levels`` above a leaf (null: an empty one) that its siblings from the leaf up lead to; null if there are not so many siblings."""
 
-    @F.pandas_udf(BinaryType())
-    def run(keys: pd.Series, start: pd.Series, siblings: pd.Series) -> pd.Series:
-        none = empties(alg)
-        good = [len(bytes(s or b"")) == 32 * levels for s in siblings]
-        state = np.stack([np.frombuffer(bytes(x), np.uint8) if x is not None else none[0] for x in start]) if len(keys) else np.zeros((0, 32), np.uint8)
-        path = np.stack([np.frombuffer(bytes(s), np.uint8).reshape(levels, 32) if g else np.zeros((levels, 32), np.uint8) for s, g in zip(siblings, good, strict=True)]) if len(keys) else np.zeros((0, levels, 32), np.uint8)
-        bits = bits_of(_matrix(keys)) if len(keys) else np.zeros((0, DEPTH), np.uint8)
+    def some(keys: list, start: list, siblings: list) -> pa.Array:
+        none, n = empties(alg), len(keys)
+        good = [len(s or b"") == 32 * levels for s in siblings]
+        state = np.frombuffer(b"".join(none[0].tobytes() if x is None else x for x in start), np.uint8).reshape(n, 32)
+        path = np.frombuffer(b"".join(s if g else bytes(32 * levels) for s, g in zip(siblings, good, strict=True)), np.uint8).reshape(n, levels, 32)
+        bits = bits_of(_matrix(keys))
         for level in range(levels):
             right = (bits[:, DEPTH - 1 - level] == 1)[:, None]
             state = nodes(np.where(right, path[:, level], state), np.where(right, state, path[:, level]), alg)
-        return pd.Series([s.tobytes() if g else None for s, g in zip(state, good, strict=True)])
+        return pa.array([s.tobytes() if g else None for s, g in zip(state, good, strict=True)], pa.binary())
+
+    @F.arrow_udf(BinaryType())
+    def run(keys: pa.Array, start: pa.Array, siblings: pa.Array) -> pa.Array:
+        """Siblings of a row are some 8 kB: few rows are copied at a time."""
+        out = [some(*(x.slice(at, FOLDED).to_pylist() for x in (keys, start, siblings))) for at in range(0, len(keys), FOLDED)]
+        give_back()
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return run(key, start, siblings)
 

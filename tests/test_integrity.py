@@ -370,3 +370,22 @@ def test_more_snapshots_than_a_tree_holds(spark, monkeypatch, name):
         verdicts = {r.shard_id: r.verdict for r in got}
         want = {"click": "size-mismatch", "signup": "not-contiguous", "view": "leaf-mismatch", "error": "root-mismatch"} if name == "snapshot_validation" else {"click": "not-an-append", "view": "root-mismatch"}
         assert len(got) == len(held) and verdicts == {s: want.get(s, "valid") for s in held}
+
+
+def test_proofs_folded_a_few_at_a_time(spark, monkeypatch):
+    """The node that siblings lead to does not depend on how many proofs are folded at once; a null leaf is an empty one, siblings of another length have no node."""
+    r = random.Random(8)
+    rows = [(i, r.randbytes(32), None if i == 2 else r.randbytes(32), r.randbytes(32 * (3 if i != 3 else 2)) if i != 4 else None) for i in range(6)]
+    want = {}
+    for i, key, start, siblings in rows:
+        state = start or smt.empties("sha256")[0].tobytes()
+        for level in range(3):
+            other = (siblings or b"")[32 * level : 32 * level + 32]
+            pair = (other, state) if key[31] >> level & 1 else (state, other)
+            state = hashlib.sha256(b"OLY:NODE:V1|" + pair[0] + b"|" + pair[1]).digest()
+        want[i] = state if siblings and len(siblings) == 96 else None
+    df = spark.createDataFrame(rows, "i int, key binary, start binary, siblings binary").coalesce(1)
+    for few in (2, 4096):
+        monkeypatch.setattr(smt, "FOLDED", few)
+        got = {x.i: x.node and bytes(x.node) for x in df.select("i", smt.folded(F.col("key"), F.col("start"), F.col("siblings"), 3, "sha256").alias("node")).collect()}
+        assert got == want
