@@ -488,8 +488,10 @@ def legacy_proof_fold(spark, d):
 @query()
 def poseidon_snapshot_roots(spark, d):
     """Snapshot trees over the field, of each shard's checkpoints."""
-    rows = fx.own_checkpoints(spark, d).select("shard_id", F.col("tree_size").alias("position"), F.unhex(F.lpad(F.hex("id"), 64, "0")).alias("data"))
-    return merkle.fixed_depth_roots(rows, by="shard_id", depth=20, alg="poseidon").select("shard_id", F.lower(F.hex("root")).alias("root"), "n")
+    place = (F.col("tree_size") / 10).cast("long") - 1  # every tenth row of a shard is one
+    rows = fx.own_checkpoints(spark, d).select("shard_id", place.alias("position"), F.unhex(F.lpad(F.hex("id"), 64, "0")).alias("data"))
+    roots = merkle.fixed_depth_roots(merkle.in_trees(rows, by="shard_id", depth=SNAPSHOT_DEPTH), by="tree", depth=SNAPSHOT_DEPTH, alg="poseidon")
+    return roots.select("tree.shard_id", F.lower(F.hex("root")).alias("root"), F.sum("n").over(Window.partitionBy("tree.shard_id")).alias("n"))
 
 
 @query(ctes("records", "records_v2") + " SELECT shard_id, record_id, version FROM records_v2 EXCEPT SELECT shard_id, record_id, version FROM records")
