@@ -37,6 +37,15 @@ def parents(pairs: list[tuple[bytes, bytes]], alg: str) -> list[bytes]:
     return hash_many(messages) if alg == "blake3" else [hashlib.sha256(m).digest() for m in messages]
 
 
+def neighbours(nodes: list[bytes], alg: str) -> list[bytes]:
+    """Nodes over children of 32 bytes that lie side by side."""
+    if alg == "poseidon":
+        return parents(list(zip(nodes[::2], nodes[1::2], strict=True)), alg)
+    head, raw = NODE + SEPARATOR, SEPARATOR.join(nodes)
+    messages = [head + raw[i : i + 65] for i in range(0, len(raw), 66)]
+    return hash_many(messages) if alg == "blake3" else [hashlib.sha256(m).digest() for m in messages]
+
+
 @cache
 def zeros(alg: str, depth: int) -> list[bytes]:
     """Roots of empty subtrees over leaves of 32 zero bytes, by height."""
@@ -46,6 +55,19 @@ def zeros(alg: str, depth: int) -> list[bytes]:
     return out
 
 
+def padded_roots(groups: list[list[bytes]], alg: str) -> list[bytes | None]:
+    """``zero_padded_roots`` of leaves that lie in one place: a level of all groups goes through the hash together."""
+    empties, height, level = zeros(alg, 16), 0, groups
+    while max(map(len, level), default=0) > 1:
+        level = [[*g, empties[height]] if len(g) % 2 and len(g) > 1 else g for g in level]
+        fresh = neighbours([x for g in level if len(g) > 1 for x in g], alg)
+        sizes = [len(g) // 2 for g in level]
+        ends = np.cumsum(sizes).tolist()
+        level = [fresh[end - n : end] if n else g for g, n, end in zip(level, sizes, ends, strict=True)]
+        height += 1
+    return [top[0] if len(leaves) > 1 else None for leaves, top in zip(groups, level, strict=True)]
+
+
 def _level_udf(alg: str, height: int, empties: list[bytes] | None):
     """Root of up to 2 ** STEP neighbouring nodes that start at a multiple of it."""
     def fold(nodes: list, levels: pd.Series) -> list[bytes]:
