@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sealstone.functions import lanes
 from sealstone.functions import poseidon as field
 from sealstone.functions.framing import digest
 
@@ -51,23 +53,31 @@ def _leaves(rows: list[list[bytes] | None]) -> list[list[int] | None]:
     return [None if row is None else [0 if x is None else next(flat) for x in row] for row in rows]
 
 
-#: Rows whose leaves are held at once.
-ROWS = 512
+def _numbers(rows: list[list[int]]) -> np.ndarray:
+    """Field elements of rows of sixteen, ``[limbs, rows, sixteen]``."""
+    return lanes.elements([x for row in rows for x in row]).reshape(lanes.LIMBS, -1, CHUNKS)
+
+
+#: Rows that are hashed together, about: their last level still fills the lanes.
+ROWS = 1024
+
+
+def _together(rows: list[int]) -> list[list[int]]:
+    """Rows in parts of about one size."""
+    return [x.tolist() for x in np.array_split(np.array(rows, int), round(len(rows) / ROWS) or 1)] if rows else []
 
 
 @F.pandas_udf(StringType())
 def chunk_root(hashes: pd.Series) -> pd.Series:
     """Root over sixteen chunk hashes (array of binary) as field elements, in decimal; null without sixteen of them."""
     whole = [None if row is None or len(row) != CHUNKS or any(x is None for x in row) else list(row) for row in hashes]
-
-    def one(level: list[int] | None) -> str | None:
-        if level is None:
-            return None
-        while len(level) > 1:
-            level = [field.tagged(field.LEAF, level[i], level[i + 1]) for i in range(0, len(level), 2)]
-        return str(level[0])
-
-    return pd.Series([one(x) for at in range(0, len(whole), ROWS) for x in _leaves(whole[at : at + ROWS])], dtype=object)
+    good, out = [i for i, row in enumerate(whole) if row is not None], pd.Series([None] * len(whole), dtype=object)
+    for own in _together(good):
+        level = _numbers(_leaves([whole[i] for i in own])).reshape(lanes.LIMBS, -1)
+        while level.shape[1] > len(own):
+            level = lanes.tagged(field.LEAF, level[:, ::2], level[:, 1::2])
+        out.iloc[own] = list(map(str, lanes.numbers(level)))
+    return out
 
 
 @lru_cache(maxsize=1 << CHUNKS + 1)

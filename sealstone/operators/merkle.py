@@ -30,9 +30,9 @@ GROUPS = 128
 def parents(pairs: list[tuple[bytes, bytes]], alg: str) -> list[bytes]:
     """Nodes over pairs of children. ``poseidon``: children and nodes are field elements, 32 bytes, big-endian."""
     if alg == "poseidon":
-        from sealstone.functions.poseidon import node
+        from sealstone.functions.poseidon import nodes
 
-        return [node(int.from_bytes(a, "big"), int.from_bytes(b, "big")).to_bytes(32, "big") for a, b in pairs]
+        return [x.to_bytes(32, "big") for x in nodes([(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in pairs])]
     messages = [NODE + SEPARATOR + a + SEPARATOR + b for a, b in pairs]
     return hash_many(messages) if alg == "blake3" else [hashlib.sha256(m).digest() for m in messages]
 

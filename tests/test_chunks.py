@@ -3,8 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sealstone.functions import lanes
 from sealstone.functions import poseidon as field
 from sealstone.functions.blake3 import hash_many
 from sealstone.operators import chunks
@@ -82,3 +84,42 @@ def test_hashes_of_a_batch_go_through_together(spark, monkeypatch):
     got = spark.createDataFrame([(0, [*hashes[0][:15], None]), (1, hashes[0])], "k int, h array<binary>")
     out = {r.k: (r.root, r.c.leaves) for r in got.select("k", chunks.chunk_root("h").alias("root"), chunks.commitment_columns(F.col("h"), F.array(*[F.lit(1)] * 16)).alias("c")).collect()}
     assert out[0] == (None, None) and None not in out[1]
+
+
+def test_poseidon_by_lanes(monkeypatch):
+    """Many pairs at once have the hashes of each by the definition, whatever the number of lanes; numbers at and beyond the order, and 0, among them."""
+    r = random.Random(9)
+    edge = [0, 1, field.P - 1, field.P, field.P // 2, field.P // 2 + 1, 2**256 - 1, 1 << 253]
+    a, b = [*edge, *(r.randrange(1 << 256) for _ in range(32))], [*reversed(edge), *(r.randrange(field.P) for _ in range(32))]
+    assert lanes.numbers(lanes.elements(a)) == [x % field.P for x in a]
+    want = [field.poseidon_plain(x, y) for x, y in zip(a, b)]
+    for few in (1024, 7):
+        monkeypatch.setattr(lanes, "LANES", few)
+        assert lanes.numbers(lanes.hashed(lanes.elements(a), lanes.elements(b))) == want
+    assert lanes.numbers(lanes.hashed(3, lanes.elements(b))) == [field.poseidon_plain(3, y) for y in b]
+    monkeypatch.setattr(field, "MANY", 1)
+    assert field.nodes(list(zip(a, b))) == [field.node(x, y) for x, y in zip(a, b)]
+    assert field.leaves([bytes([i] * 32) for i in range(5)]) == [field.poseidon(field.LEAF, int.from_bytes(h, "big")) for h in hash_many([field.FIELD_ELEMENT + bytes([i] * 32) for i in range(5)])]
+
+
+def test_sums_of_lanes_are_exact():
+    """No sum of a map, its quotient times the order taken away, and none of the products reaches 2 ** 53 of its unit."""
+    known, half = lanes.bases(), float(1 << 23)
+    limb = np.array([*[2.0**lanes.BITS] * (lanes.LIMBS - 1), 2.0**26])
+    terms = np.array([half] * lanes.BASE + [lanes.BASE])
+    for name, all_ in lanes.maps().items():
+        for m in all_:
+            if name == "start":
+                held = np.concatenate([np.ldexp(limb, lanes.BITS * np.arange(lanes.LIMBS))] * 2 + [[1]])
+            else:  # rows of ones stand behind two elements (partial rounds), or last
+                n = m.shape[1] // lanes.TERMS
+                held = np.concatenate([terms] * 2 + [[1]] + [terms] * (n - 2)) if name in ("steps", "both") else np.concatenate([terms] * n + [[1]])
+            size, at = np.abs(m) @ held, 0
+            both, base = lanes.BOTH, lanes.BASE
+            for rows in [base] if name == "end" else {2 * base + 2: [base] * 2, both + 2 * base + 3: [both, base, base]}.get(len(m)) or [both] * (len(m) // (both + 1)):
+                order, unit = (np.abs(lanes._order()[:, 0]), np.ldexp(1.0, lanes.BITS * np.arange(rows))) if name == "end" else (half, 1.0)
+                assert ((size[at : at + rows] + (size[at + rows] + 1) * order) / unit).max() < 2.0**53, name
+                at += rows + 1
+            assert at == len(m)
+    assert half * half + np.abs(known.added).sum(axis=1).max() * half < 2.0**53 and (np.abs(known.back) @ terms).max() < 2.0**53
+    assert known.by_a > 64 * field.P and known.by_b > 64 * field.P  # a product stays within six orders
