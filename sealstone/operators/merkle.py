@@ -197,47 +197,72 @@ def _nodes(left: np.ndarray, right: np.ndarray, alg: str) -> np.ndarray:
 
 def _binary(rows: np.ndarray) -> pa.Array:
     """``uint8[n, 32]`` as a column."""
-    return pa.array([x.tobytes() for x in rows], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * 32), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _plain(column: pa.Array | pa.ChunkedArray) -> np.ndarray | None:
+    """A column as ``uint8[n, 32]``; none if a value is null or not of 32 bytes."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, ends, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, 32), np.uint8)
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    if column.null_count or (np.diff(at) != 32).any():
+        return None
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, 32)
+
+
+def _levels(nodes: np.ndarray, full: int, levels: int, alg: str) -> Iterator[np.ndarray]:
+    """Whole nodes of each height over neighbours of which the first ``full`` are whole."""
+    for _ in range(levels + 1):
+        yield nodes
+        full //= 2
+        nodes = _nodes(nodes[0 : 2 * full : 2], nodes[1 : 2 * full : 2], alg)
 
 
 def _beside(rows: DataFrame, by: str, height: int, depth: int, alg: str, most: int) -> DataFrame:
     """For nodes (by, i, node) at a height, numbered from 0, what lies to the left of each on its way up: (by, i, node, siblings), an array from ``height`` to ``depth``.
 
-    Runs of 2 ** STEP neighbours are folded in one task each; the full runs' roots are the nodes of the next round, in which there are so many times fewer. A run that is not full has no node, and is its group's last."""
+    Runs of 2 ** STEP neighbours lie in one task each. They are folded first, and the full runs' roots are the nodes of the next round, in which there are so many times fewer; then each run is given what
+    lies beside it, a row, and tells its nodes' paths: these are as long as the tree is high, and are neither written nor shuffled. A run that is not full has no node, and is its group's last."""
     empties, levels = zeros(alg, depth), min(STEP, depth - height)
-    name = rows.schema[by].dataType.simpleString()
+    name, above = rows.schema[by].dataType.simpleString(), height + levels
+    rest = np.frombuffer(b"".join(empties[above:depth]), np.uint8).reshape(-1, 32)
 
-    def run(own: pa.Table) -> pa.Table:
+    def whole(own: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+        """A run in order, its nodes and how many of them are whole: all, or all but the last."""
         own = own.sort_by("i")
-        n, last = own.num_rows, own.column("node")[own.num_rows - 1].as_py()
-        level = np.frombuffer(b"".join(x or bytes(32) for x in own.column("node").to_pylist()), np.uint8).reshape(n, 32)
-        place, siblings = own.column("i").to_numpy() % (1 << levels), np.empty((n, levels, 32), np.uint8)
-        full = n - (last is None)  # nodes that are whole
-        for h in range(levels):
+        n, last = own.num_rows, own.column("node")[own.num_rows - 1].is_valid
+        if last:
+            return own, _plain(own.column("node")), n
+        return own, np.concatenate([_plain(own.column("node").slice(0, n - 1)), np.zeros((1, 32), np.uint8)]), n - 1
+
+    def root(own: pa.Table) -> pa.Table:
+        own, nodes, full = whole(own)
+        *_, top = _levels(nodes, full, levels, alg)
+        place = int(own.column("i")[0].as_py()) >> levels
+        return pa.table({by: own.column(by).slice(0, 1), "i": pa.array([place], pa.int64()), "node": pa.array([top[0].tobytes() if full == 1 << levels else None], pa.binary())})
+
+    def run(own: pa.Table, up: np.ndarray) -> pa.Table:
+        own, nodes, full = whole(own)
+        n = own.num_rows
+        place, siblings = own.column("i").to_numpy() % (1 << levels), np.empty((n, depth - height, 32), np.uint8)
+        siblings[:, levels:] = up
+        for h, level in zip(range(levels), _levels(nodes, full, levels, alg)):  # noqa: B905
             at = place >> h
             right = (at & 1) == 1
             siblings[right, h] = level[at[right] - 1]
             siblings[~right, h] = np.frombuffer(empties[height + h], np.uint8)
-            full //= 2
-            level = _nodes(level[0 : 2 * full : 2], level[1 : 2 * full : 2], alg)
-        root = level[0].tobytes() if len(level) and n == 1 << levels and last is not None else None
-        key, block = own.column(by).combine_chunks().take(pa.array(np.zeros(n + 1, np.int64))), int(own.column("i")[0].as_py()) >> levels
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * levels), _binary(siblings.reshape(-1, 32)))
-        return pa.table({
-            by: key, "i": pa.chunked_array([own.column("i").combine_chunks().cast(pa.int64()), pa.nulls(1, pa.int64())]), "block": pa.array([block] * (n + 1), pa.int64()),
-            "node": pa.chunked_array([own.column("node").combine_chunks().cast(pa.binary()), pa.array([root], pa.binary())]), "siblings": pa.chunked_array([flat, pa.nulls(1, flat.type)]),
-        })
-
-    runs = rows.select(by, "i", "node").groupBy(by, F.shiftright("i", levels).alias("run_")).applyInArrow(run, f"`{by}` {name}, i long, block long, node binary, siblings array<binary>")
-    done = table(runs, "runs")
-    own, above = done.filter("i is not null"), done.filter("i is null").select(by, F.col("block").alias("i"), "node")
-    if height + levels >= depth:
-        return own.select(by, "i", "node", "siblings")
-    if most <= 1 << levels:  # one run a group: nothing lies to the left of it
-        return own.select(by, "i", "node", F.concat("siblings", F.array(*(F.lit(e) for e in empties[height + levels : depth]))).alias("siblings"))
-    up = _beside(above, by, height + levels, depth, alg, -(-most >> levels)).select(F.col(by).alias("by_"), F.col("i").alias("block"), F.col("siblings").alias("more"))
-    joined = own.join(up, own[by].eqNullSafe(up["by_"]) & (own["block"] == up["block"]))
-    return joined.select(own[by], own["i"], own["node"], F.concat("siblings", "more").alias("siblings"))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (depth - height)), _binary(siblings.reshape(-1, 32)))
+        return pa.table({by: own.column(by), "i": own.column("i").cast(pa.int64()), "node": own.column("node").cast(pa.binary()), "siblings": flat})
+
+    schema, nodes = f"`{by}` {name}, i long, node binary", rows.select(by, "i", "node")
+    runs = nodes.groupBy(by, F.shiftright("i", levels).alias("run_"))
+    if above >= depth or most <= 1 << levels:  # one run a group: nothing lies to the left of it
+        return runs.applyInArrow(lambda own: run(own, rest), schema + ", siblings array<binary>")
+    up = _beside(table(runs.applyInArrow(root, schema), "runs"), by, above, depth, alg, -(-most >> levels))
+    beside = lambda own, up: run(own, _plain(up.column("siblings")[0].values))
+    return runs.cogroup(up.groupBy(by, F.col("i").alias("run_"))).applyInArrow(beside, schema + ", siblings array<binary>")
 
 
 def append_paths(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:
@@ -247,43 +272,70 @@ def append_paths(rows: DataFrame, *, by: str, depth: int, alg: str = "blake3") -
     leaves = _numbered(rows, by, 1 << depth).withColumnRenamed("data", "node")
     most = leaves.agg(F.max("n")).first()[0] or 0
     paths = _beside(leaves, by, 0, depth, alg, most)
-    schema = f"`{by}` {rows.schema[by].dataType.simpleString()}, i long, leaf binary, siblings array<binary>, root binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, place = batch.num_rows, batch.column("i").to_numpy()
-            state = np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint8).reshape(n, 32)
-            path = np.frombuffer(b"".join(batch.column("siblings").flatten().to_pylist()), np.uint8).reshape(n, depth, 32)
-            for h in range(depth):
-                right = (place >> h & 1 == 1)[:, None]
-                state = _nodes(np.where(right, path[:, h], state), np.where(right, state, path[:, h]), alg)
-            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("i"), batch.column("node"), batch.column("siblings"), _binary(state)], names=[by, "i", "leaf", "siblings", "root"])
-
-    return paths.select(by, "i", "node", "siblings").mapInArrow(run, schema)
+    return paths.select(by, "i", F.col("node").alias("leaf"), "siblings", fold_path(F.col("node"), F.col("siblings"), F.col("i"), alg).alias("root"))
+
+
+#: Paths that are folded at once.
+PATHS = 4096
+
+
+def _folded(leaves: pa.Array, paths: pa.Array, places: pa.Array, alg: str) -> pa.Array:
+    """``fold_path`` of a few rows."""
+    good = np.array([x.is_valid and y.is_valid and z.is_valid for x, y, z in zip(leaves, paths, places, strict=True)], bool) if leaves.null_count or paths.null_count or places.null_count else np.ones(len(leaves), bool)
+    on = pa.array(np.flatnonzero(good))
+    own, kept = (leaves.take(on), paths.take(on)) if not good.all() else (leaves, paths)
+    index = places.take(on).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    state, siblings, length = _plain(own), _plain(kept.flatten()), np.diff(kept.offsets.to_numpy())
+    first = np.cumsum(length) - length
+    if state is None or siblings is None:  # hashes of another length
+        rows = [bytes(x) for x in own.to_pylist()]
+        for level in range(length.max(initial=0)):
+            which = np.flatnonzero(length > level).tolist()
+            other = [bytes(kept[r][level].as_py()) for r in which]
+            pairs = [(x, rows[r]) if index[r] >> level & 1 else (rows[r], x) for r, x in zip(which, other, strict=True)]
+            for r, h in zip(which, parents(pairs, alg), strict=True):
+                rows[r] = h
+    else:
+        state = state.copy()
+        for level in range(length.max(initial=0)):
+            which = np.flatnonzero(length > level)
+            other, mine, right = siblings[first[which] + level], state[which], (index[which] >> level & 1 == 1)[:, None]
+            state[which] = _nodes(np.where(right, other, mine), np.where(right, mine, other), alg)
+        if good.all():
+            return _binary(state)
+        rows = [x.tobytes() for x in state]
+    made = iter(rows)
+    return pa.array([next(made) if g else None for g in good.tolist()], pa.binary())
 
 
 def fold_path(leaf: Column, siblings: Column, index: Column, alg: str = "blake3") -> Column:
     """Root that a leaf (binary), its siblings from the leaf up (array of binary) and its index lead to; null if any is."""
 
-    @F.pandas_udf(BinaryType())
-    def run(leaves: pd.Series, paths: pd.Series, places: pd.Series) -> pd.Series:
-        state = [None if x is None or p is None or pd.isna(i) else bytes(x) for x, p, i in zip(leaves, paths, places, strict=True)]
-        for level in range(max((len(p) for p in paths if p is not None), default=0)):
-            on = [r for r, s in enumerate(state) if s is not None and level < len(paths.iloc[r])]
-            pairs = [(bytes(paths.iloc[r][level]), state[r]) if int(places.iloc[r]) >> level & 1 else (state[r], bytes(paths.iloc[r][level])) for r in on]
-            for r, h in zip(on, parents(pairs, alg), strict=True):
-                state[r] = h
-        return pd.Series(state, dtype=object)
+    @F.arrow_udf(BinaryType())
+    def run(leaves: pa.Array, paths: pa.Array, places: pa.Array) -> pa.Array:
+        out = [_folded(leaves.slice(at, PATHS), paths.slice(at, PATHS), places.slice(at, PATHS), alg) for at in range(0, len(leaves), PATHS)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return run(leaf, siblings, index)
 
 
-def append_transition(snapshots: DataFrame, alg: str = "blake3") -> DataFrame:
-    """``snapshots(prev_root, root, leaf, siblings, size)`` with ``verdict``: one path, with an empty leaf, gives the root before, and with the leaf the root after."""
+def transition_roots(snapshots: DataFrame, alg: str = "blake3") -> DataFrame:
+    """``snapshots(leaf, siblings, size)`` with the roots that the path leads to: ``before_``, with an empty leaf, and ``after_``, with the leaf. Leaf and siblings are left out: two hashes are all that a verdict needs."""
     place = F.col("size") - 1
     before, after = fold_path(F.lit(bytes(32)), F.col("siblings"), place, alg), fold_path(F.col("leaf"), F.col("siblings"), place, alg)
-    checked = snapshots.withColumn("before_", before).withColumn("after_", after)
-    return checked.withColumn("verdict", F.when(~F.col("before_").eqNullSafe(F.col("prev_root")), "not-an-append").when(~F.col("after_").eqNullSafe(F.col("root")), "root-mismatch").otherwise("valid")).drop("before_", "after_")
+    return snapshots.withColumn("before_", before).withColumn("after_", after).drop("leaf", "siblings")
+
+
+def transition_verdict(before: Column, after: Column) -> Column:
+    """Whether the roots that a path leads to are those stated, ``prev_root`` and ``root``."""
+    return F.when(~before.eqNullSafe(F.col("prev_root")), "not-an-append").when(~after.eqNullSafe(F.col("root")), "root-mismatch").otherwise("valid")
+
+
+def append_transition(snapshots: DataFrame, alg: str = "blake3") -> DataFrame:
+    """``snapshots(prev_root, root, leaf, siblings, size)`` with ``verdict``: one path, with an empty leaf, gives the root before, and with the leaf the root after."""
+    kept = snapshots.withColumns({"leaf_": F.col("leaf"), "siblings_": F.col("siblings")})
+    checked = transition_roots(kept, alg).withColumn("verdict", transition_verdict(F.col("before_"), F.col("after_")))
+    return checked.withColumnsRenamed({"leaf_": "leaf", "siblings_": "siblings"}).select(*snapshots.columns, "verdict")
 
 
 def snapshot_faults(records: DataFrame, snapshots: DataFrame, *, by: str, depth: int, alg: str = "blake3") -> DataFrame:

@@ -469,12 +469,14 @@ def append_paths_sha256(spark, d):
 @query("SELECT event_type AS shard_id, CASE event_type WHEN 'click' THEN 'not-an-append' WHEN 'view' THEN 'root-mismatch' ELSE 'valid' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2")
 def append_transitions(spark, d):
     """Every append's path leads from the root before to the root after; one shard states other roots before, one others after."""
-    paths = table(merkle.append_paths(_snapshots(spark, d), by="tree", depth=SNAPSHOT_DEPTH, alg="sha256").select("tree", (F.col("i") + 1).alias("size"), "leaf", "siblings", "root"), "append-paths")
-    before = paths.select("tree", (F.col("size") + 1).alias("size"), F.col("root").alias("prev_root"))
+    paths = merkle.append_paths(_snapshots(spark, d), by="tree", depth=SNAPSHOT_DEPTH, alg="sha256").select("tree", (F.col("i") + 1).alias("size"), "leaf", "siblings", "root")
+    made = table(merkle.transition_roots(paths, "sha256"), "append-roots")  # a path is verified where it is made; what is joined is three hashes a row
+    before = made.select("tree", (F.col("size") + 1).alias("size"), F.col("root").alias("prev_root"))
     none = F.lit(merkle.zeros("sha256", SNAPSHOT_DEPTH)[-1])
-    rows = paths.join(before, ["tree", "size"], "left").withColumn("prev_root", F.coalesce("prev_root", none)).withColumn("shard_id", F.col("tree.shard_id"))
+    rows = made.join(before, ["tree", "size"], "left").withColumn("prev_root", F.coalesce("prev_root", none)).withColumn("shard_id", F.col("tree.shard_id"))
     rows = rows.withColumn("prev_root", _where("click", "prev_root", F.lit(bytes(32)))).withColumn("root", _where("view", "root", F.lit(bytes(32))))
-    return merkle.append_transition(rows, "sha256").groupBy("shard_id", "verdict").agg(F.count("*").alias("n"))
+    verdict = merkle.transition_verdict(F.col("before_"), F.col("after_"))
+    return rows.withColumn("verdict", verdict).groupBy("shard_id", "verdict").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256('b' || CAST(doc_id AS VARCHAR)) || '7C' || sha256(unhex(hex(encode('OLY:NODE:V1|')) || sha256(CAST(doc_id AS VARCHAR)) || '7C' || sha256('a' || CAST(doc_id AS VARCHAR)))))) AS root FROM documents")

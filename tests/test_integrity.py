@@ -389,3 +389,35 @@ def test_proofs_folded_a_few_at_a_time(spark, monkeypatch):
         monkeypatch.setattr(smt, "FOLDED", few)
         got = {x.i: x.node and bytes(x.node) for x in df.select("i", smt.folded(F.col("key"), F.col("start"), F.col("siblings"), 3, "sha256").alias("node")).collect()}
         assert got == want
+
+
+def test_paths_are_verified_where_they_are_made(spark, monkeypatch):
+    """Of every append's path only roots are written and joined: no table of this query holds siblings."""
+    from sealstone.plans import analytics, catalog
+
+    written = []
+    for module in (analytics, merkle):
+        monkeypatch.setattr(module, "table", lambda df, name, f=module.table: written.append((name, df.columns)) or f(df, name))
+    monkeypatch.setattr(merkle, "STEP", 6)  # some shards are several runs
+    got = {r.shard_id: (r.verdict, r.n) for r in catalog.QUERIES["append_transitions"](spark, "/root/testdata/sf0.001").collect()}
+    held = {r.event_type: r["count"] for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("event_type").count().collect()}
+    assert got == {s: ({"click": "not-an-append", "view": "root-mismatch"}.get(s, "valid"), n) for s, n in held.items()} and max(held.values()) > 64
+    assert {"append-roots", "runs"} <= {name for name, _ in written} and not any("siblings" in columns for _, columns in written)
+
+
+def test_paths_of_any_length_and_width(spark, monkeypatch):
+    """Folded in pieces, beside nulls and paths of other lengths; hashes that are not of 32 bytes have nodes too."""
+    r = random.Random(12)
+    for width in (32, 20):
+        rows = [(i, bytearray(r.randbytes(width)) if i != 3 else None, [bytearray(r.randbytes(width)) for _ in range(i % 5)] if i != 4 else None, r.randrange(32) if i != 5 else None) for i in range(13)]
+        want = {}
+        for i, leaf, path, place in rows:
+            state = None if None in (leaf, path, place) else bytes(leaf)
+            for h, x in enumerate(path or []) if state else ():
+                a, b = (bytes(x), state) if place >> h & 1 else (state, bytes(x))
+                state = hashlib.sha256(b"OLY:NODE:V1|" + a + b"|" + b).digest()
+            want[i] = state
+        df = spark.createDataFrame(rows, "i int, leaf binary, path array<binary>, place long").coalesce(1)
+        for few in (3, 4096):
+            monkeypatch.setattr(merkle, "PATHS", few)
+            assert {x.i: x.node and bytes(x.node) for x in df.select("i", merkle.fold_path(F.col("leaf"), F.col("path"), F.col("place"), "sha256").alias("node")).collect()} == want
