@@ -99,9 +99,12 @@ def commitment_columns(hashes: pd.Series, masks: pd.Series) -> pd.DataFrame:
     """``commitments`` of sixteen chunk hashes (array of binary) and a reveal mask (array of 0 and 1), in decimal; null if either is, or has not sixteen entries."""
     good = [row is not None and mask is not None and len(row) == len(mask) == CHUNKS and all(x is not None for x in (*row, *mask)) and {int(x) for x in mask} <= {0, 1} for row, mask in zip(hashes, masks, strict=True)]
     bits = [[int(x) for x in mask] if g else None for g, mask in zip(good, masks, strict=True)]
-    shown = [[x if b else None for x, b in zip(row, own, strict=True)] if own is not None else None for row, own in zip(hashes, bits, strict=True)]
-    out = []
-    for at in range(0, len(shown), ROWS):
-        for leaves, own in zip(_leaves(shown[at : at + ROWS]), bits[at : at + ROWS], strict=True):
-            out.append((None, None) if own is None else tuple(map(str, commitments(leaves, own, sum(own)))))
-    return pd.DataFrame(out, columns=["leaves", "mask"], dtype=object)
+    rest, out = [i for i, own in enumerate(bits) if own is not None], pd.DataFrame(None, range(len(bits)), ["leaves", "mask"], dtype=object)
+    for own in _together(rest):
+        leaves = _numbers(_leaves([[x if b else None for x, b in zip(hashes.iloc[i], bits[i], strict=True)] for i in own]))
+        state = lanes.elements([sum(bits[i]) for i in own])
+        for i in range(CHUNKS):
+            state = lanes.tagged(field.COMMITMENT, state, leaves[:, :, i])
+        out.iloc[own, 0] = list(map(str, lanes.numbers(state)))
+        out.iloc[own, 1] = [str(mask_commitment(tuple(bits[i]))) for i in own]
+    return out.where(out.notna(), None)

@@ -123,3 +123,27 @@ def test_sums_of_lanes_are_exact():
             assert at == len(m)
     assert half * half + np.abs(known.added).sum(axis=1).max() * half < 2.0**53 and (np.abs(known.back) @ terms).max() < 2.0**53
     assert known.by_a > 64 * field.P and known.by_b > 64 * field.P  # a product stays within six orders
+
+
+def test_rows_are_hashed_together(monkeypatch):
+    """Roots and commitments of many rows take no hash of a single pair but those of new masks, and are those made pair by pair."""
+    import pandas as pd
+
+    r = random.Random(14)
+    hashes = pd.Series([[r.randbytes(32) for _ in range(16)] for _ in range(70)])
+    masks = pd.Series([[(k + x) % 3 > 0 for x in range(16)] for k in range(70)])
+    hashes.iloc[3] = masks.iloc[5] = None
+    want, real, calls = {}, field.poseidon, []
+    for k in (0, 1, 69):
+        level = chunks._leaves([hashes[k]])[0]
+        a, b = chunks.commitments([x * m for x, m in zip(level, masks[k])], [int(m) for m in masks[k]], sum(masks[k]))
+        while len(level) > 1:
+            level = [field.tagged(field.LEAF, *level[i : i + 2]) for i in range(0, len(level), 2)]
+        want[k] = (str(level[0]), str(a), str(b))
+    chunks.mask_commitment.cache_clear()
+    monkeypatch.setattr(field, "poseidon", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(chunks, "ROWS", 30)
+    roots, made = chunks.chunk_root.func(hashes), chunks.commitment_columns.func(hashes, masks)
+    assert len(calls) <= 3 * 16 * 2
+    assert {k: (roots[k], made.leaves[k], made["mask"][k]) for k in want} == want
+    assert [k for k in range(70) if roots[k] is None] == [3] and [k for k in range(70) if made.leaves[k] is None and made["mask"][k] is None] == [3, 5]
